@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docbatch.llm.common import arrow_rows, slices, texts
+from docbatch.llm.pieces import spread
 from docbatch.llm.u64map import U64Map
 
 _NONE = np.int64(1) << 40
@@ -141,12 +142,6 @@ def bpe_table(path: str) -> BpeTable:
     return BpeTable(path)
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions start, start+1 ... start+length-1 of every range, one range after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
-
-
 class Encoder:
     """Encodes runs of texts. Distinct pre-tokens are merged once and remembered between runs, up to ``REMEMBERED``."""
 

@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docbatch.llm import bpe
+from docbatch.llm import bpe, secrets, token_counts
 from docbatch.llm.common import table
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op9_bpe_encode": op9_bpe_encode}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+QUERIES = {"op7_secret_scan": op7_secret_scan, "op9_bpe_encode": op9_bpe_encode, "op10_token_counts": op10_token_counts}
 
 ORACLES: dict[str, str] = {}
