@@ -4,11 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docbatch.llm import bpe, secrets, token_counts
+from docbatch.llm import bpe, exact_dedup, quality, secrets, token_counts
 from docbatch.llm.common import table
 
 
+def remainder(modulus: int) -> F.Column:
+    """The fold of a document: the CRC-32 of its id as text."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
+    """Learns only from labels outside the held-out fold."""
+    return quality.fit(docs, labels.filter(remainder(5) != 0))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -21,6 +42,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
-QUERIES = {"op7_secret_scan": op7_secret_scan, "op9_bpe_encode": op9_bpe_encode, "op10_token_counts": op10_token_counts}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_bpe_encode": op9_bpe_encode,
+    "op10_token_counts": op10_token_counts,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": """
+        WITH plain AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents
+        ), ranked AS (
+            SELECT doc_id, norm, row_number() OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS r,
+                   first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id,
+                   count(*) OVER (PARTITION BY norm) AS group_size
+            FROM plain
+        )
+        SELECT doc_id, keep_id, group_size, r = 1 AS kept, sha256(norm) AS text_sha256 FROM ranked
+    """,
+}
