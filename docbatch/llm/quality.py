@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     def moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, STATISTICS))
-        n = good = 0
+        n = good = 0.0
         for b in batches:
             x = matrix(b)
             total += [x.sum(axis=0), (x * x).sum(axis=0)]
