@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbatch.llm import bpe, exact_dedup, quality, secrets, token_counts
+from docbatch.llm import bpe, exact_dedup, packing, quality, secrets, token_counts
 from docbatch.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_bpe_encode": op9_bpe_encode,
