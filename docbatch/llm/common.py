@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docbatch.plans.staging import staged  # noqa: F401
+
 #: The white space of the contracts: space and the five control characters from tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
@@ -18,28 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docbatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back.
-
-    Used where rows are read more than once or an iteration would grow its lineage: a lost executor
-    then costs a re-read of shared files and not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docbatch-{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), so that extra columns of any name do no harm and are not read."""
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbatch.llm import bpe, exact_dedup, packing, quality, secrets, token_counts
+from docbatch.llm import bpe, exact_dedup, near_join, packing, quality, secrets, token_counts
 from docbatch.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_near_join": op8_near_join,
     "op9_bpe_encode": op9_bpe_encode,
     "op10_token_counts": op10_token_counts,
 }
