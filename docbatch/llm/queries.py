@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbatch.llm import bpe, exact_dedup, language, near_join, packing, quality, secrets, token_counts, topk
+from docbatch.llm import bpe, exact_dedup, language, main_text, near_join, packing, quality, secrets, token_counts, topk
 from docbatch.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_packing": op3_packing,
+    "op4_main_text": op4_main_text,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_topk": op6_topk,
     "op7_secret_scan": op7_secret_scan,
