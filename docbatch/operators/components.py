@@ -5,39 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docbatch.plans.staging import staged
+from docbatch.plans.staging import staged_with
 
 MAX_ROUNDS = 60
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 31))).first())
-
-
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every node of an edge: the component is the smallest node reachable.
 
     Each round points nodes at the smallest node of their neighbourhood, in a number of rounds that
     follows the logarithm of the component's size. Neighbourhoods are never gathered: minima come from
-    aggregation and return by joins, so a hub of any degree is spread over tasks. Raises if the rounds
-    do not settle.
+    aggregation and return by joins, so a hub of any degree is spread over tasks. Each round is one
+    written table, whose checksum tells when nothing changes. Raises if the rounds do not settle.
     """
-    now = staged(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges")
+    mark = F.sum(F.xxhash64("u", "v") % (1 << 31))
+    now, seen = staged_with(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges", mark=mark)
     before = None
     for _ in range(MAX_ROUNDS):
-        mark = _mark(now)
-        if mark == before or mark[0] == 0:
+        if not seen["n"] or seen == before:
             break
-        before = mark
+        before = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = staged(large, "large-star")
+        # large points every node only to smaller ones, so what remains is the small star
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        now = staged(small.distinct(), "small-star")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        now, seen = staged_with(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components", mark=mark)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

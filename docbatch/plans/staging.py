@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/docbatch-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``staged``, and aggregates over its rows, among them ``n``, their number, taken while they are written."""
+    seen = Observation()
+    out = staged(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in measures.items())), label)
+    return out, seen.get
