@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,7 @@ from docbatch.llm.common import slices, staged, texts
 from docbatch.llm.pieces import mixed
 from docbatch.llm.shingles import shingle_sets
 from docbatch.operators.components import connected_components
+from docbatch.plans.staging import staged_with
 
 COUNTERS = 1 << 20
 SLICES = 64
@@ -317,8 +319,8 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets. ``ids`` has (set, id): a document of each set."""
     pairs = staged(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(ids, "set").select("id")
-    wanted = staged(wanted, "wanted")
-    if wanted.count() <= BROADCAST_IDS:
+    wanted, seen = staged_with(wanted, "wanted")
+    if seen["n"] <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     schema = pa.schema([("set", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
 
@@ -328,7 +330,8 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
     own = docs.join(wanted, "id", "left_semi").mapInArrow(run, "set long, n long, shingles binary")
-    own = staged(own.dropDuplicates(["set"]), "sets")
+    own = own.dropDuplicates(["set"])
+    own = staged(own, "sets")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -356,26 +359,34 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = staged(sized.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("bits").alias("bits")), "reps")
     groups = staged(shared_groups(postings(docs, classes, int(total // RANGE_POSTINGS).bit_length())), "groups")
     ids = sets.select("set", "id").filter("id is not null")
-    links = None
+    links: list[DataFrame] = []
     labelled = groups.withColumn("component", F.col("set"))
     for round_ in range(STAR_ROUNDS):
+        if links:  # a label that is sound, if not complete: the smallest leader that a set is, or links with
+            last = links[-1]
+            label = last.select(F.col("a").alias("set"), F.col("a").alias("component")).union(last.select("b", "a")).groupBy("set").agg(F.min("component").alias("component"))
+            labelled = groups.join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
         leader = labelled.groupBy("grp").agg(F.min_by(F.struct("set", "component"), F.xxhash64("set", F.lit(round_))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
-        leader = leader.filter("low <> high").select("grp", F.col("lead.set").alias("leader"), F.col("lead.component").alias("lead_component"))
-        star = labelled.join(leader, "grp").filter("component <> lead_component").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
+        leader = leader.filter("low <> high").select("grp", F.col("lead.set").alias("a"), F.col("lead.component").alias("lead_component"))
+        star = labelled.join(leader, "grp").filter("component <> lead_component").select("a", F.col("set").alias("b")).distinct()
         for side in ("a", "b"):
             star = star.join(sets.select(F.col("set").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        new = verified(star.filter(may_link("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"), docs, ids)
-        links = new if links is None else links.unionByName(new)
-        component = connected_components(links, "a", "b").withColumnRenamed("node", "set")
-        labelled = groups.join(component, "set", "left").withColumn("component", F.coalesce("component", "set"))
-        labelled = staged(labelled, "labelled")
+        links.append(verified(star.filter(may_link("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"), docs, ids))
+    component = staged(connected_components(reduce(DataFrame.unionByName, links), "a", "b").withColumnRenamed("node", "set"), "labels")
+    labelled = groups.join(component, "set", "left").withColumn("component", F.coalesce("component", "set"))
     # the one pair of a group of two has met its leader already
     several = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high and m > 2").select("grp")
-    open_groups = labelled.join(several, "grp", "left_semi")
+    open_groups = staged(labelled.join(several, "grp", "left_semi").select("grp", "set", "component"), "open-groups")
     by_set = sets.join(open_groups.select("set", "component").distinct(), "set").select("set", "n", "bits", "component")
-    pairs = tree_join(open_groups.select("grp", "set"), by_set, parts * 4)
-    links = links.unionByName(verified(pairs, docs, ids))
-    component = connected_components(links, "a", "b").withColumnRenamed("node", "set")
+    more = verified(tree_join(open_groups.select("grp", "set"), by_set, parts * 4), docs, ids)
+    if not more.isEmpty():
+        # components of components: links between their labels
+        label = component.select("set", "component")
+        for side in ("a", "b"):
+            more = more.join(label.select(F.col("set").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(side, F.coalesce(f"c_{side}", side)).drop(f"c_{side}")
+        merged = connected_components(more, "a", "b").select(F.col("node").alias("set"), F.col("component").alias("merged"))
+        joined = component.unionByName(merged.select("set", F.col("set").alias("component")).join(component, "set", "left_anti"))
+        component = joined.join(merged.withColumnRenamed("set", "component"), "component", "left").select("set", F.coalesce("merged", "component").alias("component"))
     final = sized.select("id", "set", "n").join(component, "set", "left").withColumn("component", F.coalesce("component", "set"))
     smallest = final.filter("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
     linked = final.filter("n > 0").join(smallest, "component").select("id", "n", "component_id")
@@ -385,7 +396,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked documents, the one with the smallest id."""
-    dropped = staged(near_classes(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(id_col), "near-copies")
-    if dropped.count() <= BROADCAST_IDS:
+    dropped, seen = staged_with(near_classes(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(id_col), "near-copies")
+    if seen["n"] <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
     return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
