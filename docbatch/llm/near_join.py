@@ -15,8 +15,8 @@ result gives each document its set size and the smallest document reachable by l
    bitmaps, size ranges and component ranges; the dual traversal drops node pairs whose sizes cannot
    match, whose greatest possible overlap is too small, or that lie in one component already. Large
    groups are split into blocks, and each pair of blocks is a unit of its own.
-5. Surviving pairs are verified on their whole sets, which are made again from the texts of just these
-   documents.
+5. What survives is verified on whole sets, which are made again from the texts of just these documents.
+   Of the links in a pair of blocks those that join two components come out, never all pairs.
 
 Defined results: null and empty text and text without words have size 0 and link with nothing; fewer
 words than five make one shingle; copies of a set need no pairs, as they share its identity; a null id
@@ -277,61 +277,72 @@ def tree_pairs(x: SignatureTree, y: SignatureTree, same: bool) -> tuple[np.ndarr
     return x.sets[i], y.sets[j]
 
 
+UNIT = ("grp", "left", "right")
+
+
+def _units(table: pa.Table) -> Iterator[slice]:
+    """Runs of rows of one pair of blocks, in a table sorted by ``UNIT``."""
+    if table.num_rows:
+        key = np.stack([table.column(c).to_numpy() for c in UNIT], axis=1)
+        cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)].tolist()
+        yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1)
+
+
 def tree_join(groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of sets in one group and in different components.
+    """(grp, left, right, block, set): sets that no bound of the trees keeps apart from all of another component.
 
-    ``groups`` has (grp, set); ``sets`` has (set, n, bits, component).
+    ``groups`` has (grp, set); ``sets`` has (set, n, bits, component). A row comes out for a row that goes
+    in, at most, so large groups of similar sets cost no pairs here.
     """
     sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = groups.join(sizes, "grp").join(sets, "set")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("grp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "set", "n", "bits", "component")
-    rows = rows.withColumn("unit", F.pmod(F.xxhash64("grp", "left", "right"), F.lit(parts)))
+    rows = rows.withColumn("unit", F.pmod(F.xxhash64(*UNIT), F.lit(parts)))
 
     def join(table: pa.Table) -> pa.Table:
-        grp, left, right, block = (table.column(c).to_numpy() for c in ("grp", "left", "right", "block"))
-        member, n, component = (table.column(c).to_numpy() for c in ("set", "n", "component"))
-        bits = table.column("bits")
-        order = np.lexsort((block, right, left, grp))
-        grp, left, right, block, member, n, component = (c[order] for c in (grp, left, right, block, member, n, component))
-        new = np.r_[True, (grp[1:] != grp[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])]
-        cuts = np.r_[np.flatnonzero(new), len(grp)]
-        found = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a < 2:
-                continue
-
-            def forest(of: int, a: int = a, b: int = b) -> Forest:
-                at = a + np.flatnonzero(block[a:b] == of)
-                return Forest(member[at], n[at], [bits[int(k)].as_py() for k in order[at]], component[at])
-
-            x = forest(left[a])
-            found += forest_pairs(x, x if left[a] == right[a] else forest(right[a]))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return rows.groupBy("unit").applyInArrow(join, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. ``ids`` has (set, id): a document of each set."""
-    pairs = staged(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct().join(ids, "set").select("id")
-    wanted, seen = staged_with(wanted, "wanted")
+        table = table.sort_by([(c, "ascending") for c in UNIT])
+        block, member, n, component = (table.column(c).to_numpy() for c in ("block", "set", "n", "component"))
+        left, bits = table.column("left").to_numpy(), table.column("bits")
+        kept = []
+        for own in _units(table):
+
+            def forest(at: np.ndarray) -> Forest:
+                return Forest(at, n[at], [bits[int(k)].as_py() for k in at], component[at])
+
+            at = np.arange(own.start, own.stop)
+            first = block[at] == left[own.start]
+            x = forest(at[first])
+            found = forest_pairs(x, x if first.all() else forest(at[~first])) if first.any() else []
+            kept += [np.unique(p) for p in found if len(p)]
+        at = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
+        out = table.select(["grp", "left", "right", "block", "set"]).take(pa.array(at, pa.int64()))
+        return out
+
+    return rows.groupBy("unit").applyInArrow(join, "grp long, left int, right int, block int, set long")
+
+
+def whole_sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(set, shingles) of the wanted sets, made again from a document of each."""
+    wanted, seen = staged_with(wanted.distinct().join(ids, "set").select("id"), "wanted")
     if seen["n"] <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    schema = pa.schema([("set", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("set", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values in slices(batches, 1_000_000):
             sets = shingle_sets(values)
-            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
 
-    own = docs.join(wanted, "id", "left_semi").mapInArrow(run, "set long, n long, shingles binary")
-    own = own.dropDuplicates(["set"])
-    own = staged(own, "sets")
+    own = docs.join(wanted, "id", "left_semi").mapInArrow(run, "set long, shingles binary")
+    return staged(own.dropDuplicates(["set"]), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets. ``ids`` has (set, id): a document of each set."""
+    pairs = staged(pairs, "pairs")
+    own = whole_sets(pairs.select(F.col("a").alias("set")).union(pairs.select("b")), docs, ids)
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -347,6 +358,67 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     return staged(joined.filter(linked("x", "y")).select("a", "b"), "links")
 
 
+#: Bytes of exact bitmaps that a pair of blocks may take; beyond it sets are compared one by one.
+EXACT_BYTES = 1 << 27
+
+
+def merges(sets: list[np.ndarray], block: np.ndarray, component: np.ndarray, within: bool) -> list[tuple[int, int]]:
+    """Pairs of components that a link joins, among sets of one block or across two; each pair of components once.
+
+    Overlaps are exact: bitmaps over the shingles that at least two of the sets hold.
+    """
+    n = np.array([len(x) for x in sets])
+    order = np.argsort(n, kind="stable")
+    sets, n, block, root = [sets[i] for i in order], n[order], block[order], component[order].copy()
+    first = root.copy()
+    words, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    width = -(-int(shared[-1] + 1) // 64) * 64 if len(shared) else 0
+    exact = None
+    if width * len(sets) // 8 <= EXACT_BYTES:
+        exact = np.zeros((len(sets), width // 64), np.uint64)
+        row = np.repeat(np.arange(len(sets)), n)
+        at = count[number] > 1
+        bit = shared[number[at]].astype(np.uint64)
+        np.bitwise_or.at(exact, (row[at], (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    last = np.searchsorted(n, n * 100 // 80, side="right")
+    out = []
+    for i in range(len(sets)):
+        js = np.arange(i + 1, last[i])
+        js = js[root[js] != root[i]]
+        if not within:
+            js = js[block[js] != block[i]]
+        if not len(js):
+            continue
+        if exact is not None:
+            both = np.bitwise_count(exact[js] & exact[i]).sum(axis=1).astype(np.int64)
+        else:
+            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in js])
+        for j in js[100 * both >= 80 * (n[i] + n[js] - both)].tolist():
+            if root[j] != root[i]:
+                out.append((int(first[i]), int(first[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def exact_join(candidates: DataFrame, own: DataFrame, component: DataFrame, parts: int) -> DataFrame:
+    """(a, b): components that a link between two of the candidates joins. Rows come out for merges alone, fewer than there are sets."""
+    rows = candidates.join(component, "set").join(own, "set").withColumn("unit", F.pmod(F.xxhash64(*UNIT), F.lit(parts)))
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in UNIT])
+        block, label, left, right = (table.column(c).to_numpy() for c in ("block", "component", "left", "right"))
+        shingles = table.column("shingles")
+        out: list[tuple[int, int]] = []
+        for x in _units(table):
+            sets = [np.frombuffer(shingles[k].as_py(), np.uint64) for k in range(x.start, x.stop)]
+            out += merges(sets, block[x], label[x], bool(left[x.start] == right[x.start]))
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return rows.groupBy("unit").applyInArrow(join, "a long, b long").distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     docs = texts(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
@@ -378,12 +450,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high and m > 2").select("grp")
     open_groups = staged(labelled.join(several, "grp", "left_semi").select("grp", "set", "component"), "open-groups")
     by_set = sets.join(open_groups.select("set", "component").distinct(), "set").select("set", "n", "bits", "component")
-    more = verified(tree_join(open_groups.select("grp", "set"), by_set, parts * 4), docs, ids)
-    if not more.isEmpty():
-        # components of components: links between their labels
-        label = component.select("set", "component")
-        for side in ("a", "b"):
-            more = more.join(label.select(F.col("set").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(side, F.coalesce(f"c_{side}", side)).drop(f"c_{side}")
+    left = staged(tree_join(open_groups.select("grp", "set"), by_set, parts * 4), "tree")
+    own = whole_sets(left.select("set"), docs, ids)
+    more, seen = staged_with(exact_join(left, own, open_groups.select("set", "component").distinct(), parts * 4), "merges")
+    if seen["n"]:
         merged = connected_components(more, "a", "b").select(F.col("node").alias("set"), F.col("component").alias("merged"))
         joined = component.unionByName(merged.select("set", F.col("set").alias("component")).join(component, "set", "left_anti"))
         component = joined.join(merged.withColumnRenamed("set", "component"), "component", "left").select("set", F.coalesce("merged", "component").alias("component"))
