@@ -288,18 +288,22 @@ def _units(table: pa.Table) -> Iterator[slice]:
         yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1)
 
 
+def block_pairs(groups: DataFrame, parts: int) -> DataFrame:
+    """(grp, left, right, block, set, unit): the sets of each pair of blocks of each group; ``unit`` deals the pairs out."""
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("grp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "set")
+    return rows.withColumn("unit", F.pmod(F.xxhash64(*UNIT), F.lit(parts)))
+
+
 def tree_join(groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """(grp, left, right, block, set): sets that no bound of the trees keeps apart from all of another component.
+    """(grp, set): sets that no bound of the trees keeps apart from all of another component.
 
     ``groups`` has (grp, set); ``sets`` has (set, n, bits, component). A row comes out for a row that goes
     in, at most, so large groups of similar sets cost no pairs here.
     """
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(sizes, "grp").join(sets, "set")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("grp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "set", "n", "bits", "component")
-    rows = rows.withColumn("unit", F.pmod(F.xxhash64(*UNIT), F.lit(parts)))
+    rows = block_pairs(groups, parts).join(sets, "set")
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in UNIT])
@@ -317,10 +321,9 @@ def tree_join(groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
             found = forest_pairs(x, x if first.all() else forest(at[~first])) if first.any() else []
             kept += [np.unique(p) for p in found if len(p)]
         at = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
-        out = table.select(["grp", "left", "right", "block", "set"]).take(pa.array(at, pa.int64()))
-        return out
+        return table.select(["grp", "set"]).take(pa.array(at, pa.int64()))
 
-    return rows.groupBy("unit").applyInArrow(join, "grp long, left int, right int, block int, set long")
+    return rows.groupBy("unit").applyInArrow(join, "grp long, set long").distinct()
 
 
 def whole_sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -402,8 +405,11 @@ def merges(sets: list[np.ndarray], block: np.ndarray, component: np.ndarray, wit
 
 
 def exact_join(candidates: DataFrame, own: DataFrame, component: DataFrame, parts: int) -> DataFrame:
-    """(a, b): components that a link between two of the candidates joins. Rows come out for merges alone, fewer than there are sets."""
-    rows = candidates.join(component, "set").join(own, "set").withColumn("unit", F.pmod(F.xxhash64(*UNIT), F.lit(parts)))
+    """(a, b): components that a link between two sets of one group of candidates joins.
+
+    Rows come out for merges alone, fewer than there are sets.
+    """
+    rows = block_pairs(candidates, parts).join(component, "set").join(own, "set")
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in UNIT])
@@ -451,6 +457,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_groups = staged(labelled.join(several, "grp", "left_semi").select("grp", "set", "component"), "open-groups")
     by_set = sets.join(open_groups.select("set", "component").distinct(), "set").select("set", "n", "bits", "component")
     left = staged(tree_join(open_groups.select("grp", "set"), by_set, parts * 4), "tree")
+    # a set is in many groups; the families that surviving sets form hold each of them once
+    family = connected_components(left.select(F.col("set").alias("u"), F.col("grp").alias("v")))
+    left = staged(left.select("set").distinct().join(family.withColumnRenamed("node", "set"), "set").select(F.col("component").alias("grp"), "set"), "families")
     own = whole_sets(left.select("set"), docs, ids)
     more, seen = staged_with(exact_join(left, own, open_groups.select("set", "component").distinct(), parts * 4), "merges")
     if seen["n"]:
