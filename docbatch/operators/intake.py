@@ -19,9 +19,9 @@ def last_wins(rows: DataFrame, keys: list[str], order: str, values: list[str]) -
 
 def parse_token_rows(text: DataFrame) -> DataFrame:
     """Lines of text from tab-separated token rows: level, page, block, paragraph, line, word, x, y, width, height, confidence, text."""
-    f = text.select(F.split("row", "\t").alias("f")).filter((F.size("f") >= 12) & (F.col("f")[0] == "5"))
+    f = text.select(F.split("row", "\t").alias("f")).filter((F.size("f") >= 12) & (F.get("f", F.lit(0)) == "5"))
     word = F.array_join(F.slice("f", 12, F.size("f")), "\t")
-    t = f.select(F.col("f")[1].try_cast("long").alias("doc_id"), F.col("f")[4].try_cast("int").alias("line_no"), F.col("f")[5].try_cast("int").alias("word_no"), F.col("f")[6].try_cast("double").alias("x0"), F.col("f")[8].try_cast("double").alias("w"), F.col("f")[10].try_cast("int").alias("conf"), word.alias("word"))
+    t = f.select(F.get("f", F.lit(1)).try_cast("long").alias("doc_id"), F.get("f", F.lit(4)).try_cast("int").alias("line_no"), F.get("f", F.lit(5)).try_cast("int").alias("word_no"), F.get("f", F.lit(6)).try_cast("double").alias("x0"), F.get("f", F.lit(8)).try_cast("double").alias("w"), F.get("f", F.lit(10)).try_cast("int").alias("conf"), word.alias("word"))
     t = t.filter(F.trim("word") != "")
     line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"]), " ")
     return t.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("words"), line.alias("line_text"), F.min("x0").alias("x0"), F.max(F.col("x0") + F.col("w")).alias("x1"), F.min("conf").alias("conf"))
