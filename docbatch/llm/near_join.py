@@ -362,7 +362,7 @@ def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 #: Bytes of exact bitmaps that a pair of blocks may take; beyond it sets are compared one by one.
-EXACT_BYTES = 1 << 27
+EXACT_BYTES = 1 << 25
 
 
 def merges(sets: list[np.ndarray], block: np.ndarray, component: np.ndarray, within: bool) -> list[tuple[int, int]]:
@@ -394,7 +394,7 @@ def merges(sets: list[np.ndarray], block: np.ndarray, component: np.ndarray, wit
         if not len(js):
             continue
         if exact is not None:
-            both = np.bitwise_count(exact[js] & exact[i]).sum(axis=1).astype(np.int64)
+            both = np.concatenate([np.bitwise_count(exact[js[at : at + 128]] & exact[i]).sum(axis=1, dtype=np.int64) for at in range(0, len(js), 128)])
         else:
             both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in js])
         for j in js[100 * both >= 80 * (n[i] + n[js] - both)].tolist():
