@@ -5,6 +5,7 @@ The white-space and dash classes are written out, since what ``\\s`` covers diff
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,8 +88,6 @@ def folded_sql(s: str) -> str:
 
 def strip_accents(s: Column) -> Column:
     """Canonical decomposition without combining marks. Text in ASCII skips Python altogether."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def strip(values: pd.Series) -> pd.Series:
         import unicodedata
@@ -123,13 +122,16 @@ def confusable_key_sql(s: str, mode: str = "o") -> str:
     return f"translate(regexp_replace({tightened_sql(s)}, '[^a-z0-9]', '', 'g'), '{old}', '{new}')"
 
 
+_LOW, _HIGH = "abcdefghijklmnopqrstuvwxyzO", "ABCDEFGHIJKLMN0PQRSTUVWXYZ0"
+
+
 def code_key(s: Column) -> Column:
-    """Upper case with O as 0."""
-    return F.translate(F.upper(F.coalesce(s, F.lit(""))), "O", "0")
+    """ASCII letters in upper case, with O as 0."""
+    return F.translate(F.coalesce(s, F.lit("")), _LOW, _HIGH)
 
 
 def code_key_sql(s: str) -> str:
-    return f"translate(upper(coalesce({s}, '')), 'O', '0')"
+    return f"translate(coalesce({s}, ''), '{_LOW}', '{_HIGH}')"
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this folder that register queries.
-AREAS = ("rules", "edits", "annotations", "telemetry", "intake", "fuzzy")
+AREAS = ("rules", "edits", "annotations", "telemetry", "intake", "fuzzy", "geometry", "text_functions", "streams")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
