@@ -42,9 +42,9 @@ def slices(batches: Iterable[pa.RecordBatch], max_chars: int = 4_000_000) -> Ite
             yield ids.slice(start, len(out)), out
 
 
-def arrow_rows(ids: pa.Array, schema: pa.Schema, **columns) -> pa.RecordBatch:
+def arrow_rows(keys: pa.Array, schema: pa.Schema, /, **columns) -> pa.RecordBatch:
     """A record batch of ``schema``: the ids first, then the named columns."""
     first = schema.field(0)
-    data = [ids.cast(first.type)]
+    data = [keys.cast(first.type)]
     data += [pa.array(columns[f.name], type=f.type) for f in list(schema)[1:]]
     return pa.RecordBatch.from_arrays(data, schema=schema)
