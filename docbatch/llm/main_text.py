@@ -10,7 +10,9 @@ over ``LEAST_PAGES`` pages is below ``THRESHOLD`` is noise on that host.
 Nodes whose name alone says what they are need no statistics: menus, headers, footers, side bars, forms,
 scripts, styles, adverts, notices and reader comments have importance 0, an article or main part has
 importance 1 and is kept whole but for branches of the first kind inside it. Where a page has such a
-part, the text is that part's; elsewhere it is what the tree leaves of the body.
+part, the text is that part's; elsewhere it is what the tree leaves of the body. A name is a whole token of
+class or id ("sidebar", "site-header", not "with-sidebar" or "post-header"), and it yields to what the branch
+holds: see ``settle``.
 
 Counts are aggregated by (host, node, value) before they meet, so a host that holds a third of all pages is
 spread like any other, and no page is gathered with others. The list of noise nodes goes to all
@@ -47,8 +49,15 @@ HIDDEN = frozenset("script style noscript template head title iframe object svg
 #: Tags, roles and words of class or id that name a part of a page by its purpose.
 NOISE_TAGS = frozenset("nav header footer aside form menu dialog search".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog".split())
-NOISE_WORDS = re.compile(r"(?:^|[-_\s])(?:ad|ads|advert\w*|adverts|banner|breadcrumbs?|comments?|comment-list|cookie\w*|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice\w*|popup|promo\w*|related|replies|respond|share|sharing|sidebar|side-bar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s])", re.IGNORECASE)
-MAIN_TAGS = frozenset(("article", "main"))
+NOISE_WORDS = frozenset("ad ads banner breadcrumb breadcrumbs comment comments consent disqus footer header masthead menu nav navbar navigation newsletter popup related replies respond share sharing sidebar social subscribe toolbar widget".split())
+NOISE_STEMS = ("advert", "cookie", "notice", "promo", "sponsor")
+#: Words that may stand beside those in a token without changing what it names ("site-header", "comment-list").
+PLAIN_WORDS = frozenset("area bar block bottom box button buttons container content form global icons inner item items left line link links list main media outer page panel post posts primary right secondary section side signup site slot text top unit wrap wrapper".split())
+#: Of the tokens with such words, those that name a part of the content ("post-header", "page-header").
+CONTENT_TOKEN = re.compile(r"(?:page|post|posts|content|section|block|item|box|panel|media|list|inner|form)[-_]+(?:header|banner|masthead)")
+TOP_WORDS = frozenset(("header", "masthead", "banner"))
+READER_WORDS = frozenset("comment comments disqus replies respond".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 CLOSE_PARAGRAPH = BLOCKS - {"html", "body", "head", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "optgroup", "option", "legend"}
@@ -59,17 +68,29 @@ SEPARATOR = "\n\n"
 class Node:
     __slots__ = ("tag", "name", "parent", "children", "noise", "main")
 
-    def __init__(self, tag: str, name: str, parent: Node | None, noise: bool, main: bool):
+    #: ``noise`` is empty, "hidden", "reader" (comments of readers) or "named"; ``main`` is 2 for a main part, 1 for an article.
+    def __init__(self, tag: str, name: str, parent: Node | None, noise: str, main: int):
         self.tag, self.name, self.parent, self.noise, self.main = tag, name, parent, noise, main
         self.children: list[Node | str] = []
 
 
+def noise_words(names: str) -> set[str]:
+    """The noise words among the tokens of class and id. A token counts if all its words are noise words or plain ones."""
+    found: set[str] = set()
+    for token in names.lower().split():
+        words = [w for w in re.split(r"[-_]+", token) if w]
+        noise = {w for w in words if w in NOISE_WORDS or w.startswith(NOISE_STEMS)}
+        if (noise and all(w in noise or w in PLAIN_WORDS or w[0].isdigit() for w in words) or token == "side-bar") and not CONTENT_TOKEN.fullmatch(token):
+            found |= noise or {"sidebar"}
+    return found
+
+
 class TreeBuilder(HTMLParser):
     """A page as a tree of nodes and strings."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.now = Node("", "", None, False, False)
+        self.root = self.now = Node("", "", None, "", 0)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSE_PARAGRAPH:
@@ -79,17 +100,33 @@ class TreeBuilder(HTMLParser):
         values = dict(attrs)
         words = f"{values.get('class') or ''} {values.get('id') or ''}".strip()
         role = (values.get("role") or "").lower()
-        main = tag in MAIN_TAGS or role in ("main", "article")
-        noise = tag in HIDDEN or (tag in NOISE_TAGS and not self._inside_main(tag)) or role in NOISE_ROLES or "hidden" in values or values.get("aria-hidden") == "true" or (not main and tag not in ("html", "body") and bool(words) and bool(NOISE_WORDS.search(words)))
-        node = Node(tag, f"{tag}.{words}" if words else tag, self.now, noise, main)
+        main = 2 if "main" in (tag, role) else int("article" in (tag, role))
+        node = Node(tag, f"{tag}.{words}" if words else tag, self.now, self._noise(tag, role, words, values, main), main)
         self.now.children.append(node)
         if tag not in VOID:
             self.now = node
 
-    def _inside_main(self, tag: str) -> bool:
-        """An article's own header holds its title; all other such parts are noise there too."""
+    def _noise(self, tag: str, role: str, words: str, values: dict[str, str | None], main: int) -> str:
+        if tag in HIDDEN or "hidden" in values or values.get("aria-hidden") == "true":
+            return "hidden"
+        top = tag == "header" or role == "banner"
+        named = noise_words(words) if words and not main and tag not in ("html", "body") else set()
+        if not (top or named or tag in NOISE_TAGS or role in NOISE_ROLES):
+            return ""
+        # an article's own header and headings hold its titles; all other such parts are noise there too
+        inside = self._inside_main()
+        if tag in HEADINGS:
+            named = set() if inside else named - TOP_WORDS
+        elif inside and (top or named & {"header", "masthead"}):
+            named, top = named - TOP_WORDS, False
+            return ("reader" if named & READER_WORDS else "named") if named else ""
+        if named & READER_WORDS:
+            return "reader"
+        return "named" if top or named or tag in NOISE_TAGS or role in NOISE_ROLES else ""
+
+    def _inside_main(self) -> bool:
         node = self.now
-        while tag == "header" and node is not None:
+        while node is not None:
             if node.main:
                 return True
             node = node.parent
@@ -119,9 +156,60 @@ def parsed(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    settle(builder.root)
     return builder.root
 
 
+def settle(root: Node) -> None:
+    """Takes the mark of noise from branches whose content says otherwise.
+
+    A branch that holds a <main> is never noise by its name, nor one that holds an article while no other
+    article or main part stands outside noise (a teaser list or a comment may be an article too). Nor is a
+    branch with more than half of the text outside links of its scope: of the page where that has no such
+    part, else of its main part, where comments of readers may well be longer than the article and still go.
+    """
+    order, work = [], [root]
+    while work:
+        node = work.pop()
+        order.append(node)
+        if node.noise != "hidden":
+            work.extend(c for c in node.children if isinstance(c, Node))
+    if not any(node.noise in ("named", "reader") for node in order):
+        return
+    chars: dict[Node, int] = {}
+    holds: dict[Node, int] = {}  # the greatest ``main`` in the branch
+    for node in reversed(order):
+        shown = node.noise != "hidden"
+        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) if shown and node.tag != "a" else 0
+        below = [c for c in node.children if isinstance(c, Node) and c.noise != "hidden"] if shown else []
+        chars[node] = own + (sum(chars[c] for c in below) if node.tag != "a" else 0)
+        holds[node] = max([node.main, *(holds[c] for c in below)]) if shown else 0
+    parts = main_parts(root)
+    if holds[root] == 2 or (holds[root] and not parts):
+        for node in order:
+            if node.noise in ("named", "reader") and (holds[node] == 2 or (holds[node] and not parts)) and not _within_main(node):
+                node.noise = ""
+        parts = main_parts(root)
+    for scope in parts or [root]:
+        whole = chars[scope]
+        work = [scope]
+        while work:
+            node = work.pop()
+            if 2 * chars[node] <= whole:
+                continue
+            if node.noise == "named" or (node.noise == "reader" and not parts):
+                node.noise = ""
+            if node.noise == "":
+                work.extend(c for c in node.children if isinstance(c, Node))
+
+
+def _within_main(node: Node) -> bool:
+    above = node.parent
+    while above is not None and not above.main:
+        above = above.parent
+    return above is not None
+
+
 def blocks(node: Node, noise_paths: frozenset[str] | set[str] = frozenset(), path: str = "") -> list[str]:
     """The text of a branch, block by block, without its noise; white space inside a block is one space."""
     out: list[str] = []
@@ -155,7 +243,7 @@ def blocks(node: Node, noise_paths: frozenset[str] | set[str] = frozenset(), pat
 
 
 def main_parts(root: Node) -> list[Node]:
-    """The outermost article or main nodes outside noise. Articles inside a main part count instead of it."""
+    """The outermost article or main nodes outside noise."""
     found, work = [], [root]
     while work:
         node = work.pop()

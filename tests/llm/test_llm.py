@@ -219,6 +219,16 @@ def test_main_text(spark):
     assert all("own text" in got[i] for i in range(12))
 
 
+def test_main_text_keeps_branches_that_hold_the_content():
+    text = "own words of the page " * 5
+    for wrap in ("<div class='layout with-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<body class='has-header'><div class='has-header'>{}</div>", "<form action='/'><nav>menu</nav>{}</form>", "<div class='widget'>{}</div>"):
+        assert main_text.main_text(wrap.format(f"<article><h1>T</h1><p>{text}</p></article>") + "<footer>f</footer>") == f"T\n\n{text.strip()}", wrap
+        assert main_text.main_text(wrap.format(f"<h1>T</h1><p>{text}</p>") + "<footer>f</footer>") == f"T\n\n{text.strip()}", wrap
+    for title in ("<h1 class='post-header'>T</h1>", "<h1 class='header'>T</h1>", "<div class='article-header'><h1>T</h1></div>", "<div class='header'><h1>T</h1></div>", "<header role='banner'><h1>T</h1></header>"):
+        page = f"<div class='site-header'>s</div><article>{title}<p>{text}</p><div class='share-buttons'>no</div><section id=comments><article>{text * 3}</article></section></article><aside class=related><article>tease</article></aside><div class='cookie-banner sticky'>c</div>"
+        assert main_text.main_text(page) == f"T\n\n{text.strip()}", title
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
