@@ -1,16 +1,20 @@
 """Operator 4: main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree. A node is a path of tag and class names from the root.
-It has presentations (the sequences of children that pages show there, and its attributes) and contents
-(hashes of its own text). The presentation importance of a node is the entropy of its presentations over
-the host's pages; the content importance is one minus the mean entropy of its contents over pages: text
-that every page repeats has importance 0, text of one page alone 1. A branch whose combined importance
-over ``LEAST_PAGES`` pages is below ``THRESHOLD`` is noise on that host.
+The different pages of a host are merged into one tree; copies of a page's text count once. A node is a path
+of tag and class names from the root. It has presentations (the sequences of children that pages show there)
+and contents (hashes of all text in the branch). The presentation importance of a node is the entropy of its
+presentations over the host's pages, its content importance that of its contents: text that every page
+repeats has importance 0, text of one page alone 1. A content has an importance of its own too, by the share
+of the pages that show it. A branch is noise on a page if, over ``LEAST_PAGES`` pages, the importance of its
+content is below ``THRESHOLD`` and so is that of its node, or half of the pages that have the node
+show that content. So a page's own text stays where other pages repeat something.
 
 Nodes whose name alone says what they are need no statistics: menus, headers, footers, side bars, forms,
 scripts, styles, adverts, notices and reader comments have importance 0, an article or main part has
 importance 1 and is kept whole but for branches of the first kind inside it. Where a page has such a
-part, the text is that part's; elsewhere it is what the tree leaves of the body. A name is a whole token of
+part, the text is what the tree leaves of that part, elsewhere of the body. The tree leaves
+words within a sentence alone, and inside such a part headings, list items and cells, unless a whole box around
+them goes. A name is a whole token of
 class or id ("sidebar", "site-header", not "with-sidebar" or "post-header"), and it yields to what the branch
 holds: see ``settle``.
 
@@ -57,6 +61,8 @@ PLAIN_WORDS = frozenset("area bar block bottom box button buttons container cont
 CONTENT_TOKEN = re.compile(r"(?:page|post|posts|content|section|block|item|box|panel|media|list|inner|form)[-_]+(?:header|banner|masthead)")
 TOP_WORDS = frozenset(("header", "masthead", "banner"))
 READER_WORDS = frozenset("comment comments disqus replies respond".split())
+#: Blocks that are entries of something larger: what many pages call a row of a table is no noise in itself.
+ENTRIES = frozenset("li dt dd tr td th thead tbody tfoot caption figcaption legend option optgroup summary h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -210,7 +216,7 @@ def _within_main(node: Node) -> bool:
     return above is not None
 
 
-def blocks(node: Node, noise_paths: frozenset[str] | set[str] = frozenset(), path: str = "") -> list[str]:
+def blocks(node: Node) -> list[str]:
     """The text of a branch, block by block, without its noise; white space inside a block is one space."""
     out: list[str] = []
     inline: list[str] = []
@@ -221,14 +227,14 @@ def blocks(node: Node, noise_paths: frozenset[str] | set[str] = frozenset(), pat
         if text:
             out.append(text)
 
-    work: list[tuple[Node | str | None, str]] = [(node, path)]
+    work: list[Node | str | None] = [node]
     while work:
-        item, at = work.pop()
+        item = work.pop()
         if item is None:
             end()
         elif isinstance(item, str):
             inline.append(item)
-        elif item is not node and (item.noise or at in noise_paths):
+        elif item is not node and item.noise:
             if item.tag in BLOCKS:
                 end()
         elif item.tag == "br":
@@ -236,8 +242,8 @@ def blocks(node: Node, noise_paths: frozenset[str] | set[str] = frozenset(), pat
         else:
             if item.tag in BLOCKS:
                 end()
-                work.append((None, at))
-            work.extend((c, at if isinstance(c, str) else f"{at}/{c.name}") for c in reversed(item.children))
+                work.append(None)
+            work.extend(reversed(item.children))
     end()
     return out
 
@@ -256,31 +262,72 @@ def main_parts(root: Node) -> list[Node]:
     return found
 
 
-def main_text(html: str, noise_paths: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's main text; ``noise_paths`` are the paths that the host's tree found to be noise."""
-    if not html:
-        return ""
-    root = parsed(html)
-    parts = main_parts(root)
-    if parts:
-        return SEPARATOR.join(b for part in parts for b in blocks(part))
-    left = blocks(root, noise_paths)
-    # a host whose pages all say the same leaves nothing; then the names alone decide
-    return SEPARATOR.join(left or blocks(root))
+def contents(root: Node) -> dict[Node, int]:
+    """The hash of all text in each branch, without its noise; branches without text are missing."""
+    order, work = [], [root]
+    while work:
+        node = work.pop()
+        order.append(node)
+        work.extend(c for c in node.children if isinstance(c, Node) and not c.noise)
+    found: dict[Node, int] = {}
+    for node in reversed(order):
+        said = [" ".join(c.split()) if isinstance(c, str) else str(found.get(c, "")) for c in node.children]
+        if any(said):
+            found[node] = xxhash.xxh3_64_intdigest("\n".join(filter(None, said))) >> 1
+    return found
 
 
-def style_nodes(html: str) -> Iterator[tuple[str, int, int, int]]:
-    """(path, presentation, content, is_text) of the nodes that need statistics: those outside main parts and named noise."""
-    work: list[tuple[Node, str]] = [(parsed(html), "")]
+def tree_nodes(root: Node, content: dict[Node, int]) -> Iterator[tuple[Node, int, int]]:
+    """(node, path, kind) of the branches that the tree may judge: kind 1 by their node only, 2 also by the share of pages."""
+    work = [(root, 0, False, False)]
     while work:
-        node, path = work.pop()
-        if node.noise or node.main:
+        node, path, inside, in_prose = work.pop()
+        if node not in content:
             continue
-        nodes = [c for c in node.children if isinstance(c, Node)]
-        text = " ".join("".join(c for c in node.children if isinstance(c, str)).split())
-        look = xxhash.xxh3_64_intdigest(" ".join(c.name for c in nodes)) >> 1
-        yield path, look, xxhash.xxh3_64_intdigest(text) >> 1, int(bool(text))
-        work.extend((c, f"{path}/{c.name}") for c in nodes)
+        box = node.tag in BLOCKS and node.tag not in ENTRIES
+        if not node.main and node.tag not in ("", "html", "body") and not (inside and node.tag in HEADINGS):
+            if box:
+                yield node, path, 2
+            elif (not inside or (node.tag not in BLOCKS and "." in node.name)) and (node.tag in BLOCKS or not in_prose):
+                yield node, path, 1
+        prose = any(isinstance(c, str) and not c.isspace() for c in node.children)
+        work.extend((c, xxhash.xxh3_64_intdigest(c.name, seed=path), inside or bool(node.main), prose) for c in node.children if isinstance(c, Node) and not c.noise)
+
+
+def noise_key(path: int, kind: int, content: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{path} {kind} {content}") >> 1
+
+
+def main_text(html: str, noise: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's main text; ``noise`` are the keys of the branches that the host's tree found to be noise."""
+    if not html:
+        return ""
+    root = parsed(html)
+    parts = main_parts(root) or [root]
+    marked = []
+    if noise:
+        content = contents(root)
+        marked = [node for node, path, kind in tree_nodes(root, content) if noise_key(path >> 1, kind, content[node]) in noise]
+    for node in marked:
+        node.noise = "tree"
+    left = [b for part in parts for b in blocks(part)]
+    if not left and marked:  # a host whose pages all say the same leaves nothing; then the names alone decide
+        for node in marked:
+            node.noise = ""
+        left = [b for part in parts for b in blocks(part)]
+    return SEPARATOR.join(left)
+
+
+def style_nodes(html: str) -> tuple[int, set[tuple[int, int, int]]]:
+    """The hash of the page's text, and (path, kind, value): presentations (0) and contents (1, 2) of its nodes, and the nodes (3)."""
+    root = parsed(html)
+    content = contents(root)
+    page = xxhash.xxh3_64_intdigest(" ".join(str(content.get(part, "")) for part in main_parts(root) or [root])) >> 1
+    rows = set()
+    for node, path, kind in tree_nodes(root, content):
+        look = xxhash.xxh3_64_intdigest(" ".join(c.name for c in node.children if isinstance(c, Node))) >> 1
+        rows |= {(path >> 1, 0, look), (path >> 1, kind, content[node]), (path >> 1, 3, 0)}
+    return page, rows
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -288,37 +335,46 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, path, importance): nodes of each host's tree that are noise."""
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("value", pa.int64())])
+    """(host, key, importance): branches of each host's tree that are noise."""
+    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("page", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen = set()
-                for path, look, content, is_text in style_nodes(html.as_py()):
-                    seen.add((path, 0, look))
-                    if is_text:
-                        seen.add((path, 1, content))
-                rows += [(host, *s) for s in seen]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = []
+                for host, html in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    page, seen = style_nodes(html.as_py())
+                    rows += [(host, *s, page) for s in seen]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            named = [noise_key(*k) for k in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(named, pa.int64()), b.column(4)], names=["host", "key", "importance"])
 
     read = pages.filter(F.length(html_col) > 0).select(host_of(F.col(url_col)).alias("host"), html_col)
-    counts = read.mapInArrow(run, "host string, path string, kind int, value long").groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k"))
-    # per node and kind: the rows (of pages), and sums of k log k (presentations) and log k (contents)
-    log_k = F.log(F.col("k").cast("double"))
-    nodes = counts.groupBy("host", "path", "kind").agg(F.sum("k").alias("m"), F.sum(F.col("k") * log_k).alias("k_log_k"), F.sum(log_k).alias("log_k"), F.count(F.lit(1)).alias("values"))
-    log_m = F.greatest(F.log(F.col("m").cast("double")), F.lit(1e-9))
-    entropy = F.when(F.col("m") > 1, (log_m - F.col("k_log_k") / F.col("m")) / log_m).otherwise(F.lit(1.0))
-    unique = F.when(F.col("m") > 1, 1 - F.col("log_k") / F.col("values") / log_m).otherwise(F.lit(1.0))
-    by_node = nodes.groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == 0, F.col("m"))).alias("pages"),
-        F.max(F.when(F.col("kind") == 0, entropy)).alias("look"),
-        F.max(F.when(F.col("kind") == 1, unique)).alias("content"),
-    )
-    importance = F.when(F.col("content").isNull(), F.lit(None)).otherwise(F.lit(PRESENTATION) * F.col("look") + F.lit(1 - PRESENTATION) * F.col("content"))
-    return by_node.withColumn("importance", importance).filter((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).select("host", "path", "importance")
+    seen = read.mapInArrow(run, "host string, path long, kind int, value long, page long").distinct()
+    counts = staged(seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k")), "style-tree")
+    # entropy of a node's presentations, or contents, in units of its greatest value; both from sums over counts
+    k_log_k = F.col("k") * F.log(F.col("k").cast("double"))
+
+    def entropy(of: F.Column) -> F.Column:
+        m = F.sum(F.when(of, F.col("k"))).cast("double")
+        return F.when(m > 1, 1 - F.sum(F.when(of, k_log_k)) / m / F.log(m)).otherwise(F.lit(1.0))
+
+    kind = F.col("kind")
+    nodes = counts.groupBy("host", "path").agg(F.max(F.when(kind == 3, F.col("k"))).alias("pages"), entropy(kind == 0).alias("look"), entropy(kind.isin(1, 2)).alias("content"))
+
+    def importance(content: F.Column) -> F.Column:
+        return F.lit(PRESENTATION) * F.col("look") + F.lit(1 - PRESENTATION) * content
+
+    own = importance(1 - F.log(F.col("k").cast("double")) / F.log(F.col("pages").cast("double")))
+    often = (kind == 2) & (2 * F.col("k") >= F.col("pages"))
+    judged = counts.filter(kind.isin(1, 2) & (F.col("k") > 1)).join(nodes.filter(F.col("pages") >= least_pages), ["host", "path"])
+    judged = judged.withColumn("importance", own).filter((F.col("importance") < threshold) & (often | (importance(F.col("content")) < threshold)))
+    return judged.select("host", "path", "kind", "value", "importance").mapInArrow(keys, "host string, key long, importance double")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -326,10 +382,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     noise = staged(noise_nodes(pages, url_col, html_col), "noise-nodes")
     read = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    by_host = noise.groupBy("host").agg(F.collect_list("path").alias("paths"))  # paths of one host's templates
+    by_host = noise.groupBy("host").agg(F.collect_list("key").alias("keys"))  # branches of one host's templates
     if noise.count() <= BROADCAST_NODES:
         by_host = F.broadcast(by_host)
-    joined = read.join(by_host, "host", "left").select("id", "url", "html", "paths")
+    joined = read.join(by_host, "host", "left").select("id", "url", "html", "keys")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -229,6 +229,25 @@ def test_main_text_keeps_branches_that_hold_the_content():
         assert main_text.main_text(page) == f"T\n\n{text.strip()}", title
 
 
+def test_main_text_drops_what_a_host_repeats(spark):
+    box = "<div class='xyz'><h3>Read too</h3><ul><li><a href='/1'>one</a></li></ul></div>"
+
+    def page(i, box=box):
+        own = f"<h1>Title {i}</h1><h2>Summary</h2><p>own text <b>Note</b> number {i}</p><table><tr><td>Weight</td><td>{i} kg</td></tr></table>"
+        return f"<body>{box}<article>{own}<p>By the staff of the site</p>{box}<section class='xyz'>{'same' if i else 'own words of page 0'}</section></article>{box}"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(12)]
+    rows += [(20 + i, f"http://h.example/n{i}", page(20 + i).replace("article", "div")) for i in range(12)]
+    rows += [(100 + i, f"http://copies.example/{i}", page(i % 2)) for i in range(40)]  # two pages only: no statistics
+    rows += [(200 + i, f"http://few.example/{i}", page(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in [*range(12), *range(20, 32)]:
+        want = [f"Title {i}"] + ["Summary"] * (i < 12) + [f"own text Note number {i}", "Weight", f"{i} kg"] + ["own words of page 0"] * (not i)
+        assert got[i].split("\n\n") == want
+    for i in [*range(100, 140), *range(200, 203)]:
+        assert "By the staff" in got[i] and "Read too" in got[i] and f"number {(i % 2) if i < 200 else i - 200}" in got[i]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
