@@ -1,12 +1,15 @@
 """Operator 7: secret scans by a recursive decoding worklist.
 
-Each text is a first layer. A layer is scanned for secrets, then every encoded stretch in it (percent
-escapes, Unicode escapes and numeric character references, base64, and the compressed data inside base64)
-is unwrapped into a layer of its own, which joins the worklist. The list is worked until it is empty: a
-layer that was seen before in the same chain is not unwrapped again (cycles), and each unwrapped layer
-is strictly shorter than its source except for decompression, whose output is bounded by
-``max_inflated`` characters per stretch. A finding inside a layer is mapped to the stretch of the text that holds it, through
-every layer in between.
+Each text is a first layer. A layer is scanned for secrets, then what is encoded in it is unwrapped into
+layers of its own, which join the worklist: percent escapes, and Unicode escapes with numeric character
+references, over the whole layer with a map of places, so that a key and its value may stand in different words;
+base64, also wrapped over lines; and the compressed data inside base64, all members to their end. The list is
+worked until it is empty: a layer that was seen before in the same chain is not unwrapped again (cycles), and
+each unwrapped layer is strictly shorter than its source except for decompression. Inflated data is scanned in
+windows of about ``max_inflated`` characters, each cut where no secret and no encoded stretch can continue; a
+window grows as long as there is no such place. Bytes that are no text are scanned too, as far as they can be
+read. A finding inside a layer is mapped to the words or the stretch of the text that hold it, through every
+layer in between.
 
 Defined results: null and empty text have no findings; a text of any length is scanned whole; equal
 spans of one kind count once; rows are independent, so ties and repeated rows need no rule; an empty
@@ -17,10 +20,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,12 +43,18 @@ LEAST_VALUE = 12
 
 #: Stretches that may hide another layer: words with an escape in them, and runs of the base64 alphabet.
 _WORD = re.compile(r"\S+")
-_URL = re.compile(r"%[0-9A-Fa-f]{2}")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: What may stand between two lines of one base64 text, and such a text's last line.
+_WRAP = re.compile(r"[ \t]*\r?\n[ \t]*")
+_LAST_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_=-])")
+#: Characters that belong to no finding and no encoded stretch, also none wrapped over lines.
+_BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:"'%&#;\\\s-]""")
 
 MAX_INFLATED = 4_000_000
+#: Bytes that are inflated at once.
+CHUNK = 1 << 20
 
 Span = tuple[int, int, str]
 
@@ -59,69 +70,199 @@ def scan(text: str) -> list[Span]:
     return found
 
 
-def _inflate(data: bytes, most: int) -> bytes | None:
-    for bits in (zlib.MAX_WBITS | 32, -zlib.MAX_WBITS) if data[:2] in (b"\x1f\x8b",) or data[:1] == b"\x78" else ():
-        try:
-            return zlib.decompressobj(bits).decompress(data, most)
-        except zlib.error:
-            continue
-    return None
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\n\r\t" for c in text) else None
-
-
-def unwrap(kind: str, stretch: str, most: int = MAX_INFLATED) -> str | None:
-    """The text inside an encoded stretch, or None if it doesn't hold one."""
-    if kind == "url":
-        return _PERCENT.sub(lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), stretch)
-    if kind == "uni":
-        return _ESCAPE.sub(lambda m: _char(int(m[1] or m[2] or m[4], 16) if not m[3] else int(m[3])), stretch)
+def _members(data: bytes) -> Iterator[bytes]:
+    """Compressed data in pieces: all members to their end, and what else is there as it is."""
+    while data:
+        if data[:2] != b"\x1f\x8b" and data[:1] != b"\x78":
+            yield data
+            return
+        for bits in (zlib.MAX_WBITS | 32, -zlib.MAX_WBITS):
+            stream, left, any_out = zlib.decompressobj(bits), data, False
+            try:
+                while not stream.eof:
+                    out = stream.decompress(left, CHUNK)
+                    left = stream.unconsumed_tail
+                    if out:
+                        any_out = True
+                        yield out
+                    elif not left:
+                        break
+                if stream.eof or any_out:
+                    break
+            except zlib.error:
+                if any_out:  # broken further on: what came before counts, and so do the bytes themselves
+                    yield b"\n,\n" + data
+                    return
+        else:
+            yield data
+            return
+        data = stream.unused_data if stream.eof else b""
+
+
+def _windows(pieces: Iterable[bytes], window: int) -> Iterator[str]:
+    """The text of the pieces, cut only where nothing can continue."""
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    held: list[str] = []
+    size, least = 0, window
+    for piece in pieces:
+        held.append(decoder.decode(piece))
+        size += len(held[-1])
+        if size >= least:
+            text = "".join(held)
+            cut = next((m.end() for at in range(len(text) - 1, -1, -1) if (m := _BREAK.match(text, at))), 0)
+            if cut:
+                yield text[:cut]
+            held, size = [text[cut:]], len(text) - cut
+            least = max(window, 2 * size)  # a run without a cut is looked at again when it has doubled
+    held.append(decoder.decode(b"", True))
+    yield "".join(held)
+
+
+def unwrap(stretch: str, window: int = MAX_INFLATED) -> Iterator[str]:
+    """The text inside a base64 stretch, in windows."""
     body = stretch.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    inflated = _inflate(data, most)
-    return _readable(inflated if inflated is not None else data)
+        return
+    yield from _windows(_members(data), window)
 
 
-def _char(code: int) -> str:
-    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+def _unescape(kind: str, m: re.Match[str]) -> str:
+    if kind == "url":
+        return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
+    return _char(int(m[1] or m[2] or m[4], 16) if not m[3] else int(m[3]))
 
 
-def stretches(layer: str) -> Iterator[tuple[str, int, int]]:
-    """(encoding, start, end) of all that may be unwrapped."""
-    for kind, hint in (("url", _URL if "%" in layer else None), ("uni", _ESCAPE if "\\" in layer or "&#" in layer else None)):
-        if hint and hint.search(layer):
-            yield from ((kind, m.start(), m.end()) for m in _WORD.finditer(layer) if hint.search(m[0]))
-    yield from (("b64", m.start(), m.end()) for m in _BASE64.finditer(layer))
+def _char(code: int) -> str:
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
 
 
-def layers(text: str, most: int = MAX_INFLATED) -> Iterator[tuple[str, int, int, int]]:
-    """Every layer below the text: (layer, start, end, depth); start and end are those of the outermost stretch in the text."""
-    work = [(text, 0, 0, frozenset((text,)), 0)]
+Place = Callable[[int, int], tuple[int, int]]
+
+
+class Layer:
+    """A text, where its places are in the first text, and the parts of it that are read for themselves (unescaped words)."""
+
+    __slots__ = ("text", "place", "words", "starts", "seen", "depth")
+
+    def __init__(self, text: str, place: Place, seen: frozenset[str], depth: int, words: list[tuple[int, int]] | None = None):
+        self.text, self.place, self.words, self.depth = text, place, words, depth
+        self.starts = [a for a, _ in words or ()]
+        self.seen = seen | {text}
+
+    def scan(self) -> Iterator[Span]:
+        """Findings with their places in the first text; of an unescaped layer only those that escapes take part in."""
+        if self.words is None:
+            yield from ((*self.place(a, b), kind) for a, b, kind in scan(self.text))
+            return
+        for a, b, kind in scan(self.text):
+            k = bisect_right(self.starts, b - 1) - 1
+            if k >= 0 and self.words[k][1] > a:
+                yield *self.place(a, b), kind
+        for start, end in self.words:
+            yield from ((*self.place(start + a, start + b), kind) for a, b, kind in scan(self.text[start:end]))
+
+    def below(self, window: int) -> Iterator[Layer]:
+        for kind, pattern, hint in (("url", _PERCENT, "%" in self.text), ("uni", _ESCAPE, "\\" in self.text or "&#" in self.text)):
+            if hint and pattern.search(self.text) and (found := self._unescaped(kind, pattern)):
+                yield found
+        for text, a, b in base64_stretches(self.text):
+            at = self.place(a, b)
+            for inner in unwrap(text, window):
+                if inner and inner not in self.seen:
+                    yield Layer(inner, lambda _a, _b, at=at: at, self.seen, self.depth + 1)
+
+    def _unescaped(self, kind: str, pattern: re.Pattern[str]) -> Layer | None:
+        source = self.text
+        # literal and unescaped pieces: where they start here and there, and whether they are literal
+        new, old, literal, out = [], [], [], []
+        at = size = 0
+        for m in pattern.finditer(source):
+            for piece, start, plain in ((source[at : m.start()], at, True), (_unescape(kind, m), m.start(), False)):
+                if piece:
+                    new.append(size), old.append(start), literal.append(plain), out.append(piece)
+                    size += len(piece)
+            at = m.end()
+        if at < len(source):
+            new.append(size), old.append(at), literal.append(True), out.append(source[at:])
+        text = "".join(out)
+        if text in self.seen or not text:
+            return None
+        # words with escapes: their places in the source, and in the unescaped text
+        first: list[tuple[int, int]] = []
+        for m in pattern.finditer(source):
+            if not first or m.start() >= first[-1][1]:
+                start = m.start()
+                while start and not source[start - 1].isspace():
+                    start -= 1
+                end = _WORD.match(source, start).end()
+                first.append((start, end))
+        begins = [a for a, _ in first]
+
+        def there(place: int) -> int:
+            k = bisect_right(old, place) - 1
+            return new[k] + (place - old[k] if literal[k] else 0)
+
+        def here(place: int) -> tuple[int, int]:
+            k = bisect_right(new, place) - 1
+            where = old[k] + (place - new[k] if literal[k] else 0)
+            w = bisect_right(begins, where) - 1
+            return first[w] if w >= 0 and where < first[w][1] else (where, where + 1)
+
+        words = [(there(a), there(b) if b < len(source) else len(text)) for a, b in first]
+        return Layer(text, lambda a, b: self.place(here(a)[0], here(b - 1)[1]), self.seen, self.depth + 1, words)
+
+
+def base64_stretches(layer: str) -> Iterator[tuple[str, int, int]]:
+    """(base64 text, start, end): runs of the alphabet, and neighbouring lines of such runs joined."""
+    run: list[tuple[int, int]] = []
+    for m in _BASE64.finditer(layer):
+        yield m[0], m.start(), m.end()
+        if run and not _WRAP.fullmatch(layer, run[-1][1], m.start()):
+            yield from _joined_lines(layer, run)
+            run = []
+        run.append(m.span())
+    if run:
+        yield from _joined_lines(layer, run)
+
+
+def _joined_lines(layer: str, lines: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The run as a whole, with and without its last line, and the parts of equal lines with the line after them.
+
+    The first and the last line may be words of the text around.
+    """
+    if last := _LAST_LINE.match(layer, lines[-1][1]):
+        lines = [*lines, last.span(1)]
+    found = {(0, len(lines)), (0, len(lines) - 1)}
+    at = 0
+    for k in range(1, len(lines) + 1):
+        if k == len(lines) or lines[k][1] - lines[k][0] != lines[at][1] - lines[at][0]:
+            found |= {(at, k), (at, min(k + 1, len(lines)))}
+            at = k
+    for a, b in sorted(found):
+        if b - a > 1:
+            yield "".join(layer[x:y] for x, y in lines[a:b]), lines[a][0], lines[b - 1][1]
+
+
+def layers(text: str, window: int = MAX_INFLATED) -> Iterator[Layer]:
+    """Every layer below the text. Of what is inflated, one window is held at a time."""
+    work = [Layer(text, lambda a, b: (a, b), frozenset(), 0).below(window)]
     while work:
-        layer, start, end, seen, depth = work.pop()
-        if depth:
-            yield layer, start, end, depth
-        for kind, a, b in stretches(layer):
-            inner = unwrap(kind, layer[a:b], most)
-            if inner and inner not in seen:
-                work.append((inner, *((start, end) if depth else (a, b)), seen | {inner}, depth + 1))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        else:
+            yield layer
+            work.append(layer.below(window))
 
 
 def findings(text: str, most: int = MAX_INFLATED) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): the second adds those that only a lower layer shows."""
     base = scan(text)
-    deep = {(start, end, kind) for layer, start, end, _ in layers(text, most) for _, _, kind in scan(layer)}
+    deep = {span for layer in layers(text, most) for span in layer.scan()}
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     return sorted(base, key=order), sorted(set(base) | deep, key=order)
 

@@ -2,6 +2,7 @@
 
 import base64
 import binascii
+import gzip
 import hashlib
 import json
 import random
@@ -182,6 +183,26 @@ def test_secrets():
     assert secrets.scan("paſſword=abcdefghijklmnop") == []
 
 
+def test_secrets_are_unwrapped_whole():
+    s = "password=ghijkl0123456789xy"
+    kinds = lambda t: {(a, b) for a, b, k in secrets.findings(t)[1] if k == "assign"}
+    code = lambda data: base64.b64encode(data).decode()
+    long = zlib.compress(("é, " * 3_000_000 + s).encode())
+    two = gzip.compress(b"one, ") + gzip.compress(b"two, " + s.encode())
+    cut = zlib.compress(("x" * 3_999_990 + ", " + "é" * 20 + "," + s).encode())
+    for data in (long, two, cut, b"\x00\x01" + s.encode(), b"\xff\xfe, " + s.encode(), two + b", rest"):
+        assert kinds(f"see {code(data)} ok") == {(4, 4 + len(code(data)))}
+    assert kinds("a token: abcd%2Fefgh%2Bijklmnop%3D%3D b") == {(2, 37)}
+    assert kinds("a token: abcd%252Fefgh%252Bijklmnop b") == {(2, 35)}
+    assert kinds("a password = " + "".join(f"\\u{ord(c):04x}" for c in "ghijklmnopqrst") + " b") == {(2, 97)}
+    assert kinds("x%20 password=abcdefghijklmnop b") == {(5, 30)}
+    for width, around in ((64, ("", "")), (76, ("data:\n", "\nend of it")), (20, ("key ", "\r\n"))):
+        plain = code(("words before, " * 20 + s).encode())
+        wrapped = "\r\n  ".join(plain[i : i + width] for i in range(0, len(plain), width))
+        start = len(around[0])
+        assert (start, start + len(wrapped)) in kinds(around[0] + wrapped + around[1])
+
+
 def test_secret_rows_and_redaction(spark, docs):
     df = frame(spark, [None, "", 'x token = "0123456789abcdef0123" y', "AKIA" + "Z" * 20])
     got = {r.doc_id: r for r in secrets.scan_documents(df).collect()}
