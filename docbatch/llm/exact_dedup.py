@@ -123,11 +123,12 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, a table as read from files, without the rows that do not stay.
+    """``docs`` without the rows that do not stay.
 
-    Rows are told apart by their place in the scan, which is the same each time the files are read.
+    Rows are told apart by numbers that are written once with all columns: numbers given in two scans could
+    differ, since how files are split depends on the cores at hand.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     dropped = staged(_classes(numbered, id_col, text_col).filter("not kept").select(F.col("row").alias("_row")), "copies")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)

@@ -125,6 +125,31 @@ def test_exact_dedup(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(keep.values())
 
 
+def test_copies_go_when_files_are_split_otherwise(spark, monkeypatch, tmp_path):
+    frame(spark, [f"text {i % 7}" for i in range(40)]).repartition(6, "doc_id").write.parquet(f"{tmp_path}/docs")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+
+    def split(most):
+        for n in names:
+            spark.conf.set(n, most)
+
+    def staged(df, label, real=exact_dedup.staged):
+        out = real(df, label)
+        if label == "copies":  # as if cores were lost here
+            split("100000000")
+        return out
+
+    monkeypatch.setattr(exact_dedup, "staged", staged)
+    try:
+        split("1000")
+        kept = [r.doc_id for r in exact_dedup.drop_copies(spark.read.parquet(f"{tmp_path}/docs")).collect()]
+    finally:
+        for n in names:
+            spark.conf.set(n, before[n])
+    assert sorted(kept) == list(range(7))
+
+
 def brute_components(values):
     sets = {i: set(s.tolist()) for i, s in zip(values, shingle_sets(list(values.values())), strict=True)}
     root = {i: i for i in sets}
