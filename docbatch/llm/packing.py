@@ -20,6 +20,7 @@ table gives an empty result; extra columns are not read, or passed through by no
 from __future__ import annotations
 
 import binascii
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -56,11 +57,28 @@ def _tokenizer(path: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), list(special)
 
 
+#: Runs of white space (as the pattern's engine knows it) that are too long for its backtracking.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
+
 def token_ids(path: str, text: str) -> np.ndarray:
+    """The ids of a text. Long runs of white space are cut as the pattern does: all but the last character, or all before
+    the end or a special string, are one piece."""
     core, special = _tokenizer(path)
-    if any(s in text for s in special):
-        return np.array(core.encode(text, allowed_special="all"), dtype=np.uint32)
-    return core.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint32)
+
+    def encoded(part: str) -> np.ndarray:
+        if any(s in part for s in special):
+            return np.array(core.encode(part, allowed_special="all"), dtype=np.uint32)
+        return core.encode_to_numpy(part, allowed_special=set(), disallowed_special=()).astype(np.uint32)
+
+    out, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        last = m.end() == len(text) or any(text.startswith(s, m.end()) for s in special)
+        end = m.end() if last else m.end() - 1
+        piece = core._core_bpe.encode_single_piece(text[m.start() : end].encode())
+        out += [encoded(text[at : m.start()]), np.array(piece, dtype=np.uint32)]
+        at = end
+    return np.concatenate([*out, encoded(text[at:])]) if out else encoded(text)
 
 
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -336,3 +336,12 @@ def test_tokenizer_file_by_its_core():
     for t in filter(None, TRICKY):
         assert packing.token_ids(public_tokenizers.path("byte_bpe_50k.json"), t).tolist() == lib.encode(t, add_special_tokens=False).ids
     assert json.loads(lib.to_str())["added_tokens"]
+
+
+def test_packing_of_long_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    run = {"blank": " " * 2_000_000, "mixed": " \n\t\u3000\xa0\r" * 6_000, "lines": "\n" * 30_000, "short": " \n" * 9_000}
+    for w in run.values():
+        for text in (f"a{w}b", f"{w}", f"{w}'s 1", f"x{w}<|endoftext|>{w}y", f"a{w}b{w}!") if len(w) < 1_000_000 else (f"a{w}b",):
+            assert packing.token_ids(path, text).tolist() == lib.encode(text, add_special_tokens=False).ids
