@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests, local mode)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one in local mode where it is unset.
+
+    On a cluster a folder of one machine would lose rows, so the setting is required there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docbatch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
