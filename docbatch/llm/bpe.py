@@ -3,7 +3,9 @@
 Every distinct pre-token of a run of documents becomes a row of an integer matrix, padded to the width
 of its length bucket. In each round every row merges its leftmost pair of minimum rank; pair ranks come
 from a hash map over both ids, rows without a mergeable pair leave the matrix, and merged cells are
-closed up (compaction). Rows are independent, so a round is a handful of array operations.
+closed up (compaction). Rows are independent, so a round is a handful of array operations. A pre-token
+longer than ``LONG`` bytes would need as many rounds of its whole width as it has merges; it is a row of
+its own, whose cells are linked and filed by the rank of their pair, and merges by the same rule.
 
 Defined results: null and empty text give no ids (``n_tokens`` 0, digests of the empty string); the
 length of a text is unbounded (runs are cut at document borders, one document is never cut); repeated
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,7 +30,7 @@ from docbatch.llm.pieces import spread
 from docbatch.llm.u64map import U64Map
 
 _NONE = np.int64(1) << 40
-#: A longer pre-token merges all places of its minimum-rank pair in one round.
+#: A longer pre-token is a row of its own, of linked cells.
 LONG = 512
 #: Distinct pre-tokens that a worker remembers between runs.
 REMEMBERED = 300_000
@@ -118,23 +121,62 @@ class BpeTable:
         return out
 
     def _long(self, piece: bytes) -> list[int]:
-        """One row on its own. All places of the minimum pair merge in one round where no pair with the merged id ranks below it."""
-        ids = self.byte_id[np.frombuffer(piece, dtype=np.uint8)]
-        while len(ids) > 1:
-            ranks = self.pair_rank(ids[:-1], ids[1:])
-            best = ranks.min()
-            if best >= _NONE:
-                break
-            at = np.flatnonzero(ranks == best)
-            if int(best) in self.unsafe:
-                at = at[:1]
-            run = np.cumsum(np.r_[True, np.diff(at) != 1])  # of touching pairs the first, third, fifth ... merge
-            first = np.r_[0, np.flatnonzero(np.diff(run)) + 1]
-            at = at[(np.arange(len(at)) - first[run - 1]) % 2 == 0]
-            ids = ids.copy()
-            ids[at] = best
-            ids = np.delete(ids, at + 1)
-        return ids.tolist()
+        """One row on its own, as a row of linked cells whose places are filed by the rank of their pair.
+
+        A round merges the places of the minimum rank from left to right, as long as no merge makes a pair that
+        ranks below it. Work follows the merges made, not rounds times length.
+        """
+        n = len(piece)
+        ids = np.append(self.byte_id[np.frombuffer(piece, dtype=np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank = np.append(self.pair_rank(ids[: n - 1], ids[1:n]), [_NONE, _NONE])  # of the pair that starts at a cell
+        filed: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def file(cells: np.ndarray) -> None:
+            found = rank[cells]
+            cells, found = cells[found < _NONE], found[found < _NONE]
+            if not len(cells):
+                return
+            order = np.argsort(found, kind="stable")
+            cells, found = cells[order], found[order]
+            cuts = np.r_[0, np.flatnonzero(np.diff(found)) + 1, len(found)].tolist()
+            for r, a, b in zip(found[cuts[:-1]].tolist(), cuts[:-1], cuts[1:], strict=True):
+                if r not in filed:
+                    filed[r] = []
+                    heapq.heappush(heap, r)
+                filed[r].append(cells[a:b])
+
+        file(np.arange(n))
+        while heap:
+            best = heapq.heappop(heap)
+            at = np.unique(np.concatenate(filed.pop(best)))
+            at = at[rank[at] == best]
+            if not len(at):
+                continue
+            places = at
+            touches = np.r_[False, after[at[:-1]] == at[1:]]  # of touching pairs the first, third, fifth ... merge
+            first = np.flatnonzero(~touches)
+            at = at[(np.arange(len(at)) - first[np.cumsum(~touches) - 1]) % 2 == 0]
+            if best in self.unsafe:  # up to the first merge that makes a pair of lower rank
+                left, right = before[at], np.minimum(after[after[at]], n)
+                left_id = np.where(left >= 0, ids[left], -1)
+                left_id[1:][left[1:] == after[at[:-1]]] = best
+                merged = np.full(len(at), best)
+                lower = np.flatnonzero(np.minimum(self.pair_rank(left_id, merged), self.pair_rank(merged, ids[right])) < best)
+                if len(lower) and lower[0] + 1 < len(at):
+                    at = at[: lower[0] + 1]
+                    file(places[places > at[-1]])
+            gone = after[at]
+            ids[at], ids[gone], rank[gone] = best, -1, _NONE
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = before[at]
+            changed = np.unique(np.r_[at, left[left >= 0]])
+            following = np.minimum(after[changed], n)
+            rank[changed] = self.pair_rank(ids[changed], ids[following])
+            file(changed)
+        return ids[ids >= 0].tolist()
 
 
 @lru_cache(maxsize=4)
