@@ -43,9 +43,6 @@ STATES = 200_000
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Lower case of capitals that Python's tables do not have yet.
-LATER_CAPITALS = {"\ua7cb": "\u0264", "\ua7dc": "\u019b"}
-
 SPACE, LETTER, NUMBER, OTHER, APOSTROPHE = range(5)
 NAMED = {c: 5 + i for i, c in enumerate("strvlmde")}
 GAP, IN_LETTERS, IN_OTHERS, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
@@ -86,7 +83,17 @@ def _splitter() -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def later_characters() -> str:
+    """Letters and numbers that Python's Unicode tables do not have yet: the tokenizer file's library is asked about these."""
+    import regex
+
+    unassigned = "".join(map(chr, (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")))
+    return "".join(regex.findall(r"[\p{L}\p{N}\p{M}]", unassigned))
+
+
+@lru_cache(maxsize=2)
+def _classes(path: str) -> np.ndarray:
+    """The class of each code point, as the library splits the tokenizer file's texts."""
     kinds = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
     for c in range(sys.maxunicode + 1):
         kind = unicodedata.category(chr(c))[0]
@@ -98,15 +105,26 @@ def _classes() -> np.ndarray:
     kinds[ord("'")] = APOSTROPHE
     for c, k in NAMED.items():
         kinds[ord(c)] = k
+    # between letters, twice: one piece with them is a letter, two pieces of its own are numbers
+    pieces = _library(path).pre_tokenizer.pre_tokenize_str(" ".join(f"a{c}{c}a" for c in later_characters()))
+    n = np.bincount([start // 5 for _, (start, _) in pieces], minlength=len(later_characters()))
+    for c, k in zip(later_characters(), n.tolist(), strict=True):
+        kinds[ord(c)] = {1: LETTER, 4: NUMBER}.get(k, OTHER)
     return kinds
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 TABLE = _splitter()
 
 
-def piece_starts(codes: np.ndarray) -> np.ndarray:
-    """Marks where pieces start, in an array of code points that ends with white space."""
-    kinds = _classes()[codes]
+def piece_starts(kinds: np.ndarray) -> np.ndarray:
+    """Marks where pieces start, in an array of classes of characters that ends with white space."""
     n = len(kinds)
     chunks = -(-n // CHUNK)
     grid = np.zeros(chunks * CHUNK, dtype=np.uint8)
@@ -233,24 +251,38 @@ class Counter:
     """Counts tokens of runs of texts."""
 
     def __init__(self, path: str):
+        self.path = path
         self.counter = CountTransducer(path)
+        self.later = np.zeros(sys.maxunicode + 1, dtype=bool)
+        self.later[[ord(c) for c in later_characters()]] = True
         self.special = re.compile("|".join(map(re.escape, self.counter.specials))) if self.counter.specials else None
 
     def count(self, values: list[str]) -> np.ndarray:
         extra = np.zeros(len(values), dtype=np.int64)
-        if self.special:
-            for i, v in enumerate(values):
-                if any(s in v for s in self.counter.specials):
-                    # the strings are cut out before normalisation; line feeds keep the parts apart
-                    extra[i] = len(self.special.findall(v))
-                    values = [*values[:i], "\n".join(map(_normal, self.special.split(v))), *values[i + 1 :]]
-        return extra + self._plain([_normal(v) for v in values])
+        normal = []
+        for i, v in enumerate(values):
+            if self.special and any(s in v for s in self.counter.specials):
+                # the strings are cut out before normalisation; line feeds keep the parts apart
+                extra[i] = len(self.special.findall(v))
+                normal.append("\n".join(map(self._normal, self.special.split(v))))
+            else:
+                normal.append(self._normal(v))
+        return extra + self._plain(normal)
+
+    def _normal(self, text: str) -> str:
+        """Canonical composition, then lower case of each character by itself (a final sigma has no form of its own)."""
+        if text.isascii():
+            return text.lower()
+        if self.later[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].any():
+            return _library(self.path).normalizer.normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
     def _plain(self, values: list[str]) -> np.ndarray:
         joined = "\n".join(values) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-        starts = piece_starts(codes)
-        space = _classes()[codes] == SPACE
+        kinds = _classes(self.path)[codes]
+        starts = piece_starts(kinds)
+        space = kinds == SPACE
         raw = np.frombuffer(joined.encode(), dtype=np.uint8)
         if len(raw) == len(codes):
             offset = np.arange(len(codes) + 1)
@@ -267,16 +299,6 @@ class Counter:
         return np.diff(running[np.r_[0, np.searchsorted(first, ends)]])
 
 
-def _normal(text: str) -> str:
-    """Canonical composition, then lower case of each character by itself (a final sigma has no form of its own)."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFC", text)
-    for capital, small in (LATER_CAPITALS | {"\u03a3": "\u03c3"}).items():
-        text = text.replace(capital, small)
-    return text.lower()
-
-
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     return Counter(path)
