@@ -79,14 +79,14 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op6_topk": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
+            SELECT q.own, q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+            FROM v q JOIN v c ON q.own <> c.own AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
         ), ranked AS (
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+            SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
         )
         SELECT * FROM ranked WHERE rank <= 5
     """,

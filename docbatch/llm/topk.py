@@ -14,8 +14,9 @@ vectors repeat, and a query block is only sent to the buckets that its bounds le
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do null
 ids; vectors of another dimension than the query's are no candidates; zero vectors score 0; fewer
 candidates than k give all; ties go to the smaller id; rows that share an id are queries and candidates
-of their own, except that a query's own id is never its candidate; scores beyond 64 bits are held at the
-limits; an empty table gives an empty result; extra columns are not read.
+of their own, and a query has every row but itself as a candidate; components and scores beyond the range
+of doubles and of 64 bits are held at the limits; an empty table gives an empty result; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from docbatch.llm.common import staged
 
 SCALE = 256.0
 BUCKETS_PER_DOUBLING = 4
-#: Vectors of a candidate block and of a query block, about.
-BLOCK, QUERY_BLOCK = 512, 2048
+_MOST = np.finfo(np.float64).max
+#: Vectors of a block of candidates or of queries, about; a row is copied once for each block on the other side.
+BLOCK = 4096
 SEEDS = 256
 #: A local cosine threshold from here on prunes by coordinate, below it by length.
 COORDINATE_FROM = 0.6
@@ -52,8 +54,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     continue
                 v = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(v).all():
-                    x = np.floor(v * SCALE)
-                    norm = float(np.sqrt((x * x).sum()))
+                    with np.errstate(over="ignore"):
+                        x = np.clip(np.floor(v * SCALE), -_MOST, _MOST)
+                        longest = float(np.abs(x).max(initial=0.0))
+                        norm = min(_MOST, longest * float(np.sqrt(((x / longest) ** 2).sum()))) if longest else 0.0
                     rows.append((key, x.tobytes(), len(x), norm, int(np.floor(np.log2(norm) * BUCKETS_PER_DOUBLING)) if norm else -100_000))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -99,7 +103,7 @@ def open_pairs(q: np.ndarray, q_norm: np.ndarray, bound: np.ndarray, c: np.ndarr
 def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows. ``is_query`` is a condition on the column ``id``."""
     spark = vectors.sparkSession
-    data = staged(quantised(vectors, id_col, vector_col), "vectors").withColumn("row", F.monotonically_increasing_id())
+    data = staged(quantised(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     buckets = data.groupBy("bucket").agg(F.max("norm").alias("most"), F.count(F.lit(1)).alias("n")).collect()  # a few per doubling of the length
     queries = data.filter(is_query)
     n_queries = queries.count()
@@ -107,23 +111,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks = {b["bucket"]: -(-b["n"] // BLOCK) for b in buckets}
     seeds = data.orderBy(F.desc("norm"), "id").limit(SEEDS).collect()  # at most SEEDS rows
-    seed_id, seed_x, seed_dim = np.array([s["id"] for s in seeds]), [s["x"] for s in seeds], np.array([s["dim"] for s in seeds])
+    seed_row, seed_x, seed_dim = np.array([s["row"] for s in seeds]), [s["x"] for s in seeds], np.array([s["dim"] for s in seeds])
 
     def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, keys = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+            dims, keys = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             bound = np.full(len(keys), -np.inf)
             for dim in np.unique(dims):
                 mine, theirs = np.flatnonzero(dims == dim), np.flatnonzero(seed_dim == dim)
                 if len(theirs) <= k:
                     continue
                 score = products(_matrix(batch.column(1).take(pa.array(mine))), np.stack([np.frombuffer(seed_x[s], np.float64) for s in theirs])).astype(np.float64)
-                score[keys[mine][:, None] == seed_id[theirs][None, :]] = -np.inf
+                score[keys[mine][:, None] == seed_row[theirs][None, :]] = -np.inf
                 bound[mine] = np.partition(score, -k, axis=1)[:, -k]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound)], names=[*batch.schema.names, "bound"])
 
     queries = staged(queries.select("id", "x", "dim", "norm", "row").mapInArrow(bounded, "id long, x binary, dim int, norm double, row long, bound double"), "queries")
-    n_blocks = -(-n_queries // QUERY_BLOCK)
+    n_blocks = -(-n_queries // BLOCK)
     queries = queries.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int"))
     # the buckets that some query of a block can still profit from
     all_buckets = F.array(*(F.struct(F.lit(b["bucket"]).alias("bucket"), F.lit(float(b["most"])).alias("most"), F.lit(blocks[b["bucket"]]).cast("int").alias("blocks")) for b in buckets))
@@ -133,7 +137,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     count_of = F.create_map(*(F.lit(int(x)) for pair in blocks.items() for x in pair))
     candidates = data.withColumn("block", F.pmod(F.xxhash64("row"), count_of[F.col("bucket")].cast("long")).cast("int"))
     left = queries.join(wanted, "qb").select("qb", "bucket", "block", "id", "x", "dim", "norm", "row", "bound")
-    right = candidates.join(wanted, ["bucket", "block"]).select("qb", "bucket", "block", "id", "x", "dim", "norm").toDF("c_qb", "c_bucket", "c_block", "id", "x", "dim", "norm")
+    right = candidates.join(wanted, ["bucket", "block"]).select("qb", "bucket", "block", "id", "x", "dim", "norm", "row").toDF("c_qb", "c_bucket", "c_block", "id", "x", "dim", "norm", "row")
 
     def best(queries: pa.Table, block: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -142,11 +146,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
                 mine, theirs = (t.filter(pa.compute.equal(t.column("dim"), int(dim))) for t in (queries, block))
                 if not theirs.num_rows:
                     continue
-                c, c_norm, c_id = _matrix(theirs.column("x")), theirs.column("norm").to_numpy(), theirs.column("id").to_numpy()
+                c, c_norm, c_id, c_row = _matrix(theirs.column("x")), *(theirs.column(n).to_numpy() for n in ("norm", "id", "row"))
                 for at in range(0, mine.num_rows, 256):
                     part = mine.slice(at, 256)
                     q, q_norm, bound, q_id, row = _matrix(part.column("x")), *(part.column(n).to_numpy() for n in ("norm", "bound", "id", "row"))
-                    ok = open_pairs(q, q_norm, bound, c, c_norm) & (q_id[:, None] != c_id[None, :])
+                    ok = open_pairs(q, q_norm, bound, c, c_norm) & (row[:, None] != c_row[None, :])
                     some_q, some_c = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
                     if not len(some_q):
                         continue
