@@ -9,8 +9,9 @@ their id; every row is scored.
 
 Defined results: null and empty text are scored like any other (all statistics 0); texts of any length
 count whole; ties and repeated rows get equal scores; without a usable label every score is the share
-of good labels, 0.5 without any; several labels of one id count by their mean; an empty table gives an
-empty result; extra columns are not read, or passed through by ``keep_good``.
+of good labels, 0.5 without any; where labels are so few that none is left for the calibration, those of
+the fit serve; several labels of one id count by their mean; an empty table gives an empty result; extra
+columns are not read, or passed through by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -204,9 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         for b in batches:
             yield pa.RecordBatch.from_pydict({"s": np.round(model.raw(matrix(b)), 3), "y": b.column(0)})
 
-    bins = rows.filter("not in_fit").mapInArrow(calibration, "s double, y double").groupBy("s").agg(F.sum("y").alias("good"), F.count("y").alias("n")).orderBy("s").collect()
-    if bins:
-        model.steps, model.values = isotonic(*(np.array([b[i] for b in bins], dtype=float) for i in range(3)))
+    def calibrated(some: DataFrame) -> list:
+        return some.mapInArrow(calibration, "s double, y double").groupBy("s").agg(F.sum("y").alias("good"), F.count("y").alias("n")).orderBy("s").collect()
+
+    # with a handful of labels no row may be left for the calibration; then those of the fit serve
+    bins = calibrated(rows.filter("not in_fit")) or calibrated(rows)
+    model.steps, model.values = isotonic(*(np.array([b[i] for b in bins], dtype=float) for i in range(3)))
     return model
 
 
