@@ -48,3 +48,17 @@ def arrow_rows(keys: pa.Array, schema: pa.Schema, /, **columns) -> pa.RecordBatc
     data = [keys.cast(first.type)]
     data += [pa.array(columns[f.name], type=f.type) for f in list(schema)[1:]]
     return pa.RecordBatch.from_arrays(data, schema=schema)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row per key; its column ``count`` says how many rows have the key.
+
+    Keys with more rows than a quarter of a partition's even share of ``total`` are at most four per partition:
+    they go to every task, so that no task gets all rows of a hot key. All other keys meet by a shuffle.
+    ``how`` is "inner" or "left".
+    """
+    limit = max(1, total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = keyed.filter(F.col(count) > limit)
+    often = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed.filter(F.col(count) <= limit), on, how)
+    return often.unionByName(rest)

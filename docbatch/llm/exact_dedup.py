@@ -3,17 +3,18 @@
 Each partition builds a counting quotient filter of its 64-bit fingerprints: the high bits (the quotient)
 name a block, the low bits (the remainder) are kept sorted in it with a count. Filters of all partitions
 merge losslessly, block by block, by merging their sorted remainders and adding counts. Fingerprints
-whose merged count is one are unique and take no further part. Rows of the others are verified on all
-their bytes through the SHA-256 of the whole normalised text, which also is their class; two texts that
-only share a fingerprint part there.
+whose merged count is one are unique and take no further part. Rows of the others, and only they, are
+verified on their bytes: they are grouped by the whole normalised text. Each of these groups is a class,
+named by the digest of its text; two texts that only share a fingerprint part there.
 
-A copied text adds one entry per partition to a filter, however often it occurs, so a text that holds a
-third of all rows weighs no more than any other. The number of blocks follows the number of rows, so a
-block stays small.
+A copied text adds one entry per partition to a filter, and one to the byte groups, however often it
+occurs, and classes that hold many rows are sent to the rows, not the rows to a class. So a text that
+holds a third of all rows weighs no more than any other. The number of blocks follows the number of rows,
+so a block stays small.
 
 Defined results: null counts as empty, and all empty texts are one class; of equal rows (same id and
-text) one stays; a null id orders last among ties; texts of any length are hashed whole; an empty table
-gives an empty result; extra columns are not read, or passed through by ``drop_copies``.
+text) one stays; a null id orders last among ties; texts of any length are compared whole; an empty table
+gives an empty result; extra columns are not read, or passed through by ``drop_copies``, of any name.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docbatch.llm.common import slices, staged
+from docbatch.llm.common import join_counted, slices, staged
+from docbatch.plans.staging import staged_with
 
 #: Fingerprints that a block holds on average.
 BLOCK_ROWS = 65_536
-#: Up to so many dropped row numbers are sent to every executor; beyond it they are joined by a shuffle.
+#: Up to so many row numbers or fingerprints are sent to every executor; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -42,9 +44,9 @@ def normalised(text: str) -> bytes:
     return text.encode().translate(None, _SPACES)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, n_chars, fingerprint (64 bits) and sha256 of every row."""
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_chars", pa.int64()), ("fingerprint", pa.int64()), ("sha", pa.binary())])
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """row, id, n_chars, fingerprint (64 bits), sha256 and the normalised text of every row."""
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_chars", pa.int64()), ("fingerprint", pa.int64()), ("sha", pa.binary()), ("plain", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, values in slices(batches):
@@ -56,12 +58,14 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     pa.array(list(map(len, values)), pa.int64()),
                     pa.array(np.array([xxhash.xxh3_64_intdigest(p) for p in plain], dtype=np.uint64).view(np.int64)),
                     pa.array([hashlib.sha256(p).digest() for p in plain], pa.binary()),
+                    pa.array(plain, pa.binary()),
                 ],
                 schema=schema,
             )
 
-    keyed = docs.select(F.struct(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("id")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return keyed.mapInArrow(run, "row long, id long, n_chars long, fingerprint long, sha binary")
+    return docs.select(F.struct("row", F.col("id").cast("long").alias("id")).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
+        run, "row long, id long, n_chars long, fingerprint long, sha binary, plain binary"
+    )
 
 
 def partition_filters(prints: DataFrame, bits: int) -> DataFrame:
@@ -102,23 +106,45 @@ def merged_filter(filters: DataFrame, bits: int, least: int = 2) -> DataFrame:
     return filters.groupBy("block").applyInArrow(merge, "fingerprint long, n long")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    bits = max(0, (rows.count() // BLOCK_ROWS).bit_length())
-    often = merged_filter(partition_filters(rows, bits), bits)
-    marked = rows.join(often, "fingerprint", "left")
+def byte_classes(whole: DataFrame) -> DataFrame:
+    """(sha, group_size) of the distinct texts of rows (fingerprint, plain).
+
+    Rows meet by all their bytes. Copies are counted where they lie before they are shuffled, so of each text
+    and partition one goes on.
+    """
+    texts = whole.groupBy("fingerprint", "plain").agg(F.count(F.lit(1)).alias("group_size"))
+    named, seen = staged_with(texts.select(F.unhex(F.sha2("plain", 256)).alias("sha"), "group_size"), "byte-classes")
+    if named.select("sha").distinct().count() != seen["n"]:
+        raise RuntimeError("two texts have one SHA-256 digest, so it can't name their classes")
+    return named
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(row, id, keep_id, group_size, kept, sha) for docs of (row, id, text)."""
+    rows, seen = staged_with(fingerprints(docs), "fingerprints")
+    bits = max(0, (seen["n"] // BLOCK_ROWS).bit_length())
+    often, repeats = staged_with(merged_filter(partition_filters(rows, bits), bits), "repeats")
+    small = rows.select("row", "id", "n_chars", "fingerprint", "sha")
+    marked = join_counted(small, often, "fingerprint", "n", seen["n"], "left")
     single = marked.filter("n is null").select(F.col("row"), F.col("id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    several = marked.filter("n is not null")
+    whole = rows.select("fingerprint", "plain")
+    if repeats["n"] <= BROADCAST_ROWS:
+        whole = whole.join(F.broadcast(often), "fingerprint", "left_semi")
+    else:
+        whole = join_counted(whole, often, "fingerprint", "n", seen["n"])
+    named = byte_classes(whole)
     # of equal texts the longest original stays, then the smallest id, then the first row; ~x reverses the order of x
-    best = F.max(F.struct("n_chars", F.bitwise_not("id").alias("id"), F.bitwise_not("row").alias("row")))
-    verified = marked.filter("n is not null").groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    verified = verified.select("sha", F.bitwise_not("best.id").alias("keep_id"), F.bitwise_not("best.row").alias("keep_row"), "group_size")
-    several = rows.join(verified, "sha").select("row", "id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha")
-    return single.unionByName(several)
+    best = several.groupBy("sha").agg(F.max(F.struct("n_chars", F.bitwise_not("id").alias("id"), F.bitwise_not("row").alias("row"))).alias("best"))
+    best = best.select("sha", F.bitwise_not("best.id").alias("keep_id"), F.bitwise_not("best.row").alias("keep_row"))
+    classes = staged(named.join(best, "sha"), "classes")
+    found = join_counted(several.select("row", "id", "sha"), classes, "sha", "group_size", seen["n"])
+    return single.unionByName(found.select("row", "id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha"))
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, the id of the row that stays, the size of its class, whether it stays, and the digest."""
-    found = _classes(docs.withColumn("_row", F.monotonically_increasing_id()), id_col, text_col)
+    found = _classes(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
@@ -128,8 +154,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are told apart by numbers that are written once with all columns: numbers given in two scans could
     differ, since how files are split depends on the cores at hand.
     """
-    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    dropped = staged(_classes(numbered, id_col, text_col).filter("not kept").select(F.col("row").alias("_row")), "copies")
+    number = "_row"
+    while number in map(str.lower, docs.columns):
+        number += "_"
+    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = _classes(numbered.select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    dropped = staged(found.filter("not kept").select(F.col("row").alias(number)), "copies")
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
-    return numbered.join(dropped, "_row", "left_anti").drop("_row")
+    return numbered.join(dropped, number, "left_anti").drop(number)
