@@ -76,6 +76,25 @@ def test_token_counts(spark, docs):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(t.encode()), n > 100), t
 
 
+def test_long_pieces_merge_like_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    for alphabet, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("ACGT", 200_000), ("ab", 5_000), ("a", 5_001), ("aeinst", 3_000), ("é漢x", 2_000)):
+        piece = "".join(rng.choice(alphabet) for _ in range(n)).encode()
+        assert bpe.bpe_table(path).encode_pieces([piece]) == [lib._core_bpe.encode_single_piece(piece)]
+
+
+def test_token_counts_of_every_character():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    values = [f"ab{c}d {c}{c}1" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    values += ["x <|endoftext|> y"] * 10_000
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(values, add_special_tokens=False)]
+    assert (token_counts.Counter(path).count(values) == np.array(want)).all()
+
+
 def test_packing(spark, docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
@@ -125,6 +144,26 @@ def test_exact_dedup(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(keep.values())
 
 
+def test_exact_dedup_of_many_copies(spark, monkeypatch):
+    """A third of all rows equal, fingerprints that clash, repeated ids, a column named like the operator's own, no broadcast."""
+    values = [f"text {i % 700}" if i % 3 else "the same  text"[: 13 + i % 2] for i in range(3000)] + [None, "", " \t"]
+    df = spark.createDataFrame([(i // 2, v, i) for i, v in enumerate(values)], "doc_id long, text string, _ROW long").repartition(7)
+    plain = ["".join((v or "").split()) for v in values]
+    groups = {}
+    for i, p in enumerate(plain):
+        groups.setdefault(p, []).append(i)
+    want = sorted((i // 2, groups[p][0] // 2 if p != "thesametext" else min(i // 2 for i in groups[p] if len(values[i]) == 14), len(groups[p])) for i, p in enumerate(plain))
+    monkeypatch.setattr(exact_dedup.xxhash, "xxh3_64_intdigest", lambda p: len(p) % 5)
+    for most in (0, 500_000):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", most)
+        got = exact_dedup.exact_classes(df).collect()
+        blank = sorted((r.doc_id, r.keep_id) for r in got if r.text_sha256 == hashlib.sha256(b"").hexdigest())
+        assert blank == [(1500, 1501), (1500, 1501), (1501, 1501)]
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got if r.doc_id < 1500) == [w for w in want if w[0] < 1500]
+        kept = exact_dedup.drop_copies(df)
+        assert kept.columns == df.columns and kept.count() == len(groups) == sum(r.kept for r in got)
+
+
 def test_copies_go_when_files_are_split_otherwise(spark, monkeypatch, tmp_path):
     frame(spark, [f"text {i % 7}" for i in range(40)]).repartition(6, "doc_id").write.parquet(f"{tmp_path}/docs")
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
@@ -243,15 +282,20 @@ def test_topk(spark, scale):
     rows = [(i, [float(x) for x in rng.normal(size=8) * scale], i) for i in range(300)]
     rows += [(300, None, 0), (301, [float("nan")] + [0.0] * 7, 0), (302, [None] + [0.0] * 7, 0), (303, [0.0] * 8, 0), (304, [1.0], 0), (350, [0.0] * 8, 0)]
     rows += [(400 + i, rows[7][1], 0) for i in range(20)]
+    rows += [(50, rows[9][1], 0), (700, [1e300] * 8, 0), (701, [-1.7e308] + [1.0] * 7, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long")
     got = {}
-    for r in topk.top_k(df, F.pmod("id", F.lit(50)) == 0, 5).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    ok = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)}
+    for r in topk.top_k(df, F.pmod("id", F.lit(50)) == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
+    most = np.finfo(float).max
+    whole = [(i, [int(min(most, max(-most, np.floor(256 * x)))) for x in v]) for i, v, _ in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     hold = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
-    for q in (i for i in ok if i % 50 == 0):
-        score = [(-hold(sum(a * b for a, b in zip(ok[q], ok[c], strict=True))), c) for c in ok if c != q and len(ok[c]) == len(ok[q])]
-        assert got.get(q, []) == [(c, -s) for s, c in sorted(score)[:5]]
+    want = {}
+    for at, (q, x) in enumerate(whole):
+        if q % 50 == 0:
+            score = [(-hold(sum(a * b for a, b in zip(x, y, strict=True))), c) for k, (c, y) in enumerate(whole) if k != at and len(y) == len(x)]
+            want.setdefault(q, []).extend((r + 1, *s) for r, s in enumerate(sorted(score)[:5]))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items() if v}
 
 
 def test_main_text(spark):
@@ -304,6 +348,19 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.lang == r.lang_pred for r in found]) >= 0.95
 
 
+def test_few_labels(spark, docs):
+    """Labels of which none is left for the calibration still teach; fitted models take nulls, long texts and copies."""
+    some = [r.doc_id for r in docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(10)) < 7).select("doc_id").limit(8).collect()]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(some)], "doc_id long, quality int")
+    df = docs.unionByName(docs.withColumn("text", F.repeat(F.lit("very long words "), 200_000)).limit(2))
+    model = quality.fit(df, labels)
+    got = quality.score(df, model).collect()
+    assert len(got) == df.count() and len({r.score for r in got}) > 1 and all(0 <= r.score <= 1 for r in got)
+    assert {r.doc_id for r in quality.keep_good(df, model).collect()} == {r.doc_id for r in got if r.predicted}
+    assert quality.keep_good(df, model).columns == df.columns
+    assert quality.score(df.limit(0), quality.fit(df.limit(0), labels)).count() == 0
+
+
 def test_models_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.score(docs, quality.fit(docs, none)).collect()
