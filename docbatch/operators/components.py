@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from docbatch.plans.staging import staged_with
+from docbatch.plans.staging import released, staged, staged_with
 
 MAX_ROUNDS = 60
 
@@ -15,23 +15,26 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     Each round points nodes at the smallest node of their neighbourhood, in a number of rounds that
     follows the logarithm of the component's size. Neighbourhoods are never gathered: minima come from
-    aggregation and return by joins, so a hub of any degree is spread over tasks. Each round is one
-    written table, whose checksum tells when nothing changes. Raises if the rounds do not settle.
+    aggregation and return by joins. Each round is one written table; a round that would change no edge, by
+    an exact count, ends the work, and the tables of earlier rounds are deleted. Raises if the rounds do not settle.
     """
-    mark = F.sum(F.xxhash64("u", "v") % (1 << 31))
-    now, seen = staged_with(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges", mark=mark)
-    before = None
+    now, seen = staged_with(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(MAX_ROUNDS):
-        if not seen["n"] or seen == before:
+        if not seen["n"]:
             break
-        before = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        moved = Observation()
+        # edges to nodes that are no root of both their ends, that is, all that this round moves
+        near = both.join(least, "u").observe(moved, F.count_if(F.col("m") != F.least("u", "v")).alias("n"))
+        large = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # large points every node only to smaller ones, so what remains is the small star
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now, seen = staged_with(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components", mark=mark)
+        before, now = now, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        released(before)
+        if not moved.get["n"]:
+            break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()

@@ -39,3 +39,12 @@ def staged_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFram
     seen = Observation()
     out = staged(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in measures.items())), label)
     return out, seen.get
+
+
+def released(df: DataFrame) -> None:
+    """Deletes the files of a staged table that nothing will read again, as after a round of an iteration."""
+    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/docbatch-" in path:
+            place = hadoop(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
