@@ -3,20 +3,25 @@
 Two documents link when their sets of word shingles have a Jaccard similarity of at least 0.8; the
 result gives each document its set size and the smallest document reachable by links. The join is exact.
 
-1. One pass over the documents makes each set's identity (a 64-bit hash of the whole set; copies share
-   it), its size and an OR-combined token bitmap, and counts shingles in a sketch of fixed size. The
-   sketch only orders shingles, rare ones first; any order gives the same links.
+1. One pass over the documents makes each set's identity (128 bits of hash over the whole set; copies
+   share it), its size and an OR-combined token bitmap, and counts shingles in a sketch of fixed size.
+   Shingles are ordered by the rank of their counter, rare ones first; any order gives the same links.
 2. Of n shingles the first n - ceil(0.8 n) + 1 in that order are posted: two linked sets share at least
    one of them. Postings meet by hash range; shingles posted by one set alone vanish there, and groups
-   with equal members are kept once.
-3. In each group every set is compared with one leader, chosen anew in each of ``STAR_ROUNDS`` rounds, so
-   that families of copies fall into one component without pairing all members.
-4. Groups that still span several components are joined by signature trees. Nodes hold OR-combined
-   bitmaps, size ranges and component ranges; the dual traversal drops node pairs whose sizes cannot
-   match, whose greatest possible overlap is too small, or that lie in one component already. Large
-   groups are split into blocks, and each pair of blocks is a unit of its own.
-5. What survives is verified on whole sets, which are made again from the texts of just these documents.
-   Of the links in a pair of blocks those that join two components come out, never all pairs.
+   with equal members are kept once. A group is what the trees join, so no set meets all others.
+3. Signature trees join each group. Nodes hold OR-combined bitmaps, size ranges and component ranges; the
+   dual traversal drops node pairs whose sizes cannot match, whose greatest possible overlap is too small,
+   or that lie in one component already. Groups larger than ``BLOCK`` are split, and each pair of blocks is
+   a unit of its own: first each block with itself, then the first block with the others, last all pairs
+   of blocks that are not yet in one component.
+4. Of the pairs that survive, each set first has the one with its smallest partner verified on the whole
+   sets, so that a family of copies falls into one component without all its pairs.
+5. The trees then run again over the groups that still span several components. The sets in pairs that
+   survive this are joined by trees over their whole sets, where every surviving pair is verified unless
+   a link has joined its components before. All links come from pairs that a traversal left.
+
+Whole sets are made again from the texts of just the documents that are asked for, and are sent once to each
+unit that needs them. Keys with many rows (sets with many copies, large components) go to the rows.
 
 Defined results: null and empty text and text without words have size 0 and link with nothing; fewer
 words than five make one shingle; copies of a set need no pairs, as they share its identity; a null id
@@ -28,16 +33,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from docbatch.llm.common import slices, staged, texts
+from docbatch.llm.common import join_counted, slices, staged, texts
 from docbatch.llm.pieces import mixed
 from docbatch.llm.shingles import shingle_sets
 from docbatch.operators.components import connected_components
@@ -45,16 +47,18 @@ from docbatch.plans.staging import staged_with
 
 COUNTERS = 1 << 20
 SLICES = 64
-#: A counter this many times the mean ranks its shingles later.
-FREQUENT = 8
-#: Postings of a hash range, about.
+#: Postings of a hash range, about; a range with many times more holds a shingle that very many sets post.
 RANGE_POSTINGS = 1_000_000
+HOT_RANGE = 8
 #: Sets of a block of a large group.
 BLOCK = 1024
 FANOUT = 8
-STAR_ROUNDS = 2
+#: Rows that a task takes at once, about.
+TASK_ROWS, TASK_SETS = 20_000, 2_000
 #: Up to so many ids are sent to every executor; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sets whose 64-bit names clash with another set's; 64 bits make a few hundred of them among 10**11 sets.
+CLASHES = 10_000
 
 
 def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,17 +82,20 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
     return words
 
 
-def identity(hashes: np.ndarray) -> int:
-    """A 64-bit hash of a whole set; 0 for the empty one."""
+def identity(hashes: np.ndarray, clashing: frozenset[int] = frozenset()) -> tuple[int, int]:
+    """Two 64-bit hashes of a whole set, (0, 0) for the empty one. The first is its name, or the second if the first clashes."""
     if not len(hashes):
-        return 0
-    total = np.bitwise_xor.reduce(mixed(hashes + np.uint64(1))) ^ np.uint64(len(hashes))
-    return int(mixed(total[None]).view(np.int64)[0])
+        return 0, 0
+    n = np.uint64(len(hashes))
+    name = np.bitwise_xor.reduce(mixed(hashes + np.uint64(1))) ^ n
+    check = mixed(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + n
+    name, check = mixed(np.array([name, check])).view(np.int64).tolist()
+    return (check if name in clashing else name), check
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Per document (id, set, n, bits); and per partition the slices of its shingle counters (slice, counts)."""
-    schema = pa.schema([("id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+    """Per document (id, key, set, check, n, bits); and per partition the slices of its shingle counters (slice, counts)."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("set", pa.int64()), ("check", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, dtype=np.uint32)
@@ -96,17 +103,18 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(values)
             n = len(sets)
             counters += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            data = [keys.cast(pa.int64()), pa.array([identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+            name, check = zip(*map(identity, sets), strict=True)
+            data = [keys.field("id"), keys.field("key"), pa.array(name, pa.int64()), pa.array(check, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
             yield pa.RecordBatch.from_arrays(data, schema=schema)
         packed = [zlib.compress(x.tobytes(), 1) for x in np.split(counters, SLICES)]
-        data = [pa.nulls(SLICES, pa.int64())] * 3 + [pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())]
+        data = [pa.nulls(SLICES, pa.int64())] * 5 + [pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())]
         yield pa.RecordBatch.from_arrays(data, schema=schema)
 
-    return docs.mapInArrow(run, "id long, set long, n long, bits binary, slice int, counts binary")
+    return docs.select(F.struct("id", "key").alias("at"), "text").mapInArrow(run, "id long, key long, set long, check long, n long, bits binary, slice int, counts binary")
 
 
-def frequency_classes(rows: DataFrame) -> bytes:
-    """A byte per counter: 0 where its shingles are as rare as the mean, and more for frequent ones. Its size is fixed."""
+def counter_ranks(rows: DataFrame) -> bytes:
+    """A 16-bit number per counter: its place among all counters by what it counted. Its size is fixed."""
 
     def total(table: pa.Table) -> pa.Table:
         sums = sum((np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in table.column("counts").to_pylist()), np.zeros(COUNTERS // SLICES, np.uint64))
@@ -114,23 +122,23 @@ def frequency_classes(rows: DataFrame) -> bytes:
 
     parts = rows.filter("counts is not null").select("slice", "counts").groupBy("slice").applyInArrow(total, "slice int, sums binary").collect()
     if not parts:
-        return bytes(COUNTERS)
-    sums = np.concatenate([np.frombuffer(p.sums, np.uint64) for p in sorted(parts, key=lambda p: p.slice)]).astype(float)
-    return np.clip(np.log2(np.maximum(sums / (FREQUENT * max(sums.mean(), 0.25)), 0.5)) + 1, 0, 30).astype(np.uint8).tobytes()
+        return bytes(2 * COUNTERS)
+    sums = np.concatenate([np.frombuffer(p.sums, np.uint64) for p in sorted(parts, key=lambda p: p.slice)])
+    return (np.searchsorted(np.sort(sums), sums) * 65536 // COUNTERS).astype(np.uint16).tobytes()
 
 
-def postings(docs: DataFrame, classes: bytes, bits: int) -> DataFrame:
+def postings(docs: DataFrame, ranks: bytes, bits: int, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """(range, shingles, sets): the posted shingles of a run of documents in one hash range, as parallel arrays."""
     schema = pa.schema([("range", pa.int64()), ("shingles", pa.binary()), ("sets", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.frombuffer(classes, np.uint8)
+        rank = np.frombuffer(ranks, np.uint16)
         held: dict[int, np.ndarray] = {}
 
         def flush() -> pa.RecordBatch:
             h = np.concatenate(list(held.values())) if held else np.empty(0, np.uint64)
             s = np.repeat(np.array(list(held), dtype=np.int64), [len(x) for x in held.values()])
-            at = mixed(h)  # shingles of one class are the smallest hashes, so ranges are cut on another hash
+            at = mixed(h)  # posted shingles lie unevenly, so ranges are cut on another hash
             block = (at >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
             order = np.argsort(block, kind="stable")
             h, s, block = h[order], s[order], block[order]
@@ -144,20 +152,20 @@ def postings(docs: DataFrame, classes: bytes, bits: int) -> DataFrame:
             for s in shingle_sets(values):
                 if len(s):
                     n = len(s) - (-(-80 * len(s) // 100)) + 1
-                    c = kind[(s >> np.uint64(44)).astype(np.int64)]
-                    first = s[:n] if not c.any() else s[np.lexsort((s, c))[:n]]
-                    held[identity(s)] = first
+                    first = s[np.lexsort((s, rank[(s >> np.uint64(44)).astype(np.int64)]))[:n]]
+                    held[identity(s, clashing)[0]] = first
                     size += n
             if size > 1_000_000:
                 yield flush()
                 size = 0
         yield flush()
 
-    return docs.mapInArrow(run, "range long, shingles binary, sets binary")
+    return docs.select("id", "text").mapInArrow(run, "range long, shingles binary, sets binary")
 
 
 def shared_groups(posted: DataFrame) -> DataFrame:
     """(grp, set): sets that posted one shingle, for shingles that several sets posted; equal groups once."""
+    schema = pa.schema([("shingle", pa.int64()), ("set", pa.int64())])
 
     def meet(table: pa.Table) -> pa.Table:
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()])
@@ -177,22 +185,20 @@ def shared_groups(posted: DataFrame) -> DataFrame:
         at = np.arange(len(mine)) - np.repeat(np.cumsum(size[one]) - size[one], size[one]) + first[mine]
         return pa.table({"grp": pa.array(key[mine].view(np.int64), pa.int64()), "set": pa.array(s[at], pa.int64())})
 
-    return posted.groupBy("range").applyInArrow(meet, "grp long, set long").distinct()
+    def flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, s in zip(batch.column(0), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h.as_py(), np.int64)), pa.array(np.frombuffer(s.as_py(), np.int64))], schema=schema)
 
-
-@F.pandas_udf(BooleanType())
-def may_link(n_a: pd.Series, bits_a: pd.Series, n_b: pd.Series, bits_b: pd.Series) -> pd.Series:
-    """Whether sizes and bitmaps allow the overlap that a link needs."""
-    out = np.zeros(len(n_a), dtype=bool)
-    fit = 100 * np.minimum(n_a, n_b).to_numpy() >= 80 * np.maximum(n_a, n_b).to_numpy()
-    least = needed(n_a.to_numpy(), n_b.to_numpy())
-    for i in np.flatnonzero(fit):
-        a, b = np.frombuffer(bits_a[i], np.uint64), np.frombuffer(bits_b[i], np.uint64)
-        size = min(len(a), len(b))
-        a, b = folded(a, size), folded(b, size)
-        both = int(np.bitwise_count(a & b).sum())
-        out[i] = min(both + n_a[i] - int(np.bitwise_count(a).sum()), both + n_b[i] - int(np.bitwise_count(b).sum())) >= least[i]
-    return pd.Series(out)
+    loads = posted.groupBy("range").agg((F.sum(F.octet_length("shingles")) / 8).alias("n"))
+    hot, seen = staged_with(loads.filter(F.col("n") > HOT_RANGE * RANGE_POSTINGS).select("range"), "hot-ranges")
+    if not seen["n"]:
+        return posted.groupBy("range").applyInArrow(meet, "grp long, set long").distinct()
+    usual = posted.join(hot, "range", "left_anti").groupBy("range").applyInArrow(meet, "grp long, set long")
+    # what one task should not hold meets row by row, and a shingle is its group's name
+    rows, seen = staged_with(posted.join(hot, "range").select("shingles", "sets").mapInArrow(flat, "shingle long, set long").distinct(), "hot-postings")
+    often = staged(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "hot-shingles")
+    return usual.unionByName(join_counted(rows, often, "shingle", "m", seen["n"]).select(F.col("shingle").alias("grp"), "set")).distinct()
 
 
 class SignatureTree:
@@ -280,100 +286,177 @@ def tree_pairs(x: SignatureTree, y: SignatureTree, same: bool) -> tuple[np.ndarr
 UNIT = ("grp", "left", "right")
 
 
-def _units(table: pa.Table) -> Iterator[slice]:
-    """Runs of rows of one pair of blocks, in a table sorted by ``UNIT``."""
+def _units(table: pa.Table) -> Iterator[np.ndarray]:
+    """The rows of each pair of blocks, in a table sorted by ``UNIT``."""
     if table.num_rows:
         key = np.stack([table.column(c).to_numpy() for c in UNIT], axis=1)
         cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key)].tolist()
-        yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1)
+        yield from (np.arange(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1)
 
 
-def block_pairs(groups: DataFrame, parts: int) -> DataFrame:
-    """(grp, left, right, block, set, unit): the sets of each pair of blocks of each group; ``unit`` deals the pairs out."""
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("grp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "set")
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Adds ``unit``, which deals out pairs of blocks, so that a task takes many small ones at once."""
     return rows.withColumn("unit", F.pmod(F.xxhash64(*UNIT), F.lit(parts)))
 
 
-def tree_join(groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """(grp, set): sets that no bound of the trees keeps apart from all of another component.
+def blocked(groups: DataFrame, total: int) -> tuple[DataFrame, bool]:
+    """``groups`` with ``blocks``, the number of blocks of the group, and ``block``, the row's; and whether any group has several."""
+    large, seen = staged_with(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK), "large-groups")
+    if not seen["n"]:
+        return groups.withColumn("blocks", F.lit(1)).withColumn("block", F.lit(0)), False
+    rows = join_counted(groups, large, "grp", "m", total, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")).drop("m")
+    return staged(rows.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")), "blocks"), True
+
+
+def _pair(other: F.Column) -> list[F.Column]:
+    return [F.least("block", other).alias("left"), F.greatest("block", other).alias("right")]
+
+
+def same_block(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.col("block").alias("left"), F.col("block").alias("right"))
+
+
+def first_block(rows: DataFrame) -> DataFrame:
+    """The first block with each other one."""
+    others = F.when(F.col("block") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
+    rows = rows.filter("blocks > 1").withColumn("other", F.explode(others))
+    return rows.select(*(c for c in rows.columns if c != "other"), *_pair(F.col("other")))
+
+
+def open_blocks(rows: DataFrame, large: bool) -> DataFrame:
+    """All pairs of blocks but those of two blocks that lie in one component together; ``large``: whether a group has several."""
+    if not large:
+        return same_block(rows)
+    small = same_block(rows.filter("blocks = 1"))
+    several = rows.filter("blocks > 1")
+    spans = staged(several.groupBy("grp", "block").agg(F.min("component").alias("low"), F.max("component").alias("high")), "block-spans")
+    pairs = several.select(*rows.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(spans, ["grp", "block"])
+    pairs = pairs.join(spans.toDF("grp", "other", "o_low", "o_high"), ["grp", "other"]).filter("low <> high or o_low <> o_high or low <> o_low")
+    return small.unionByName(pairs.select(*rows.columns, *_pair(F.col("other"))))
+
+
+def _survivors(table: pa.Table, own: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in ``table`` of the sets of one unit that the traversal leaves; ``bits`` are the bitmaps of the unit's rows."""
+    block, n, component = (table.column(c).to_numpy()[own] for c in ("block", "n", "component"))
+    left, right = table.column("left")[int(own[0])].as_py(), table.column("right")[int(own[0])].as_py()
+    none = np.empty(0, np.int64)
+    if len(own) <= FANOUT:  # a tree of one node above its leaves
+        found = [(i, j) for i in range(len(own)) for j in range(i) if (left == right or block[i] != block[j]) and component[i] != component[j] and _fits(int(n[i]), bits[i], int(n[j]), bits[j])]
+        return (own[[i for i, _ in found]], own[[j for _, j in found]]) if found else (none, none)
 
-    ``groups`` has (grp, set); ``sets`` has (set, n, bits, component). A row comes out for a row that goes
-    in, at most, so large groups of similar sets cost no pairs here.
+    def forest(at: np.ndarray) -> Forest:
+        return Forest(own[at], n[at], [bits[k] for k in at.tolist()], component[at])
+
+    first = block == left
+    if left != right and (first.all() or not first.any()):
+        return none, none
+    x = forest(np.flatnonzero(first))
+    found = [p for p in forest_pairs(x, x if left == right else forest(np.flatnonzero(~first))) if len(p)]
+    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _fits(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """Whether sizes and bitmaps allow the overlap that a link of two sets needs."""
+    if 100 * min(n, m) < 80 * max(n, m):
+        return False
+    a, b, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * min(len(x), len(y))
+    for _ in range(len(x).bit_length() - (bits // 8).bit_length()):  # at most one, as sets that can link differ little in size
+        a = (a >> bits) | (a & ((1 << bits) - 1))
+    for _ in range(len(y).bit_length() - (bits // 8).bit_length()):
+        b = (b >> bits) | (b & ((1 << bits) - 1))
+    return (a & b).bit_count() + min(n - a.bit_count(), m - b.bit_count()) >= -(-80 * (n + m) // 180)
+
+
+def tree_join(rows: DataFrame, sets: DataFrame, parts: int, label: str) -> DataFrame:
+    """(set, partner, grp): the sets of pairs of two components that the trees leave, each with its smallest partner in the unit.
+
+    ``rows`` has (grp, left, right, block, set, component), ``sets`` has (set, n, bits). A row comes out for a row
+    that goes in, at most, so large groups of similar sets cost no pairs here.
     """
-    rows = block_pairs(groups, parts).join(sets, "set")
+    rows = _dealt(rows.select(*UNIT, "block", "set", "component").join(sets, "set"), parts)
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in UNIT])
-        block, member, n, component = (table.column(c).to_numpy() for c in ("block", "set", "n", "component"))
-        left, bits = table.column("left").to_numpy(), table.column("bits")
-        kept = []
+        bits, names, kept = table.column("bits"), table.column("set").to_numpy(), []
         for own in _units(table):
+            i, j = _survivors(table, own, [bits[int(k)].as_py() for k in own])
+            i, j = np.r_[i, j], np.r_[j, i]
+            order = np.lexsort((names[j], i))
+            kept.append(np.stack([i[order], j[order]], axis=1)[np.unique(i[order], return_index=True)[1]])
+        at = np.concatenate(kept) if kept else np.empty((0, 2), np.int64)
+        return pa.table({"set": pa.array(names[at[:, 0]]), "partner": pa.array(names[at[:, 1]]), "grp": table.column("grp").take(pa.array(at[:, 0]))})
 
-            def forest(at: np.ndarray) -> Forest:
-                return Forest(at, n[at], [bits[int(k)].as_py() for k in at], component[at])
+    return staged(rows.groupBy("unit").applyInArrow(join, "set long, partner long, grp long").distinct(), label)
 
-            at = np.arange(own.start, own.stop)
-            first = block[at] == left[own.start]
-            x = forest(at[first])
-            found = forest_pairs(x, x if first.all() else forest(at[~first])) if first.any() else []
-            kept += [np.unique(p) for p in found if len(p)]
-        at = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
-        return table.select(["grp", "set"]).take(pa.array(at, pa.int64()))
 
-    return rows.groupBy("unit").applyInArrow(join, "grp long, set long").distinct()
-
-
-def whole_sets(wanted: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(set, shingles) of the wanted sets, made again from a document of each."""
-    wanted, seen = staged_with(wanted.distinct().join(ids, "set").select("id"), "wanted")
+def delivered(asked: DataFrame, docs: DataFrame, ids: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """The rows of ``asked`` (set, and columns of UNIT, block, component) with the whole sets (n, shingles), made again from a text of each."""
+    to = F.struct(*(c for c in asked.columns if c != "set"))
+    wanted, seen = staged_with(asked.groupBy("set").agg(F.collect_list(to).alias("to")).join(ids, "set"), "wanted")
     if seen["n"] <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    schema = pa.schema([("set", pa.int64()), ("shingles", pa.binary())])
+    inner = wanted.schema["to"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, values in slices(batches, 1_000_000):
-            sets = shingle_sets(values)
-            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
-
-    own = docs.join(wanted, "id", "left_semi").mapInArrow(run, "set long, shingles binary")
-    return staged(own.dropDuplicates(["set"]), "sets")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. ``ids`` has (set, id): a document of each set."""
-    pairs = staged(pairs, "pairs")
-    own = whole_sets(pairs.select(F.col("a").alias("set")).union(pairs.select("b")), docs, ids)
+        seen: set[int] = set()
+        for keys, values in slices(batches, 1_000_000):
+            sets, names, keep = shingle_sets(values), keys.field("set").to_pylist(), []
+            for k, s in enumerate(sets):
+                if names[k] not in seen and identity(s, clashing)[0] == names[k]:
+                    keep.append(k)
+                    seen.add(names[k])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([keys.field("set").take(at), keys.field("to").take(at), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["set", "to", "n", "shingles"])
+
+    # ids may be null or repeated, so the text must be the one that the set was made of, too
+    own = docs.select(F.col("id").alias("doc"), F.col("key").alias("own"), "text").join(wanted, F.col("doc").eqNullSafe(F.col("id")) & (F.col("own") == F.col("key")))
+    own = own.select(F.struct("set", "to").alias("key"), "text").mapInArrow(run, f"set long, to {inner}, n long, shingles binary")
+    return own.select("set", "n", "shingles", F.explode("to").alias("at")).select("set", "n", "shingles", "at.*")
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, clashing: frozenset[int], parts: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) that link, by their whole sets, and their number. Many pairs of one a are split up, and its set goes to each part."""
+    pairs, seen = staged_with(pairs.distinct(), "pairs")
+    counts = staged(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")), "leaders").withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
+    many = counts.filter("parts > 1").select("a", "m", "parts")
+    left = join_counted(pairs, many, "a", "m", seen["n"], "left")
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    asked = left.select(F.col("b").alias("set"), F.col("a").alias("grp"), part.alias("left"))
+    asked = asked.unionByName(counts.select(F.col("a").alias("set"), F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("left")))
+    rows = _dealt(delivered(asked.withColumn("right", F.col("left")), docs, ids, clashing), max(parts, seen["n"] // TASK_SETS))
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in UNIT])
+        names, leader, data = table.column("set").to_numpy(), table.column("grp").to_numpy(), table.column("shingles")
         out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            out.append(100 * both >= 80 * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
+        for own in _units(table):
+            head = own[names[own] == leader[own]]
+            if len(head):
+                x = np.frombuffer(data[int(head[0])].as_py(), np.uint64)
+                out += [(int(leader[k]), int(names[k])) for k in own if names[k] != leader[k] and _linked(x, np.frombuffer(data[int(k)].as_py(), np.uint64))]
+        found = np.array(out, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    joined = pairs.join(own.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
-    joined = joined.join(own.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
-    return staged(joined.filter(linked("x", "y")).select("a", "b"), "links")
+    links, seen = staged_with(rows.groupBy("unit").applyInArrow(join, "a long, b long"), "links")
+    return links, seen["n"]
 
 
 #: Bytes of exact bitmaps that a pair of blocks may take; beyond it sets are compared one by one.
 EXACT_BYTES = 1 << 25
 
 
-def merges(sets: list[np.ndarray], block: np.ndarray, component: np.ndarray, within: bool) -> list[tuple[int, int]]:
-    """Pairs of components that a link joins, among sets of one block or across two; each pair of components once.
+def merges(sets: list[np.ndarray], component: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of components that a link among the given pairs of sets joins; a pair is skipped once its components have met.
 
     Overlaps are exact: bitmaps over the shingles that at least two of the sets hold.
     """
-    n = np.array([len(x) for x in sets])
-    order = np.argsort(n, kind="stable")
-    sets, n, block, root = [sets[i] for i in order], n[order], block[order], component[order].copy()
-    first = root.copy()
+    n, root = np.array([len(x) for x in sets]), component.copy()
     words, number, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(count > 1) - 1
     width = -(-int(shared[-1] + 1) // 64) * 64 if len(shared) else 0
@@ -384,98 +467,142 @@ def merges(sets: list[np.ndarray], block: np.ndarray, component: np.ndarray, wit
         at = count[number] > 1
         bit = shared[number[at]].astype(np.uint64)
         np.bitwise_or.at(exact, (row[at], (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    last = np.searchsorted(n, n * 100 // 80, side="right")
     out = []
-    for i in range(len(sets)):
-        js = np.arange(i + 1, last[i])
-        js = js[root[js] != root[i]]
-        if not within:
-            js = js[block[js] != block[i]]
-        if not len(js):
-            continue
-        if exact is not None:
-            both = np.concatenate([np.bitwise_count(exact[js[at : at + 128]] & exact[i]).sum(axis=1, dtype=np.int64) for at in range(0, len(js), 128)])
-        else:
-            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in js])
-        for j in js[100 * both >= 80 * (n[i] + n[js] - both)].tolist():
-            if root[j] != root[i]:
-                out.append((int(first[i]), int(first[j])))
-                root[root == root[j]] = root[i]
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(i)) + 1, len(i)].tolist() if len(i) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        x, ys = int(i[a]), j[a:b]
+        ys = ys[root[ys] != root[x]]
+        for at in range(0, len(ys), 128):
+            some = ys[at : at + 128]
+            some = some[root[some] != root[x]]
+            if not len(some):
+                continue
+            if exact is not None:
+                both = np.bitwise_count(exact[some] & exact[x]).sum(axis=1, dtype=np.int64)
+            else:
+                both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in some])
+            for y in some[100 * both >= 80 * (n[x] + n[some] - both)].tolist():
+                if root[y] != root[x]:
+                    out.append((int(component[x]), int(component[y])))
+                    root[root == root[y]] = root[x]
     return out
 
 
-def exact_join(candidates: DataFrame, own: DataFrame, component: DataFrame, parts: int) -> DataFrame:
-    """(a, b): components that a link between two sets of one group of candidates joins.
+def exact_join(families: DataFrame, total: int, component: DataFrame, docs: DataFrame, ids: DataFrame, clashing: frozenset[int], parts: int) -> DataFrame:
+    """(a, b): components that a link joins, between two sets of one family, by trees over the whole sets.
 
     Rows come out for merges alone, fewer than there are sets.
     """
-    rows = block_pairs(candidates, parts).join(component, "set").join(own, "set")
+    rows = open_blocks(*blocked(families.join(component, "set"), total))
+    rows = _dealt(delivered(rows.select("set", *UNIT, "block", "component"), docs, ids, clashing), max(parts, total // TASK_SETS))
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in UNIT])
-        block, label, left, right = (table.column(c).to_numpy() for c in ("block", "component", "left", "right"))
-        shingles = table.column("shingles")
+        label, data = table.column("component").to_numpy(), table.column("shingles")
         out: list[tuple[int, int]] = []
-        for x in _units(table):
-            sets = [np.frombuffer(shingles[k].as_py(), np.uint64) for k in range(x.start, x.stop)]
-            out += merges(sets, block[x], label[x], bool(left[x.start] == right[x.start]))
+        for own in _units(table):
+            sets = [np.frombuffer(data[int(k)].as_py(), np.uint64) for k in own]
+            i, j = _survivors(table, own, list(map(bitmap, sets)))
+            if len(i):
+                out += merges(sets, label[own], i - own[0], j - own[0])
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return rows.groupBy("unit").applyInArrow(join, "a long, b long").distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
-    docs = texts(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
+def set_components(docs: DataFrame, sets: DataFrame, posted: DataFrame, clashing: frozenset[int] = frozenset()) -> DataFrame | None:
+    """(set, component) of all sets that link with another one; None where no sets meet. ``sets`` has (set, id, key, n, bits)."""
     spark = docs.sparkSession
+    groups, seen = staged_with(shared_groups(posted), "groups")
+    if not seen["n"]:
+        return None
+    total, ids, shape = seen["n"], sets.select("set", "id", "key"), sets.select("set", "n", "bits")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = staged(sketches(docs), "sketches")
-    classes = frequency_classes(rows)
-    sized = rows.filter("n is not null")
-    total = sized.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.8) + 1)).first()[0] or 0
-    sets = staged(sized.filter("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("bits").alias("bits")), "reps")
-    groups = staged(shared_groups(postings(docs, classes, int(total // RANGE_POSTINGS).bit_length())), "groups")
-    ids = sets.select("set", "id").filter("id is not null")
-    links: list[DataFrame] = []
-    labelled = groups.withColumn("component", F.col("set"))
-    for round_ in range(STAR_ROUNDS):
-        if links:  # a label that is sound, if not complete: the smallest leader that a set is, or links with
-            last = links[-1]
-            label = last.select(F.col("a").alias("set"), F.col("a").alias("component")).union(last.select("b", "a")).groupBy("set").agg(F.min("component").alias("component"))
-            labelled = groups.join(label, "set", "left").withColumn("component", F.coalesce("component", "set"))
-        leader = labelled.groupBy("grp").agg(F.min_by(F.struct("set", "component"), F.xxhash64("set", F.lit(round_))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
-        leader = leader.filter("low <> high").select("grp", F.col("lead.set").alias("a"), F.col("lead.component").alias("lead_component"))
-        star = labelled.join(leader, "grp").filter("component <> lead_component").select("a", F.col("set").alias("b")).distinct()
-        for side in ("a", "b"):
-            star = star.join(sets.select(F.col("set").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        links.append(verified(star.filter(may_link("n_a", "bits_a", "n_b", "bits_b")).select("a", "b"), docs, ids))
-    component = staged(connected_components(reduce(DataFrame.unionByName, links), "a", "b").withColumnRenamed("node", "set"), "labels")
-    labelled = groups.join(component, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    # the one pair of a group of two has met its leader already
-    several = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).filter("low <> high and m > 2").select("grp")
-    open_groups = staged(labelled.join(several, "grp", "left_semi").select("grp", "set", "component"), "open-groups")
-    by_set = sets.join(open_groups.select("set", "component").distinct(), "set").select("set", "n", "bits", "component")
-    left = staged(tree_join(open_groups.select("grp", "set"), by_set, parts * 4), "tree")
+    units = max(parts, total // TASK_ROWS)
+    rows, large = blocked(groups, total)
+    links, component = None, None
+    for schedule in (same_block, *([first_block] if large else [])):
+        if component is None:
+            labelled = rows.withColumn("component", F.col("set"))
+        else:
+            labelled = rows.join(component, "set", "left").withColumn("component", F.coalesce("component", "set"))
+        left = tree_join(schedule(labelled), shape, units, "tree")
+        found, n = verified(left.filter("partner < set").select(F.col("partner").alias("a"), F.col("set").alias("b")), docs, ids, clashing, parts)
+        links = found if links is None else links.unionByName(found)
+        if n or component is None:
+            component = staged(connected_components(links, "a", "b").withColumnRenamed("node", "set"), "labels")
+    labelled = rows.join(component, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    spans = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
+    # the one pair of a group of two was verified, if it survived
+    several = staged(spans.filter("low <> high and m > 2").select("grp", "m"), "several")
+    open_groups = staged(join_counted(labelled, several, "grp", "m", total).select("grp", "set", "blocks", "block", "component"), "open-groups")
+    left = tree_join(open_blocks(open_groups, large), shape, units, "tree-again")
     # a set is in many groups; the families that surviving sets form hold each of them once
     family = connected_components(left.select(F.col("set").alias("u"), F.col("grp").alias("v")))
-    left = staged(left.select("set").distinct().join(family.withColumnRenamed("node", "set"), "set").select(F.col("component").alias("grp"), "set"), "families")
-    own = whole_sets(left.select("set"), docs, ids)
-    more, seen = staged_with(exact_join(left, own, open_groups.select("set", "component").distinct(), parts * 4), "merges")
-    if seen["n"]:
-        merged = connected_components(more, "a", "b").select(F.col("node").alias("set"), F.col("component").alias("merged"))
-        joined = component.unionByName(merged.select("set", F.col("set").alias("component")).join(component, "set", "left_anti"))
-        component = joined.join(merged.withColumnRenamed("set", "component"), "component", "left").select("set", F.coalesce("merged", "component").alias("component"))
-    final = sized.select("id", "set", "n").join(component, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    smallest = final.filter("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = final.filter("n > 0").join(smallest, "component").select("id", "n", "component_id")
+    families, seen = staged_with(left.select("set").distinct().join(family.withColumnRenamed("node", "set"), "set").select(F.col("component").alias("grp"), "set"), "families")
+    if not seen["n"]:
+        return component
+    label = open_groups.select("set", "component").distinct()
+    more, seen = staged_with(exact_join(families, seen["n"], label, docs, ids, clashing, parts), "merges")
+    if not seen["n"]:
+        return component
+    merged = connected_components(more, "a", "b").select(F.col("node").alias("set"), F.col("component").alias("merged"))
+    joined = component.unionByName(merged.select("set", F.col("set").alias("component")).join(component, "set", "left_anti"))
+    return staged(joined.join(merged.withColumnRenamed("set", "component"), "component", "left").select("set", F.coalesce("merged", "component").alias("component")), "labels")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    docs = texts(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col).withColumn("key", F.xxhash64("text"))
+    rows = staged(sketches(docs), "sketches")
+    ranks = counter_ranks(rows)
+    sized = rows.filter("n is not null")
+    total = sized.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.8) + 1).alias("posted"), F.count(F.lit(1)).alias("n")).first()
+    sets = sized.filter("n > 0").groupBy("set", "check").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("at"), F.min("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")
+    )
+    sets = staged(sets.select("set", "check", "at.id", "at.key", "n", "bits", "copies"), "sets")
+    clashing = frozenset(r["set"] for r in sets.groupBy("set").count().filter("count > 1").select("set").limit(CLASHES).collect())
+    if clashing:
+        if len(clashing) == CLASHES:
+            raise RuntimeError(f"{CLASHES} or more names of sets clash")
+        name = F.when(F.col("set").isin(list(clashing)), F.col("check")).otherwise(F.col("set"))
+        sized, sets = sized.withColumn("set", name), sets.withColumn("set", name)
+    posted = staged(postings(docs, ranks, int((total["posted"] or 0) // RANGE_POSTINGS).bit_length(), clashing), "postings")
+    component = set_components(docs, sets, posted, clashing)
+    own = sets.select("set", "id", "copies")
+    if component is None:
+        named = own.withColumnRenamed("id", "component_id")
+    else:
+        own = staged(own.join(component, "set", "left").withColumn("component", F.coalesce("component", "set")), "named-sets")
+        smallest = own.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+        named = join_counted(own, staged(smallest, "smallest"), "component", "m", total["n"])
+    named = staged(named.select("set", "component_id", "copies"), "named")
+    linked = join_counted(sized.filter("n > 0").select("id", "set", "n"), named, "set", "copies", total["n"]).select("id", "n", "component_id")
     alone = sized.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of linked documents, the one with the smallest id."""
-    dropped, seen = staged_with(near_classes(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(id_col), "near-copies")
+    """``docs`` with one row of each group of linked documents: the one with the smallest id, then the first in the written table.
+
+    Rows are told apart by numbers that are written once with all columns, so that repeated and null ids do no harm.
+    """
+    number = "_row"
+    while number in map(str.lower, docs.columns):
+        number += "_"
+    numbered, seen = staged_with(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    keyed = numbered.select(F.col(number).alias("row"), F.col(text_col).alias("text"))
+    found = staged(near_classes(keyed, "row", "text").filter("n_shingles > 0").select("row", F.col("component_id").alias("component")), "near-rows")
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = join_counted(found, staged(sizes, "near-groups"), "component", "m", seen["n"])
+    members = staged(members.join(numbered.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("id")), "row"), "near-members")
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    dropped, seen = staged_with(members.select("row").join(first.select("first.row"), "row", "left_anti"), "near-copies")
+    dropped = dropped.withColumnRenamed("row", number)
     if seen["n"] <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    return numbered.join(dropped, number, "left_anti").select(*docs.columns)

@@ -190,7 +190,15 @@ def test_copies_go_when_files_are_split_otherwise(spark, monkeypatch, tmp_path):
 
 
 def brute_components(values):
-    sets = {i: set(s.tolist()) for i, s in zip(values, shingle_sets(list(values.values())), strict=True)}
+    """{row: (set size, smallest row reachable)}, with its own words and an index over all shingles."""
+    import re
+
+    sets, holders = {}, {}
+    for i, v in values.items():
+        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall("[^\x20\x09-\x0d]+", v)]
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        for shingle in sets[i]:
+            holders.setdefault(shingle, []).append(i)
     root = {i: i for i in sets}
 
     def find(x):
@@ -198,14 +206,16 @@ def brute_components(values):
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+    for a, own in sets.items():
+        shared = {}
+        for shingle in own:
+            for b in holders[shingle]:
+                shared[b] = shared.get(b, 0) + (b < a)
+        for b, both in shared.items():
+            if both and 100 * both >= 80 * (len(own) + len(sets[b]) - both):
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return {i: (len(sets[i]), find(i)) for i in sets}
 
 
 def test_near_join(spark, docs):
@@ -216,6 +226,64 @@ def test_near_join(spark, docs):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, (_, c) in want.items() if i == c}
 
 
+def many_texts(seed=7):
+    """Families of near copies from two to hundreds, chains of them, exact copies, a passage that many share, and short texts."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, out = say(60), []
+    for size in [500, 300, *([40] * 8), *([7] * 60), *([2] * 200)]:
+        base = say(rng.randint(20, 120)) + passage * (rng.random() < 0.3)
+        for _ in range(size):
+            v = list(base)
+            for _ in range(rng.randint(0, max(1, len(v) // 40))):
+                v[rng.randrange(len(v))] = rng.choice(words)
+            out.append(" ".join(v))
+    for _ in range(10):
+        v = say(100)
+        for _ in range(12):  # neighbours in a chain link, its ends do not
+            v = v[3:] + say(3)
+            out.append(" ".join(v))
+    out += [" ".join(say(rng.randint(1, 8))) for _ in range(400)] + [" ".join(passage + say(rng.randint(5, 40))) for _ in range(300)]
+    out += [" ".join(say(50))] * 600 + [out[0].upper(), out[3].replace(" ", "\n\t")]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_join_of_many(spark, monkeypatch, small):
+    values = many_texts()
+    want = brute_components(dict(enumerate(values)))
+    if small:  # blocks, hot ranges, and ids and keys that are not broadcast
+        for name, value in (("BLOCK", 64), ("RANGE_POSTINGS", 500), ("HOT_RANGE", 2), ("BROADCAST_IDS", 0), ("TASK_SETS", 100)):
+            monkeypatch.setattr(near_join, name, value)
+    df = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_join.near_classes(df).collect()}
+    assert len(values) > 3000 and got == want
+
+
+def test_near_join_of_clashing_names(spark, docs, monkeypatch):
+    """Names of few bits clash; the sets' second hash tells them apart."""
+    monkeypatch.setattr(near_join, "CLASHES", 1_000)
+    rows = near_join.sketches(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("key")))
+    named = {(r.set, r.check) for r in rows.filter("n > 0").collect()}
+    clashing = frozenset(s for s, _ in list(named)[:3])
+    s = shingle_sets([" ".join(f"w{i}" for i in range(30))])[0]
+    name, check = near_join.identity(s)
+    assert near_join.identity(s, clashing) == (name, check) and near_join.identity(s, frozenset([name])) == (check, check)
+    assert near_join.identity(s[:0]) == (0, 0)
+
+
+def test_near_rows_that_share_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long, 1), (5, long + " x", 2), (None, long + " y", 3), (None, "other words " + long[:80], 4), (None, None, 5), (5, "", 6), (2, long, 7), (2, "alone and short", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long")
+    kept = near_join.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(r._row for r in kept.collect()) == [4, 5, 6, 7, 8]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in near_join.near_classes(df).collect()}
+    assert got[5, 56] == got[None, 57] == got[2, 56] == 2
+
+
 def test_shingles_are_words():
     a, b, c, d = shingle_sets(["One two\tthree four FIVE six", "one TWO three four five six", "one two", "\x0b \n"])
     assert len(a) == 2 and (a == b).all() and len(c) == 1 and len(d) == 0
@@ -225,10 +293,10 @@ def test_merges_without_bitmaps(monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, 50, dtype=np.uint64)
     sets = [np.unique(np.r_[base[k:], rng.integers(0, 1 << 60, k, dtype=np.uint64)]) for k in (0, 2, 4, 30)]
-    label = np.arange(4)
-    first = near_join.merges(sets, np.zeros(4, int), label, True)
+    i, j = np.triu_indices(4, 1)
+    first = near_join.merges(sets, np.arange(4), i, j)
     monkeypatch.setattr(near_join, "EXACT_BYTES", 0)
-    assert near_join.merges(sets, np.zeros(4, int), label, True) == first and len(first) == 2
+    assert near_join.merges(sets, np.arange(4), i, j) == first and len(first) == 2
 
 
 def test_secrets():
