@@ -3,13 +3,14 @@
 Each text is a first layer. A layer is scanned for secrets, then what is encoded in it is unwrapped into
 layers of its own, which join the worklist: percent escapes, and Unicode escapes with numeric character
 references, over the whole layer with a map of places, so that a key and its value may stand in different words;
-base64, also wrapped over lines; and the compressed data inside base64, all members to their end. The list is
-worked until it is empty: a layer that was seen before in the same chain is not unwrapped again (cycles), and
-each unwrapped layer is strictly shorter than its source except for decompression. Inflated data is scanned in
-windows of about ``max_inflated`` characters, each cut where no secret and no encoded stretch can continue; a
-window grows as long as there is no such place. Bytes that are no text are scanned too, as far as they can be
-read. A finding inside a layer is mapped to the words or the stretch of the text that hold it, through every
-layer in between.
+base64, also wrapped over lines; and compressed data inside base64 (zlib, gzip, bz2, xz and bare deflate), all
+members to their end. The list is worked until it is empty: a layer that was unwrapped before from the same
+stretch is not unwrapped again, in whatever order its decoders came, so cycles end and the work follows the
+number of different layers. Inflated data is scanned in windows of about ``max_inflated`` characters, each cut
+where no secret and no encoded stretch can continue; a window grows as long as there is no such place. Bytes that
+are no text are scanned too, as far as they can be read. A finding inside a layer is mapped to the text through
+every layer in between: by the offsets of the escapes, and to the whole stretch of base64, no part of which can
+be cut out without spoiling the rest.
 
 Defined results: null and empty text have no findings; a text of any length is scanned whole; equal
 spans of one kind count once; rows are independent, so ties and repeated rows need no rule; an empty
@@ -20,14 +21,17 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bz2
 import codecs
 import hashlib
+import lzma
 import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +45,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_HINT = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 LEAST_VALUE = 12
 
-#: Stretches that may hide another layer: words with an escape in them, and runs of the base64 alphabet.
-_WORD = re.compile(r"\S+")
+#: Runs of the base64 alphabet, and escapes.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 #: What may stand between two lines of one base64 text, and such a text's last line.
 _WRAP = re.compile(r"[ \t]*\r?\n[ \t]*")
 _LAST_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_=-])")
+#: What every text with something to unwrap has.
+_HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|&#|[A-Za-z0-9+/_-]{16}")
 #: Characters that belong to no finding and no encoded stretch, also none wrapped over lines.
 _BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:"'%&#;\\\s-]""")
 
@@ -70,33 +75,60 @@ def scan(text: str) -> list[Span]:
     return found
 
 
+def _inflated(make: Callable[[], object], data: bytes) -> Iterator[bytes]:
+    """One member in pieces, and then the rest of the data as the generator's value; None if nothing could be inflated."""
+    stream, left, any_out = make(), data, False
+    try:
+        while not stream.eof:
+            out = stream.decompress(left, CHUNK)
+            # zlib hands back what it has not used, the others keep it
+            left = getattr(stream, "unconsumed_tail", b"")
+            any_out |= bool(out)
+            if out:
+                yield out
+            elif not left and not stream.eof:
+                break
+    except (zlib.error, OSError, lzma.LZMAError, EOFError):
+        if any_out:  # broken further on: what came before counts, and so do the bytes themselves
+            yield b"\n,\n" + data
+            return b""
+    return stream.unused_data if stream.eof else b"" if any_out else None
+
+
 def _members(data: bytes) -> Iterator[bytes]:
     """Compressed data in pieces: all members to their end, and what else is there as it is."""
     while data:
-        if data[:2] != b"\x1f\x8b" and data[:1] != b"\x78":
+        if data[:3] == b"BZh":
+            make = bz2.BZ2Decompressor
+        elif data[:6] == b"\xfd7zXZ\x00":
+            make = lzma.LZMADecompressor
+        elif data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
+            make = lambda: zlib.decompressobj(zlib.MAX_WBITS | 32)
+        elif _bare(data):
+            make = lambda: zlib.decompressobj(-zlib.MAX_WBITS)
+        else:
             yield data
             return
-        for bits in (zlib.MAX_WBITS | 32, -zlib.MAX_WBITS):
-            stream, left, any_out = zlib.decompressobj(bits), data, False
-            try:
-                while not stream.eof:
-                    out = stream.decompress(left, CHUNK)
-                    left = stream.unconsumed_tail
-                    if out:
-                        any_out = True
-                        yield out
-                    elif not left:
-                        break
-                if stream.eof or any_out:
-                    break
-            except zlib.error:
-                if any_out:  # broken further on: what came before counts, and so do the bytes themselves
-                    yield b"\n,\n" + data
-                    return
-        else:
+        rest = yield from _inflated(make, data)
+        if rest is None:
             yield data
             return
-        data = stream.unused_data if stream.eof else b""
+        data = rest
+
+
+def _bare(data: bytes) -> bool:
+    """Whether the data is one deflate stream without a header, to its last byte, and no text as it is."""
+    stream = zlib.decompressobj(-zlib.MAX_WBITS)
+    try:
+        left = data
+        while not stream.eof:
+            out = stream.decompress(left, CHUNK)
+            left = stream.unconsumed_tail
+            if not out and not left:
+                return stream.eof and not stream.unused_data
+        return not stream.unused_data
+    except zlib.error:
+        return False
 
 
 def _windows(pieces: Iterable[bytes], window: int) -> Iterator[str]:
@@ -130,90 +162,78 @@ def unwrap(stretch: str, window: int = MAX_INFLATED) -> Iterator[str]:
     yield from _windows(_members(data), window)
 
 
-def _unescape(kind: str, m: re.Match[str]) -> str:
-    if kind == "url":
-        return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
-    return _char(int(m[1] or m[2] or m[4], 16) if not m[3] else int(m[3]))
+def _char(code: int) -> str:
+    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
-def _char(code: int) -> str:
-    return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"
+def _decoded(kind: str, m: re.Match[str]) -> Iterator[tuple[str, int, int]]:
+    """(text, start, step): the text of an escape in pieces; ``step`` is how far the source goes on with each character, 0 if that varies."""
+    if kind == "uni":
+        yield _char(int(m[1] or m[2] or m[4], 16) if not m[3] else int(m[3])), m.start(), m.end() - m.start()
+        return
+    data = bytes.fromhex(m[0].replace("%", ""))
+    if data.isascii():
+        yield data.decode(), m.start(), 3
+        return
+    try:
+        at = m.start()
+        for c in data.decode():
+            step = 3 * len(c.encode())
+            yield c, at, step
+            at += step
+    except UnicodeDecodeError:
+        yield data.decode("utf-8", "replace"), m.start(), 0
 
 
 Place = Callable[[int, int], tuple[int, int]]
 
 
 class Layer:
-    """A text, where its places are in the first text, and the parts of it that are read for themselves (unescaped words)."""
+    """A text, and where its places are in the first text."""
 
-    __slots__ = ("text", "place", "words", "starts", "seen", "depth")
+    __slots__ = ("text", "place")
 
-    def __init__(self, text: str, place: Place, seen: frozenset[str], depth: int, words: list[tuple[int, int]] | None = None):
-        self.text, self.place, self.words, self.depth = text, place, words, depth
-        self.starts = [a for a, _ in words or ()]
-        self.seen = seen | {text}
+    def __init__(self, text: str, place: Place):
+        self.text, self.place = text, place
+
+    def key(self) -> tuple[int, int, bytes]:
+        """What the layer holds, and the stretch of the first text that it came from."""
+        return *self.place(0, len(self.text)), xxhash.xxh3_128_digest(self.text.encode("utf-8", "surrogatepass"))
 
     def scan(self) -> Iterator[Span]:
-        """Findings with their places in the first text; of an unescaped layer only those that escapes take part in."""
-        if self.words is None:
-            yield from ((*self.place(a, b), kind) for a, b, kind in scan(self.text))
-            return
-        for a, b, kind in scan(self.text):
-            k = bisect_right(self.starts, b - 1) - 1
-            if k >= 0 and self.words[k][1] > a:
-                yield *self.place(a, b), kind
-        for start, end in self.words:
-            yield from ((*self.place(start + a, start + b), kind) for a, b, kind in scan(self.text[start:end]))
+        """Findings with their places in the first text."""
+        yield from ((*self.place(a, b), kind) for a, b, kind in scan(self.text))
 
     def below(self, window: int) -> Iterator[Layer]:
         for kind, pattern, hint in (("url", _PERCENT, "%" in self.text), ("uni", _ESCAPE, "\\" in self.text or "&#" in self.text)):
-            if hint and pattern.search(self.text) and (found := self._unescaped(kind, pattern)):
-                yield found
+            if hint and pattern.search(self.text):
+                yield self._unescaped(kind, pattern)
         for text, a, b in base64_stretches(self.text):
             at = self.place(a, b)
             for inner in unwrap(text, window):
-                if inner and inner not in self.seen:
-                    yield Layer(inner, lambda _a, _b, at=at: at, self.seen, self.depth + 1)
+                if inner:
+                    yield Layer(inner, lambda _a, _b, at=at: at)
 
-    def _unescaped(self, kind: str, pattern: re.Pattern[str]) -> Layer | None:
+    def _unescaped(self, kind: str, pattern: re.Pattern[str]) -> Layer:
         source = self.text
-        # literal and unescaped pieces: where they start here and there, and whether they are literal
-        new, old, literal, out = [], [], [], []
+        # pieces: where they start here and there, and how far the source goes on with each character
+        new, old, steps, out = [], [], [], []
         at = size = 0
         for m in pattern.finditer(source):
-            for piece, start, plain in ((source[at : m.start()], at, True), (_unescape(kind, m), m.start(), False)):
+            for piece, start, step in ((source[at : m.start()], at, 1), *_decoded(kind, m)):
                 if piece:
-                    new.append(size), old.append(start), literal.append(plain), out.append(piece)
+                    new.append(size), old.append(start), steps.append(step), out.append(piece)
                     size += len(piece)
             at = m.end()
         if at < len(source):
-            new.append(size), old.append(at), literal.append(True), out.append(source[at:])
-        text = "".join(out)
-        if text in self.seen or not text:
-            return None
-        # words with escapes: their places in the source, and in the unescaped text
-        first: list[tuple[int, int]] = []
-        for m in pattern.finditer(source):
-            if not first or m.start() >= first[-1][1]:
-                start = m.start()
-                while start and not source[start - 1].isspace():
-                    start -= 1
-                end = _WORD.match(source, start).end()
-                first.append((start, end))
-        begins = [a for a, _ in first]
-
-        def there(place: int) -> int:
-            k = bisect_right(old, place) - 1
-            return new[k] + (place - old[k] if literal[k] else 0)
+            new.append(size), old.append(at), steps.append(1), out.append(source[at:])
+        ends = [*old[1:], len(source)]
 
-        def here(place: int) -> tuple[int, int]:
-            k = bisect_right(new, place) - 1
-            where = old[k] + (place - new[k] if literal[k] else 0)
-            w = bisect_right(begins, where) - 1
-            return first[w] if w >= 0 and where < first[w][1] else (where, where + 1)
+        def place(a: int, b: int) -> tuple[int, int]:
+            i, j = bisect_right(new, a) - 1, bisect_right(new, b - 1) - 1
+            return self.place(old[i] + steps[i] * (a - new[i]), old[j] + steps[j] * (b - new[j]) if steps[j] else ends[j])
 
-        words = [(there(a), there(b) if b < len(source) else len(text)) for a, b in first]
-        return Layer(text, lambda a, b: self.place(here(a)[0], here(b - 1)[1]), self.seen, self.depth + 1, words)
+        return Layer("".join(out), place)
 
 
 def base64_stretches(layer: str) -> Iterator[tuple[str, int, int]]:
@@ -248,13 +268,15 @@ def _joined_lines(layer: str, lines: list[tuple[int, int]]) -> Iterator[tuple[st
 
 
 def layers(text: str, window: int = MAX_INFLATED) -> Iterator[Layer]:
-    """Every layer below the text. Of what is inflated, one window is held at a time."""
-    work = [Layer(text, lambda a, b: (a, b), frozenset(), 0).below(window)]
+    """Every layer below the text, each once. Of what is inflated, one window is held at a time."""
+    first = Layer(text, lambda a, b: (a, b))
+    seen, work = {first.key()}, [first.below(window)]
     while work:
         layer = next(work[-1], None)
         if layer is None:
             work.pop()
-        else:
+        elif layer.text and (key := layer.key()) not in seen:
+            seen.add(key)
             yield layer
             work.append(layer.below(window))
 
@@ -262,9 +284,14 @@ def layers(text: str, window: int = MAX_INFLATED) -> Iterator[Layer]:
 def findings(text: str, most: int = MAX_INFLATED) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): the second adds those that only a lower layer shows."""
     base = scan(text)
+    if not _HINT.search(text):
+        return sorted(base, key=_order), sorted(set(base), key=_order)
     deep = {span for layer in layers(text, most) for span in layer.scan()}
-    order = lambda s: (s[0], KINDS.index(s[2]), s[1])
-    return sorted(base, key=order), sorted(set(base) | deep, key=order)
+    return sorted(base, key=_order), sorted(set(base) | deep, key=_order)
+
+
+def _order(span: Span) -> tuple[int, int, int]:
+    return span[0], KINDS.index(span[2]), span[1]
 
 
 def joined(spans: list[Span]) -> str:

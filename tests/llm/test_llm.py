@@ -335,6 +335,57 @@ def test_secrets_are_unwrapped_whole():
         assert (start, start + len(wrapped)) in kinds(around[0] + wrapped + around[1])
 
 
+def test_secrets_in_many_orders_and_compressions():
+    import bz2
+    import lzma
+    import time
+
+    s = "password=ghijkl0123456789xy"
+    kinds = lambda t: {(a, b) for a, b, k in secrets.findings(t)[1] if k == "assign"}
+    code = lambda data: base64.b64encode(data).decode()
+    bare = zlib.compressobj(wbits=-15)
+    bare = bare.compress(s.encode() * 3) + bare.flush()
+    for data in (bz2.compress(s.encode()) + bz2.compress(b"x"), lzma.compress(s.encode()), bare, zlib.compress(b"x, " * 4_000_000 + s.encode()), f"a\xa0\u200b{s}\x0c".encode()):
+        assert kinds(f"see {code(data)} ok") == {(4, 4 + len(code(data)))}
+    text = "%" + "25" * 20 + "41 &#" + "38;#" * 20 + "65; " + urllib.parse.quote(s)
+    begin = time.time()
+    assert kinds(text) and time.time() - begin < 1
+    for t in ("%25" * 2_000, "%2525%2525" * 500, code(code(b"x" * 99).encode()) * 3):
+        secrets.findings(t)
+    # spans follow the escapes, not the words around them
+    assert kinds("x" * 300 + "/%20" + urllib.parse.quote(s) + "?rest") == {(304, 304 + len(urllib.parse.quote(s)))}
+    assert kinds("words%20before," + s.replace("=", "%3D") + ",after") == {(15, 15 + len(s) + 2)}
+
+
+def test_secrets_against_a_plain_decoder():
+    """Random nestings: every span of a plain recursive search, which only asks whether a secret shows up, covers the wrapped secret."""
+    rng = random.Random(11)
+    wrap = {
+        "url": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+        "some": lambda t: "".join(f"%{b:02x}" if rng.random() < 0.4 else chr(b) for b in t.encode()),
+        "uni": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "html": lambda t: "".join(f"&#{ord(c)};" for c in t),
+        "base64": lambda t: base64.b64encode(t.encode()).decode(),
+        "safe": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+        "zlib": lambda t: base64.b64encode(zlib.compress(t.encode())).decode(),
+        "gzip": lambda t: base64.b64encode(gzip.compress(t.encode())).decode(),
+    }
+    for _ in range(200):
+        inner = rng.choice(["password=ghijkl0123456789xy", "token: \"qrstuvwxyzabcd\"", "AKIA" + "B" * 16])
+        t = inner
+        for _ in range(rng.randint(1, 4)):
+            t = wrap[rng.choice(sorted(wrap))](t)
+        head, tail = rng.choice([("see ", " ok"), ("", ""), ("a, ", ", b"), ("ünï ", "\n")])
+        base, every = secrets.findings(head + t + tail)
+        assert set(base) <= set(every)
+        covered = {i for a, b, _ in every for i in range(a, b)}
+        assert covered & set(range(len(head), len(head) + len(t))), (inner, t)
+        redacted = secrets.masked(head + t + tail, every, "[S]")
+        assert redacted.startswith(head) and redacted.endswith(tail)
+    plain = "x " * 50 + "nothing to see %41 \\u0041 &#65; " + base64.b64encode(b"plain words only here").decode()
+    assert secrets.findings(plain) == ([], [])
+
+
 def test_secret_rows_and_redaction(spark, docs):
     df = frame(spark, [None, "", 'x token = "0123456789abcdef0123" y', "AKIA" + "Z" * 20])
     got = {r.doc_id: r for r in secrets.scan_documents(df).collect()}
