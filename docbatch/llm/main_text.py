@@ -5,9 +5,10 @@ of tag and class names from the root. It has presentations (the sequences of chi
 and contents (hashes of all text in the branch). The presentation importance of a node is the entropy of its
 presentations over the host's pages, its content importance that of its contents: text that every page
 repeats has importance 0, text of one page alone 1. A content has an importance of its own too, by the share
-of the pages that show it. A branch is noise on a page if, over ``LEAST_PAGES`` pages, the importance of its
-content is below ``THRESHOLD`` and so is that of its node, or half of the pages that have the node
-show that content. So a page's own text stays where other pages repeat something.
+of the pages that show it. Shares are taken as if ``UNSEEN`` more pages had other contents, so that the
+evidence of a few pages weighs little and grows with their number. A branch is noise on a page if the
+importance of its content is below ``THRESHOLD`` and so is that of its node, or half of the pages that have
+the node show that content. So a page's own text stays where other pages repeat something.
 
 Nodes whose name alone says what they are need no statistics: menus, headers, footers, side bars, forms,
 scripts, styles, adverts, notices and reader comments have importance 0, an article or main part has
@@ -30,6 +31,7 @@ url makes a host of its own; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -41,7 +43,8 @@ from pyspark.sql import functions as F
 from docbatch.llm.common import staged
 
 THRESHOLD = 0.3
-LEAST_PAGES = 8
+#: Pages with other contents that every node is taken to have besides those seen.
+UNSEEN = 6
 #: Weight of a node's presentation beside its content.
 PRESENTATION = 0.3
 BROADCAST_NODES = 200_000
@@ -97,6 +100,7 @@ class TreeBuilder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("", "", None, "", 0)
+        self.open: Counter[str] = Counter()  # open elements by tag, so that nothing is looked for in vain
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSE_PARAGRAPH:
@@ -111,6 +115,7 @@ class TreeBuilder(HTMLParser):
         self.now.children.append(node)
         if tag not in VOID:
             self.now = node
+            self.open[tag] += 1
 
     def _noise(self, tag: str, role: str, words: str, values: dict[str, str | None], main: int) -> str:
         if tag in HIDDEN or "hidden" in values or values.get("aria-hidden") == "true":
@@ -139,18 +144,28 @@ class TreeBuilder(HTMLParser):
         return False
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
+        """Closes the innermost open element with one of the tags, if no element with a tag of ``stop`` is between."""
+        if not any(self.open[t] for t in tags):
+            return
         node = self.now
         while node.parent is not None and node.tag not in stop:
             if node.tag in tags:
-                self.now = node.parent
+                self._leave(node)
                 return
             node = node.parent
 
+    def _leave(self, node: Node) -> None:
+        while self.now is not node.parent:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
+
     def handle_endtag(self, tag: str) -> None:
+        if tag == "p" and not self.open["p"]:  # the end of no paragraph is an empty one
+            self.handle_starttag("p", [])
         node = self.now
-        while node.parent is not None:
+        while self.open[tag] and node.parent is not None:
             if node.tag == tag:
-                self.now = node.parent
+                self._leave(node)
                 return
             node = node.parent
 
@@ -334,7 +349,7 @@ def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, threshold: float = THRESHOLD) -> DataFrame:
+def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", unseen: int = UNSEEN, threshold: float = THRESHOLD) -> DataFrame:
     """(host, key, importance): branches of each host's tree that are noise."""
     schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("page", pa.int64())])
 
@@ -361,8 +376,8 @@ def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     k_log_k = F.col("k") * F.log(F.col("k").cast("double"))
 
     def entropy(of: F.Column) -> F.Column:
-        m = F.sum(F.when(of, F.col("k"))).cast("double")
-        return F.when(m > 1, 1 - F.sum(F.when(of, k_log_k)) / m / F.log(m)).otherwise(F.lit(1.0))
+        m = F.sum(F.when(of, F.col("k"))).cast("double") + unseen
+        return 1 - F.coalesce(F.sum(F.when(of, k_log_k)), F.lit(0.0)) / m / F.log(m)
 
     kind = F.col("kind")
     nodes = counts.groupBy("host", "path").agg(F.max(F.when(kind == 3, F.col("k"))).alias("pages"), entropy(kind == 0).alias("look"), entropy(kind.isin(1, 2)).alias("content"))
@@ -370,9 +385,9 @@ def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     def importance(content: F.Column) -> F.Column:
         return F.lit(PRESENTATION) * F.col("look") + F.lit(1 - PRESENTATION) * content
 
-    own = importance(1 - F.log(F.col("k").cast("double")) / F.log(F.col("pages").cast("double")))
+    own = importance(1 - F.log(F.col("k").cast("double")) / F.log(F.col("pages") + F.lit(float(unseen))))
     often = (kind == 2) & (2 * F.col("k") >= F.col("pages"))
-    judged = counts.filter(kind.isin(1, 2) & (F.col("k") > 1)).join(nodes.filter(F.col("pages") >= least_pages), ["host", "path"])
+    judged = counts.filter(kind.isin(1, 2) & (F.col("k") > 1)).join(nodes, ["host", "path"])
     judged = judged.withColumn("importance", own).filter((F.col("importance") < threshold) & (often | (importance(F.col("content")) < threshold)))
     return judged.select("host", "path", "kind", "value", "importance").mapInArrow(keys, "host string, key long, importance double")
 

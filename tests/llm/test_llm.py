@@ -425,7 +425,44 @@ def test_main_text(spark):
     rows = [(i, f"http://h.example/{i}", h, "x") for i, h in enumerate(site)] + [(50, None, None, "y"), (51, "http://o.example/", "<p>alone</p>", "z")]
     got = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
     assert got[50] == "" and got[51] == "alone"
-    assert all("own text" in got[i] for i in range(12))
+    assert all(got[i] == f"own text number {i} here" for i in range(12))  # only the tree takes the menu
+
+
+def test_main_text_importance_by_brute_force(spark):
+    """Noise keys against entropies worked out page by page."""
+    import math
+
+    html = [f"<body><div>menu of the site</div><div><p>words {i}</p></div><section class='s{i % 3}'><div>part {i % 3}</div></section></body>" for i in range(20)]
+    rows = [(i, "http://h.example/x", h) for i, h in enumerate(html)] + [(90 + i, "http://g.example/", h) for i, h in enumerate(html[:3])]
+    got = {(r.host, r.key): r.importance for r in main_text.noise_nodes(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {}
+    for host, pages in (("h.example", html), ("g.example", html[:3])):
+        looks, said, seen = {}, {}, {}
+        for h in pages:
+            for path, kind, value in main_text.style_nodes(h)[1]:
+                {0: looks, 3: seen}.get(kind, said).setdefault(path, []).append((kind, value))
+        def entropy(values):
+            n = len(values) + main_text.UNSEEN
+            return (sum(-c / n * math.log(c / n) for c in map(values.count, set(values))) + main_text.UNSEEN / n * math.log(n)) / math.log(n)
+        for path, values in said.items():
+            look = 0.3 * entropy(looks[path])
+            for kind, value in set(values):
+                k = values.count((kind, value))
+                own = look + 0.7 * (1 - math.log(k) / math.log(len(seen[path]) + main_text.UNSEEN))
+                if k > 1 and own < 0.3 and ((kind == 2 and 2 * k >= len(seen[path])) or look + 0.7 * entropy(values) < 0.3):
+                    want[host, main_text.noise_key(path, kind, value)] = own
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_main_text_of_deep_and_broken_pages():
+    import time
+
+    begin = time.time()
+    assert main_text.main_text("<div>" * 50_000 + "deep" + "</span>" * 50_000 + "</div>" * 10) == "deep"
+    assert main_text.main_text("<p>" * 20_000 + "a<li>b<td>c</table></p>d" + "<b>" * 20_000) == "a\n\nb\n\nc\n\nd"
+    assert main_text.main_text("<p>" + "long words " * 300_000) == ("long words " * 300_000).strip()
+    assert time.time() - begin < 20
+    assert main_text.main_text("<") == "<" and main_text.main_text("&lt;&#65;&bogus; <!-- x -->") == "<A&bogus;"
 
 
 def test_main_text_keeps_branches_that_hold_the_content():
