@@ -44,7 +44,7 @@ from docbatch.llm.common import staged
 
 THRESHOLD = 0.3
 #: Pages with other contents that every node is taken to have besides those seen.
-UNSEEN = 6
+UNSEEN = 3
 #: Weight of a node's presentation beside its content.
 PRESENTATION = 0.3
 BROADCAST_NODES = 200_000
