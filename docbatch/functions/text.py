@@ -5,6 +5,8 @@ The white-space and dash classes are written out, since what ``\\s`` covers diff
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,32 +42,56 @@ def norm_sql(s: str) -> str:
     return f"trim(regexp_replace(coalesce({s}, ''), '{WS_SQL}+', ' ', 'g'))"
 
 
-def variant_key(s: Column) -> Column:
-    """Dashes folded to '-' without spaces around them, white space collapsed; case kept. The text is taken as composed."""
+def composed(s: Column) -> Column:
+    """Canonical composition (NFC). Only texts that hold a combining mark leave the JVM, the others pass as nulls."""
+    @F.pandas_udf("string")
+    def compose(values: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
+
+    return F.coalesce(compose(F.when(s.rlike(r"[\p{M}\u1100-\u11ff\u212a\u212b\u2126]"), s)), s)
+
+
+def composed_sql(s: str) -> str:
+    return f"nfc_normalize({s})"
+
+
+def dashes_tight(s: Column) -> Column:
+    """Dashes folded to '-' without spaces around them, white space collapsed; case kept."""
     dashed = F.regexp_replace(norm(s), DASH, "-")
     return F.trim(F.regexp_replace(dashed, f"{WS}*-{WS}*", "-"))
 
 
-def variant_key_sql(s: str) -> str:
+def dashes_tight_sql(s: str) -> str:
     return f"trim(regexp_replace(regexp_replace({norm_sql(s)}, '{DASH_SQL}', '-', 'g'), '{WS_SQL}*-{WS_SQL}*', '-', 'g'))"
 
 
+def variant_key(s: Column) -> Column:
+    """``dashes_tight`` of the composed text: two spellings of one character are one."""
+    return dashes_tight(composed(s))
+
+
+def variant_key_sql(s: str) -> str:
+    return dashes_tight_sql(composed_sql(s))
+
+
 def rule_key(s: Column) -> Column:
-    """``variant_key`` in lower case: two rules with one key are one rule."""
-    return F.lower(variant_key(s))
+    """``dashes_tight`` in lower case: two rules with one key are one rule."""
+    return F.lower(dashes_tight(s))
 
 
 def rule_key_sql(s: str) -> str:
-    return f"lower({variant_key_sql(s)})"
+    return f"lower({dashes_tight_sql(s)})"
 
 
-def flexible_key(s: Column) -> Column:
-    """All separators and dashes removed."""
-    return F.regexp_replace(F.coalesce(s, F.lit("")), FLEX, "")
+def flexible_key(s: Column, compose: bool = False) -> Column:
+    """All separators and dashes removed, of the text as it is or of the composed text."""
+    return F.regexp_replace(F.coalesce(composed(s) if compose else s, F.lit("")), FLEX, "")
 
 
-def flexible_key_sql(s: str) -> str:
-    return f"regexp_replace(coalesce({s}, ''), '{FLEX_SQL}', '', 'g')"
+def flexible_key_sql(s: str, compose: bool = False) -> str:
+    return f"regexp_replace(coalesce({composed_sql(s) if compose else s}, ''), '{FLEX_SQL}', '', 'g')"
 
 
 def count_of(text: Column, needle: Column) -> Column:
@@ -78,7 +104,7 @@ def count_of_sql(text: str, needle: str) -> str:
 
 
 def folded(s: Column) -> Column:
-    """Accents stripped, dashes folded, collapsed, lower case. Accents of Latin letters are mapped; see ``strip_accents`` for all of Unicode."""
+    """Accents stripped, dashes folded, collapsed, lower case."""
     return F.lower(norm(F.regexp_replace(strip_accents(s), DASH, "-")))
 
 
@@ -86,16 +112,25 @@ def folded_sql(s: str) -> str:
     return f"lower({norm_sql(f'regexp_replace(strip_accents(coalesce({s}, chr(32))), {chr(39)}{DASH_SQL}{chr(39)}, {chr(39)}-{chr(39)}, {chr(39)}g{chr(39)})')})"
 
 
-def strip_accents(s: Column) -> Column:
-    """Canonical decomposition without combining marks. Text in ASCII skips Python altogether."""
-    @F.pandas_udf("string")
-    def strip(values: pd.Series) -> pd.Series:
-        import unicodedata
+@lru_cache(maxsize=1)
+def _accents() -> tuple[str, str]:
+    """Characters that decompose to one character and combining marks, with that character; then the marks, which go."""
+    import unicodedata
 
-        return values.map(lambda v: v if v is None or v.isascii() else "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)))
+    plain = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        if not "\ud800" <= c <= "\udfff" and not unicodedata.combining(c):
+            left = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+            if left != c and len(left) == 1:
+                plain[c] = left
+    marks = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.combining(c))
+    return "".join(plain) + marks, "".join(plain.values())
 
-    plain = F.coalesce(s, F.lit(""))
-    return F.when(plain.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(strip(plain))
+
+def strip_accents(s: Column) -> Column:
+    """Canonical decomposition without combining marks, by one translation table; null as empty."""
+    old, new = _accents()
+    return F.translate(F.coalesce(s, F.lit("")), old, new)
 
 
 def tightened(s: Column) -> Column:
@@ -108,18 +143,34 @@ def tightened_sql(s: str) -> str:
 
 
 #: Confusable folds: what each mode maps after lower-casing and dropping all but letters and digits.
-CONFUSABLE = {"o": ("o", "0"), "oi": ("oi", "01"), "oil": ("oil", "011")}
+CONFUSABLE = {"o": ("o", "0"), "oi": ("oi", "01"), "oil": ("oil", "011"), "bar": ("oil", "011")}
 
 
 def confusable_key(s: Column, mode: str = "o") -> Column:
-    """A key in which look-alikes are one: letters and digits of ``tightened``, with o as 0 and, by mode, i and l as 1."""
+    """A key in which look-alikes are one: letters and digits without accents, with o as 0 and, by mode, i and l as 1.
+
+    Mode ``bar`` also takes an upright bar as 1. Spaces and dashes go, so the key of several words is that of
+    each, one after the other.
+    """
+    old, new = CONFUSABLE[mode]
+    plain = F.lower(strip_accents(s))
+    plain = F.translate(plain, "|", "1") if mode == "bar" else plain
+    return F.translate(F.regexp_replace(plain, r"[^a-z0-9]", ""), old, new)
+
+
+def confusable_keys(words: Column, mode: str = "o") -> Column:
+    """``confusable_key`` of each word of an array of words without spaces, by one pass over all of them."""
     old, new = CONFUSABLE[mode]
-    return F.translate(F.regexp_replace(tightened(s), r"[^a-z0-9]", ""), old, new)
+    plain = F.lower(strip_accents(F.array_join(words, " ", "")))
+    plain = F.translate(plain, "|", "1") if mode == "bar" else plain
+    return F.split(F.translate(F.regexp_replace(plain, r"[^a-z0-9 ]", ""), old, new), " ")
 
 
 def confusable_key_sql(s: str, mode: str = "o") -> str:
     old, new = CONFUSABLE[mode]
-    return f"translate(regexp_replace({tightened_sql(s)}, '[^a-z0-9]', '', 'g'), '{old}', '{new}')"
+    plain = f"lower(strip_accents(coalesce({s}, '')))"
+    plain = f"translate({plain}, '|', '1')" if mode == "bar" else plain
+    return f"translate(regexp_replace({plain}, '[^a-z0-9]', '', 'g'), '{old}', '{new}')"
 
 
 _LOW, _HIGH = "abcdefghijklmnopqrstuvwxyzO", "ABCDEFGHIJKLMN0PQRSTUVWXYZ0"
@@ -134,9 +185,11 @@ def code_key_sql(s: str) -> str:
     return f"translate(coalesce({s}, ''), '{_LOW}', '{_HIGH}')"
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length; 0 if either is empty."""
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """1 - edit distance / longer length; 0 if either is empty, or if it is below ``least``, beyond which the distance is not worked out."""
+    longer = F.greatest(F.length(a), F.length(b))
+    distance = F.levenshtein(a, b) if least <= 0 else F.call_function("levenshtein", a, b, F.floor(longer * (1 - least) + 1e-9).cast("int"))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0) | (distance < 0), 0.0).otherwise(1.0 - distance / longer)
 
 
 def similarity_sql(a: str, b: str) -> str:

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
+from docbatch.functions.rows import held
 
 
 @dataclass(frozen=True)
 class FuzzyParams:
-    """One set of thresholds. ``fold`` names the confusable fold, ``window`` the greatest number of words."""
+    """One set of thresholds. ``fold`` names the confusable fold, ``window`` the greatest number of words.
+
+    ``within`` accepts keys that contain the target's; ``length_gap`` bounds the difference in length of others.
+    """
 
     fold: str = "o"
     window: int = 20
@@ -21,70 +29,195 @@ class FuzzyParams:
     slack: int = 30
     iou: float = 0.60
     ratio: float = 0.0
+    within: bool = False
+    length_gap: int | None = None
+    abbreviation: bool = False
 
 
 # The parameter sets in use.
-WORDS = FuzzyParams()
-LINES = FuzzyParams(accept=0.86, least_conf=0)
+WORDS = FuzzyParams(abbreviation=True)
+LINES = FuzzyParams(accept=0.86, least_conf=0, abbreviation=True)
 TITLE_BLOCK = FuzzyParams(window=12, least_conf=55, slack=20)
-LONG_CODE = FuzzyParams(fold="oi", window=32, accept=0.88, least_conf=0)
+LONG_CODE = FuzzyParams(fold="oi", window=32, accept=0.88, least_conf=0, within=True, length_gap=4)
+LONG_CODE_LINES = FuzzyParams(fold="oi", accept=0.86, least_conf=0)
 WIDE = FuzzyParams(fold="oil", window=36, accept=0.86, least_conf=40, slack=50, iou=0.55, ratio=0.80)
+WIDE_LINES = FuzzyParams(fold="oil", accept=0.90, least_conf=0, ratio=0.84)
 TITLE_BLOCK_WIDE = FuzzyParams(window=18, least_conf=55, slack=24, iou=0.55)
-TOKEN_ROWS = FuzzyParams(fold="oil", accept=0.82, least_conf=0)
+TOKEN_ROWS = FuzzyParams(fold="bar", accept=0.82, least_conf=0)
+#: The threshold of ``TOKEN_ROWS`` for keys of twenty characters or more.
+TOKEN_ROWS_LONG = 0.78
+#: Exact codes between words: the greatest window, the least confidence and the slack in characters.
+SAFE_CODE = FuzzyParams(window=12, least_conf=12, slack=80)
+ANCHORS, ANCHOR_LETTERS, ANCHOR_ACCEPT = 4, 3, 0.84
+
 
+def keyed_targets(targets: DataFrame, p: FuzzyParams) -> DataFrame:
+    """(target, t_key); a list of targets is short, so it is broadcast."""
+    return F.broadcast(targets.select("target", T.confusable_key(F.col("target"), p.fold).alias("t_key")).filter("t_key <> ''"))
 
-def plain_key(s: Column, fold: str = "o") -> Column:
-    """The confusable key of words that are ASCII or lose their accents: letters and digits in lower case, look-alikes folded."""
-    old, new = T.CONFUSABLE[fold]
-    return F.translate(F.regexp_replace(F.lower(s), "[^a-z0-9]", ""), old, new)
+
+def accepted(near: DataFrame, p: FuzzyParams) -> DataFrame:
+    """Adds ``similarity`` to rows with key, t_key and target, and keeps what the set accepts.
+
+    The length bound has run before; the edit distance stops beyond what the threshold allows.
+    """
+    score = T.similarity(F.col("key"), F.col("t_key"), p.accept)
+    if p.length_gap is not None:
+        score = F.when(F.abs(F.length("key") - F.length("t_key")) <= p.length_gap, score).otherwise(0.0)
+    if p.within:  # a key that contains the target's counts as equal
+        score = F.when(F.contains("key", "t_key"), 1.0).otherwise(score)
+    near = near.withColumn("similarity", score).filter(F.col("similarity") >= p.accept)
+    return near.filter(T.abbreviation_kept(F.col("target"), F.col("key"))) if p.abbreviation else near
 
 
 def match_lines(lines: DataFrame, targets: DataFrame, p: FuzzyParams = LINES, two: bool = False) -> DataFrame:
-    """(doc_id, line_no, target, similarity): lines, or a line with the next, whose key is similar to a target's.
+    """(doc_id, line_no, lines, target, similarity): lines whose key is similar to a target's.
 
-    Targets are a short list. A length bound runs before the edit distance, and the distance itself stops
-    beyond what the threshold allows.
+    With ``two``, a line that matches alone has ``lines`` 1; of the others those that match together with the
+    next line have 2.
     """
-    text = F.col("line")
+    rows = lines.select("doc_id", "line_no", T.confusable_key(F.col("line"), p.fold).alias("key"))
+    if two:
+        following = F.lead("key").over(Window.partitionBy("doc_id").orderBy("line_no"))
+        rows = rows.withColumn("both", F.concat("key", following)).select("doc_id", "line_no", F.explode(F.array(F.struct(F.lit(1).alias("lines"), "key"), F.struct(F.lit(2).alias("lines"), F.col("both").alias("key")))).alias("k"))
+        rows = rows.select("doc_id", "line_no", "k.lines", "k.key")
+    else:
+        rows = rows.withColumn("lines", F.lit(1))
+    ratio = max(p.accept, p.ratio)
+    near = rows.filter("key <> ''").join(keyed_targets(targets, p), T.length_ratio(F.col("key"), F.col("t_key")) >= ratio)
+    found = accepted(near, p).select("doc_id", "line_no", "lines", "target", "similarity")
     if two:
-        text = F.concat_ws(" ", "line", F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no")))
-    keyed = lines.select("doc_id", "line_no", plain_key(text, p.fold).alias("key")).filter("key <> ''")
-    wanted = F.broadcast(targets.select("target", plain_key(F.col("target"), p.fold).alias("t_key")))
-    near = keyed.join(wanted, T.length_ratio(F.col("key"), F.col("t_key")) >= p.accept)
-    return near.withColumn("similarity", T.similarity(F.col("key"), F.col("t_key"))).filter(F.col("similarity") >= p.accept).select("doc_id", "line_no", "target", "similarity")
+        found = found.groupBy("doc_id", "line_no", "target").agg(F.min(F.struct("lines", "similarity")).alias("m")).select("doc_id", "line_no", "m.lines", "target", "m.similarity")
+    return found
+
+
+def token_lines(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, w): tokens gathered to lines, each an array in the order of words."""
+    return tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("word_no", "word", "x0", "x1", "conf"))).alias("w"))
 
 
-def word_windows(tokens: DataFrame, size: int) -> DataFrame:
-    """(doc_id, line_no, word_no, n, words, x0, x1, conf): every run of 1 to ``size`` words of a line.
+def word_windows(lines: DataFrame, size: int, lengths: tuple[int, int] | None = None, fold: str = "o") -> DataFrame:
+    """(doc_id, line_no, word_no, n, words, key, x0, x1, conf): every run of 1 to ``size`` words of a line.
 
-    Runs are slices of the line's word array, which is built once per line.
+    ``lines`` has (doc_id, line_no, w), w being the words in order, and k, their keys, if they are known. With
+    ``lengths`` only runs whose key has so many characters are made: the lengths of all runs of a batch of lines
+    come from running sums of key lengths, ``size`` array operations for any number of words. Nothing is shuffled.
     """
-    row = F.sort_array(F.collect_list(F.struct("word_no", "word", "x0", "x1", "conf")))
-    lines = tokens.groupBy("doc_id", "line_no").agg(row.alias("w"))
-    starts = lines.select("*", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    runs = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(size), F.size("w") - F.col("i") + 1))).alias("n"))
-    part = F.slice("w", F.col("i"), F.col("n"))
-    return runs.select(
-        "doc_id",
-        "line_no",
-        F.col("w")[F.col("i") - 1]["word_no"].alias("word_no"),
-        "n",
-        F.array_join(F.transform(part, lambda x: x["word"]), " ").alias("words"),
-        F.col("w")[F.col("i") - 1]["x0"].alias("x0"),
-        F.col("w")[F.col("i") + F.col("n") - 2]["x1"].alias("x1"),
-        F.array_min(F.transform(part, lambda x: x["conf"])).alias("conf"),
-    )
-
-
-def match_windows(tokens: DataFrame, targets: DataFrame, p: FuzzyParams = WORDS) -> DataFrame:
+    rows = lines if "k" in lines.columns else lines.withColumn("k", T.confusable_keys(F.col("w.word"), fold))
+    least, most = lengths or (0, 1 << 30)
+    kinds = rows.select("doc_id", "line_no").schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, k = batch.column(2), batch.column(3)
+            count = np.diff(k.offsets.to_numpy())
+            word, key = w.flatten(), k.flatten()
+            conf = word.field("conf").to_numpy()
+            line = np.repeat(np.arange(len(count)), count)
+            last = np.repeat(np.cumsum(count), count)  # the end of each word's line
+            ends = np.r_[0, np.cumsum(pc.utf8_length(key).to_numpy(zero_copy_only=False))]
+            weakest, found = conf.copy(), []
+            for n in range(1, size + 1):
+                at = np.flatnonzero(np.arange(len(conf)) + n <= last)
+                if not len(at):
+                    break
+                weakest[at] = np.minimum(weakest[at], conf[at + n - 1])
+                held = ends[at + n] - ends[at]
+                at = at[(held >= least) & (held <= most)]
+                found.append((at, np.full(len(at), n), weakest[at]))
+            i, n, low = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+            texts, keys = word.field("word").to_pylist(), "".join(key.to_pylist())
+            spans = list(zip(i.tolist(), (i + n).tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(pa.array(line[i])) for c in (0, 1)),
+                    word.field("word_no").take(pa.array(i)),
+                    pa.array(n, pa.int32()),
+                    pa.array([" ".join(texts[a:b]) for a, b in spans], pa.string()),
+                    pa.array([keys[a:b] for a, b in zip(ends[i].tolist(), ends[i + n].tolist(), strict=True)], pa.string()),
+                    word.field("x0").take(pa.array(i)),
+                    word.field("x1").take(pa.array(i + n - 1)),
+                    pa.array(low, pa.int32()),
+                ],
+                names=["doc_id", "line_no", "word_no", "n", "words", "key", "x0", "x1", "conf"],
+            )
+
+    return rows.select("doc_id", "line_no", "w", "k").mapInArrow(run, f"doc_id {kinds['doc_id'].dataType.simpleString()}, line_no {kinds['line_no'].dataType.simpleString()}, word_no int, n int, words string, key string, x0 double, x1 double, conf int")
+
+
+def match_windows(lines: DataFrame, targets: DataFrame, p: FuzzyParams = WORDS) -> DataFrame:
     """The shortest accepted window of each start: similar key, kept abbreviation, and confidence of its weakest word."""
-    keyed = word_windows(tokens, p.window).withColumn("key", plain_key(F.col("words"), p.fold)).filter("key <> ''")
-    wanted = F.broadcast(targets.select("target", plain_key(F.col("target"), p.fold).alias("t_key")))
-    near = keyed.join(wanted, (F.length("key") <= F.length("t_key") + p.slack) & (T.length_ratio(F.col("key"), F.col("t_key")) >= max(p.accept, p.ratio)))
-    near = near.withColumn("similarity", T.similarity(F.col("key"), F.col("t_key")))
-    ok = (F.col("similarity") >= p.accept) & (F.col("conf") >= p.least_conf) & T.abbreviation_kept(F.col("target"), F.col("key"))
-    first = Window.partitionBy("doc_id", "line_no", "word_no", "target").orderBy("n")
-    return near.filter(ok).withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r", "t_key")
+    wanted = keyed_targets(targets, p)
+    ratio = max(p.accept, p.ratio)
+    least, most = F.ceil(F.length("t_key") * ratio - 1e-9), F.least(F.floor(F.length("t_key") / ratio + 1e-9), F.length("t_key") + p.slack)
+    if p.within:
+        most = F.length("t_key") + p.slack
+    span = wanted.agg(F.min(least).alias("least"), F.max(most).alias("most")).first()
+    if span["least"] is None:
+        span = {"least": 0, "most": -1}
+    # a line without a part of any target that its edits must leave alone holds no match
+    keyed = held(lines, "k", T.confusable_keys(F.col("w.word"), p.fold))
+    edits = F.floor((1 - p.accept) * F.floor(F.length("t_key") / p.accept) + 1e-9).cast("int")
+    keyed = keyed.join(wanted, may_hold(F.array_join("k", ""), F.col("t_key"), edits), "left_semi")
+    windows = word_windows(keyed, p.window, (int(span["least"]), int(span["most"])), p.fold).filter(F.col("conf") >= p.least_conf)
+    near = windows.join(wanted, F.length("key").between(least, most))
+    hit = F.min(F.struct("n", "words", "key", "x0", "x1", "conf", "similarity")).alias("hit")
+    return accepted(near, p).groupBy("doc_id", "line_no", "word_no", "target").agg(hit).select("doc_id", "line_no", "word_no", "target", "hit.*")
+
+
+def exact_codes(lines: DataFrame, targets: list[str], p: FuzzyParams = SAFE_CODE) -> DataFrame:
+    """(doc_id, line_no, word_no, n, target, conf): the shortest window of words that holds a code exactly, between characters that continue no code.
+
+    The shortest window has as many words as the code.
+    """
+    out = None
+    for n in sorted({len(t.split()) for t in targets}):
+        wanted = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(f"(?<![A-Z0-9]){T.quoted(code_text(t))}(?![A-Z0-9])").alias("pattern"), F.lit(len(t) + p.slack).alias("most")) for t in targets if len(t.split()) == n))
+        rows = held(word_windows(lines, min(n, p.window)).filter((F.col("n") == n) & (F.col("conf") >= p.least_conf)), "code", T.code_key(F.col("words")))
+        hits = F.filter(wanted, lambda t: F.rlike("code", t["pattern"]) & (F.length("words") <= t["most"]))
+        found = rows.select("doc_id", "line_no", "word_no", "n", F.explode(hits).alias("t"), "conf").select("doc_id", "line_no", "word_no", "n", "t.target", "conf")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def code_text(text: str) -> str:
+    """``functions.text.code_key`` of a literal."""
+    return "".join(c.upper() if c.isascii() else c for c in text).replace("O", "0")
+
+
+def anchor_words(lines: DataFrame, targets: DataFrame, fold: str = "oil", anchors: int = ANCHORS, letters: int = ANCHOR_LETTERS, accept: float = ANCHOR_ACCEPT) -> DataFrame:
+    """(doc_id, target, anchor, line_no, word_no, similarity): for each of a target's longest words the most similar word of a document."""
+    words = F.array_distinct(F.filter(F.transform(F.split("target", r"[\s_]+"), lambda w: T.confusable_key(w, fold)), lambda w: F.length(w) >= letters))
+    longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, anchors)
+    wanted = F.broadcast(targets.select("target", F.explode(longest).alias("a")).select("target", F.col("a.w").alias("anchor")))
+    keyed = lines.select("doc_id", "line_no", F.inline("w")).select("doc_id", "line_no", "word_no", T.confusable_key(F.col("word"), fold).alias("key"))
+    near = keyed.join(wanted, T.length_ratio(F.col("key"), F.col("anchor")) >= accept).withColumn("similarity", T.similarity(F.col("key"), F.col("anchor"), accept)).filter(F.col("similarity") >= accept)
+    best = F.min(F.struct((-F.col("similarity")).alias("loss"), "line_no", "word_no")).alias("b")
+    return near.groupBy("doc_id", "target", "anchor").agg(best).select("doc_id", "target", "anchor", "b.line_no", "b.word_no", (-F.col("b.loss")).alias("similarity"))
+
+
+def locate_words(lines: DataFrame, target: str, p: FuzzyParams = TOKEN_ROWS, long_accept: float = TOKEN_ROWS_LONG) -> DataFrame:
+    """(doc_id, line_no, similarity, first_word, last_word, x0, x1): the best place of a target in a line's joined word keys.
+
+    An exact place wins, else the most similar substring whose length differs by at most three, the first on
+    ties; it is mapped back to the words it touches and their box.
+    """
+    rows = held(lines, "k", T.confusable_keys(F.col("w.word"), p.fold))
+    step = lambda a, k: F.struct((a["at"] + F.length(k)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts"))
+    rows = rows.withColumn("starts", F.aggregate("k", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step, lambda a: a["starts"]))
+    rows = held(held(rows.withColumn("t", T.confusable_key(F.lit(target), p.fold)), "all", F.array_join("k", "")), "starts", F.col("starts"))
+    accept = F.when(F.length("t") >= 20, long_accept).otherwise(p.accept)
+    exact = F.struct(F.lit(0.0).alias("loss"), F.length("t").alias("len"), F.instr("all", F.col("t")).alias("start"))
+    found = F.when(F.contains("all", "t"), exact).otherwise(best_window(F.col("all"), F.col("t"), slack=3, least=min(p.accept, long_accept)))
+    edits = F.floor((1 - F.least(accept, F.lit(p.accept))) * (F.length("t") + 3) + 1e-9).cast("int")
+    rows = rows.filter((F.length("t") > 0) & may_hold(F.col("all"), F.col("t"), edits))
+    rows = held(rows, "b", found)
+    rows = rows.withColumn("similarity", F.when(F.contains("all", "t"), 1.0).otherwise(-F.col("b.loss"))).filter(F.col("similarity") >= accept)
+    at, to = F.col("b.start") - 1, F.col("b.start") - 1 + F.col("b.len")
+    touched = F.filter(F.arrays_zip("w", "starts", "k"), lambda z: (z["starts"] < to) & (z["starts"] + F.length(z["k"]) > at))
+    rows = rows.withColumn("hit", F.transform(touched, lambda z: z["w"]))
+    pick = lambda f, c: f(F.transform("hit", lambda x: x[c]))
+    return rows.select("doc_id", "line_no", "similarity", pick(F.array_min, "word_no").alias("first_word"), pick(F.array_max, "word_no").alias("last_word"), pick(F.array_min, "x0").alias("x0"), pick(F.array_max, "x1").alias("x1"))
 
 
 def suppress(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
@@ -102,22 +235,56 @@ def suppress(boxes: DataFrame, keys: list[str], iou: float) -> DataFrame:
     return grouped.select(*keys, F.explode(kept).alias("k")).select(*keys, F.col("k.c").alias("word_no"), F.col("k.d").alias("n"), F.col("k.x0").alias("x0"), F.col("k.x1").alias("x1"))
 
 
-def best_window(text: Column, target: str, slack: int = 3) -> Column:
-    """The most similar substring whose length differs from the target's by at most ``slack``: (score, length, start), first on ties."""
-    n = len(target)
-    lengths = F.sequence(F.lit(max(1, n - slack)), F.least(F.lit(n + slack), F.length(text)))
-    spans = F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.struct((-T.similarity(F.substring(text, i, k), F.lit(target))).alias("loss"), k.alias("len"), i.alias("start")))))
-    return F.array_min(spans)
+def best_window(text: Column, target: Column, slack: int = 3, least: float = 0.0) -> Column:
+    """The most similar substring whose length differs from the target's by at most ``slack``: (loss, len, start), the shorter and then the first on ties.
+
+    With ``least``, only starts are tried where a part of the target that its edits must leave alone stands
+    nearby; null where there is none.
+    """
+    n = F.length(target)
+    lengths = F.filter(F.sequence(F.greatest(n - slack, F.lit(1)), n + slack), lambda k: k <= F.length(text))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    if least > 0:
+        edits = F.floor((n + slack) * (1 - least) + 1e-9).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), edits), lambda j: _part(target, j, edits))
+        near = lambda i: F.exists(parts, lambda q: F.contains(F.substring(text, F.greatest(i + q["at"] - edits, F.lit(1)), F.length(q["part"]) + 2 * edits), q["part"]))
+        starts = F.filter(starts, near)
+    span = lambda i, k: F.struct((-T.similarity(F.substring(text, i, k), target, least)).alias("loss"), k.alias("len"), i.alias("start"))
+    spans = lambda i: F.transform(F.filter(lengths, lambda k: i + k - 1 <= F.length(text)), lambda k: span(i, k))
+    return F.array_min(F.flatten(F.transform(starts, spans)))
 
 
-def overlap_rejected(boxes: DataFrame, others: DataFrame, keys: list[str], share: float = 0.18, cell: float = 32.0) -> DataFrame:
-    """Boxes that no other box covers by ``share`` of their own length or more: an anti join on grid cells.
+def _part(target: Column, j: Column, edits: Column) -> Column:
+    """Part ``j`` of ``edits`` + 1 about equal parts of the target, and where it is (from 0)."""
+    cut = lambda x: F.floor(x * F.length(target) / (edits + 1)).cast("int")
+    return F.struct(cut(j).alias("at"), F.substring(target, cut(j) + 1, cut(j + 1) - cut(j)).alias("part"))
 
-    Boxes have x0 and x1 on a common line given by ``keys``; a box joins the cells it touches.
+
+def may_hold(text: Column, target: Column, edits: Column) -> Column:
+    """Whether one of ``edits`` + 1 parts of the target stands in the text: else it takes more edits to turn a part of the text into it."""
+    return F.exists(F.transform(F.sequence(F.lit(0), edits), lambda j: _part(target, j, edits)["part"]), lambda p: F.contains(text, p))
+
+
+def best_windows(rows: DataFrame, text: Column, target: str, slack: int = 3, least: float = 0.7) -> DataFrame:
+    """Adds score, len and start of ``best_window`` to the rows where it reaches ``least``; an exact place comes first."""
+    most = F.lit(int((1 - least) * (len(target) + slack) + 1e-9))
+    exact = F.struct(F.lit(-1.0).alias("loss"), F.lit(len(target)).alias("len"), F.instr(text, F.lit(target)).alias("start"))
+    found = held(rows.filter(may_hold(text, F.lit(target), most)), "_b", F.when(F.contains(text, F.lit(target)), exact).otherwise(best_window(text, F.lit(target), slack, least)))
+    return found.select(*rows.columns, (-F.col("_b.loss")).alias("score"), "_b.len", "_b.start").filter(F.col("score") >= least)
+
+
+def overlap_rejected(boxes: DataFrame, others: DataFrame, keys: list[str], own: list[str], share: float = 0.18, cell: float = 32.0) -> DataFrame:
+    """Boxes of which no other box covers ``share`` of the area or more: an anti join on grid cells.
+
+    Boxes have x0, y0, x1 and y1 within ``keys``, and ``own`` names them; a box joins the cells it touches.
     """
-    cells = lambda d: F.sequence(F.floor(F.col("x0") / cell), F.floor(d / cell))
-    a = boxes.withColumn("_cell", F.explode(cells(F.col("x1"))))
-    b = others.select(*keys, F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.explode(cells(F.col("x1"))).alias("_cell"))
-    covered = (F.least("x1", "_x1") - F.greatest("x0", "_x0")) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1e-9)) >= share
-    hit = a.join(b, [*keys, "_cell"]).filter(covered).select(*keys, "word_no").distinct()
-    return boxes.join(hit, [*keys, "word_no"], "left_anti")
+
+    def cells(lo: str, hi: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+
+    a = boxes.withColumn("_cx", cells("x0", "x1")).withColumn("_cy", cells("y0", "y1"))
+    b = others.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")), cells("x0", "x1").alias("_cx")).withColumn("_cy", cells("_y0", "_y1"))
+    cut = lambda c: F.greatest(F.least(f"{c}1", f"_{c}1") - F.greatest(f"{c}0", f"_{c}0"), F.lit(0.0))
+    own_area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9))
+    hit = a.join(b, [*keys, "_cx", "_cy"]).filter(cut("x") * cut("y") / own_area >= share).select(*keys, *own).distinct()
+    return boxes.join(hit, [*keys, *own], "left_anti")

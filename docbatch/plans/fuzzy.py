@@ -1,7 +1,9 @@
-"""Queries of fuzzy matching over recognised tokens."""
+"""Queries of fuzzy matching over recognised tokens, one or more for each parameter set in use."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,24 +14,48 @@ from docbatch.plans.catalog import query
 from docbatch.sources import tables as S
 
 # What is looked for.
-TARGETS = ["of the", "License", "onthe", "in the"]
-TARGETS_SQL = "targets(target) AS (VALUES " + ", ".join(f"('{t}')" for t in TARGETS) + ")"
-SMALL = Z.FuzzyParams(window=3, least_conf=20, slack=2)
+TARGETS = ["of the", "License", "onthe", "in the", "ci\u00f3n de"]
+LONG_TARGETS = ["The_and_attion_to_thanedble_the", "And-therhean is the is esndha"]
+LINE_TARGETS = ["The and attion to thanedble the, anea. Eriner thanea.", "And therhean is the is esndha reedes ha.", "Rrcion boadobo nosll o tan osoar 0sos.", "In in 0redble ea."]
+TWO_LINE_TARGETS = ["Reeeau eau euxouen de ment enaie eoioueau re letre et et. Qui eierceau eneau de.", "Rrcion boadobo nosll o tan osoar osos. Cionmin, asos es.", "And ornd."]
+
+
+def targets_sql(targets: list[str], p: Z.FuzzyParams) -> str:
+    """The targets with their keys and the lengths of keys that may match."""
+    ratio, rows = max(p.accept, p.ratio), []
+    for t in targets:
+        n = len("".join(c for c in t if c.isalnum()))
+        most = n + p.slack if p.within else min(math.floor(n / ratio + 1e-9), n + p.slack)
+        rows.append(f"('{t}', {T.confusable_key_sql(chr(39) + t + chr(39), p.fold)}, {math.ceil(n * ratio - 1e-9)}, {most})")
+    return "targets(target, t_key, least, most) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def score_sql(p: Z.FuzzyParams) -> str:
+    score = T.similarity_sql("key", "t_key")
+    if p.length_gap is not None:
+        score = f"CASE WHEN abs(length(key) - length(t_key)) <= {p.length_gap} THEN {score} ELSE 0.0 END"
+    return f"CASE WHEN contains(key, t_key) THEN 1.0 ELSE {score} END" if p.within else score
+
+
+KEPT_SQL = "(NOT regexp_matches(target, '^[A-Za-z]\\.') OR starts_with(key, lower(target[1])))"
+
+
+def hits_sql(targets: list[str], p: Z.FuzzyParams) -> str:
+    return f"""{S.TOKENS_SQL}, {targets_sql(targets, p)}, keyed AS (SELECT *, {T.confusable_key_sql("word", p.fold)} AS k FROM tokens),
+    seqs AS (SELECT doc_id, line_no, word_no, word, x0, x1, k, row_number() OVER w AS p, sum(length(k)) OVER (w ROWS UNBOUNDED PRECEDING) AS e FROM keyed WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY word_no)),
+    arrays AS (SELECT doc_id, line_no, list(k ORDER BY word_no) AS ks, list(conf ORDER BY word_no) AS cs FROM keyed GROUP BY 1, 2),
+    windows AS (SELECT a.doc_id, a.line_no, a.word_no, b.p - a.p + 1 AS n, a.p AS i, b.p AS j, a.x0, b.x1, b.e - a.e + length(a.k) AS size
+        FROM seqs a JOIN seqs b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.p BETWEEN a.p AND a.p + {p.window - 1} AND b.e - a.e + length(a.k) BETWEEN (SELECT min(least) FROM targets) AND (SELECT max(most) FROM targets)),
+    near AS (SELECT w.*, target, t_key, array_to_string(ks[i:j], '') AS key, list_min(cs[i:j]) AS conf FROM windows w JOIN targets ON size BETWEEN least AND most JOIN arrays USING (doc_id, line_no)),
+    hits AS (SELECT doc_id, line_no, word_no, target, n, key, x0, x1, conf, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, word_no, target ORDER BY n) AS r
+        FROM (SELECT *, {score_sql(p)} AS similarity FROM near WHERE conf >= {p.least_conf}{" AND " + KEPT_SQL if p.abbreviation else ""}) WHERE similarity >= {p.accept}) WHERE r = 1)"""
 
 
-def key_sql(s: str) -> str:
-    return f"translate(regexp_replace(lower({s}), '[^a-z0-9]', '', 'g'), 'o', '0')"
+HITS_SQL = hits_sql(TARGETS, Z.WORDS)
 
 
-WINDOWS_SQL = f"""{S.TOKENS_SQL}, seqs AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY word_no) AS p FROM tokens), windows AS (
-    SELECT a.doc_id, a.line_no, a.word_no, b.p - a.p + 1 AS n, a.word || coalesce(' ' || m.word, '') || CASE WHEN b.p > a.p THEN ' ' || b.word ELSE '' END AS words, a.x0, b.x1, least(a.conf, coalesce(m.conf, 1000), b.conf) AS conf
-    FROM seqs a JOIN seqs b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.p BETWEEN a.p AND a.p + 2
-    LEFT JOIN seqs m ON b.p = a.p + 2 AND m.doc_id = a.doc_id AND m.line_no = a.line_no AND m.p = a.p + 1
-)"""
-HITS_SQL = f"""{WINDOWS_SQL}, {TARGETS_SQL}, keyed AS (SELECT *, {key_sql("words")} AS key FROM windows), near AS (
-    SELECT *, {T.similarity_sql("key", "t_key")} AS similarity FROM keyed JOIN (SELECT target, {key_sql("target")} AS t_key FROM targets)
-    ON key <> '' AND length(key) <= length(t_key) + 2 AND {T.length_ratio_sql("key", "t_key")} >= 0.84
-), hits AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, word_no, target ORDER BY n) AS r FROM near WHERE similarity >= 0.84 AND conf >= 20) WHERE r = 1)"""
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.line_words(S.table(spark, sf_dir, "documents"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,23 +66,56 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lines(S.table(spark, sf_dir, "documents"))
 
 
-def targets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in TARGETS], "target string")
+def targets(spark: SparkSession, found: list[str] = TARGETS) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in found], "target string")
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.match_windows(tokens(spark, sf_dir), targets(spark), SMALL)
+def hits(spark: SparkSession, sf_dir: str, found: list[str] = TARGETS, p: Z.FuzzyParams = Z.WORDS) -> DataFrame:
+    return Z.match_windows(word_lines(spark, sf_dir), targets(spark, found), p)
 
 
-@query("word_windows", f"WITH {WINDOWS_SQL} SELECT doc_id, n::INTEGER AS n, count(*) AS windows, sum(length(words))::BIGINT AS chars, min(conf)::INTEGER AS conf, max(x1 - x0) AS widest FROM windows GROUP BY 1, 2")
+@query(
+    "word_windows",
+    f"""WITH {S.TOKENS_SQL}, seqs AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY word_no) AS p FROM tokens), arrays AS (SELECT doc_id, line_no, list(word ORDER BY word_no) AS ws, list({T.confusable_key_sql("word")} ORDER BY word_no) AS ks, list(conf ORDER BY word_no) AS cs FROM tokens GROUP BY 1, 2),
+    windows AS (SELECT a.doc_id, b.p - a.p + 1 AS n, array_to_string(ks[a.p:b.p], '') AS key, array_to_string(ws[a.p:b.p], ' ') AS words, list_min(cs[a.p:b.p]) AS conf, b.x1 - a.x0 AS wide
+        FROM seqs a JOIN seqs b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND b.p BETWEEN a.p AND a.p + {Z.TITLE_BLOCK.window - 1} JOIN arrays r ON r.doc_id = a.doc_id AND r.line_no = a.line_no)
+    SELECT doc_id, n::INTEGER AS n, count(*) AS windows, sum(length(words))::BIGINT AS chars, min(conf)::INTEGER AS conf, max(wide) AS widest FROM windows WHERE length(key) BETWEEN 1 AND 25 GROUP BY 1, 2""",
+)
 def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Z.word_windows(tokens(spark, sf_dir), 3)
+    w = Z.word_windows(word_lines(spark, sf_dir), Z.TITLE_BLOCK.window, (1, 5 + Z.TITLE_BLOCK.slack))
     return w.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("windows"), F.sum(F.length("words")).alias("chars"), F.min("conf").alias("conf"), F.max(F.col("x1") - F.col("x0")).alias("widest"))
 
 
-@query("fuzzy_windows", f"WITH {HITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, word_no, target, n::INTEGER AS n, round(similarity, 6) AS similarity, conf::INTEGER AS conf FROM hits")
-def fuzzy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir).select("doc_id", "line_no", "word_no", "target", "n", F.round("similarity", 6).alias("similarity"), "conf")
+def _windows(name: str, found: list[str], p: Z.FuzzyParams) -> None:
+    @query(name, f"WITH {hits_sql(found, p)} SELECT doc_id, line_no::INTEGER AS line_no, word_no, target, n::INTEGER AS n, round(similarity, 6) AS similarity, conf::INTEGER AS conf FROM hits")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return hits(spark, sf_dir, found, p).select("doc_id", "line_no", "word_no", "target", "n", F.round("similarity", 6).alias("similarity"), "conf")
+
+
+_windows("fuzzy_windows", TARGETS, Z.WORDS)
+_windows("fuzzy_windows_title_block", TARGETS, Z.TITLE_BLOCK)
+_windows("fuzzy_windows_wide", TARGETS, Z.WIDE)
+_windows("fuzzy_windows_title_block_wide", TARGETS, Z.TITLE_BLOCK_WIDE)
+
+
+@query("fuzzy_long_code", f"WITH {hits_sql(LONG_TARGETS, Z.LONG_CODE)} SELECT doc_id, target, line_no::INTEGER AS line_no, word_no, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY similarity = 1 DESC, similarity DESC, conf DESC, line_no, word_no) AS k FROM hits) WHERE k = 1")
+def fuzzy_long_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long codes: windows that contain the code's key, or are close in key and length; the best of a document."""
+    order = (F.desc(F.col("similarity") == 1), F.desc("similarity"), F.desc("conf"), F.col("line_no"), F.col("word_no"))
+    return ranked_first(hits(spark, sf_dir, LONG_TARGETS, Z.LONG_CODE), ["doc_id", "target"], *order).select("doc_id", "target", "line_no", "word_no", F.round("similarity", 6).alias("similarity"))
+
+
+SAFE_CODES = ["OF", "THE", "DE"]
+
+
+@query(
+    "exact_code_windows",
+    f"""WITH {S.TOKENS_SQL}, c(target) AS (VALUES ('OF'), ('THE'), ('DE')), w AS (SELECT doc_id, line_no, word_no, conf, regexp_extract_all({T.code_key_sql("word")}, '[A-Z0-9]+') AS parts FROM tokens)
+    SELECT doc_id, line_no::INTEGER AS line_no, word_no, 1 AS n, target, conf FROM w JOIN c ON list_contains(parts, replace(target, 'O', '0')) WHERE conf >= {Z.SAFE_CODE.least_conf}""",
+)
+def exact_code_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that stand in a word exactly, where no letter or digit goes on."""
+    return Z.exact_codes(word_lines(spark, sf_dir), SAFE_CODES)
 
 
 @query(
@@ -72,7 +131,7 @@ def fuzzy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o.doc_id, o.line_no::INTEGER AS line_no, o.target, o.word_no, o.n::INTEGER AS n FROM o JOIN last USING (doc_id, line_no, target) WHERE list_contains(kept, o.k)""",
 )
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.suppress(hits(spark, sf_dir), ["doc_id", "line_no", "target"], SMALL.iou).select("doc_id", "line_no", "target", "word_no", "n")
+    return Z.suppress(hits(spark, sf_dir), ["doc_id", "line_no", "target"], Z.WORDS.iou).select("doc_id", "line_no", "target", "word_no", "n")
 
 
 @query("best_match", f"WITH {HITS_SQL} SELECT doc_id, target, line_no::INTEGER AS line_no, word_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY similarity = 1 DESC, similarity DESC, conf DESC, line_no, word_no) AS k FROM hits) WHERE k = 1")
@@ -81,41 +140,44 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_first(hits(spark, sf_dir), ["doc_id", "target"], *order).select("doc_id", "target", "line_no", "word_no")
 
 
-@query("best_match_ranked", f"WITH {HITS_SQL} SELECT doc_id, target, line_no::INTEGER AS line_no, word_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY CASE WHEN conf >= 80 THEN 0 WHEN conf >= 50 THEN 1 ELSE 2 END, x1 - x0, conf DESC, line_no, word_no) AS k FROM hits) WHERE k = 1")
+@query("best_match_ranked", f"WITH {HITS_SQL} SELECT doc_id, target, line_no::INTEGER AS line_no, word_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY CASE WHEN conf >= 80 THEN 0 ELSE 1 END, x1 - x0, conf DESC, line_no, word_no) AS k FROM hits) WHERE k = 1")
 def best_match_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By rank of the source, then the smallest box, then confidence."""
-    rank = F.when(F.col("conf") >= 80, 0).when(F.col("conf") >= 50, 1).otherwise(2)
+    rank = F.when(F.col("conf") >= 80, 0).otherwise(1)
     return ranked_first(hits(spark, sf_dir), ["doc_id", "target"], rank, F.col("x1") - F.col("x0"), F.desc("conf"), F.col("line_no"), F.col("word_no")).select("doc_id", "target", "line_no", "word_no")
 
 
 @query(
     "overlap_anti",
-    f"""WITH {HITS_SQL}, strong AS (SELECT * FROM hits WHERE conf >= 80) SELECT doc_id, line_no::INTEGER AS line_no, word_no, target FROM hits h WHERE conf < 80 AND NOT EXISTS (
-        SELECT 1 FROM strong s WHERE s.doc_id = h.doc_id AND s.line_no = h.line_no AND s.target = h.target AND (least(h.x1, s.x1) - greatest(h.x0, s.x0)) / (h.x1 - h.x0) >= 0.18)""",
+    f"""WITH {HITS_SQL}, t AS (SELECT * FROM tokens WHERE word_no % 5 = 0 AND length(word) > 2)
+    SELECT doc_id, line_no::INTEGER AS line_no, word_no, target FROM hits h WHERE NOT EXISTS (
+        SELECT 1 FROM t WHERE t.doc_id = h.doc_id AND greatest(least(h.x1, t.x1) - greatest(h.x0, t.x0), 0) * greatest(least(10.0 * h.line_no + 8, t.y1 + 1) - greatest(10.0 * h.line_no, t.y0 + 1), 0) / ((h.x1 - h.x0) * 8.0) >= 0.18)""",
 )
 def overlap_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weak matches that no strong one of the same line covers."""
-    h = hits(spark, sf_dir)
-    return Z.overlap_rejected(h.filter("conf < 80"), h.filter("conf >= 80"), ["doc_id", "line_no", "target"]).select("doc_id", "line_no", "word_no", "target")
+    """Matches that no box of the text layer (here every fifth word, a little lower) covers by 18 % of their area."""
+    h = hits(spark, sf_dir).withColumns({"y0": F.lit(10.0) * F.col("line_no"), "y1": F.lit(10.0) * F.col("line_no") + 8})
+    layer = tokens(spark, sf_dir).filter("word_no % 5 = 0 and length(word) > 2").withColumns({"y0": F.col("y0") + 1, "y1": F.col("y1") + 1})
+    return Z.overlap_rejected(h, layer, ["doc_id"], ["line_no", "word_no", "target"]).select("doc_id", "line_no", "word_no", "target")
 
 
-LINE_HITS = """SELECT doc_id, line_no::INTEGER AS line_no, target, round(similarity, 6) AS similarity FROM (
-    SELECT *, {sim} AS similarity FROM (SELECT doc_id, line_no, {key} AS key FROM {rows}) JOIN (SELECT target, {tkey} AS t_key FROM targets) ON key <> '' AND {ratio} >= 0.5) WHERE similarity >= 0.5"""
-_LINE = {"sim": T.similarity_sql("key", "t_key"), "tkey": key_sql("target"), "ratio": T.length_ratio_sql("key", "t_key")}
-NEAR = Z.FuzzyParams(accept=0.5, least_conf=0)
+def _lines(name: str, found: list[str], p: Z.FuzzyParams, two: bool) -> None:
+    both = "SELECT doc_id, line_no, 1 AS lines, key FROM k" + (" UNION ALL SELECT doc_id, line_no, 2, key || lead(key) OVER (PARTITION BY doc_id ORDER BY line_no) FROM k" if two else "")
+    kept = f" AND {KEPT_SQL}" if p.abbreviation else ""
 
+    @query(
+        name,
+        f"""WITH {S.LINES_SQL}, {targets_sql(found, p)}, k AS (SELECT doc_id, line_no, {T.confusable_key_sql("line", p.fold)} AS key FROM lines), b AS ({both}),
+        s AS (SELECT *, {score_sql(p)} AS similarity FROM b JOIN targets ON key <> '' AND {T.length_ratio_sql("key", "t_key")} >= {max(p.accept, p.ratio)}{kept})
+        SELECT doc_id, line_no::INTEGER AS line_no, lines, target, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, target ORDER BY lines) AS r FROM s WHERE similarity >= {p.accept}) WHERE r = 1""",
+    )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Z.match_lines(lines(spark, sf_dir), targets(spark, found), p, two).withColumn("similarity", F.round("similarity", 6))
 
-@query("fuzzy_lines", f"WITH {S.LINES_SQL}, {TARGETS_SQL} " + LINE_HITS.format(key=key_sql("line"), rows="lines", **_LINE))
-def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.match_lines(lines(spark, sf_dir), targets(spark), NEAR).withColumn("similarity", F.round("similarity", 6))
 
-
-@query(
-    "fuzzy_two_lines",
-    f"WITH {S.LINES_SQL}, {TARGETS_SQL}, two AS (SELECT doc_id, line_no, concat_ws(' ', line, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no)) AS line FROM lines) " + LINE_HITS.format(key=key_sql("line"), rows="two", **_LINE),
-)
-def fuzzy_two_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Z.match_lines(lines(spark, sf_dir), targets(spark), NEAR, two=True).withColumn("similarity", F.round("similarity", 6))
+_lines("fuzzy_lines", LINE_TARGETS, Z.LINES, False)
+_lines("fuzzy_lines_wide", LINE_TARGETS, Z.WIDE_LINES, False)
+_lines("fuzzy_lines_long_code", LINE_TARGETS, Z.LONG_CODE_LINES, False)
+_lines("fuzzy_two_lines", TWO_LINE_TARGETS, Z.LINES, True)
 
 
 @query("all_parts", f"WITH {S.LINES_SQL} SELECT doc_id, line_no::INTEGER AS line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM lines WHERE contains(line, 'the') AND contains(line, 'ing') AND contains(line, 'of')) WHERE k <= 4")
@@ -138,33 +200,26 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", "line_no", F.array_join(F.slice(ranked, 1, 4), " ").alias("anchors")).filter("anchors <> ''")
 
 
+ANCHOR_TARGETS = ["Licensed under the License", "The and attion to thanedble the"]
+
+
 @query(
     "anchor_words",
-    f"""WITH {S.TOKENS_SQL}, a(anchor) AS (VALUES ('license'), ('therein'), ('ingress')) SELECT doc_id, anchor, line_no::INTEGER AS line_no, word_no FROM (
-        SELECT doc_id, anchor, line_no, word_no, row_number() OVER (PARTITION BY doc_id, anchor ORDER BY s DESC, line_no, word_no) AS k
-        FROM (SELECT *, {T.similarity_sql("lower(word)", "anchor")} AS s FROM tokens JOIN a ON length(word) BETWEEN 5 AND 9) WHERE s >= 0.7) WHERE k = 1""",
+    f"""WITH {S.TOKENS_SQL}, t(target) AS (VALUES {", ".join(f"('{t}')" for t in ANCHOR_TARGETS)}), w AS (SELECT DISTINCT target, {T.confusable_key_sql("w", "oil")} AS anchor FROM (SELECT target, unnest(string_split_regex(target, '[\\s_]+')) AS w FROM t)),
+    a AS (SELECT target, anchor FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY length(anchor) DESC, anchor) AS r FROM w WHERE length(anchor) >= {Z.ANCHOR_LETTERS}) WHERE r <= {Z.ANCHORS}), k AS (SELECT *, {T.confusable_key_sql("word", "oil")} AS key FROM tokens),
+    near AS (SELECT *, {T.similarity_sql("key", "anchor")} AS s FROM k JOIN a ON {T.length_ratio_sql("key", "anchor")} >= {Z.ANCHOR_ACCEPT})
+    SELECT doc_id, target, anchor, line_no::INTEGER AS line_no, word_no, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target, anchor ORDER BY s DESC, line_no, word_no) AS r FROM near WHERE s >= {Z.ANCHOR_ACCEPT}) WHERE r = 1""",
 )
 def anchor_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best word of a document for each anchor."""
-    a = F.broadcast(spark.createDataFrame([("license",), ("therein",), ("ingress",)], "anchor string"))
-    near = tokens(spark, sf_dir).filter(F.length("word").between(5, 9)).join(a).withColumn("s", T.similarity(F.lower("word"), F.col("anchor"))).filter("s >= 0.7")
-    return ranked_first(near, ["doc_id", "anchor"], F.desc("s"), F.col("line_no"), F.col("word_no")).select("doc_id", "anchor", "line_no", "word_no")
+    """The best word of a document for each of a target's anchors."""
+    return Z.anchor_words(word_lines(spark, sf_dir), targets(spark, ANCHOR_TARGETS)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(
-    "locate_words",
-    f"""WITH {S.TOKENS_SQL}, k AS (SELECT *, coalesce(sum(length(word)) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM tokens),
-    l AS (SELECT doc_id, line_no, instr(string_agg(word, '' ORDER BY word_no), 'ofthe') - 1 AS pos FROM tokens GROUP BY 1, 2)
-    SELECT doc_id, line_no::INTEGER AS line_no, min(word_no) AS first_word, max(word_no) AS last_word, min(x0) AS x0, max(x1) AS x1 FROM k JOIN l USING (doc_id, line_no) WHERE pos >= 0 AND base < pos + 5 AND base + length(word) > pos GROUP BY 1, 2""",
-)
+# the SQL of all substrings of all lines is too slow on whole tables; tests hold these two against brute force
+@query("locate_words")
 def locate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A match in the joined words of a line, mapped back to the words it covers and their box."""
-    t = tokens(spark, sf_dir)
-    order = Window.partitionBy("doc_id", "line_no").orderBy("word_no").rowsBetween(Window.unboundedPreceding, -1)
-    k = t.withColumn("base", F.coalesce(F.sum(F.length("word")).over(order), F.lit(0)))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "word"))), lambda w: w["word"]), "")
-    at = t.groupBy("doc_id", "line_no").agg((F.instr(joined, "ofthe") - 1).alias("at")).filter("at >= 0")
-    return k.join(at, ["doc_id", "line_no"]).filter("base < at + 5 and base + length(word) > at").groupBy("doc_id", "line_no").agg(F.min("word_no").alias("first_word"), F.max("word_no").alias("last_word"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    """The best place of a target in the joined words of every line, with the words it covers and their box."""
+    return Z.locate_words(word_lines(spark, sf_dir), "Licensed under")
 
 
 @query(
@@ -181,17 +236,8 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "line_no", "word_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("row_no", "x0", "cy", "line_no", "word_no")).alias("place"))
 
 
-
-
-
-@query(
-    "fn_best_window",
-    f"""WITH {S.LINES_SQL}, s AS (SELECT doc_id, line_no, regexp_replace(left(line, 60), '[^ -~]', '', 'g') AS s FROM lines WHERE line_no = 1), k AS (SELECT *, unnest(generate_series(5, least(9, length(s)))) AS k FROM s WHERE length(s) >= 5),
-    p AS (SELECT *, unnest(generate_series(1, length(s) - k + 1)) AS i FROM k), q AS (SELECT doc_id, k, i, {T.similarity_sql("substring(s, i, k)", "'License'")} AS v FROM p)
-    SELECT doc_id, round(v, 6) AS score, k::INTEGER AS len, i::INTEGER AS start FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, k, i) AS r FROM q) WHERE r = 1""",
-)
+@query("fn_best_window")
 def fn_best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The substring of a first line's first 60 characters that is most similar to a target."""
-    s = lines(spark, sf_dir).filter("line_no = 1").select("doc_id", F.regexp_replace(F.substring("line", 1, 60), "[^ -~]", "").alias("s")).filter(F.length("s") >= 5)
-    b = s.withColumn("b", Z.best_window(F.col("s"), "License", slack=2))
-    return b.select("doc_id", F.round(-F.col("b.loss"), 6).alias("score"), F.col("b.len").cast("int").alias("len"), F.col("b.start").cast("int").alias("start"))
+    """The substring of every line that is most similar to a target, from the threshold of token rows."""
+    found = Z.best_windows(lines(spark, sf_dir), F.col("line"), "License", slack=3, least=Z.TOKEN_ROWS.accept)
+    return found.select("doc_id", "line_no", F.round("score", 6).alias("score"), F.col("len").cast("int").alias("len"), F.col("start").cast("int").alias("start"))

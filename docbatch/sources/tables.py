@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,13 +71,42 @@ ANNOTS_SQL = r"""raw_annots AS (
 )"""
 
 
+_WORDS = "array<struct<word_no: int, word: string, x0: double, y0: double, x1: double, y1: double, conf: int>>"
+
+
+def line_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, w): the words of each line that has any, with their boxes in a grid of characters, as one array.
+
+    Where words start are running sums over a whole batch of lines, without a shuffle.
+    """
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [t.split(" ") for t in batch.column(2).to_pylist()]
+            count = np.fromiter(map(len, split), np.int64, len(split))
+            flat = [w for words in split for w in words]
+            size = np.fromiter(map(len, flat), np.int64, len(flat))
+            line = np.repeat(np.arange(len(split)), count)
+            first = np.cumsum(count) - count
+            x0 = np.cumsum(size + 1) - size - 1
+            x0 = x0 - x0[first][line] if len(flat) else x0
+            no = np.arange(len(flat)) - first[line] + 1
+            keep = np.flatnonzero(size > 0)
+            line, no, x0, size = line[keep], no[keep], x0[keep].astype(float), size[keep]
+            doc, row = (batch.column(c).to_numpy().astype(np.int64) for c in (0, 1))
+            y0 = 10.0 * row[line]
+            data = [pa.array(no, pa.int32()), pa.array([flat[i] for i in keep.tolist()], pa.string()), pa.array(x0), pa.array(y0), pa.array(x0 + size), pa.array(y0 + 8), pa.array((doc[line] * 31 + row[line] * 7 + no) % 101, pa.int32())]
+            held = np.bincount(line, minlength=len(split))
+            some = pa.array(np.flatnonzero(held))
+            words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(held[held > 0])], pa.int32()), pa.StructArray.from_arrays(data, names=["word_no", "word", "x0", "y0", "x1", "y1", "conf"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), words], names=["doc_id", "line_no", "w"])
+
+    return lines(docs).filter("line <> ''").select("doc_id", "line_no", "line").mapInArrow(place, f"doc_id long, line_no int, w {_WORDS}")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, word_no, word, x0, y0, x1, y1, conf): words of lines with boxes in a grid of characters."""
-    words = lines(docs).select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("i", "word"), F.split("line", " ").alias("all"))
-    before = F.aggregate(F.slice("all", 1, F.col("i")), F.lit(0), lambda a, w: a + F.length(w) + 1)
-    out = words.withColumn("word_no", (F.col("i") + 1).cast("int")).withColumn("x0", before.cast("double"))
-    out = out.filter("word <> ''").withColumn("x1", F.col("x0") + F.length("word"))
-    return out.select("doc_id", "line_no", "word_no", "word", "x0", (F.lit(10.0) * F.col("line_no")).alias("y0"), "x1", (F.lit(10.0) * F.col("line_no") + 8).alias("y1"), F.expr("cast(pmod(doc_id * 31 + line_no * 7 + word_no, 101) as int)").alias("conf"))
+    return line_words(docs).select("doc_id", "line_no", F.inline("w"))
 
 
 TOKENS_SQL = (

@@ -100,3 +100,47 @@ def test_entry_without_the_optional_part(spark, monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "rule_hits" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
     sys.modules.pop("__spark_entry__", None)
+
+
+def plain_similarity(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+    return 1 - d[-1] / max(len(a), len(b)) if a and b else 0.0
+
+
+def test_best_windows_against_all_substrings(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("Liecns Xy") for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["a Lizense b", "Licnse", "xxLicenseyy", "", None, "éé Licénse"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = {r.i: (round(r.score, 9), r.len, r.start) for r in Z.best_windows(df, F.col("s"), "License", 3, 0.7).collect()}
+    want = {}
+    for i, s in enumerate(texts):
+        if s and "License" in s:
+            want[i] = (1.0, 7, s.index("License") + 1)
+        elif s:
+            spans = [(-plain_similarity(s[a : a + k], "License"), k, a + 1) for k in range(4, 11) for a in range(len(s) - k + 1)]
+            if spans and -min(spans)[0] >= 0.7:
+                want[i] = (round(-min(spans)[0], 9), *min(spans)[1:])
+    assert got == want and len(want) > 3
+
+
+def test_located_words_against_all_substrings(spark):
+    words = lambda *ws: [(i + 1, w, float(10 * i), float(10 * i + 8), 50) for i, w in enumerate(ws)]
+    rows = [(1, 1, words("a", "Lic", "ensed", "under")), (1, 2, words("Lioensed", "und", "er")), (2, 1, words("nothing", "here")), (2, 2, words("|1censed", "umder", "x"))]
+    df = spark.createDataFrame(rows, "doc_id int, line_no int, w array<struct<word_no: int, word: string, x0: double, x1: double, conf: int>>")
+    got = {(r.doc_id, r.line_no): (round(r.similarity, 3), r.first_word, r.last_word, r.x0, r.x1) for r in Z.locate_words(df, "Licensed under").collect()}
+    assert got[1, 1] == (1.0, 2, 4, 10.0, 38.0) and got[1, 2] == (0.923, 1, 3, 0.0, 28.0) and (2, 1) not in got and got[2, 2][0] >= 0.82
+
+
+def test_accents_and_composition(spark):
+    import unicodedata
+
+    texts = ["Éàñ ǘ Ṩ", unicodedata.normalize("NFD", "Éàñ – x"), "ñ", "Ω Å", "漢字 й", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = df.select(T.strip_accents(F.col("s")), T.composed(F.col("s")), T.variant_key(F.col("s")), T.flexible_key(F.col("s"), True)).collect()
+    for t, (plain, whole, variant, flexible) in zip(texts, got, strict=True):
+        assert plain == "".join(c for c in unicodedata.normalize("NFD", t or "") if not unicodedata.combining(c))
+        assert whole == (t and unicodedata.normalize("NFC", t)) and unicodedata.is_normalized("NFC", variant) and unicodedata.is_normalized("NFC", flexible)
