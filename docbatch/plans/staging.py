@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/docbatch-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -43,8 +47,40 @@ def staged_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFram
 
 def released(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing will read again, as after a round of an iteration."""
-    hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/docbatch-" in path:
-            place = hadoop(path)
-            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Paths of the tables staged within each open ``scratch``, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables staged within, at its end, but for those given to the function that it yields.
+
+    What is kept belongs to the scope around, if there is one. Rows that are returned must come from kept tables alone.
+    """
+    own: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 2)[-2] for f in df.inputFiles())
+        return df
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            if path.rsplit("/", 1)[-1] not in kept:
+                _delete(spark, path)
+            elif _scopes:
+                _scopes[-1].append(path)
