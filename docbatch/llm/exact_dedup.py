@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docbatch.llm.common import join_counted, slices, staged
-from docbatch.plans.staging import staged_with
+from docbatch.plans.staging import scratch, staged_with
 
 #: Fingerprints that a block holds on average.
 BLOCK_ROWS = 65_536
@@ -158,8 +158,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     while number in map(str.lower, docs.columns):
         number += "_"
     numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    found = _classes(numbered.select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    dropped = staged(found.filter("not kept").select(F.col("row").alias(number)), "copies")
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return numbered.join(dropped, number, "left_anti").drop(number)
+    with scratch(docs.sparkSession) as keep:
+        found = _classes(numbered.select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+        dropped = keep(staged(found.filter("not kept").select(F.col("row").alias(number)), "copies"))
+        n = dropped.count()
+    return numbered.join(F.broadcast(dropped) if n <= BROADCAST_ROWS else dropped, number, "left_anti").drop(number)

@@ -43,13 +43,15 @@ from docbatch.llm.common import join_counted, slices, staged, texts
 from docbatch.llm.pieces import mixed
 from docbatch.llm.shingles import shingle_sets
 from docbatch.operators.components import connected_components
-from docbatch.plans.staging import staged_with
+from docbatch.plans.staging import scratch, staged_with
 
 COUNTERS = 1 << 20
 SLICES = 64
 #: Postings of a hash range, about; a range with many times more holds a shingle that very many sets post.
-RANGE_POSTINGS = 1_000_000
-HOT_RANGE = 8
+RANGE_POSTINGS = 250_000
+HOT_RANGE = 32
+#: Characters of a run of texts, and postings that a task holds.
+RUN_CHARS, RUN_POSTINGS = 500_000, 500_000
 #: Sets of a block of a large group.
 BLOCK = 1024
 FANOUT = 8
@@ -99,7 +101,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(COUNTERS, dtype=np.uint32)
-        for keys, values in slices(batches, 1_000_000):
+        for keys, values in slices(batches, RUN_CHARS):
             sets = shingle_sets(values)
             n = len(sets)
             counters += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
@@ -148,14 +150,14 @@ def postings(docs: DataFrame, ranks: bytes, bits: int, clashing: frozenset[int]
             return pa.RecordBatch.from_arrays([pa.array([int(block[a]) for a, _ in ends], pa.int64()), pa.array([h[a:b].tobytes() for a, b in ends], pa.binary()), pa.array([s[a:b].tobytes() for a, b in ends], pa.binary())], schema=schema)
 
         size = 0
-        for _, values in slices(batches, 1_000_000):
+        for _, values in slices(batches, RUN_CHARS):
             for s in shingle_sets(values):
                 if len(s):
                     n = len(s) - (-(-80 * len(s) // 100)) + 1
                     first = s[np.lexsort((s, rank[(s >> np.uint64(44)).astype(np.int64)]))[:n]]
                     held[identity(s, clashing)[0]] = first
                     size += n
-            if size > 1_000_000:
+            if size > RUN_POSTINGS:
                 yield flush()
                 size = 0
         yield flush()
@@ -400,7 +402,7 @@ def delivered(asked: DataFrame, docs: DataFrame, ids: DataFrame, clashing: froze
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for keys, values in slices(batches, 1_000_000):
+        for keys, values in slices(batches, RUN_CHARS):
             sets, names, keep = shingle_sets(values), keys.field("set").to_pylist(), []
             for k, s in enumerate(sets):
                 if names[k] not in seen and identity(s, clashing)[0] == names[k]:
@@ -571,16 +573,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             raise RuntimeError(f"{CLASHES} or more names of sets clash")
         name = F.when(F.col("set").isin(list(clashing)), F.col("check")).otherwise(F.col("set"))
         sized, sets = sized.withColumn("set", name), sets.withColumn("set", name)
-    posted = staged(postings(docs, ranks, int((total["posted"] or 0) // RANGE_POSTINGS).bit_length(), clashing), "postings")
-    component = set_components(docs, sets, posted, clashing)
-    own = sets.select("set", "id", "copies")
-    if component is None:
-        named = own.withColumnRenamed("id", "component_id")
-    else:
-        own = staged(own.join(component, "set", "left").withColumn("component", F.coalesce("component", "set")), "named-sets")
-        smallest = own.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
-        named = join_counted(own, staged(smallest, "smallest"), "component", "m", total["n"])
-    named = staged(named.select("set", "component_id", "copies"), "named")
+    with scratch(docs.sparkSession) as keep:
+        posted = staged(postings(docs, ranks, int((total["posted"] or 0) // RANGE_POSTINGS).bit_length(), clashing), "postings")
+        component = set_components(docs, sets, posted, clashing)
+        own = sets.select("set", "id", "copies")
+        if component is None:
+            named = own.withColumnRenamed("id", "component_id")
+        else:
+            own = staged(own.join(component, "set", "left").withColumn("component", F.coalesce("component", "set")), "named-sets")
+            smallest = own.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+            named = join_counted(own, staged(smallest, "smallest"), "component", "m", total["n"])
+        named = keep(staged(named.select("set", "component_id", "copies"), "named"))
     linked = join_counted(sized.filter("n > 0").select("id", "set", "n"), named, "set", "copies", total["n"]).select("id", "n", "component_id")
     alone = sized.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
@@ -595,14 +598,15 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     while number in map(str.lower, docs.columns):
         number += "_"
     numbered, seen = staged_with(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    keyed = numbered.select(F.col(number).alias("row"), F.col(text_col).alias("text"))
-    found = staged(near_classes(keyed, "row", "text").filter("n_shingles > 0").select("row", F.col("component_id").alias("component")), "near-rows")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = join_counted(found, staged(sizes, "near-groups"), "component", "m", seen["n"])
-    members = staged(members.join(numbered.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("id")), "row"), "near-members")
-    first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    dropped, seen = staged_with(members.select("row").join(first.select("first.row"), "row", "left_anti"), "near-copies")
-    dropped = dropped.withColumnRenamed("row", number)
+    with scratch(docs.sparkSession) as keep:
+        keyed = numbered.select(F.col(number).alias("row"), F.col(text_col).alias("text"))
+        found = staged(near_classes(keyed, "row", "text").filter("n_shingles > 0").select("row", F.col("component_id").alias("component")), "near-rows")
+        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        members = join_counted(found, staged(sizes, "near-groups"), "component", "m", seen["n"])
+        members = staged(members.join(numbered.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("id")), "row"), "near-members")
+        first = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+        dropped, seen = staged_with(members.select("row").join(first.select("first.row"), "row", "left_anti"), "near-copies")
+        dropped = keep(dropped).withColumnRenamed("row", number)
     if seen["n"] <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
     return numbered.join(dropped, number, "left_anti").select(*docs.columns)

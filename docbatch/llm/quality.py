@@ -33,6 +33,8 @@ SAMPLE = 20_000
 FEATURES = 256
 RIDGE = 1e-3
 THRESHOLD = 0.3
+#: Characters of a run of texts: the arrays of a run take some hundred bytes a character.
+RUN_CHARS = 500_000
 
 CLASSES = ("upper", "lower", "wide_letter", "digit", "space", "line_end", "mark", "strong_mark", "symbol", "pipe", "other")
 _N = len(CLASSES)
@@ -161,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     chosen = chosen.select(F.struct(F.col("y"), (F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(10)) < 7).alias("in_fit")).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, values in slices(batches):
+        for keys, values in slices(batches, RUN_CHARS):
             yield pa.RecordBatch.from_arrays([keys.field("y"), keys.field("in_fit"), pa.array(list(statistics(values)), pa.list_(pa.float64()))], names=["y", "in_fit", "x"])
 
     rows = staged(chosen.mapInArrow(measure, "y double, in_fit boolean, x array<double>"), "quality").coalesce(16)
@@ -219,7 +221,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     schema = pa.schema([(id_col, pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, values in slices(batches, 2_000_000):
+        for keys, values in slices(batches, RUN_CHARS):
             s = model.score(statistics(values))
             yield arrow_rows(keys, schema, score=s, predicted=(s >= threshold).astype(np.int32))
 
@@ -235,7 +237,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", thre
         data = values.fillna("").tolist()
         start = held = 0
         for i in range(len(data) + 1):
-            if i == len(data) or held > 2_000_000:
+            if i == len(data) or held > RUN_CHARS:
                 if i > start:
                     out[start:i] = model.score(statistics(data[start:i])) >= threshold
                 start, held = i, 0
