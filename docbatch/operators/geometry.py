@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbatch.operators.components import connected_components
+from docbatch.plans.staging import staged
 
 FAMILY = ["page_no", "color", "width"]
 
@@ -23,52 +26,170 @@ def union_boxes(strokes: DataFrame, keys: list[str]) -> DataFrame:
     return strokes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-def gap_pairs(strokes: DataFrame, keys: list[str], limit: float) -> DataFrame:
-    """(*keys, a, b): pairs of marks of one family whose boxes are at most ``limit`` apart.
+def gap_pairs(strokes: DataFrame, keys: list[str], limit: float | Column) -> DataFrame:
+    """(*keys, a, b): pairs of marks of one family whose boxes are at most ``limit`` apart; the limit may differ between families.
 
     A grid join: boxes grown by half the limit join the cells they touch, so only neighbours meet. A
     pair that meets in several cells is taken in the first of them, so nothing has to be made distinct.
     """
-    half = limit / 2
-    lo = lambda c: F.floor((F.col(c) - half) / limit)
-    hi = lambda c: F.floor((F.col(c) + half) / limit)
-    s = strokes.select(*keys, "stroke", "x0", "y0", "x1", "y1", lo("x0").alias("cx"), lo("y0").alias("cy"), F.explode(F.sequence(lo("x0"), hi("x1"))).alias("gx"))
+    limit = F.lit(limit) if isinstance(limit, float) else limit
+    lo = lambda c: F.floor((F.col(c) - F.col("limit") / 2) / F.col("limit"))
+    hi = lambda c: F.floor((F.col(c) + F.col("limit") / 2) / F.col("limit"))
+    s = strokes.select(*keys, "stroke", "x0", "y0", "x1", "y1", limit.alias("limit"))
+    s = s.select("*", lo("x0").alias("cx"), lo("y0").alias("cy"), F.explode(F.sequence(lo("x0"), hi("x1"))).alias("gx"))
     s = s.select("*", F.explode(F.sequence(F.col("cy"), hi("y1"))).alias("gy"))
     a, b = s.alias("a"), s.alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "gx", "gy"]]
     dx = F.greatest(F.col("a.x0") - F.col("b.x1"), F.col("b.x0") - F.col("a.x1"), F.lit(0.0))
     dy = F.greatest(F.col("a.y0") - F.col("b.y1"), F.col("b.y0") - F.col("a.y1"), F.lit(0.0))
     first = (F.col("a.gx") == F.greatest("a.cx", "b.cx")) & (F.col("a.gy") == F.greatest("a.cy", "b.cy"))
-    pairs = a.join(b, [*on, F.col("a.stroke") < F.col("b.stroke"), first, dx * dx + dy * dy <= limit * limit])
+    pairs = a.join(b, [*on, F.col("a.stroke") < F.col("b.stroke"), first, dx * dx + dy * dy <= F.col("a.limit") * F.col("a.limit")])
     return pairs.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.stroke").alias("a"), F.col("b.stroke").alias("b"))
 
 
-def components(strokes: DataFrame, keys: list[str], limit: float) -> DataFrame:
+def components(strokes: DataFrame, keys: list[str], limit: float | Column) -> DataFrame:
     """(*keys, stroke, component): marks connected by gaps up to the limit; ids of marks are unique over all families."""
     label = connected_components(gap_pairs(strokes, keys, limit), "a", "b")
     return strokes.select(*keys, "stroke").join(label.withColumnRenamed("node", "stroke"), "stroke", "left").withColumn("component", F.coalesce("component", "stroke"))
 
 
-def evaluate_families(strokes: DataFrame, keys: list[str], limit: float, page_w: float, page_h: float) -> DataFrame:
-    """One row per family with the first test that it fails, or ``accepted``."""
-    label = components(strokes, keys, limit)
-    sizes = label.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy(*keys).agg(F.sum("m").alias("n"), F.max_by("component", F.struct("m", (-F.col("component")).alias("c"))).alias("component"), F.max("m").alias("main"))
-    box = strokes.join(label, [*keys, "stroke"]).join(main.select(*keys, "component"), [*keys, "component"], "left_semi")
-    box = box.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum(area()).alias("ink"))
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    e = main.join(box, keys)
+def component_boxes(strokes: DataFrame, keys: list[str], limit: float | Column) -> DataFrame:
+    """(*keys, component, m, x0, y0, x1, y1): the parts of each family with their size and box."""
+    label = components(strokes, keys, limit).select("stroke", "component")
+    return union_boxes(strokes.join(label, "stroke"), [*keys, "component"]).withColumnRenamed("n", "m")
+
+
+def evaluate_families(strokes: DataFrame, keys: list[str], page_w: float, page_h: float, limit: float | Column | None = None) -> DataFrame:
+    """One row per family with the first test that it fails, or ``accepted``. The gap limit follows the line width unless it is given.
+
+    The area that the main part covers is worked out only for families that pass the tests before.
+    """
+    label = components(strokes, keys, gap_limit(F.col("line_width")) if limit is None else limit)
+    marked = staged(strokes.join(label.select("stroke", "component"), "stroke"), "family-parts")
+    parts = union_boxes(marked, [*keys, "component"])
+    first = F.max_by(F.struct("component", "x0", "y0", "x1", "y1"), F.struct("n", (-F.col("component")).alias("c")))
+    rows = parts.groupBy(*keys).agg(F.max("n").alias("main"), first.alias("b"), F.sum("n").alias("n")).select(*keys, "n", "main", "b.*")
+    w, h = F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0)), F.greatest(F.col("y1") - F.col("y0"), F.lit(1.0))
+    share = area() / max(1.0, page_w * page_h)
     reason = (
-        F.when(~F.col("n").between(20, 1200), "count")
+        F.when(F.col("n") < 20, "few")
+        .when(F.col("n") > 1200, "many")
         .when(F.col("main") < 20, "main")
         .when(F.col("main") / F.col("n") < 0.90, "dispersed")
         .when((w < 40) | (h < 40), "small")
-        .when(~(w * h / (page_w * page_h)).between(0.00015, 0.08), "area")
-        .when(F.col("ink") / (w * h) > 0.25, "dense")
-        .when(F.least(w, h) / F.greatest(w, h) < 0.10, "aspect")
+        .when(share < 0.00015, "tiny")
+        .when(share > 0.08, "huge")
+    )
+    rows = staged(rows.withColumn("reason", reason).withColumns({"w": w, "h": h}), "families")
+    passed = rows.filter("reason is null").select(*keys, "component")
+    covered = rect_union_area(marked.join(passed, [*keys, "component"], "left_semi"), keys).withColumnRenamed("area", "ink")
+    rest = (
+        F.when(F.col("ink") / F.greatest(area(), F.lit(1.0)) > 0.25, "dense")
+        .when(F.least("w", "h") / F.greatest("w", "h") < 0.10, "aspect")
+        .when(F.col("n") - F.col("main") > F.greatest(F.lit(2), F.floor(F.col("n") * 0.05)), "outside")
         .otherwise("accepted")
     )
-    return e.select(*keys, "n", "main", reason.alias("reason"))
+    return rows.join(covered, keys, "left").select(*keys, "n", "main", F.coalesce("reason", rest).alias("reason"))
+
+
+def evaluate_pending(strokes: DataFrame, keys: list[str], page_area: float, limit: float = 18.5) -> DataFrame:
+    """(*keys, parts, members, pending): families of 40 to 400 marks in two to eight parts, each of at least 20 marks, 30 wide and high and no narrower than a tenth, that take 1.5 % of the page at most."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    sound = (F.col("m") >= 20) & (w >= 30) & (h >= 30) & (F.least(w, h) / F.greatest(w, h) >= 0.10)
+    out = component_boxes(strokes, keys, limit).groupBy(*keys).agg(F.count(F.lit(1)).alias("parts"), F.sum("m").alias("members"), F.bool_and(sound).alias("sound"), F.sum(area()).alias("ink"))
+    pending = F.col("members").between(40, 400) & F.col("parts").between(2, 8) & F.col("sound") & (F.col("ink") / max(1.0, page_area) <= 0.015)
+    return out.select(*keys, "parts", "members", pending.alias("pending"))
+
+
+def refine_parts(strokes: DataFrame, page: str, keys: list[str], evidence: DataFrame) -> DataFrame:
+    """(*keys, parts, covered, accepted, only): families in two to twelve parts of at least 20 marks that cover 95 %, all touching the page's evidence box.
+
+    The parts' union must hold the evidence or lie in it, with a pad of 12 % and 8. ``only``: the page has no other such family.
+    """
+    boxes = component_boxes(strokes, keys, gap_limit(F.col("line_width"))).join(evidence.select(page, *(F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1"))), page)
+    big = F.col("m") >= 20
+    meets = (F.col("x0") <= F.col("ex1")) & (F.col("x1") >= F.col("ex0")) & (F.col("y0") <= F.col("ey1")) & (F.col("y1") >= F.col("ey0"))
+    of_big = lambda f, c: f(F.when(big, F.col(c))).alias(c)
+    out = boxes.groupBy(*keys, "ex0", "ey0", "ex1", "ey1").agg(
+        F.count_if(big).alias("parts"), F.sum("m").alias("n"), (F.sum(F.when(big, F.col("m")).otherwise(0)) / F.sum("m")).alias("covered"), F.bool_and(~big | meets).alias("near"),
+        of_big(F.min, "x0"), of_big(F.min, "y0"), of_big(F.max, "x1"), of_big(F.max, "y1"),
+    )
+    pad = F.greatest(F.col("ex1") - F.col("ex0"), F.col("ey1") - F.col("ey0")) * 0.12 + 8
+    own, ev = ("x0", "y0", "x1", "y1"), ("ex0", "ey0", "ex1", "ey1")
+    held = contains_box(ev, own, pad) | contains_box(own, ev, pad)
+    ok = F.col("n").between(40, 5000) & F.col("parts").between(2, 12) & (F.col("covered") >= 0.95) & F.col("near") & F.coalesce(held, F.lit(False))
+    out = out.withColumn("accepted", ok)
+    only = F.col("accepted") & (F.count_if("accepted").over(Window.partitionBy(page)) == 1)
+    return out.select(*keys, "parts", "covered", "accepted", only.alias("only"))
+
+
+def contains_box(outer: tuple[str, ...], inner: tuple[str, ...], pad: Column) -> Column:
+    o, i = [F.col(c) for c in outer], [F.col(c) for c in inner]
+    return (i[0] >= o[0] - pad) & (i[1] >= o[1] - pad) & (i[2] <= o[2] + pad) & (i[3] <= o[3] + pad)
+
+
+def evaluate_coverage(strokes: DataFrame, page: str, evidence: DataFrame, least: int = 20, span: float = 0.55) -> DataFrame:
+    """(page, inside, outside, coverage_x, coverage_y, accepted): marks that touch the page's evidence box, and how much of it they span on both axes.
+
+    Accepted with at least ``least`` marks inside, none outside, a union within the padded evidence, both
+    spans from ``span`` on, and line widths within half a unit or 35 % of the widest.
+    """
+    rows = strokes.join(evidence.select(page, *(F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1"))), page)
+    inside = (F.col("x0") <= F.col("ex1")) & (F.col("x1") >= F.col("ex0")) & (F.col("y0") <= F.col("ey1")) & (F.col("y1") >= F.col("ey0"))
+    of = lambda f, c, n: f(F.when(inside, F.col(c))).alias(n)
+    out = rows.groupBy(page, "ex0", "ey0", "ex1", "ey1").agg(
+        F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"), of(F.min, "x0", "x0"), of(F.min, "y0", "y0"), of(F.max, "x1", "x1"), of(F.max, "y1", "y1"),
+        of(F.min, "line_width", "thin"), of(F.max, "line_width", "thick"),
+    )
+    w, h = F.greatest(F.col("ex1") - F.col("ex0"), F.lit(1.0)), F.greatest(F.col("ey1") - F.col("ey0"), F.lit(1.0))
+    cut = lambda c: F.greatest(F.least(f"{c}1", f"e{c}1") - F.greatest(f"{c}0", f"e{c}0"), F.lit(0.0))
+    out = out.withColumns({"coverage_x": F.coalesce(cut("x") / w, F.lit(0.0)), "coverage_y": F.coalesce(cut("y") / h, F.lit(0.0))})
+    held = contains_box(("ex0", "ey0", "ex1", "ey1"), ("x0", "y0", "x1", "y1"), F.greatest(w, h) * 0.08 + 3)
+    even = F.col("thick") - F.col("thin") <= F.greatest(F.lit(0.5), F.col("thick") * 0.35)
+    ok = (F.col("inside") >= least) & (F.col("outside") == 0) & held & (F.col("coverage_x") >= span) & (F.col("coverage_y") >= span) & even
+    return out.select(page, "inside", "outside", "coverage_x", "coverage_y", F.coalesce(ok, F.lit(False)).alias("accepted"))
+
+
+def visible_share(prefix: str, page_w: float, page_h: float) -> Column:
+    """Share of the boxes' area that lies on the page; an aggregate."""
+    x0, y0, x1, y1 = (F.col(f"{prefix}{c}") for c in ("x0", "y0", "x1", "y1"))
+    whole = F.greatest(x1 - x0, F.lit(0.0)) * F.greatest(y1 - y0, F.lit(0.0))
+    seen = F.greatest(F.least(x1, F.lit(page_w)) - F.greatest(x0, F.lit(0.0)), F.lit(0.0)) * F.greatest(F.least(y1, F.lit(page_h)) - F.greatest(y0, F.lit(0.0)), F.lit(0.0))
+    return F.when(F.sum(whole) > 0, F.sum(F.when(whole > 0, seen).otherwise(0.0)) / F.sum(whole)).otherwise(0.0)
+
+
+def choose_frame(strokes: DataFrame, keys: list[str], matrix: tuple[float, ...], page_w: float, page_h: float, evidence: tuple[float, float, float, float]) -> DataFrame:
+    """(*keys, raw, changed, frame): the frame of coordinates in which the boxes are on the page, the raw one unless the other is clearly better.
+
+    Better is a share of visible area more than a quarter higher, or boxes that meet the evidence only after
+    the change and then lie on the page for 98 %, where the raw ones do not.
+    """
+    m = matrix
+    xs = [F.col(a) * m[0] + F.col(b) * m[2] + m[4] for a in ("x0", "x1") for b in ("y0", "y1")]
+    ys = [F.col(a) * m[1] + F.col(b) * m[3] + m[5] for a in ("x0", "x1") for b in ("y0", "y1")]
+    rows = strokes.withColumns({"tx0": F.least(*xs), "ty0": F.least(*ys), "tx1": F.greatest(*xs), "ty1": F.greatest(*ys)})
+    e = [F.lit(v) for v in evidence]
+    hit = lambda p: F.bool_or((F.col(f"{p}x0") <= e[2]) & (F.col(f"{p}x1") >= e[0]) & (F.col(f"{p}y0") <= e[3]) & (F.col(f"{p}y1") >= e[1]))
+    out = rows.groupBy(*keys).agg(visible_share("", page_w, page_h).alias("raw"), visible_share("t", page_w, page_h).alias("changed"), hit("").alias("raw_hit"), hit("t").alias("changed_hit"))
+    better = (F.col("changed") > F.col("raw") + 0.25) | (~F.col("raw_hit") & F.col("changed_hit") & (F.col("changed") >= 0.98) & (F.col("raw") < 0.98))
+    return out.select(*keys, "raw", "changed", F.when(better, "transformed").otherwise("raw").alias("frame"))
+
+
+def evaluate_scallops(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, middle, share, accepted): groups of arcs whose chord ratios are those of scallops: median, share in the band, size, aspect and small members.
+
+    ``marks`` has x0, y0, x1, y1 and ``ratio``.
+    """
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    out = marks.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("ratio", F.lit(0.5)).alias("middle"), F.avg(F.col("ratio").between(0.68, 0.84).cast("double")).alias("share"),
+        (F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h"),
+        F.max(w).alias("widest"), F.max(h).alias("highest"), F.percentile(w, F.lit(0.5)).alias("mid_w"), F.percentile(h, F.lit(0.5)).alias("mid_h"),
+    )
+    ok = (F.col("n") >= 6) & (F.col("w") >= 20) & (F.col("h") >= 15) & (F.col("w") / F.col("h")).between(0.3, 3.5)
+    ok &= F.col("middle").between(0.70, 0.82) & (F.col("share") >= 0.85) & (F.greatest(F.col("widest") / F.col("w"), F.col("highest") / F.col("h")) <= 0.55)
+    ok &= (F.col("w") / F.greatest("mid_w", F.lit(1e-9)) >= 3) & (F.col("h") / F.greatest("mid_h", F.lit(1e-9)) >= 3)
+    return out.select(*keys, "middle", "share", ok.alias("accepted"))
 
 
 def interval_union(rows: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
@@ -100,16 +221,98 @@ def endpoint_pairs(paths: DataFrame, keys: list[str], tolerance: float) -> DataF
     return pairs.select(*(F.col(f"a.{k}").alias(k) for k in keys), F.col("a.path").alias("a"), F.col("b.path").alias("b")).distinct()
 
 
-def chain_evaluation(paths: DataFrame, keys: list[str], tolerance: float, least: int) -> DataFrame:
-    """One row per chain of touching paths: members, whether every member touches two others, and whether it is a closed cycle."""
+def chains(paths: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """The paths with ``component``, their chain of touching paths, and ``degree``, the number of others they touch."""
     pairs = endpoint_pairs(paths, keys, tolerance)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("degree"))
     label = connected_components(pairs, "a", "b").withColumnRenamed("node", "path")
-    rows = paths.select(*keys, "path").join(label, "path", "left").join(degree, "path", "left")
-    rows = rows.select(*keys, F.coalesce("component", "path").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    out = rows.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("members"), F.min("degree").alias("least"), F.max("degree").alias("most"))
-    closed = (F.col("members") >= least) & (F.col("least") == 2) & (F.col("most") == 2)
-    return out.select(*keys, "component", "members", closed.alias("closed"))
+    rows = paths.join(label, "path", "left").join(degree, "path", "left")
+    return rows.withColumns({"component": F.coalesce("component", "path"), "degree": F.coalesce("degree", F.lit(0))})
+
+
+@dataclass(frozen=True)
+class ChainLimits:
+    """What a closed chain may look like: members, least size (of the page's shorter side), greatest size, greatest member, and kinds of segments."""
+
+    least: int = 12
+    most: int = 80
+    small: float = 55.0
+    small_share: float = 0.020
+    large: float = 900.0
+    large_share: float = 0.28
+    member: float = 55.0
+    member_share: float = 0.025
+    curves: float = 1.5
+    lines: float = 0.35
+
+
+def evaluate_chains(paths: DataFrame, keys: list[str], tolerance: float, page_w: float, page_h: float, p: ChainLimits = ChainLimits()) -> DataFrame:
+    """(*keys, component, members, closed, accepted): chains in which every member touches two others, and of these the ones within the limits.
+
+    ``paths`` has path, sx, sy, ex, ey, curves, lines and line_width; a path's box is that of its ends.
+    """
+    x0, x1, y0, y1 = F.least("sx", "ex"), F.greatest("sx", "ex"), F.least("sy", "ey"), F.greatest("sy", "ey")
+    wide = F.when(F.col("line_width") > 0, F.col("line_width"))
+    out = chains(paths, keys, tolerance).groupBy(*keys, "component").agg(
+        F.count(F.lit(1)).alias("members"), F.min("degree").alias("low"), F.max("degree").alias("high"), (F.max(x1) - F.min(x0)).alias("w"), (F.max(y1) - F.min(y0)).alias("h"),
+        F.max(F.greatest(x1 - x0, y1 - y0)).alias("member"), F.sum("curves").alias("curves"), F.sum("lines").alias("lines"), F.coalesce(F.max(wide) - F.min(wide), F.lit(0.0)).alias("spread"),
+    )
+    short, long = max(1.0, min(page_w, page_h)), max(page_w, page_h)
+    closed = (F.col("low") == 2) & (F.col("high") == 2)
+    ok = closed & F.col("members").between(p.least, p.most) & (F.least("w", "h") >= max(p.small, short * p.small_share)) & (F.greatest("w", "h") <= min(p.large, long * p.large_share))
+    ok &= (F.col("member") <= max(p.member, short * p.member_share)) & (F.col("curves") >= F.col("members") * p.curves) & (F.col("lines") <= F.col("members") * p.lines) & (F.col("spread") <= 1e-4)
+    return out.select(*keys, "component", "members", closed.alias("closed"), ok.alias("accepted"))
+
+
+@dataclass(frozen=True)
+class CycleLimits:
+    """What a cycle may look like: members, segments of a member and the share that has them, share near the border, and a member's greatest span."""
+
+    least: int = 20
+    most: int = 5000
+    detail: str = "curves"
+    segments: int = 2
+    share: float = 0.90
+    size: float = 20.0
+    band: float = 0.10
+    border: float = 0.90
+    span: float = 0.03
+
+
+#: Cycles of curves, and of polygons.
+CURVED, POLYGON = CycleLimits(), CycleLimits(detail="lines", segments=4, share=0.85, span=0.12)
+
+
+def prove_cycles(paths: DataFrame, keys: list[str], tolerance: float, p: CycleLimits = CURVED) -> DataFrame:
+    """(*keys, paths, nodes, reason): whether all paths of a key form one cycle: nodes and edges equal in number, every node of degree two, connected, along the border of the whole.
+
+    Ends that fall into one cell of the tolerance, rounded, are one node.
+    """
+    x0, x1, y0, y1 = F.least("sx", "ex"), F.greatest("sx", "ex"), F.least("sy", "ey"), F.greatest("sy", "ey")
+    node = lambda x, y: F.struct(F.round(F.col(x) / tolerance).cast("long").alias("x"), F.round(F.col(y) / tolerance).cast("long").alias("y"))
+    rows = chains(paths, keys, tolerance).withColumns({"bx0": x0, "bx1": x1, "by0": y0, "by1": y1, "a": node("sx", "sy"), "b": node("ex", "ey")})
+    box = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("paths"), F.countDistinct("component").alias("parts"), F.bool_or(F.col("a") == F.col("b")).alias("loop"), F.min("bx0").alias("X0"), F.max("bx1").alias("X1"), F.min("by0").alias("Y0"), F.max("by1").alias("Y1"),
+        F.avg((F.col(p.detail) >= p.segments).cast("double")).alias("detailed"), F.percentile(p.detail, F.lit(0.5)).alias("middle"), F.max(F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"))).alias("span"),
+    )
+    degrees = rows.select(*keys, F.explode(F.array("a", "b")).alias("node")).groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("d"))
+    degrees = degrees.groupBy(*keys).agg(F.count(F.lit(1)).alias("nodes"), F.min("d").alias("low"), F.max("d").alias("high"))
+    cx, cy, w, h = (F.col("bx0") + F.col("bx1")) / 2, (F.col("by0") + F.col("by1")) / 2, F.col("X1") - F.col("X0"), F.col("Y1") - F.col("Y0")
+    near = F.least((cx - F.col("X0")) / w, (F.col("X1") - cx) / w, (cy - F.col("Y0")) / h, (F.col("Y1") - cy) / h) <= p.band
+    border = rows.join(box.filter((w > 0) & (h > 0)).select(*keys, "X0", "X1", "Y0", "Y1"), keys).groupBy(*keys).agg(F.avg(near.cast("double")).alias("border"))
+    least = F.least(w, h)
+    reason = (
+        F.when(~F.col("paths").between(p.least, p.most), "count")
+        .when((F.col("detailed") < p.share) | (F.col("middle") < p.segments), "detail")
+        .when(least <= p.size, "small")
+        .when(F.col("loop"), "loop")
+        .when((F.col("nodes") != F.col("paths")) | (F.col("low") != 2) | (F.col("high") != 2), "degree")
+        .when(F.col("parts") != 1, "parts")
+        .when(F.coalesce("border", F.lit(0.0)) < p.border, "border")
+        .when(F.col("span") > least * p.span + 2, "span")
+        .otherwise("cycle")
+    )
+    return box.join(degrees, keys).join(border, keys, "left").select(*keys, "paths", "nodes", reason.alias("reason"))
 
 
 # --- sparse grids -------------------------------------------------------------------------------
@@ -148,6 +351,37 @@ def roughness(cells: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("change", F.coalesce(change, F.lit(0))).groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), (F.sum("change") / F.count(F.lit(1))).alias("roughness"))
 
 
+@dataclass(frozen=True)
+class GridLimits:
+    """Which components of a grid count: area, width and height, density, share of the grid, and roughness."""
+
+    area: int = 250
+    side: int = 50
+    density: float = 0.20
+    fraction: float = 0.70
+    roughness: float = 0.03
+
+
+def grid_parts(cells: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(*keys, component, first, area, w, h, roughness) of the 4-connected components; ``first`` is the place of their first cell."""
+    own = grid_components(cells, keys, width)
+    rough = roughness(own, [*keys, "component"]).select(*keys, "component", "roughness")
+    size = lambda v: (F.max(v) - F.min(v) + 1).cast("long")
+    parts = own.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("area"), size("x").alias("w"), size("y").alias("h"), F.min(F.col("y") * width + F.col("x")).cast("long").alias("first"))
+    return parts.join(rough, [*keys, "component"])
+
+
+def filter_grid(parts: DataFrame, cells: int, p: GridLimits = GridLimits()) -> DataFrame:
+    """The components of a grid of so many cells that are large, thin and rough enough."""
+    box = F.col("w") * F.col("h")
+    return parts.filter((F.col("area") >= p.area) & (F.col("w") >= p.side) & (F.col("h") >= p.side) & (F.col("area") <= p.density * box) & (box <= p.fraction * cells) & (F.col("roughness") >= p.roughness))
+
+
+def coarse_then_fine(coarse: DataFrame, fine: DataFrame, keys: list[str]) -> DataFrame:
+    """What the coarse scale found, and what the fine one found for keys where that is nothing."""
+    return coarse.withColumn("scale", F.lit("coarse")).unionByName(fine.join(coarse.select(*keys).distinct(), keys, "left_anti").withColumn("scale", F.lit("fine")))
+
+
 def difference(before: DataFrame, after: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Cells whose value changed by at least so much; a missing cell is 0."""
     both = before.select(*keys, "x", "y", F.col("value").alias("b")).join(after.select(*keys, "x", "y", F.col("value").alias("a")), [*keys, "x", "y"], "full")

@@ -123,12 +123,13 @@ TOKENS_SQL = (
 
 
 def strokes(lineitem: DataFrame) -> DataFrame:
-    """(page_no, color, width, stroke, x0, y0, x1, y1): line items as strokes; a supplier is a page."""
+    """(page_no, color, width, line_width, stroke, x0, y0, x1, y1): line items as strokes; a supplier is a page."""
     days = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
     return lineitem.select(
         F.col("l_suppkey").alias("page_no"),
         F.col("l_returnflag").alias("color"),
         F.col("l_linestatus").alias("width"),
+        F.when(F.col("l_linestatus") == "F", 0.1).otherwise(0.0).alias("line_width"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("stroke"),
         (days / F.lit(20.0)).alias("x0"),
         F.col("l_quantity").alias("y0"),
@@ -138,7 +139,7 @@ def strokes(lineitem: DataFrame) -> DataFrame:
 
 
 STROKES_SQL = """strokes AS (
-    SELECT l_suppkey AS page_no, l_returnflag AS color, l_linestatus AS width, l_orderkey * 8 + l_linenumber AS stroke,
+    SELECT l_suppkey AS page_no, l_returnflag AS color, l_linestatus AS width, CASE WHEN l_linestatus = 'F' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS line_width, l_orderkey * 8 + l_linenumber AS stroke,
            date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 20.0::DOUBLE AS x0, l_quantity AS y0,
            date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 20.0::DOUBLE + 1 + 20 * l_tax AS x1, l_quantity + 1 + 20 * l_discount AS y1
     FROM lineitem
@@ -146,14 +147,13 @@ STROKES_SQL = """strokes AS (
 
 
 def cells(lineitem: DataFrame) -> DataFrame:
-    """(doc_id, x, y, value): a sparse grid for each return flag."""
-    kept = lineitem.filter("l_discount >= 0.09")
-    return kept.groupBy(F.col("l_returnflag").alias("doc_id"), F.expr("cast(l_partkey % 200 as int)").alias("x"), F.expr("cast(l_quantity as int)").alias("y")).agg(F.count(F.lit(1)).alias("value"))
+    """(doc_id, x, y, value): a sparse grid of all its items for each supplier."""
+    return lineitem.groupBy(F.col("l_suppkey").alias("doc_id"), F.expr("cast(l_partkey % 200 as int)").alias("x"), F.expr("cast(l_quantity as int)").alias("y")).agg(F.count(F.lit(1)).alias("value"))
 
 
 CELLS_SQL = """cells AS (
-    SELECT l_returnflag AS doc_id, (l_partkey % 200)::INTEGER AS x, l_quantity::INTEGER AS y, count(*) AS value
-    FROM lineitem WHERE l_discount >= 0.09 GROUP BY 1, 2, 3
+    SELECT l_suppkey AS doc_id, (l_partkey % 200)::INTEGER AS x, l_quantity::INTEGER AS y, count(*) AS value
+    FROM lineitem GROUP BY 1, 2, 3
 )"""
 
 

@@ -144,3 +144,110 @@ def test_accents_and_composition(spark):
     for t, (plain, whole, variant, flexible) in zip(texts, got, strict=True):
         assert plain == "".join(c for c in unicodedata.normalize("NFD", t or "") if not unicodedata.combining(c))
         assert whole == (t and unicodedata.normalize("NFC", t)) and unicodedata.is_normalized("NFC", variant) and unicodedata.is_normalized("NFC", flexible)
+
+
+FAMILIES = "page_no int, color string, width string, line_width double, stroke long, x0 double, y0 double, x1 double, y1 double"
+
+
+def random_strokes(seed):
+    """Families of every kind: chains, clusters of several parts, dense, flat, few and scattered ones."""
+    rng, rows = random.Random(seed), []
+
+    def add(page, color, x, y, w, h, width=0.0):
+        rows.append((page, color, "w", width, len(rows), x, y, x + w, y + h))
+
+    for page in range(3):
+        for kind in "abcdefgh":
+            n = {"a": 30, "b": 60, "c": 45, "d": 19, "e": 40, "f": 25, "g": 80, "h": 50}[kind]
+            ox, oy = rng.uniform(0, 300), rng.uniform(0, 200)
+            for i in range(n):
+                if kind in "abd":  # a chain round a square
+                    t, side = 4 * i / n % 1, 4 * i // n
+                    x, y = ((t, 0), (1, t), (1 - t, 1), (0, 1 - t))[side]
+                    add(page, kind, ox + 60 * x, oy + 60 * y, 4, 4, 0.2 if kind == "b" else 0.0)
+                elif kind in "ceg":  # two or more parts
+                    add(page, kind, ox + 90 * (i % (2 if kind != "e" else 4)) + rng.uniform(0, 35), oy + rng.uniform(0, 35), 3, 3)
+                elif kind == "f":  # flat
+                    add(page, kind, ox + 4 * i, oy + rng.uniform(0, 3), 4, 1)
+                else:  # dense
+                    add(page, kind, ox + rng.uniform(0, 45), oy + rng.uniform(0, 45), 20, 20)
+    return rows
+
+
+def plain_parts(rows, limit):
+    gap = lambda a, b: (max(a[5] - b[7], b[5] - a[7], 0) ** 2 + max(a[6] - b[8], b[6] - a[8], 0) ** 2) ** 0.5
+    left, out = list(rows), []
+    while left:
+        part = [left.pop()]
+        for p in part:
+            near = [q for q in left if gap(p, q) <= limit]
+            left = [q for q in left if q not in near]
+            part += near
+        out.append(part)
+    return sorted(out, key=lambda p: (-len(p), min(r[4] for r in p)))
+
+
+def plain_box(part):
+    return min(r[5] for r in part), min(r[6] for r in part), max(r[7] for r in part), max(r[8] for r in part)
+
+
+def plain_area(part):
+    xs = sorted({v for r in part for v in (r[5], r[7])})
+    total = 0.0
+    for a, b in zip(xs, xs[1:], strict=False):
+        at = -1e9
+        for y0, y1 in sorted((r[6], r[8]) for r in part if r[5] <= a and r[7] >= b):
+            total += max(0.0, y1 - max(at, y0)) * (b - a)
+            at = max(at, y1)
+    return total
+
+
+def by_family(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r[0], r[1]), []).append(r)
+    return out
+
+
+def test_family_evaluation_by_brute_force(spark):
+    rows = random_strokes(3)
+
+    def verdict(own):
+        n, width = len(own), own[0][3]
+        if n < 20 or n > 1200:
+            return "few" if n < 20 else "many"
+        main = plain_parts(own, max(8, min(22, width * 30 + 8)))[0]
+        x0, y0, x1, y1 = plain_box(main)
+        w, h, box = x1 - x0, y1 - y0, (x1 - x0) * (y1 - y0)
+        tests = [(len(main) < 20, "main"), (len(main) / n < 0.9, "dispersed"), (w < 40 or h < 40, "small"), (box / 6e5 < 0.00015, "tiny"), (box / 6e5 > 0.08, "huge")]
+        tests += [(plain_area(main) / box > 0.25, "dense"), (min(w, h) / max(w, h) < 0.1, "aspect"), (n - len(main) > max(2, n // 20), "outside"), (True, "accepted")]
+        return next(name for bad, name in tests if bad)
+
+    got = {(r.page_no, r.color): r.reason for r in G.evaluate_families(spark.createDataFrame(rows, FAMILIES), G.FAMILY, 1000.0, 600.0).collect()}
+    want = {k: verdict(own) for k, own in by_family(rows).items()}
+    assert got == want and {"accepted", "few", "dispersed", "dense"} <= set(want.values())
+
+
+def test_pending_and_refined_families_by_brute_force(spark):
+    rows = random_strokes(4)
+    df = spark.createDataFrame(rows, FAMILIES)
+    got = {(r.page_no, r.color): (r.parts, r.members, r.pending) for r in G.evaluate_pending(df, G.FAMILY, 6e5).collect()}
+    evidence = {p: plain_box([r for r in rows if r[0] == p and r[1] == "g"]) for p in range(3)}
+    boxes = spark.createDataFrame([(p, *map(float, b)) for p, b in evidence.items()], "page_no int, x0 double, y0 double, x1 double, y1 double")
+    refined = {(r.page_no, r.color): (r.parts, round(r.covered, 9), r.accepted, r.only) for r in G.refine_parts(df, "page_no", G.FAMILY, boxes).collect()}
+    inside = lambda o, i, pad: i[0] >= o[0] - pad and i[1] >= o[1] - pad and i[2] <= o[2] + pad and i[3] <= o[3] + pad
+    accepted = {}
+    for key, own in by_family(rows).items():
+        parts, sides = plain_parts(own, 18.5), lambda b: (b[2] - b[0], b[3] - b[1])
+        spans = [sides(plain_box(p)) for p in parts]
+        sound = all(len(p) >= 20 and min(s) >= 30 and min(s) / max(s) >= 0.1 for p, s in zip(parts, spans, strict=True))
+        assert got[key] == (len(parts), len(own), 40 <= len(own) <= 400 and 2 <= len(parts) <= 8 and sound and sum(a * b for a, b in spans) / 6e5 <= 0.015)
+        big = [p for p in plain_parts(own, max(8, min(22, own[0][3] * 30 + 8))) if len(p) >= 20]
+        share, e = sum(map(len, big)) / len(own), evidence[key[0]]
+        meets = all(b[0] <= e[2] and b[2] >= e[0] and b[1] <= e[3] and b[3] >= e[1] for b in map(plain_box, big))
+        union, pad = plain_box(sum(big, [])) if big else None, max(sides(e)) * 0.12 + 8
+        accepted[key] = 40 <= len(own) <= 5000 and 2 <= len(big) <= 12 and share >= 0.95 and meets and (inside(e, union, pad) or inside(union, e, pad))
+        assert refined[key][:3] == (len(big), round(share, 9), accepted[key])
+    for key, (*_, only) in refined.items():
+        assert only == (accepted[key] and sum(v for k, v in accepted.items() if k[0] == key[0]) == 1)
+    assert any(p for *_, p in got.values()) and any(accepted.values())
