@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 AREAS = ("rules", "edits", "annotations", "telemetry", "intake", "fuzzy", "geometry", "text_functions", "streams")
 
 _QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         _QUERIES[name] = f
         if sql:
-            _SQL[name] = sql
+            SQL[name] = sql
         return f
 
     return register
@@ -41,4 +41,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_SQL)
+    return dict(SQL)

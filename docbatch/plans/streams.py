@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbatch.plans.catalog import query
+from docbatch.plans import telemetry  # noqa: F401  its SQL is that of the streams, too
+from docbatch.plans.catalog import SQL, query
 from docbatch.plans.staging import shared_dir
+from docbatch.sources import tables as S
 from docbatch.streaming import events as E
 
 
@@ -35,3 +37,77 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_mark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of start and end marks kept in keyed state."""
     return finished(E.paired_marks(source(spark, sf_dir), "user_id", "click", "purchase"))
+
+
+def results(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream of whole or updated results has come to: of complete results the last batch, of updates the last row of each key, or all rows."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/docbatch-stream-{uuid.uuid4().hex}"
+    E.run_to_batches(stream, f"{base}/out", f"{base}/state", mode)
+    rows = spark.read.schema(stream.schema.add("_batch", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out/*")
+    if mode == "complete":
+        return rows.join(F.broadcast(rows.agg(F.max("_batch").alias("_batch"))), "_batch", "left_semi").drop("_batch")
+    if keys:
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in (*keys, "_batch"))), "_batch").alias("r")).select(*keys, "r.*")
+    return rows.drop("_batch")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream as runs, a day each."""
+    rows = source(spark, sf_dir)
+    return rows.select(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), "event_id", "ts", F.col("user_id").alias("file"), F.col("event_type").alias("stage"), F.col("value").alias("ms"))
+
+
+@query("stream_quiet_sessions", SQL["quiet_sessions"])
+def stream_quiet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a file until two hours pass without an event, as a stream."""
+    out = results(E.quiet_sessions(runs(spark, sf_dir), "file", "2 hours"), "complete")
+    return out.select("file", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "quiet_at")), "n")
+
+
+@query("stream_debounce_last", SQL["debounce_last"])
+def stream_debounce_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes less than 150 s apart are one, as a stream; the last of them is written."""
+    return results(E.quiet_sessions(runs(spark, sf_dir), "run_id", "150 seconds"), "complete").select("run_id", "event_id", F.col("n").alias("merged"))
+
+
+@query("stream_latest_cycle", SQL["latest_cycle"])
+def stream_latest_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest cycle of a file by a stream; what belongs to an older one is superseded."""
+    newest = results(E.newest_cycles(runs(spark, sf_dir), ["run_id", "file"], F.expr("event_id div 100")), "complete")
+    rows = finished(runs(spark, sf_dir).select("run_id", "file", "event_id"))
+    return rows.join(newest, ["run_id", "file"]).filter(F.expr("event_id div 100 = newest")).select("run_id", "file", "event_id")
+
+
+BEAT_US = 600_000_000
+
+
+@query(
+    "stream_heartbeats",
+    f"""WITH {S.EVENTS_SQL} SELECT run_id, unnest(list_reduce(list_transform(list(epoch_us(ts) ORDER BY ts), lambda x: [x]), lambda a, x: CASE WHEN x[1] - a[len(a)] >= {BEAT_US} THEN list_concat(a, x) ELSE a END)) AS us FROM run_events GROUP BY 1""",
+)
+def stream_heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events at least ten minutes after the last one that was emitted: the rule itself, which needs state."""
+    return results(E.heartbeats(runs(spark, sf_dir), "run_id", BEAT_US), "update")
+
+
+@query("stream_changed_tokens", SQL["changed_tokens"])
+def stream_changed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work is done again only where the change token differs from the key's last, as a stream."""
+    rows = runs(spark, sf_dir).withColumn("token", F.concat_ws(":", "stage", F.floor(F.col("ms") / 10)))
+    return results(E.changed_tokens(rows, ["run_id", "file"], ["string", "long"], "token"), "update")
+
+
+@query("stream_settled_runs", SQL["settled_runs"])
+def stream_settled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs without an error for at least 900 ms before their end, and since when, from keyed state."""
+    rows = results(E.settled_since(runs(spark, sf_dir), "run_id", "stage", "error"), "update", ["run_id"])
+    return rows.filter("last_us - since_us >= 900000").select("run_id", F.timestamp_micros("since_us").cast("timestamp_ntz").alias("settled_since"))
+
+
+@query("stream_stage_timeouts", SQL["stage_timeouts"])
+def stream_stage_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waiting for an end mark is bounded by three hours; the end of the stream ends all waiting."""
+    rows = E.bounded_waits(runs(spark, sf_dir), ["run_id", "file"], ["string", "long"], "stage", "click", "purchase", 3 * 3_600_000_000)
+    rows = results(rows, "update", ["run_id", "file", "event_id"])
+    return rows.select("run_id", "file", "event_id", F.when(F.col("state") == "done", "done").otherwise("timed out").alias("state"))

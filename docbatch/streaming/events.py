@@ -6,10 +6,10 @@ the rows of its batch form, but for windows that the watermark has not passed ye
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -23,20 +23,100 @@ def read_events(spark: SparkSession, path: str, schema: StructType, watermark: s
 
 
 def quiet_sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Sessions of a key that end when nothing came for ``gap``."""
-    out = events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("quiet_at"), "n")
+    """Sessions of a key that end when nothing came for ``gap``, with the last event of each (what a debounced writer writes)."""
+    last = F.max_by("event_id", F.struct("ts", "event_id"))
+    out = events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), last.alias("event_id"))
+    return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("quiet_at"), "n", "event_id")
 
 
-def heartbeats(events: DataFrame, every: str) -> DataFrame:
-    """At most one row for each interval with activity."""
-    out = events.groupBy(F.window("ts", every).alias("w")).agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
-    return out.select(F.col("w.start").alias("beat"), "event_id", "n")
+def newest_cycles(events: DataFrame, keys: list[str], cycle: Column) -> DataFrame:
+    """(*keys, newest): the newest cycle of each key; rows of older ones are superseded."""
+    return events.groupBy(*keys).agg(F.max(cycle).alias("newest"))
 
 
-def changed_tokens(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The first row of each change token within the watermark."""
-    return events.dropDuplicatesWithinWatermark(keys)
+Step = Callable[[tuple, pd.DataFrame, tuple | None], tuple[list[tuple], tuple | None]]
+
+
+def by_key(events: DataFrame, keys: list[str], step: Step, out: str, state: str) -> DataFrame:
+    """A stateful operator: ``step(key, rows, state)`` gets the new rows of a key in order of time, and gives rows and the next state."""
+    names = [f.split()[0] for f in out.split(",")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        # the whole batch of a key is ordered first: its parts may come in any order
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        found, after = step(key, rows, held.get if held.exists else None)
+        if after is not None:
+            held.update(after)
+        elif held.exists:
+            held.remove()
+        yield pd.DataFrame([(*key, *f) for f in found], columns=names)
+
+    rows = events.withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy(*keys).applyInPandasWithState(run, out, state, "update", GroupStateTimeout.NoTimeout)
+
+
+def heartbeats(events: DataFrame, key: str, every_us: int) -> DataFrame:
+    """(key, us): events at least ``every_us`` after the last one that was emitted."""
+
+    def step(_: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        last, out = state[0] if state else None, []
+        for us in rows["us"].tolist():
+            if last is None or us - last >= every_us:
+                out.append((us,))
+                last = us
+        return out, (last,)
+
+    return by_key(events, [key], step, f"{key} string, us long", "last long")
+
+
+def changed_tokens(events: DataFrame, keys: list[str], kinds: list[str], token: str) -> DataFrame:
+    """(*keys, event_id): events whose change token is not that of the key's last event."""
+
+    def step(_: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        last, out = state[0] if state else None, []
+        for event, now in zip(rows["event_id"].tolist(), rows[token].tolist(), strict=True):
+            if now != last:
+                out.append((event,))
+            last = now
+        return out, (last,)
+
+    return by_key(events, keys, step, ", ".join(f"{k} {t}" for k, t in zip(keys, kinds, strict=True)) + ", event_id long", "last string")
+
+
+def settled_since(events: DataFrame, key: str, stage: str, unsettled: str) -> DataFrame:
+    """(key, since_us, last_us): since when a key had no event that unsettles it, and its last event; a row for each batch, the last counts."""
+
+    def step(_: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
+        since, last = state or (None, None)
+        for us, now in zip(rows["us"].tolist(), rows[stage].tolist(), strict=True):
+            since = None if now == unsettled else us if since is None else since
+            last = us
+        return [(since, last)], (since, last)
+
+    return by_key(events, [key], step, f"{key} string, since_us long, last_us long", "since long, last long")
+
+
+def bounded_waits(events: DataFrame, keys: list[str], kinds: list[str], stage: str, start: str, end: str, most_us: int) -> DataFrame:
+    """(*keys, event_id, state): start marks that an end mark follows in time (done), or not (timed out); waiting ones are given again with the next batch, the last row counts."""
+
+    def step(_: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple | None]:
+        waiting, out = list(zip(*state, strict=True)) if state else [], []
+        for event, us, now in zip(rows["event_id"].tolist(), rows["us"].tolist(), rows[stage].tolist(), strict=True):
+            if now == end:
+                kept = []
+                for e, at in waiting:
+                    if us > at:
+                        out.append((e, "done" if us - at <= most_us else "timed out"))
+                    else:
+                        kept.append((e, at))
+                waiting = kept
+            elif now == start:
+                waiting.append((event, us))
+        out += [(e, "waiting") for e, _ in waiting]
+        return out, (([e for e, _ in waiting], [at for _, at in waiting]) if waiting else None)
+
+    out = ", ".join(f"{k} {t}" for k, t in zip(keys, kinds, strict=True)) + ", event_id long, state string"
+    return by_key(events, keys, step, out, "events array<long>, at array<long>")
 
 
 PAIR_SCHEMA = "key long, start_id long, end_id long, us long, forced boolean"
@@ -78,3 +158,15 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+
+
+def run_to_batches(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:
+    """Runs a stream that gives whole or updated results; each batch is written with its number as ``_batch``, so that a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
