@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from docbatch.functions import text as T
 
 CONTEXT = 18
+#: Characters of the stretches in which matches and segments meet.
+STRETCH = 4096
 
 
 def occurrences(rows: DataFrame, find: str, text_col: str = "text") -> DataFrame:
     """Adds one row per match of ``find`` in any spelling: ordinal, start and end (code points, end exclusive), the match and its context.
 
-    Gaps between matches come from splitting, so start positions are sums of lengths: no Python and no
+    Gaps between matches come from splitting, so start positions are running sums of lengths: no Python and no
     shuffle. A text without a match gives no row.
     """
     return occurrences_of(rows, T.flexible_pattern(find), text_col)
@@ -24,11 +26,10 @@ def occurrences(rows: DataFrame, find: str, text_col: str = "text") -> DataFrame
 def occurrences_of(rows: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """The same for a regular expression that never matches an empty string."""
     found = rows.withColumn("_m", F.expr("regexp_extract_all({c}, {p}, 0)".format(c=text_col, p=_sql_string(pattern)))).filter(F.size("_m") > 0)
-    found = found.withColumn("_g", F.split(text_col, pattern, -1))
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size("_m")),
-        lambda i: F.aggregate(F.slice("_g", 1, i), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice("_m", 1, i - 1), F.lit(0), lambda a, m: a + F.length(m)),
-    )
+    # one pass: where a match starts is where the last one ended, and the gap before it
+    step = lambda a, z: F.struct((a["at"] + F.length(z["g"]) + F.length(z["m"])).alias("at"), F.concat(a["starts"], F.array(a["at"] + F.length(z["g"]))).alias("starts"))
+    gaps = F.arrays_zip(F.slice(F.split(text_col, pattern, -1), F.lit(1), F.size("_m")).alias("g"), F.col("_m").alias("m"))
+    starts = F.aggregate(gaps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step, lambda a: a["starts"])
     found = found.select("*", F.posexplode(F.arrays_zip(starts.alias("start"), F.col("_m").alias("match"))).alias("_i", "_o"))
     start, end = F.col("_o.start"), F.col("_o.start") + F.length("_o.match")
     text = F.col(text_col)
@@ -43,6 +44,54 @@ def occurrences_of(rows: DataFrame, pattern: str, text_col: str = "text") -> Dat
     )
 
 
+def occurrence_id(find: str, *place: str) -> Column:
+    """A stable name of an occurrence: 16 hexadecimal digits for the folded text that was looked for and the occurrence's place."""
+    return F.substring(F.md5(F.concat_ws("|", T.flexible_key(F.lit(find)), *(F.col(p).cast("string") for p in place))), 1, 16)
+
+
+def replaced_first(text: Column, pattern: str, replace: str, most: Column) -> Column:
+    """The first ``most`` matches of a pattern replaced, the others left."""
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    put = lambda z, i: F.concat(z["g"], F.when(z["m"].isNull(), "").when(i < most, replace).otherwise(z["m"]))
+    return F.array_join(F.transform(pieces, put), "")
+
+
+def cascade(rows: DataFrame, find: str, replace: str, text_col: str = "text") -> DataFrame:
+    """Adds expected, direct, by_fallback and ``done``: the exact replacement first, then the flexible one for as many as are still expected.
+
+    What the replacement itself brings in is not replaced again, since the fallback stops at the expected number.
+    """
+    text, pattern = F.col(text_col), T.flexible_pattern(find)
+    direct, expected = T.count_of(text, F.lit(find)), F.regexp_count(text, F.lit(pattern)).cast("long")
+    first = F.replace(text, F.lit(find), F.lit(replace))
+    open_ = F.greatest(expected - direct, F.lit(0))
+    done = replaced_first(first, pattern, replace, open_)
+    by_fallback = F.least(open_, F.regexp_count(first, F.lit(pattern)).cast("long"))
+    return rows.select("*", expected.alias("expected"), direct.alias("direct"), by_fallback.alias("by_fallback"), done.alias("done"))
+
+
+def apply_selected(rows: DataFrame, found: DataFrame, selected: DataFrame, replace: str, key: str = "doc_id") -> DataFrame:
+    """(key, found, selected, applied, missing, reason, text): each text with just the chosen occurrences replaced.
+
+    ``rows`` has (key, text), ``found`` (key, occurrence_id, start, end, match), ``selected`` (key, occurrence_id).
+    Ids that no occurrence has are missing; where the number applied is not the number selected, nothing is
+    changed and the reason says so.
+    """
+    chosen = selected.select(key, "occurrence_id").distinct().withColumn("_chosen", F.lit(True))
+    cut = F.struct("start", "end", F.coalesce("_chosen", F.lit(False)).alias("chosen"))
+    cuts = found.join(chosen, [key, "occurrence_id"], "left").groupBy(key).agg(F.sort_array(F.collect_list(cut)).alias("cuts"))
+    asked = chosen.groupBy(key).agg(F.count(F.lit(1)).alias("selected"))
+    missing = chosen.join(found, [key, "occurrence_id"], "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("missing"))
+    out = rows.join(cuts, key, "left").join(asked, key, "left").join(missing, key, "left").na.fill(0, ["selected", "missing"])
+    took = F.coalesce(F.filter("cuts", lambda c: c["chosen"]), F.array().cast(out.schema["cuts"].dataType))
+    applied = F.size(took).cast("long")
+    # from the end, so that earlier places stay valid
+    splice = lambda t, c: F.concat(F.substring(t, F.lit(1), c["start"]), F.lit(replace), F.substring(t, c["end"] + 1, F.length(t)))
+    done = F.aggregate(F.reverse(took), F.col("text"), splice)
+    reason = F.when(F.col("missing") > 0, "missing ids").when(applied != F.col("selected"), "not all applied").when(F.col("selected") == 0, "nothing selected")
+    return out.select(key, F.greatest(F.size("cuts"), F.lit(0)).cast("long").alias("found"), "selected", applied.alias("applied"), "missing", reason.alias("reason"), F.when(reason.isNull(), done).otherwise(F.col("text")).alias("text"))
+
+
 def _sql_string(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -85,7 +134,12 @@ def segment_replace_pattern(segments: DataFrame, pattern: str, replace: str) ->
     based = segment_bases(segments)
     whole = based.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda s: s["text"]), "").alias("text"))
     hits = occurrences_of(whole, pattern).select("doc_id", F.col("start").alias("m0"), F.col("end").alias("m1"))
-    touched = based.join(hits, "doc_id").filter((F.col("m0") < F.col("base") + F.length("text")) & (F.col("m1") > F.col("base")))
+    # hits and segments meet in the stretches of text that they touch, not all with all of a document
+    stretch = lambda lo, hi: F.explode(F.sequence(F.floor(lo / STRETCH), F.floor(hi / STRETCH)))
+    near = hits.withColumn("_s", stretch(F.col("m0"), F.col("m1") - 1)).join(based.filter(F.length("text") > 0).withColumn("_s", stretch(F.col("base"), F.col("base") + F.length("text") - 1)), ["doc_id", "_s"])
+    # a pair that meets in several stretches counts in the first of them
+    first = F.col("_s") == F.greatest(F.floor(F.col("m0") / STRETCH), F.floor(F.col("base") / STRETCH))
+    touched = near.filter((F.col("m0") < F.col("base") + F.length("text")) & (F.col("m1") > F.col("base")) & first)
     a = F.greatest(F.col("m0"), F.col("base"))
     b = F.least(F.col("m1"), F.col("base") + F.length("text"))
     n = F.col("m1") - F.col("m0")

@@ -14,31 +14,37 @@ FIND, REPLACE = "of the", "from-that"
 #: The flexible pattern of FIND, for RE2.
 PATTERN_SQL = (T.FLEX_SQL + "*").join("ofthe")
 
-#: (doc_id, ordinal, start, end_, match, before, after, text) of FIND.
-OCC_SQL = f"""occ AS (
-    SELECT doc_id, text, ordinal::INTEGER AS ordinal, (g0 + m0)::INTEGER AS start, (g0 + m0 + length(match))::INTEGER AS end_, match FROM (
+
+
+def occ_sql(name: str = "occ", source: str = "documents") -> str:
+    """(doc_id, ordinal, start, end_, match, text, occurrence_id) of FIND in a table."""
+    return f"""{name} AS (
+    SELECT doc_id, text, ordinal::INTEGER AS ordinal, (g0 + m0)::INTEGER AS start, (g0 + m0 + length(match))::INTEGER AS end_, match, substring(md5(concat_ws('|', 'ofthe', doc_id, ordinal)), 1, 16) AS occurrence_id FROM (
         SELECT doc_id, text, ordinal, match, sum(length(gap)) OVER w AS g0, coalesce(sum(length(match)) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m0
         FROM (SELECT doc_id, text, unnest(ms) AS match, unnest(gs[:len(ms)]) AS gap, generate_subscripts(ms, 1) AS ordinal
-              FROM (SELECT doc_id, text, regexp_extract_all(text, '{PATTERN_SQL}') AS ms, string_split_regex(text, '{PATTERN_SQL}') AS gs FROM documents))
+              FROM (SELECT doc_id, text, regexp_extract_all(text, '{PATTERN_SQL}') AS ms, string_split_regex(text, '{PATTERN_SQL}') AS gs FROM {source}))
         WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)
     )
 )"""
 
 
+OCC_SQL = occ_sql()
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
 
 
 def occ(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.occurrences(docs(spark, sf_dir).select("doc_id", "text"), FIND)
+    return E.occurrences(docs(spark, sf_dir).select("doc_id", "text"), FIND).withColumn("occurrence_id", E.occurrence_id(FIND, "doc_id", "ordinal"))
 
 
 @query(
     "occurrences",
-    f"""WITH {OCC_SQL} SELECT doc_id, ordinal, start, end_, match, substring(text, greatest(start - 18, 0) + 1, least(start, 18)) AS before, substring(text, end_ + 1, 18) AS after FROM occ""",
+    f"""WITH {OCC_SQL} SELECT doc_id, occurrence_id, ordinal, start, end_, match, substring(text, greatest(start - 18, 0) + 1, least(start, 18)) AS before, substring(text, end_ + 1, 18) AS after FROM occ""",
 )
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occ(spark, sf_dir).select("doc_id", "ordinal", "start", F.col("end").alias("end_"), "match", "before", "after")
+    return occ(spark, sf_dir).select("doc_id", "occurrence_id", "ordinal", "start", F.col("end").alias("end_"), "match", "before", "after")
 
 
 @query("flex_replace", f"SELECT doc_id, md5(regexp_replace(text, '{PATTERN_SQL}', '{REPLACE}', 'g')) AS digest, len(regexp_extract_all(text, '{PATTERN_SQL}')) AS edits FROM documents")
@@ -61,18 +67,21 @@ def rules_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(done).alias("digest"), F.length(done).alias("n_chars"))
 
 
+#: A replacement that the flexible pattern finds again.
+AGAIN = "of-the"
+
+
 @query(
     "cascade_edit",
-    f"""WITH c AS (SELECT doc_id, text, {T.count_of_sql("text", f"'{FIND}'")} AS direct, len(regexp_extract_all(text, '{PATTERN_SQL}')) AS expected FROM documents)
-    SELECT doc_id, expected::BIGINT AS expected, direct::BIGINT AS direct, (expected - direct)::BIGINT AS by_fallback,
-           md5(regexp_replace(replace(text, '{FIND}', '{REPLACE}'), '{PATTERN_SQL}', '{REPLACE}', 'g')) AS digest FROM c WHERE expected > 0""",
+    f"""WITH c AS (SELECT doc_id, text, {T.count_of_sql("text", f"'{FIND}'")} AS direct, len(regexp_extract_all(text, '{PATTERN_SQL}')) AS expected, replace(text, '{FIND}', '{AGAIN}') AS new FROM documents),
+    g AS (SELECT *, string_split_regex(new, '{PATTERN_SQL}') AS gs, regexp_extract_all(new, '{PATTERN_SQL}') AS ms FROM c WHERE expected > 0)
+    SELECT doc_id, expected::BIGINT AS expected, direct::BIGINT AS direct, least(expected - direct, len(ms))::BIGINT AS by_fallback,
+           md5(array_to_string(list_transform(gs, lambda x, i: x || CASE WHEN i > len(ms) THEN '' WHEN i <= expected - direct THEN '{AGAIN}' ELSE ms[i] END), '')) AS digest FROM g""",
 )
 def cascade_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The exact replacement first; the flexible one does what it left."""
-    direct, expected = T.count_of(F.col("text"), F.lit(FIND)), F.regexp_count("text", F.lit(T.flexible_pattern(FIND))).cast("long")
-    first = F.replace(F.col("text"), F.lit(FIND), F.lit(REPLACE))
-    out = docs(spark, sf_dir).select("doc_id", expected.alias("expected"), direct.alias("direct"), (expected - direct).alias("by_fallback"), F.md5(E.replaced(first, FIND, REPLACE)).alias("digest"))
-    return out.filter("expected > 0")
+    """The exact replacement first; the flexible one does what it left, and no more than that."""
+    out = E.cascade(docs(spark, sf_dir).select("doc_id", "text"), FIND, AGAIN).filter("expected > 0")
+    return out.select("doc_id", "expected", "direct", "by_fallback", F.md5("done").alias("digest"))
 
 
 @query(
@@ -143,22 +152,20 @@ def apply_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "selected_edit",
-    f"""WITH {OCC_SQL}, s AS (SELECT *, ordinal % 2 = 1 AS chosen FROM occ), e AS (
-        SELECT doc_id, any_value(text) AS text, count_if(chosen) AS chosen, count(*) AS found,
-               string_agg(gap || CASE WHEN chosen THEN '{REPLACE}' ELSE match END, '' ORDER BY ordinal) AS head, max(end_) AS tail
-        FROM (SELECT *, substring(text, coalesce(lag(end_) OVER (PARTITION BY doc_id ORDER BY ordinal), 0) + 1, start - coalesce(lag(end_) OVER (PARTITION BY doc_id ORDER BY ordinal), 0)) AS gap FROM s) GROUP BY 1)
-    SELECT doc_id, found, chosen, md5(head || substring(text, tail + 1)) AS digest FROM e""",
+    f"""WITH {OCC_SQL}, s AS (SELECT doc_id, occurrence_id FROM occ WHERE ordinal % 2 = 1 UNION ALL SELECT doc_id, 'gone' FROM documents WHERE doc_id % 10 = 0),
+    o AS (SELECT *, ordinal % 2 = 1 AS chosen, coalesce(lag(end_) OVER (PARTITION BY doc_id ORDER BY ordinal), 0) AS pe FROM occ),
+    e AS (SELECT doc_id, count(*) AS found, count_if(chosen) AS applied, string_agg(substring(text, pe + 1, start - pe) || CASE WHEN chosen THEN '{REPLACE}' ELSE match END, '' ORDER BY ordinal) AS head, max(end_) AS tail FROM o GROUP BY 1),
+    n AS (SELECT doc_id, count(*) AS selected, count_if(occurrence_id = 'gone') AS missing FROM s GROUP BY 1)
+    SELECT doc_id, coalesce(found, 0) AS found, coalesce(selected, 0) AS selected, coalesce(applied, 0) AS applied, coalesce(missing, 0) AS missing, CASE WHEN missing > 0 THEN 'missing ids' WHEN selected IS NULL THEN 'nothing selected' END AS reason,
+        md5(CASE WHEN missing > 0 OR selected IS NULL THEN text ELSE head || substring(text, tail + 1) END) AS digest FROM documents LEFT JOIN e USING (doc_id) LEFT JOIN n USING (doc_id)""",
 )
 def selected_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only chosen occurrences change: here every other one of a document."""
-    found = occ(spark, sf_dir).withColumn("chosen", F.col("ordinal") % 2 == 1)
-    cuts = F.sort_array(F.collect_list(F.struct("ordinal", "start", "end", "match", "chosen")))
-    rows = found.groupBy("doc_id").agg(F.first("text").alias("text"), cuts.alias("cuts"))
-    start = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"))
-    step = lambda a, c: F.struct(F.concat(a["s"], F.substring(F.col("text"), a["at"] + 1, c["start"] - a["at"]), F.when(c["chosen"], F.lit(REPLACE)).otherwise(c["match"])).alias("s"), c["end"].alias("at"))
-    done = F.aggregate("cuts", start, step, lambda a: F.concat(a["s"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    chosen = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["chosen"].cast("long"))
-    return rows.select("doc_id", F.size("cuts").cast("long").alias("found"), chosen.alias("chosen"), F.md5(done).alias("digest"))
+    """Only chosen occurrences change, here every other one of a document; some documents ask for one that is not there."""
+    found = occ(spark, sf_dir)
+    gone = docs(spark, sf_dir).filter("doc_id % 10 = 0").select("doc_id", F.lit("gone").alias("occurrence_id"))
+    selected = found.filter("ordinal % 2 = 1").select("doc_id", "occurrence_id").unionByName(gone)
+    out = E.apply_selected(docs(spark, sf_dir).select("doc_id", "text"), found.drop("text"), selected, REPLACE)
+    return out.select("doc_id", "found", "selected", "applied", "missing", "reason", F.md5("text").alias("digest"))
 
 
 @query(
@@ -171,19 +178,22 @@ def capped_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.capped(found, F.expr("remaining div 4"), ["doc_id"]).select("doc_id", "ordinal", "start")
 
 
+_FIELDS = ("ordinal", "match", "before", "after")
+_CONTEXT_SQL = "substring(text, greatest(start - 18, 0) + 1, least(start, 18)) AS before, substring(text, end_ + 1, 18) AS after"
+
+
 @query(
     "reconcile",
-    f"""WITH {OCC_SQL}, b AS (SELECT doc_id, ordinal, start, match FROM occ), c AS (
-        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal)::INTEGER AS ordinal, start, match FROM occ WHERE ordinal % 7 <> 0)
-    SELECT doc_id, ordinal, CASE WHEN b.start IS NULL THEN 'added' WHEN c.start IS NULL THEN 'missing' ELSE 'changed' END AS problem
-    FROM b FULL JOIN c USING (doc_id, ordinal) WHERE (b.start, b.match) IS DISTINCT FROM (c.start, c.match)""",
+    f"""WITH later AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x of the y ' || text WHEN doc_id % 5 = 1 THEN replace(text, 'of the', 'of that') ELSE text END AS text FROM documents), {occ_sql()}, {occ_sql("now", "later")},
+    b AS (SELECT doc_id, occurrence_id, ordinal, match, {_CONTEXT_SQL} FROM occ), c AS (SELECT doc_id, occurrence_id, ordinal, match, {_CONTEXT_SQL} FROM now)
+    SELECT doc_id, occurrence_id, CASE WHEN b.ordinal IS NULL THEN 'added' WHEN c.ordinal IS NULL THEN 'missing' ELSE 'changed' END AS problem
+    FROM b FULL JOIN c USING (doc_id, occurrence_id) WHERE (b.ordinal, b.match, b.before, b.after) IS DISTINCT FROM (c.ordinal, c.match, c.before, c.after)""",
 )
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences against a later state in which every seventh is gone."""
-    base = occ(spark, sf_dir).select("doc_id", "ordinal", "start", "match")
-    order = Window.partitionBy("doc_id").orderBy("ordinal")
-    current = base.filter("ordinal % 7 <> 0").withColumn("ordinal", F.row_number().over(order))
-    return E.reconciled(base, current, ["doc_id", "ordinal"], ["start", "match"])
+    """Occurrences against those of a later state, by id, with all that is known of them."""
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("x of the y "), F.col("text"))).when(F.col("doc_id") % 5 == 1, F.replace("text", F.lit("of the"), F.lit("of that"))).otherwise(F.col("text"))
+    later = E.occurrences(docs(spark, sf_dir).select("doc_id", text.alias("text")), FIND).withColumn("occurrence_id", E.occurrence_id(FIND, "doc_id", "ordinal"))
+    return E.reconciled(occ(spark, sf_dir), later, ["doc_id", "occurrence_id"], list(_FIELDS))
 
 
 @query(
