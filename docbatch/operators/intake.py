@@ -77,20 +77,110 @@ def prevalidated(rows: DataFrame, keys: list[str], whole: Column, alone: Column)
     return joined.filter(F.col("_whole") | alone).withColumn("proof", F.when(F.col("_whole"), "page").otherwise("candidate")).drop("_whole")
 
 
-def tolerance_matches(expected: DataFrame, candidates: DataFrame, keys: list[str], value: str, tolerance: float, ids: list[str]) -> DataFrame:
-    """Per expected row the number of candidates with equal keys and a value within the tolerance.
-
-    Counts per distinct value are summed over cells as wide as the tolerance, so no candidate is paired
-    with more than three cells.
-    """
-    counts = candidates.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_cell", F.floor(F.col(value) / tolerance)).withColumnRenamed(value, "_v")
-    probe = expected.select(*ids, *keys, value).withColumn("_cell", F.explode(F.array(*(F.floor(F.col(value) / tolerance) + i for i in (-1, 0, 1)))))
-    hits = probe.join(counts, [*keys, "_cell"], "left").withColumn("_hit", F.when(F.abs(F.col("_v") - F.col(value)) <= tolerance, F.col("_n")).otherwise(0))
-    return hits.groupBy(*ids).agg(F.sum("_hit").alias("found")).withColumn("accepted", F.col("found") == 1)
-
-
 def ranked_first(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The best row of each key by several criteria."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def gated_matches(matches: DataFrame) -> DataFrame:
+    """Adds ``reason``: accepted, or why a recognised match does not count.
+
+    ``matches`` has text_count (hits of earlier stages), conf, similarity (0: unknown), partial and exact. An exact
+    part of a longer word needs a confidence of 10, all else 20.
+    """
+    least = F.when(F.col("partial") & F.col("exact"), 10).otherwise(20)
+    reason = F.when(F.col("text_count") > 0, "found before").when(F.col("conf") < least, "low confidence").when((F.col("similarity") > 0) & (F.col("similarity") < 0.70), "low similarity")
+    return matches.withColumn("reason", F.coalesce(reason, F.lit("accepted")))
+
+
+def within_pages(boxes: DataFrame, pages: DataFrame, keys: list[str], slack: float = 2.0) -> DataFrame:
+    """Adds ``inside``: boxes of positive size within their page's bounds (px0, py0, px1, py1), but for ``slack`` on each side."""
+    ok = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) & (F.col("x0") >= F.col("px0") - slack) & (F.col("y0") >= F.col("py0") - slack) & (F.col("x1") <= F.col("px1") + slack) & (F.col("y1") <= F.col("py1") + slack)
+    return boxes.join(pages, keys).withColumn("inside", ok).drop("px0", "py0", "px1", "py1")
+
+
+#: Bytes from which a document is heavy.
+HEAVY = 16 << 20
+
+
+def routed_by_size(rows: DataFrame, size: Column, heavy: int = HEAVY) -> DataFrame:
+    """Adds ``route``: heavy documents are worked apart, each route with a strategy of its own."""
+    return rows.withColumn("route", F.when(size >= heavy, "heavy").otherwise("normal"))
+
+
+def selective_batches(results: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, selective): batches without errors or hits of other kinds, in which every rule with hits is enabled."""
+    fine = F.col("error").isNull() & (F.col("annotation_count") == 0) & (F.col("ocr_count") == 0) & ((F.col("count") == 0) | F.col("enabled"))
+    return results.groupBy(*keys).agg(F.bool_and(fine).alias("selective"))
+
+
+def page_regions(boxes: DataFrame, pages: DataFrame, keys: list[str], right: float, bottom: float) -> DataFrame:
+    """Adds ``region``: bottom-right, else right-strip, for boxes that begin in these fractions of their page; others are left out."""
+    x = F.col("px1") - (F.col("px1") - F.col("px0")) * right
+    y = F.col("py1") - (F.col("py1") - F.col("py0")) * bottom
+    region = F.when((F.col("x0") >= x) & (F.col("y0") >= y), "bottom-right").when(F.col("x0") >= x, "right-strip")
+    return boxes.join(pages, keys).withColumn("region", region).drop("px0", "py0", "px1", "py1").filter("region is not null")
+
+
+def first_region(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the rows of its first region alone: the strip counts only where the corner gave nothing."""
+    return found.join(found.groupBy(*keys).agg(F.min("region").alias("region")), [*keys, "region"], "left_semi")
+
+
+def edge_bands(boxes: DataFrame, pages: DataFrame, keys: list[str], share: float = 0.16) -> DataFrame:
+    """A row for each edge band of the page that a box touches."""
+    w, h = F.col("px1") - F.col("px0"), F.col("py1") - F.col("py0")
+    bands = F.array_compact(
+        F.array(
+            F.when(F.col("y0") < F.col("py0") + h * share, "top"),
+            F.when(F.col("y1") > F.col("py1") - h * share, "bottom"),
+            F.when(F.col("x0") < F.col("px0") + w * share, "left"),
+            F.when(F.col("x1") > F.col("px1") - w * share, "right"),
+        )
+    )
+    return boxes.join(pages, keys).withColumn("band", F.explode(bands)).drop("px0", "py0", "px1", "py1")
+
+
+def result_states(rows: DataFrame) -> DataFrame:
+    """Adds ``state`` from applied, pending, preview_validated, validated, total and exact: the first that holds of applied, confirmed, discarded, confirmed, candidate."""
+    state = (
+        F.when(F.col("applied") > 0, "applied")
+        .when(F.col("pending") & (F.col("preview_validated") > 0), "confirmed")
+        .when(F.col("validated") & (F.col("total") > 0) & ~F.col("pending"), "discarded")
+        .when(F.col("exact"), "confirmed")
+        .otherwise("candidate")
+    )
+    return rows.withColumn("state", state)
+
+
+def weighted_counts(detections: DataFrame, keys: list[str], multi: str = "multi") -> DataFrame:
+    """(*keys, weight): detections, one of several parts (source ``multi``) counting as many times as it has parts, others once."""
+    return detections.groupBy(*keys).agg(F.sum(F.when(F.col("source") == multi, F.greatest(F.lit(1), F.coalesce("parts", F.lit(1)))).otherwise(1)).cast("long").alias("weight"))
+
+
+def promoted(candidates: DataFrame, established: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """Adds ``verdict``: a candidate is promoted where its key has nothing established and the evidence, if there is any, has a box on the same page that meets its own.
+
+    ``candidates`` has (key, page_no, x0, y0, x1, y1), one to a key; ``evidence`` the same, any number; ``established`` has the key.
+    """
+    e = evidence.select(key, F.col("page_no").alias("ep"), *(F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1")))
+    meets = (F.col("ep") == F.col("page_no")) & (F.col("x0") <= F.col("ex1")) & (F.col("x1") >= F.col("ex0")) & (F.col("y0") <= F.col("ey1")) & (F.col("y1") >= F.col("ey0"))
+    # evidence is aggregated before it joins again, so a key with much of it adds one row
+    support = candidates.join(e, key).groupBy(key).agg(F.bool_or(meets).alias("_meets"))
+    rows = candidates.join(established.select(key).distinct().withColumn("_held", F.lit(True)), key, "left").join(support, key, "left")
+    verdict = F.when(F.col("_held"), "established").when(~F.coalesce("_meets", F.lit(True)), "no evidence").otherwise("promoted")
+    return rows.withColumn("verdict", verdict).drop("_held", "_meets")
+
+
+def matched_boxes(expected: DataFrame, candidates: DataFrame, keys: list[str], tolerance: float = 2.0) -> DataFrame:
+    """(*keys, box_id, found, accepted): expected boxes and how many candidates have the same path count and all four sides within the tolerance; exactly one is accepted.
+
+    Boxes meet on a grid of the tolerance by their first corner.
+    """
+    c = candidates.select(*keys, "paths", *(F.col(f).alias(f"c{f}") for f in ("x0", "y0", "x1", "y1")), F.floor(F.col("x0") / tolerance).alias("_x"), F.floor(F.col("y0") / tolerance).alias("_y"))
+    around = lambda f: F.explode(F.array(*(F.floor(F.col(f) / tolerance) + i for i in (-1, 0, 1))))
+    probe = expected.withColumn("_x", around("x0")).withColumn("_y", around("y0"))
+    close = (F.abs(F.col("x0") - F.col("cx0")) <= tolerance) & (F.abs(F.col("y0") - F.col("cy0")) <= tolerance) & (F.abs(F.col("x1") - F.col("cx1")) <= tolerance) & (F.abs(F.col("y1") - F.col("cy1")) <= tolerance)
+    hits = probe.join(c, [*keys, "paths", "_x", "_y"], "left").groupBy(*keys, "box_id").agg(F.count_if(F.coalesce(close, F.lit(False))).alias("found"))
+    return hits.withColumn("accepted", F.col("found") == 1)

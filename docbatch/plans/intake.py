@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docbatch.operators import intake as I
 from docbatch.plans.catalog import query
 from docbatch.sources import tables as S
-from docbatch.sources.files import sanitised_name, write_verified
+from docbatch.plans.staging import shared_dir
+from docbatch.sources.files import promote, sanitised_name, write_bundle, write_verified
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +60,24 @@ def sink_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "pages").groupBy("url", sanitised_name(F.col("url")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_verify", f"SELECT doc_id, md5(replace(text, 'of the', 'from-that')) AS digest, true AS verified FROM documents WHERE contains(text, 'of the')")
+@query("write_verify", f"SELECT doc_id, md5(replace(text, 'of the', 'from-that')) AS digest FROM documents WHERE contains(text, 'of the')")
 def write_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed documents alone are written, read again and compared with what was meant."""
+    """Changed documents alone are written, read again, compared with what was meant, and then put in their place."""
     d = docs(spark, sf_dir).select("doc_id", "text")
-    changed = d.withColumns({"old": F.col("text"), "text": F.replace("text", F.lit("of the"), F.lit("from-that"))})
-    return write_verified(changed.filter("text <> old").drop("old"), ["doc_id"], "text").select("doc_id", F.md5("text").alias("digest"), "verified")
+    changed = d.withColumns({"old": F.col("text"), "text": F.replace("text", F.lit("of the"), F.lit("from-that"))}).filter("text <> old").drop("old")
+    path = f"{shared_dir(spark)}/docbatch-promoted-{uuid.uuid4().hex}"
+    promote(write_verified(changed, ["doc_id"], "text"), path)
+    return spark.read.schema(changed.schema).parquet(path).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("bundle", r"SELECT regexp_replace(source || '/' || lang, '[/\\]', '_', 'g') AS name, count(*) AS outputs, sum(length(text))::BIGINT AS chars FROM documents WHERE n_chars > 0 AND lang IS NOT NULL GROUP BY 1")
+def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs without errors as a bundle with a folder for each sanitised name, read again."""
+    error = F.when(F.col("lang").isNull() | (F.col("n_chars") <= 0), "no analysis")
+    rows = docs(spark, sf_dir).select(F.concat_ws("/", "source", "lang").alias("name"), "text", error.alias("error"))
+    path = f"{shared_dir(spark)}/docbatch-bundle-{uuid.uuid4().hex}"
+    write_bundle(rows, path, "name", "text", "error")
+    return spark.read.parquet(path).groupBy("name").agg(F.count(F.lit(1)).alias("outputs"), F.sum(F.length("value")).alias("chars"))
 
 
 @query(
@@ -114,52 +129,81 @@ def target_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.routed_targets(codes(spark, sf_dir)).select(F.md5("word").alias("code"), "route")
 
 
-@query("size_route", "SELECT doc_id, CASE WHEN n_chars >= 16384 THEN 'heavy' ELSE 'normal' END AS route, n_chars FROM documents")
+@query("size_route", "SELECT doc_id, CASE WHEN strlen(text) >= 16384 THEN 'heavy' ELSE 'normal' END AS route, strlen(text) AS size FROM documents")
 def size_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heavy documents are worked apart, each with its own strategy."""
-    d = docs(spark, sf_dir).select("doc_id", "n_chars")
-    heavy = F.col("n_chars") >= 16384
-    return d.filter(heavy).select("doc_id", F.lit("heavy").alias("route"), "n_chars").unionByName(d.filter(~heavy).select("doc_id", F.lit("normal").alias("route"), "n_chars"))
+    """Routes by bytes; the limit is lower than in use, as documents here are small."""
+    d = docs(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    return I.routed_by_size(d, F.col("size"), heavy=16384)
 
 
-@query("batch_gate", "SELECT source, bool_and(n_chars < 16384) AND bool_and(lang <> 'de' OR n_chars > 100) AS selective FROM documents GROUP BY 1")
+@query(
+    "batch_gate",
+    f"""WITH {S.RULES_SQL}, r AS (SELECT source, doc_id, CASE WHEN n_chars = 0 THEN 'empty' END AS error, CASE WHEN lang = 'de' AND doc_id % 40 = 0 THEN 1 ELSE 0 END AS a, CASE WHEN doc_id % 60 = 7 THEN 1 ELSE 0 END AS o, contains(text, find) AS hit, rule_id <> 7 OR doc_id % 4 > 0 AS enabled FROM documents, rules WHERE trim(find) <> '')
+    SELECT source, bool_and(error IS NULL AND a = 0 AND o = 0 AND (NOT hit OR enabled)) AS selective FROM r GROUP BY 1""",
+)
 def batch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).groupBy("source").agg((F.bool_and(F.col("n_chars") < 16384) & F.bool_and((F.col("lang") != "de") | (F.col("n_chars") > 100))).alias("selective"))
+    """Batches of a source that only need selective work."""
+    rules = F.broadcast(S.rules(spark).filter("trim(find) <> ''"))
+    rows = docs(spark, sf_dir).join(rules).select(
+        "source",
+        F.when(F.col("n_chars") == 0, "empty").alias("error"),
+        F.when((F.col("lang") == "de") & (F.col("doc_id") % 40 == 0), 1).otherwise(0).alias("annotation_count"),
+        F.when(F.col("doc_id") % 60 == 7, 1).otherwise(0).alias("ocr_count"),
+        F.contains("text", "find").cast("int").alias("count"),
+        ((F.col("rule_id") != 7) | (F.col("doc_id") % 4 > 0)).alias("enabled"),
+    )
+    return I.selective_batches(rows, ["source"])
 
 
 @query(
     "confidence_gate",
-    f"""WITH {S.TOKENS_SQL} SELECT doc_id, CASE WHEN conf < 20 THEN 'low confidence' WHEN length(word) < 2 THEN 'too short' WHEN x1 - x0 > 30 THEN 'too wide' ELSE 'accepted' END AS reason, count(*) AS n FROM tokens GROUP BY 1, 2""",
+    f"""WITH {S.TOKENS_SQL} SELECT doc_id, CASE WHEN word_no % 7 = 0 THEN 'found before' WHEN conf < CASE WHEN word_no % 2 = 0 AND line_no % 3 = 0 THEN 10 ELSE 20 END THEN 'low confidence' WHEN length(word) % 11 BETWEEN 1 AND 6 THEN 'low similarity' ELSE 'accepted' END AS reason, count(*) AS n FROM tokens GROUP BY 1, 2""",
 )
 def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.when(F.col("conf") < 20, "low confidence").when(F.length("word") < 2, "too short").when(F.col("x1") - F.col("x0") > 30, "too wide").otherwise("accepted")
-    return S.tokens(docs(spark, sf_dir)).groupBy("doc_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Tokens as matches; the length of a word stands for its similarity."""
+    t = S.tokens(docs(spark, sf_dir))
+    m = t.withColumns({"text_count": (F.col("word_no") % 7 == 0).cast("int"), "similarity": F.length("word") % 11 / F.lit(10.0), "partial": F.col("word_no") % 2 == 0, "exact": F.col("line_no") % 3 == 0})
+    return I.gated_matches(m).groupBy("doc_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+PAGE_SQL = "b AS (SELECT doc_id, 0.0::DOUBLE AS px0, min(y0) AS py0, least(max(x1), 400.0::DOUBLE) AS px1, max(y1) AS py1 FROM tokens GROUP BY 1)"
+
+
+def token_pages(t: DataFrame) -> DataFrame:
+    """The bounds of each document's page, at most 400 wide."""
+    return t.groupBy("doc_id").agg(F.lit(0.0).alias("px0"), F.min("y0").alias("py0"), F.least(F.max("x1"), F.lit(400.0)).alias("px1"), F.max("y1").alias("py1"))
 
 
 @query(
     "bounds_gate",
-    f"""WITH {S.TOKENS_SQL}, b AS (SELECT doc_id, max(10.0 * line_no + 8) AS bottom, 400.0 AS side FROM tokens GROUP BY 1)
-    SELECT doc_id, count_if(x0 >= -2 AND y0 >= -2 AND x1 <= side + 2 AND y1 <= bottom + 2 AND x1 > x0) AS inside, count(*) AS n FROM tokens JOIN b USING (doc_id) GROUP BY 1""",
+    f"""WITH {S.TOKENS_SQL}, {PAGE_SQL} SELECT doc_id, count_if(x0 >= px0 - 2 AND y0 >= py0 - 2 AND x1 <= px1 + 2 AND y1 <= py1 + 2 AND x1 > x0 AND y1 > y0) AS inside, count(*) AS n FROM tokens JOIN b USING (doc_id) GROUP BY 1""",
 )
 def bounds_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes within the page, with a tolerance of 2 on each side."""
     t = S.tokens(docs(spark, sf_dir))
-    b = t.groupBy("doc_id").agg(F.max("y1").alias("bottom"))
-    ok = (F.col("x0") >= -2) & (F.col("y0") >= -2) & (F.col("x1") <= 402) & (F.col("y1") <= F.col("bottom") + 2) & (F.col("x1") > F.col("x0"))
-    return t.join(b, "doc_id").groupBy("doc_id").agg(F.count_if(ok).alias("inside"), F.count(F.lit(1)).alias("n"))
+    return I.within_pages(t, token_pages(t), ["doc_id"]).groupBy("doc_id").agg(F.count_if("inside").alias("inside"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "region_filter",
-    f"""WITH {S.TOKENS_SQL}, b AS (SELECT doc_id, max(y1) AS h, max(x1) AS w FROM tokens GROUP BY 1)
-    SELECT doc_id, band, count(*) AS n FROM (SELECT t.doc_id, unnest(list_filter([CASE WHEN y0 < h * 0.16 THEN 'top' END, CASE WHEN y1 > h * 0.84 THEN 'bottom' END, CASE WHEN x0 < w * 0.16 THEN 'left' END, CASE WHEN x1 > w * 0.84 THEN 'right' END], lambda v: v IS NOT NULL)) AS band FROM tokens t JOIN b USING (doc_id)) GROUP BY 1, 2""",
+    f"""WITH {S.TOKENS_SQL}, {PAGE_SQL}, r AS (SELECT doc_id, CASE WHEN x0 >= px1 - (px1 - px0) * 0.45 AND y0 >= py1 - (py1 - py0) * 0.35 THEN 'bottom-right' WHEN x0 >= px1 - (px1 - px0) * 0.45 THEN 'right-strip' END AS region, word FROM tokens JOIN b USING (doc_id))
+    SELECT doc_id, region, count(*) AS n FROM r WHERE contains(word, 'the') AND region = (SELECT min(region) FROM r x WHERE x.doc_id = r.doc_id AND contains(x.word, 'the') AND x.region IS NOT NULL) GROUP BY 1, 2""",
 )
 def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words in the four edge bands of 16 % of their document."""
+    """Words in the lower right corner of their page, or, where it has none, in the right strip."""
     t = S.tokens(docs(spark, sf_dir))
-    b = t.groupBy("doc_id").agg(F.max("y1").alias("h"), F.max("x1").alias("w"))
-    bands = F.array_compact(F.array(F.when(F.col("y0") < F.col("h") * 0.16, "top"), F.when(F.col("y1") > F.col("h") * 0.84, "bottom"), F.when(F.col("x0") < F.col("w") * 0.16, "left"), F.when(F.col("x1") > F.col("w") * 0.84, "right")))
-    return t.join(b, "doc_id").select("doc_id", F.explode(bands).alias("band")).groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("n"))
+    found = I.page_regions(t.filter(F.contains("word", F.lit("the"))), token_pages(t), ["doc_id"], 0.45, 0.35)
+    return I.first_region(found, ["doc_id"]).groupBy("doc_id", "region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "edge_bands",
+    f"""WITH {S.TOKENS_SQL}, {PAGE_SQL} SELECT doc_id, band, count(*) AS n FROM (SELECT doc_id, unnest(list_filter([CASE WHEN y0 < py0 + (py1 - py0) * 0.16 THEN 'top' END, CASE WHEN y1 > py1 - (py1 - py0) * 0.16 THEN 'bottom' END, CASE WHEN x0 < px0 + (px1 - px0) * 0.16 THEN 'left' END, CASE WHEN x1 > px1 - (px1 - px0) * 0.16 THEN 'right' END], lambda v: v IS NOT NULL)) AS band FROM tokens JOIN b USING (doc_id)) GROUP BY 1, 2""",
+)
+def edge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in the four edge bands of 16 % of their page."""
+    t = S.tokens(docs(spark, sf_dir))
+    return I.edge_bands(t, token_pages(t), ["doc_id"]).groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -195,16 +239,31 @@ def color_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.colour_counts(c)
 
 
-@query("weighted_count", "SELECT l_suppkey AS page_no, sum(CASE WHEN l_linenumber > 1 THEN l_linenumber ELSE 1 END)::BIGINT AS weight FROM lineitem GROUP BY 1")
+@query("weighted_count", "SELECT l_suppkey AS page_no, sum(CASE WHEN l_returnflag = 'R' THEN greatest(1, l_linenumber - 1) ELSE 1 END)::BIGINT AS weight FROM lineitem GROUP BY 1")
 def weighted_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A detection of several parts counts as many times."""
-    return S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("page_no")).agg(F.sum(F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).otherwise(1)).alias("weight"))
+    """Returned items as detections of several parts."""
+    l = S.table(spark, sf_dir, "lineitem")
+    rows = l.select(F.col("l_suppkey").alias("page_no"), F.when(F.col("l_returnflag") == "R", "multi").otherwise("one").alias("source"), (F.col("l_linenumber") - 1).alias("parts"))
+    return I.weighted_counts(rows, ["page_no"])
 
 
-@query("result_state", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'applied' WHEN o_orderpriority LIKE '1%' THEN 'confirmed' WHEN o_totalprice < 50000 THEN 'discarded' ELSE 'candidate' END AS state FROM orders")
+@query(
+    "result_state",
+    """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS applied, o_orderkey % 3 = 0 AS pending, o_orderkey % 4 AS preview, o_totalprice < 50000 AS validated, o_custkey % 3 AS total, o_orderpriority LIKE '1%' AS exact FROM orders)
+    SELECT o_orderkey, CASE WHEN applied > 0 THEN 'applied' WHEN pending AND preview > 0 THEN 'confirmed' WHEN validated AND total > 0 AND NOT pending THEN 'discarded' WHEN exact THEN 'confirmed' ELSE 'candidate' END AS state FROM r""",
+)
 def result_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.when(F.col("o_orderstatus") == "F", "applied").when(F.col("o_orderpriority").startswith("1"), "confirmed").when(F.col("o_totalprice") < 50000, "discarded").otherwise("candidate")
-    return S.table(spark, sf_dir, "orders").select("o_orderkey", state.alias("state"))
+    o = S.table(spark, sf_dir, "orders")
+    rows = o.select(
+        "o_orderkey",
+        (F.col("o_orderstatus") == "P").cast("int").alias("applied"),
+        (F.col("o_orderkey") % 3 == 0).alias("pending"),
+        (F.col("o_orderkey") % 4).alias("preview_validated"),
+        (F.col("o_totalprice") < 50000).alias("validated"),
+        (F.col("o_custkey") % 3).alias("total"),
+        F.col("o_orderpriority").startswith("1").alias("exact"),
+    )
+    return I.result_states(rows).select("o_orderkey", "state")
 
 
 @query(
@@ -226,26 +285,36 @@ def unique_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.filter("n = 1").select("o_custkey", "o_orderkey")
 
 
+_BOX_SQL = "l_suppkey AS page_no, l_partkey % 100 AS x0, l_quantity AS y0, l_partkey % 100 + 10 AS x1, l_quantity + 5 AS y1"
+
+
+def item_boxes(l: DataFrame) -> DataFrame:
+    x = F.col("l_partkey") % 100
+    return l.withColumns({"page_no": F.col("l_suppkey"), "x0": x, "y0": F.col("l_quantity"), "x1": x + 10, "y1": F.col("l_quantity") + 5})
+
+
 @query(
     "promote_candidate",
-    """WITH c AS (SELECT * FROM orders WHERE o_orderstatus = 'P'), e AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'), f AS (SELECT l_orderkey, max(l_quantity) AS q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
-    SELECT o_orderkey, f.q IS NOT NULL AS has_evidence FROM c LEFT JOIN f ON f.l_orderkey = o_orderkey WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.l_orderkey = o_orderkey) AND (f.q IS NULL OR f.q > 10)""",
+    f"""WITH c AS (SELECT l_orderkey, {_BOX_SQL} FROM lineitem WHERE l_linenumber = 1), h AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber > 1), e AS (SELECT l_orderkey, {_BOX_SQL} FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber > 1),
+    s AS (SELECT c.l_orderkey, bool_or(e.page_no = c.page_no AND c.x0 <= e.x1 AND c.x1 >= e.x0 AND c.y0 <= e.y1 AND c.y1 >= e.y0) AS meets FROM c JOIN e USING (l_orderkey) GROUP BY 1)
+    SELECT c.l_orderkey, CASE WHEN h.l_orderkey IS NOT NULL THEN 'established' WHEN NOT coalesce(meets, true) THEN 'no evidence' ELSE 'promoted' END AS verdict FROM c LEFT JOIN h USING (l_orderkey) LEFT JOIN s USING (l_orderkey)""",
 )
 def promote_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A candidate is promoted where nothing is established yet and the evidence, if there is any, supports it."""
-    orders, l = S.table(spark, sf_dir, "orders"), S.table(spark, sf_dir, "lineitem")
-    established = l.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    evidence = l.filter("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").alias("q"))
-    open_ = orders.filter("o_orderstatus = 'P'").join(established, "o_orderkey", "left_anti").join(evidence, "o_orderkey", "left")
-    return open_.filter("q is null or q > 10").select("o_orderkey", F.col("q").isNotNull().alias("has_evidence"))
+    """First items as candidates, returned ones as established, others as evidence of the same order."""
+    l = item_boxes(S.table(spark, sf_dir, "lineitem"))
+    columns = ["l_orderkey", "page_no", "x0", "y0", "x1", "y1"]
+    later = l.filter("l_linenumber > 1")
+    out = I.promoted(l.filter("l_linenumber = 1").select(*columns), later.filter("l_returnflag = 'R'"), later.filter("l_returnflag = 'A'").select(*columns), "l_orderkey")
+    return out.select("l_orderkey", "verdict")
 
 
 @query(
     "tolerance_match",
-    """WITH e AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, l_tax FROM lineitem WHERE l_linestatus = 'O'), c AS (SELECT l_suppkey, l_quantity, l_tax, l_partkey FROM lineitem WHERE l_linestatus = 'F')
-    SELECT e.l_orderkey, e.l_linenumber, count(c.l_partkey) AS found, count(c.l_partkey) = 1 AS accepted FROM e LEFT JOIN c ON c.l_suppkey = e.l_suppkey AND c.l_tax = e.l_tax AND abs(c.l_quantity - e.l_quantity) <= 2 GROUP BY 1, 2""",
+    f"""WITH b AS (SELECT l_orderkey * 8 + l_linenumber AS box_id, l_linenumber % 3 AS paths, l_linestatus, {_BOX_SQL} FROM lineitem), e AS (SELECT * FROM b WHERE l_linestatus = 'O'), c AS (SELECT * FROM b WHERE l_linestatus = 'F')
+    SELECT e.page_no, e.box_id, count(c.box_id) AS found, count(c.box_id) = 1 AS accepted FROM e LEFT JOIN c ON c.page_no = e.page_no AND c.paths = e.paths AND abs(c.x0 - e.x0) <= 2 AND abs(c.y0 - e.y0) <= 2 AND abs(c.x1 - e.x1) <= 2 AND abs(c.y1 - e.y1) <= 2 GROUP BY 1, 2""",
 )
 def tolerance_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected again within a tolerance of 2: exactly one match is accepted."""
-    l = S.table(spark, sf_dir, "lineitem")
-    return I.tolerance_matches(l.filter("l_linestatus = 'O'"), l.filter("l_linestatus = 'F'"), ["l_suppkey", "l_tax"], "l_quantity", 2.0, ["l_orderkey", "l_linenumber"])
+    """Boxes detected again with as many paths and all sides within 2: exactly one match is accepted."""
+    l = item_boxes(S.table(spark, sf_dir, "lineitem")).withColumns({"box_id": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "paths": F.col("l_linenumber") % 3})
+    columns = ["page_no", "box_id", "paths", "x0", "y0", "x1", "y1"]
+    return I.matched_boxes(l.filter("l_linestatus = 'O'").select(*columns), l.filter("l_linestatus = 'F'").select(*columns), ["page_no"])

@@ -14,18 +14,35 @@ def sanitised_name(name: Column) -> Column:
 
 
 def write_verified(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Writes rows, reads them again and adds ``verified``: the value came back as it was meant.
+    """Writes rows to a staging folder, reads them again and adds ``verified``: the key came once and its value as it was meant.
 
     What was meant is compared by digest, so no text is shuffled for the comparison.
     """
     written = staged(rows.withColumn("_meant", F.sha2(value, 256)), "verified")
-    return written.withColumn("verified", F.sha2(value, 256) == F.col("_meant")).drop("_meant")
+    again = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
+    seen = written.join(again.withColumn("_again", F.lit(True)), keys, "left")
+    return seen.withColumn("verified", (F.sha2(value, 256) == F.col("_meant")) & F.col("_again").isNull()).drop("_meant", "_again")
 
 
-def write_bundle(rows: DataFrame, path: str, name_col: str, text_col: str, error_col: str | None = None) -> None:
-    """One folder of a bundle for each sanitised name; rows with an error are left out."""
+def promote(verified: DataFrame, path: str) -> int:
+    """Writes what was verified in full to its place, once all rows are; raises and writes nothing if one is not. Returns the number of rows."""
+    seen = verified.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("verified")).alias("bad")).first()
+    if seen["bad"]:
+        raise ValueError(f"{seen['bad']} of {seen['n']} rows did not come back as they were meant; nothing was written")
+    verified.drop("verified").write.mode("error").parquet(path)
+    return seen["n"]
+
+
+def write_bundle(rows: DataFrame, path: str, name_col: str, text_col: str, error_col: str | None = None) -> str:
+    """Writes outputs without errors: one as a single text file, several as a bundle with a folder for each sanitised name; says which, or "nothing"."""
     kept = rows.filter(F.col(error_col).isNull()) if error_col else rows
-    kept.select(sanitised_name(F.col(name_col)).alias("name"), F.col(text_col).alias("value")).write.partitionBy("name").mode("error").parquet(path)
+    kept = kept.select(sanitised_name(F.col(name_col)).alias("name"), F.col(text_col).alias("value"))
+    some = kept.limit(2).count()
+    if some == 1:
+        kept.select("value").coalesce(1).write.mode("error").text(path)
+    elif some:
+        kept.write.partitionBy("name").mode("error").parquet(path)
+    return ("nothing", "file", "bundle")[some]
 
 
 def binary_files(spark, path: str, mime_of: Column | None = None) -> DataFrame:
