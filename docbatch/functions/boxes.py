@@ -37,6 +37,12 @@ class Box(NamedTuple):
         ys = [x * b + y * d + f for x in (self.x0, self.x1) for y in (self.y0, self.y1)]
         return Box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
 
+    def unrotated(self, angle: int, size: tuple[float, float], origin: tuple[float, float], scale: float) -> Box:
+        """A box found in a band of that size, turned by 90 or 270 degrees and enlarged, in the coordinates around the band's origin."""
+        w, h = size
+        turned = (w - self.y1, self.x0, w - self.y0, self.x1) if angle == 90 else (self.y0, h - self.x1, self.y1, h - self.x0)
+        return Box(*((c + o) / scale for c, o in zip(turned, (*origin, *origin), strict=True)))
+
 
 def sub_box(x0: Column, x1: Column, start: Column, end: Column, length: Column) -> tuple[Column, Column]:
     """The part of a line's box that its characters from start to end take."""

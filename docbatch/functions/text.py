@@ -214,6 +214,14 @@ def rounded_half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def duration(ms: Column) -> Column:
+    """Milliseconds for people: whole ones below a second, two decimals of seconds below ten, one from there on."""
+    tenths, hundredths = rounded_half_up(ms / 100.0).cast("long"), rounded_half_up(ms / 10.0).cast("long")
+    long = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), tenths % 10, F.lit(" s"))
+    short = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(" s"))
+    return F.when(ms >= 10_000, long).when(ms >= 1_000, short).otherwise(F.concat(rounded_half_up(ms).cast("long"), F.lit(" ms")))
+
+
 def quoted(text: str) -> str:
     """A literal as a regular expression, for Java and RE2 alike."""
     return "".join("\\" + c if c in "\\.^$|?*+()[]{}-" else c for c in text)

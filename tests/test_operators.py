@@ -251,3 +251,35 @@ def test_pending_and_refined_families_by_brute_force(spark):
     for key, (*_, only) in refined.items():
         assert only == (accepted[key] and sum(v for k, v in accepted.items() if k[0] == key[0]) == 1)
     assert any(p for *_, p in got.values()) and any(accepted.values())
+
+
+def test_sinks_and_file_sources(spark, tmp_path):
+    from docbatch.sources import files
+
+    rows = spark.createDataFrame([("a/b", "one", None), ("c\\d", "two", None), ("e", "bad", "broken")], "name string, text string, error string")
+    assert files.write_bundle(rows, f"{tmp_path}/bundle", "name", "text", "error") == "bundle"
+    assert {(r.name, r.value) for r in spark.read.parquet(f"{tmp_path}/bundle").collect()} == {("a_b", "one"), ("c_d", "two")}
+    assert files.write_bundle(rows.limit(1), f"{tmp_path}/single", "name", "text", "error") == "file"
+    assert [r.value for r in spark.read.text(f"{tmp_path}/single").collect()] == ["one"]
+    assert files.write_bundle(rows.filter("error is not null"), f"{tmp_path}/none", "name", "text", "error") == "nothing" and not (tmp_path / "none").exists()
+    good = files.write_verified(rows.select("name", "text"), ["name"], "text")
+    assert files.promote(good, f"{tmp_path}/place") == 3 and spark.read.parquet(f"{tmp_path}/place").count() == 3
+    twice = files.write_verified(rows.select(F.lit("x").alias("name"), "text"), ["name"], "text")
+    with pytest.raises(ValueError):
+        files.promote(twice, f"{tmp_path}/other")
+    assert not (tmp_path / "other").exists()
+    for name in ("x.PDF", "y.pdf", "z.txt"):
+        (tmp_path / name).write_bytes(b"%PDF")
+    assert {r.path.rsplit("/", 1)[1] for r in files.binary_files(spark, f"{tmp_path}/*.*").select("path").collect()} == {"x.PDF", "y.pdf"}
+
+
+def test_selected_edits_are_all_or_none(spark):
+    rows = spark.createDataFrame([(1, "of the a of-the b of the"), (2, "of the"), (3, "none"), (4, None)], "doc_id int, text string")
+    found = E.occurrences(rows, "of the").withColumn("occurrence_id", E.occurrence_id("of the", "doc_id", "ordinal"))
+    ids = {(r.doc_id, r.ordinal): r.occurrence_id for r in found.collect()}
+    assert len(set(ids.values())) == 4
+    selected = spark.createDataFrame([(1, ids[1, 1]), (1, ids[1, 3]), (2, "gone")], "doc_id int, occurrence_id string")
+    got = {r.doc_id: (r.text, r.reason) for r in E.apply_selected(rows, found.drop("text"), selected, r"$1\x").collect()}
+    assert got == {1: (r"$1\x a of-the b $1\x", None), 2: ("of the", "missing ids"), 3: ("none", "nothing selected"), 4: (None, "nothing selected")}
+    done = E.cascade(rows, "of the", "of-the").filter("doc_id = 1").first()
+    assert (done.expected, done.direct, done.by_fallback, done.done) == (3, 2, 1, "of-the a of-the b of-the")
