@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docbatch.operators import geometry as G
@@ -10,9 +10,14 @@ from docbatch.plans.catalog import query
 from docbatch.sources import tables as S
 
 ST = f"WITH {S.STROKES_SQL}"
-#: The greatest gap within a family follows its line width.
-LIMIT = G.gap_limit(F.col("line_width"))
 PAGE = (1000.0, 600.0)
+
+
+def limit() -> Column:
+    """The greatest gap within a family follows its line width."""
+    return G.gap_limit(F.col("line_width"))
+
+
 DX, DY = ("greatest(a.{0}0 - b.{0}1, b.{0}0 - a.{0}1, 0)".format(c) for c in "xy")
 PAIRS_SQL = f"pairs AS (SELECT a.page_no, a.color, a.width, a.stroke AS a, b.stroke AS b FROM strokes a JOIN strokes b ON a.page_no = b.page_no AND a.color = b.color AND a.width = b.width AND a.stroke < b.stroke AND {DX} * {DX} + {DY} * {DY} <= pow(greatest(8, least(22, a.line_width * 30 + 8)), 2))"
 
@@ -34,13 +39,13 @@ def union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gap_pairs", f"{ST}, {PAIRS_SQL} SELECT * FROM pairs")
 def gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.gap_pairs(strokes(spark, sf_dir), G.FAMILY, LIMIT)
+    return G.gap_pairs(strokes(spark, sf_dir), G.FAMILY, limit())
 
 
 # SQL is too slow for the closure of whole families, so components and what builds on them are tested against a brute-force version
 @query("components")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(strokes(spark, sf_dir), G.FAMILY, LIMIT).select("stroke", "component")
+    return G.components(strokes(spark, sf_dir), G.FAMILY, limit()).select("stroke", "component")
 
 
 @query("family_eval")
@@ -223,7 +228,6 @@ def cycle_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
 CE = f"WITH {S.CELLS_SQL}"
 
 
-
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cells(S.table(spark, sf_dir, "lineitem"))
 
