@@ -32,7 +32,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     then costs a re-read of shared files and not a recomputation.
     """
     path = f"{shared_dir(df.sparkSession)}/docbatch-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
