@@ -43,7 +43,7 @@ from docbatch.llm.common import join_counted, slices, staged, texts
 from docbatch.llm.pieces import mixed
 from docbatch.llm.shingles import shingle_sets
 from docbatch.operators.components import connected_components
-from docbatch.plans.staging import scratch, staged_with
+from docbatch.plans.staging import released, scratch, staged_with
 
 COUNTERS = 1 << 20
 SLICES = 64
@@ -516,9 +516,10 @@ def exact_join(families: DataFrame, total: int, component: DataFrame, docs: Data
 
 
 def set_components(docs: DataFrame, sets: DataFrame, posted: DataFrame, clashing: frozenset[int] = frozenset()) -> DataFrame | None:
-    """(set, component) of all sets that link with another one; None where no sets meet. ``sets`` has (set, id, key, n, bits)."""
+    """(set, component) of all sets that link with another one; None where no sets meet. ``sets`` has (set, id, key, n, bits). The table of postings is deleted when the groups are written."""
     spark = docs.sparkSession
     groups, seen = staged_with(shared_groups(posted), "groups")
+    released(posted)
     if not seen["n"]:
         return None
     total, ids, shape = seen["n"], sets.select("set", "id", "key"), sets.select("set", "n", "bits")
