@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,3 +15,21 @@ def held(rows: DataFrame, name: str, value: Column) -> DataFrame:
     of an array. A generator of one row is not.
     """
     return rows.select(*(c for c in rows.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
+#: Rows of a list of rules or targets that are sent to every executor at once.
+MOST_SENT = 100_000
+
+
+def joined_list(rows: DataFrame, listed: DataFrame, on: Column, most: int = MOST_SENT) -> DataFrame:
+    """``rows`` joined to a list by a condition that is no equality. The list is counted first.
+
+    It goes to every executor, and one that is longer than ``most`` does so in several parts, each of which
+    the rows are read for, so that what is sent stays bounded.
+    """
+    n = listed.count()
+    if n <= most:
+        return rows.join(F.broadcast(listed), on)
+    parts = -(-2 * n // most)
+    part = F.pmod(F.xxhash64(*listed.columns), F.lit(parts))
+    return reduce(DataFrame.unionByName, (rows.join(F.broadcast(listed.filter(part == i)), on) for i in range(parts)))

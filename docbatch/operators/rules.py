@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
+from docbatch.functions.rows import joined_list
 
 
 def distinct_rules(rules: DataFrame) -> DataFrame:
@@ -23,20 +24,17 @@ def active_rules(rules: DataFrame) -> DataFrame:
 def line_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, rule_id, page_no, n): exact hits of every rule by page; a line is one unit of search.
 
-    The rules are a short list by definition, so they go to every executor and no line is shuffled
-    before its hits are counted.
+    The rules go to every executor, a long list in parts, and no line is shuffled before its hits are counted.
     """
-    needles = F.broadcast(distinct_rules(rules).select("rule_id", T.norm(F.col("find")).alias("needle")))
-    text = lines.withColumn("s", T.norm(F.col("line")))
-    hits = text.join(needles, F.contains(text["s"], needles["needle"]))
+    needles = distinct_rules(rules).select("rule_id", T.norm(F.col("find")).alias("needle"))
+    hits = joined_list(lines.withColumn("s", T.norm(F.col("line"))), needles, F.contains("s", "needle"))
     return hits.groupBy("doc_id", "rule_id", "page_no").agg(F.sum(T.count_of(F.col("s"), F.col("needle"))).alias("n"))
 
 
 def page_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, rule_id, page_no, n): flexible hits, in which separators do not count and lines do not end a match."""
-    needles = F.broadcast(distinct_rules(rules).select("rule_id", T.flexible_key(F.col("find")).alias("needle")).filter("needle <> ''"))
-    text = pages.withColumn("s", T.flexible_key(F.col("text")))
-    hits = text.join(needles, F.contains(text["s"], needles["needle"]))
+    needles = distinct_rules(rules).select("rule_id", T.flexible_key(F.col("find")).alias("needle")).filter("needle <> ''")
+    hits = joined_list(pages.withColumn("s", T.flexible_key(F.col("text"))), needles, F.contains("s", "needle"))
     return hits.groupBy("doc_id", "rule_id", "page_no").agg(F.sum(T.count_of(F.col("s"), F.col("needle"))).alias("n"))
 
 

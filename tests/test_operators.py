@@ -283,3 +283,12 @@ def test_selected_edits_are_all_or_none(spark):
     assert got == {1: (r"$1\x a of-the b $1\x", None), 2: ("of the", "missing ids"), 3: ("none", "nothing selected"), 4: (None, "nothing selected")}
     done = E.cascade(rows, "of the", "of-the").filter("doc_id = 1").first()
     assert (done.expected, done.direct, done.by_fallback, done.done) == (3, 2, 1, "of-the a of-the b of-the")
+
+
+def test_long_lists_are_sent_in_parts(spark):
+    from docbatch.functions.rows import joined_list
+
+    rows = spark.createDataFrame([(i, f"text {i} and {i % 7}") for i in range(40)], "i int, s string")
+    listed = spark.createDataFrame([(str(k),) for k in range(25)], "needle string")
+    whole, parts = (sorted(map(tuple, joined_list(rows, listed, F.contains("s", "needle"), most).collect())) for most in (100, 6))
+    assert whole == parts and len(whole) > 40
