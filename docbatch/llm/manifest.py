@@ -57,17 +57,16 @@ def node(digests: Iterable[bytes]) -> bytes:
 
 
 class Appender:
-    """An aligned stretch of leaves that grows by appends, with the witness of each leaf so far.
+    """An aligned stretch of at most ``most`` leaves that grows by appends, with the witness of each leaf so far.
 
     ``open`` holds the completed subtrees that still lack a sibling: (height, first leaf, digest), the highest
     first. The witness of a leaf is one digest for each level, empty where the node is alone in its run.
     """
 
-    def __init__(self, most: int):
-        self.most = most
+    def __init__(self, most: int, height: int | None = None):
         self.open: list[tuple[int, int, bytes]] = []
         self.size = 0
-        self.witness = np.zeros((most, max(1, (most - 1).bit_length())), dtype="S64")
+        self.witness = np.zeros((most, max(1, _levels(most) if height is None else height)), dtype="S64")
 
     def append(self, digest: bytes) -> None:
         self.open.append((0, self.size, digest))
@@ -107,12 +106,12 @@ def _levels(n: int) -> int:
     return max(0, n - 1).bit_length()
 
 
-def _block(places: np.ndarray, digests: list[bytes], total: int, size: int) -> tuple[Appender, bytes, int]:
-    """A block's appender, root and height; places are all of the block's, in order."""
-    appender = Appender(len(digests))
+def _block(digests: list[bytes], total: int, size: int) -> tuple[Appender, bytes, int]:
+    """The appender, root and height of a block of a tree of ``total`` leaves. A last, smaller block is as high as the others."""
+    height = min(_levels(total), _levels(size))
+    appender = Appender(len(digests), height)
     for d in digests:
         appender.append(d)
-    height = min(_levels(total), _levels(size))
     return appender, appender.close(height), height
 
 
@@ -126,7 +125,7 @@ def _roots(nodes: DataFrame, size: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = _ordered(table)
         place, total = table["place"][0].as_py(), table["total"][0].as_py()
-        _, root, _ = _block(table["place"].to_numpy(), [d.encode() for d in table["digest"].to_pylist()], total, size)
+        _, root, _ = _block([d.encode() for d in table["digest"].to_pylist()], total, size)
         return pa.table({"tree": table["tree"].slice(0, 1), "place": [place // size], "total": [-(-total // size)], "digest": [root.decode()]})
 
     return nodes.groupBy("tree", F.expr(f"place div {size}").alias("block")).applyInArrow(run, "tree string, place long, total long, digest string")
@@ -141,7 +140,7 @@ def _down(nodes: DataFrame, above: DataFrame, size: int) -> DataFrame:
     def run(table: pa.Table, upper: pa.Table) -> pa.Table:
         table = _ordered(table)
         places = table["place"].to_numpy()
-        appender, _, height = _block(places, [d.encode() for d in table["digest"].to_pylist()], table["total"][0].as_py(), size)
+        appender, _, height = _block([d.encode() for d in table["digest"].to_pylist()], table["total"][0].as_py(), size)
         rest, root = upper["witness"][0].as_py(), upper["root"][0].as_py()
         own = [[w.decode() for w in appender.witness[i, :height]] + rest for i in range(len(places))]
         return pa.table({"tree": table["tree"], "place": places, "witness": pa.array(own, pa.list_(pa.string())), "root": [root] * len(places)})
@@ -214,7 +213,7 @@ def _proofs(leaves: DataFrame, ends: DataFrame, kept: list[str], size: int) -> D
         places = table["place"].to_pylist()
         total = table["total"][0].as_py()
         digests = [d.encode() for d in table["digest"].to_pylist()]
-        appender, _, height = _block(table["place"].to_numpy(), digests, total, size)
+        appender, _, height = _block(digests, total, size)
         end = upper.slice(0, 1).to_pylist()[0]
         middle, high = ([w.encode() for w in end[c]] for c in ("middle", "witness"))
         below, proofs, folded = _levels(total), [], []
