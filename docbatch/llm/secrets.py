@@ -1,16 +1,24 @@
 """Operator 7: secret scans by a recursive decoding worklist.
 
 Each text is a first layer. A layer is scanned for secrets, then what is encoded in it is unwrapped into
-layers of its own, which join the worklist: percent escapes, and Unicode escapes with numeric character
-references, over the whole layer with a map of places, so that a key and its value may stand in different words;
-base64, also wrapped over lines; and compressed data inside base64 (zlib, gzip, bz2, xz and bare deflate), all
-members to their end. The list is worked until it is empty: a layer that was unwrapped before from the same
-stretch is not unwrapped again, in whatever order its decoders came, so cycles end and the work follows the
-number of different layers. Inflated data is scanned in windows of about ``max_inflated`` characters, each cut
-where no secret and no encoded stretch can continue; a window grows as long as there is no such place. Bytes that
-are no text are scanned too, as far as they can be read. A finding inside a layer is mapped to the text through
-every layer in between: by the offsets of the escapes, and to the whole stretch of base64, no part of which can
-be cut out without spoiling the rest.
+layers of its own, which join the worklist:
+
+* Escapes (percent escapes, and Unicode escapes with numeric character references): each stretch of words that holds
+  some, with the words that a key or a value may stand in beside them, is decoded until none are left, by percent escapes
+  alone, Unicode escapes alone, and both. A character that an escape gives may complete another one, at once and to
+  any depth, in one pass from left to right; so the work follows the length, however deeply escapes are nested.
+* Base64, also wrapped over lines: a run may begin with other characters of its alphabet (a path, a prefix and a dash), so it
+  is decoded at all four alignments.
+* Compressed data inside base64, wherever its first bytes stand: zlib, gzip, bz2, xz, all members to their end; and bare
+  deflate, which has no such bytes, from the start of a run and after each "/", "+", "-" and "_" of its first ``LEAD`` characters.
+
+The list is worked until it is empty: a layer that was unwrapped before from the same stretch is not unwrapped
+again, in whatever order its decoders came, so cycles end and the work follows the number of different layers. Inflated
+data is scanned in windows of about ``max_inflated`` characters, each cut where no secret and no encoded stretch can
+continue; a window grows as long as there is no such place. Bytes that are no text are scanned too, as far as they
+can be read. Each character of a layer of escapes knows its place in the first text, so a finding there is mapped to the
+characters it came from; one inside base64 is mapped to the whole run, no part of which can be cut out without
+spoiling the rest.
 
 Defined results: null and empty text have no findings; a text of any length is scanned whole; equal
 spans of one kind count once; rows are independent, so ties and repeated rows need no rule; an empty
@@ -27,7 +35,6 @@ import hashlib
 import lzma
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -47,15 +54,34 @@ LEAST_VALUE = 12
 
 #: Runs of the base64 alphabet, and escapes.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
-_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+#: A character reference up to its semicolon, at the end of at most so many characters.
+_REFERENCE = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}))\Z")
+_REFERENCE_LENGTH = 9
+#: What a word beside a blank starts or ends with if a key, sign or value may stand on both sides of the blank.
+_OPEN = frozenset(":=\"'%\\&")
+#: Characters of escapes, also of those that decoding gives.
+_ESCAPING = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz%\\&#;"
+_WORD = re.compile(r"\S+")
+_ENCODED_LINE = re.compile(r"[A-Za-z0-9+/_=%-]{16,}")
 #: What may stand between two lines of one base64 text, and such a text's last line.
 _WRAP = re.compile(r"[ \t]*\r?\n[ \t]*")
 _LAST_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![A-Za-z0-9+/_=-])")
+_SEPARATOR = re.compile(r"[+/_-]")
 #: What every text with something to unwrap has.
 _HINT = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]|&#|[A-Za-z0-9+/_-]{16}")
 #: Characters that belong to no finding and no encoded stretch, also none wrapped over lines.
 _BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:"'%&#;\\\s-]""")
+#: Bytes that a finding or an encoded stretch needs, at least.
+_READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{16}")
+# The first bytes of gzip, zlib, bz2 and xz data.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00", re.DOTALL)
+#: Bytes by which most data that is not compressed shows itself.
+PROBE = 512
+#: Characters at the start of a run of base64 after whose separators bare deflate may begin.
+LEAD = 512
 
 MAX_INFLATED = 4_000_000
 #: Bytes that are inflated at once.
@@ -89,31 +115,45 @@ def _inflated(make: Callable[[], object], data: bytes) -> Iterator[bytes]:
             elif not left and not stream.eof:
                 break
     except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        if any_out:  # broken further on: what came before counts, and so do the bytes themselves
-            yield b"\n,\n" + data
-            return b""
+        return None  # what came before counts
     return stream.unused_data if stream.eof else b"" if any_out else None
 
 
-def _members(data: bytes) -> Iterator[bytes]:
-    """Compressed data in pieces: all members to their end, and what else is there as it is."""
-    while data:
-        if data[:3] == b"BZh":
-            make = bz2.BZ2Decompressor
-        elif data[:6] == b"\xfd7zXZ\x00":
-            make = lzma.LZMADecompressor
-        elif data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            make = lambda: zlib.decompressobj(zlib.MAX_WBITS | 32)
-        elif _bare(data):
-            make = lambda: zlib.decompressobj(-zlib.MAX_WBITS)
-        else:
-            yield data
-            return
-        rest = yield from _inflated(make, data)
-        if rest is None:
-            yield data
-            return
-        data = rest
+def _maker(data: bytes, at: int) -> Callable[[], object]:
+    if data.startswith(b"BZh", at):
+        return bz2.BZ2Decompressor
+    if data.startswith(b"\xfd7zXZ\x00", at):
+        return lzma.LZMADecompressor
+    return lambda: zlib.decompressobj(zlib.MAX_WBITS | 32)
+
+
+def _bare_maker() -> object:
+    return zlib.decompressobj(-zlib.MAX_WBITS)
+
+
+def _streams(data: bytes, starts: Iterable[int]) -> Iterator[Iterator[bytes]]:
+    """The content of each compressed stream in the data, in pieces. Bare deflate is looked for at ``starts``."""
+    places = {m.start(): _maker(data, m.start()) for m in _MAGIC.finditer(data)}
+    places |= {at: _bare_maker for at in starts if at not in places and at < len(data)}
+    done = 0
+    for at, make in sorted(places.items(), key=lambda p: p[0]):
+        if at < done:
+            continue
+        try:
+            make().decompress(data[at : at + PROBE], 64)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            continue
+        rest = data[at:]
+        if make is _bare_maker and not _bare(rest):
+            continue
+        left: list[bytes | None] = []
+
+        def pieces(make=make, rest=rest, left=left) -> Iterator[bytes]:
+            left.append((yield from _inflated(make, rest)))
+
+        yield pieces()
+        if left and left[0] is not None:
+            done = len(data) - len(left[0])
 
 
 def _bare(data: bytes) -> bool:
@@ -151,50 +191,114 @@ def _windows(pieces: Iterable[bytes], window: int) -> Iterator[str]:
 
 
 def unwrap(stretch: str, window: int = MAX_INFLATED) -> Iterator[str]:
-    """The text inside a base64 stretch, in windows."""
+    """The texts inside a base64 stretch, in windows: at each alignment the bytes as they are, and what they hold compressed."""
     body = stretch.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    yield from _windows(_members(data), window)
+    after = [m.end() for m in _SEPARATOR.finditer(body, 0, LEAD)]
+    for shift in range(4):
+        part = body[shift:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        try:
+            data = base64.b64decode(part + "=" * (-len(part) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            continue
+        if _READABLE.search(data):
+            yield from _windows([data], window)
+        for pieces in _streams(data, ((at - shift) // 4 * 3 for at in [shift, *after] if at % 4 == shift)):
+            yield from _windows(pieces, window)
 
 
 def _char(code: int) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
-def _decoded(kind: str, m: re.Match[str]) -> Iterator[tuple[str, int, int]]:
-    """(text, start, step): the text of an escape in pieces; ``step`` is how far the source goes on with each character, 0 if that varies."""
-    if kind == "uni":
-        yield _char(int(m[1] or m[2] or m[4], 16) if not m[3] else int(m[3])), m.start(), m.end() - m.start()
-        return
-    data = bytes.fromhex(m[0].replace("%", ""))
-    if data.isascii():
-        yield data.decode(), m.start(), 3
-        return
-    try:
-        at = m.start()
-        for c in data.decode():
-            step = 3 * len(c.encode())
-            yield c, at, step
-            at += step
-    except UnicodeDecodeError:
-        yield data.decode("utf-8", "replace"), m.start(), 0
-
-
-Place = Callable[[int, int], tuple[int, int]]
+#: Stands for a byte of a UTF-8 sequence that is not yet whole; no text has such characters.
+_BYTE = 0xDC00
+
+
+def _whole_character(out: list[str]) -> tuple[int, str]:
+    """The UTF-8 sequence of bytes at the end of ``out``: how many places it takes, 0 if it is not whole, and its character."""
+    codes: list[int] = []
+    while len(codes) < min(4, len(out)) and 0x80 <= ord(out[-1 - len(codes)]) - _BYTE <= 0xFF:
+        codes.insert(0, ord(out[-1 - len(codes)]) - _BYTE)
+        if codes[0] >= 0xC0:
+            try:
+                return len(codes), bytes(codes).decode()
+            except UnicodeDecodeError:
+                return 0, ""
+    return 0, ""
+
+
+def unescaped(text: str, url: bool, uni: bool) -> tuple[str, list[int], list[int]]:
+    """The text without its escapes, also those that decoding gives; and where each character starts and ends in ``text``."""
+    out: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    digits = _HEX_DIGITS
+    for at, c in enumerate(text):
+        out.append(c), starts.append(at), ends.append(at + 1)
+        while True:
+            n, new, size = 0, "", len(out)
+            if c in digits:
+                if url and size > 2 and out[-3] == "%" and out[-2] in digits:
+                    code = int(out[-2] + c, 16)
+                    n, new = 3, chr(code if code < 0x80 else _BYTE + code)
+                elif uni and size > 3 and out[-2] in digits:
+                    if out[-3] == "x" and out[-4] == "\\":
+                        n, new = 4, _char(int(out[-2] + c, 16))
+                    elif size > 5 and out[-5] == "u" and out[-6] == "\\" and out[-3] in digits and out[-4] in digits:
+                        n, new = 6, _char(int("".join(out[-4:]), 16))
+            elif c == ";":
+                if uni and (m := _REFERENCE.search("".join(out[-1 - _REFERENCE_LENGTH : -1]))):
+                    n, new = len(m[0]) + 1, _char(int(m[1]) if m[1] else int(m[2], 16))
+            elif 0x80 <= ord(c) - _BYTE <= 0xFF:
+                n, new = _whole_character(out)
+            if not n:
+                break
+            start, end = starts[-n], ends[-1]
+            del out[-n:], starts[-n:], ends[-n:]
+            c = new
+            out.append(c), starts.append(start), ends.append(end)
+    return "".join("\ufffd" if 0xDC80 <= ord(c) <= 0xDCFF else c for c in out), starts, ends
+
+
+def _joined(left: str, gap: str, right: str) -> bool:
+    """Whether a finding, or base64 over two lines, may go over the gap between two words."""
+    if gap.strip(" ") == "":
+        before = left.rstrip(_ESCAPING)
+        tail = left[len(before) :]
+        return right[0] in _OPEN or before[-1:] in (":", "=", '"', "'") or "%" in tail or "\\" in tail or "&" in tail
+    return bool(_WRAP.fullmatch(gap) and _ENCODED_LINE.fullmatch(left) and re.fullmatch(r"[A-Za-z0-9+/_=%-]+", right))
+
+
+def escaped_stretches(text: str) -> Iterator[tuple[int, int, bool, bool]]:
+    """(start, end, percent escapes, Unicode escapes): words with escapes and the words that belong to them."""
+    start = end = -1
+    last, url, uni = "", False, False
+    for m in _WORD.finditer(text):
+        word = m[0]
+        if start < 0 or not _joined(last, text[end : m.start()], word):
+            if url or uni:
+                yield start, end, url, uni
+            start, url, uni = m.start(), False, False
+        end, last = m.end(), word
+        url = url or "%" in word and bool(_PERCENT.search(word))
+        uni = uni or ("\\" in word or "&#" in word) and bool(_ESCAPE.search(word))
+    if url or uni:
+        yield start, end, url, uni
 
 
 class Layer:
-    """A text, and where its places are in the first text."""
+    """A text, and where its places are in the first text: as they are, by lists, or all in one stretch."""
+
+    __slots__ = ("ends", "starts", "stretch", "text")
 
-    __slots__ = ("text", "place")
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, stretch: tuple[int, int] | None = None):
+        self.text, self.starts, self.ends, self.stretch = text, starts, ends, stretch
 
-    def __init__(self, text: str, place: Place):
-        self.text, self.place = text, place
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        if self.stretch:
+            return self.stretch
+        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
     def key(self) -> tuple[int, int, bytes]:
         """What the layer holds, and the stretch of the first text that it came from."""
@@ -205,35 +309,24 @@ class Layer:
         yield from ((*self.place(a, b), kind) for a, b, kind in scan(self.text))
 
     def below(self, window: int) -> Iterator[Layer]:
-        for kind, pattern, hint in (("url", _PERCENT, "%" in self.text), ("uni", _ESCAPE, "\\" in self.text or "&#" in self.text)):
-            if hint and pattern.search(self.text):
-                yield self._unescaped(kind, pattern)
+        text = self.text
+        if "%" in text or "\\" in text or "&#" in text:
+            for a, b, url, uni in escaped_stretches(text):
+                for kinds in {(url, uni), (url, False), (False, uni)} - {(False, False)}:
+                    yield self._unescaped(a, text[a:b], *kinds)
         for text, a, b in base64_stretches(self.text):
             at = self.place(a, b)
             for inner in unwrap(text, window):
                 if inner:
-                    yield Layer(inner, lambda _a, _b, at=at: at)
-
-    def _unescaped(self, kind: str, pattern: re.Pattern[str]) -> Layer:
-        source = self.text
-        # pieces: where they start here and there, and how far the source goes on with each character
-        new, old, steps, out = [], [], [], []
-        at = size = 0
-        for m in pattern.finditer(source):
-            for piece, start, step in ((source[at : m.start()], at, 1), *_decoded(kind, m)):
-                if piece:
-                    new.append(size), old.append(start), steps.append(step), out.append(piece)
-                    size += len(piece)
-            at = m.end()
-        if at < len(source):
-            new.append(size), old.append(at), steps.append(1), out.append(source[at:])
-        ends = [*old[1:], len(source)]
-
-        def place(a: int, b: int) -> tuple[int, int]:
-            i, j = bisect_right(new, a) - 1, bisect_right(new, b - 1) - 1
-            return self.place(old[i] + steps[i] * (a - new[i]), old[j] + steps[j] * (b - new[j]) if steps[j] else ends[j])
-
-        return Layer("".join(out), place)
+                    yield Layer(inner, stretch=at)
+
+    def _unescaped(self, offset: int, source: str, url: bool, uni: bool) -> Layer:
+        text, starts, ends = unescaped(source, url, uni)
+        if self.stretch:
+            return Layer(text, stretch=self.stretch)
+        if self.starts is None:
+            return Layer(text, [s + offset for s in starts], [e + offset for e in ends])
+        return Layer(text, [self.starts[s + offset] for s in starts], [self.ends[e + offset - 1] for e in ends])
 
 
 def base64_stretches(layer: str) -> Iterator[tuple[str, int, int]]:
@@ -269,7 +362,7 @@ def _joined_lines(layer: str, lines: list[tuple[int, int]]) -> Iterator[tuple[st
 
 def layers(text: str, window: int = MAX_INFLATED) -> Iterator[Layer]:
     """Every layer below the text, each once. Of what is inflated, one window is held at a time."""
-    first = Layer(text, lambda a, b: (a, b))
+    first = Layer(text)
     seen, work = {first.key()}, [first.below(window)]
     while work:
         layer = next(work[-1], None)
