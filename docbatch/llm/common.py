@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docbatch.plans.staging import staged  # noqa: F401
+from docbatch.plans.staging import staged
 
 #: The white space of the contracts: space and the five control characters from tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
@@ -23,6 +23,41 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: Bits of a row's place in its file, of a number that also holds the file's.
+PLACE_BITS = 40
+
+
+def _of_files(docs: DataFrame) -> bool:
+    """Whether each row is one row of a Parquet file, as it lies there or with other columns."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.simpleString(100).lower() and "_metadata" not in docs.columns
+
+
+def identified(docs: DataFrame, number: str) -> DataFrame:
+    """``docs`` with a column ``number`` that tells rows apart and is the same whenever they are read.
+
+    Rows of Parquet files have the file's number and their place in it; other rows, whose numbers could differ
+    between two reads, are written once with their numbers.
+    """
+    if _of_files(docs):
+        path = docs.select(F.col("_metadata.file_path").alias("path"))
+        files = sorted(r.path for r in path.distinct().collect())  # the driver lists them for every scan, too
+        if len(files) < 1 << (63 - PLACE_BITS):
+            names = F.broadcast(docs.sparkSession.createDataFrame([(f, i << PLACE_BITS) for i, f in enumerate(files)], f"`{number} path` string, `{number}` long"))
+            placed = docs.select("*", F.col("_metadata.file_path").alias(f"{number} path"), F.col("_metadata.row_index").alias(f"{number} place"))
+            return placed.join(names, f"{number} path").select(*(f"`{c}`" for c in docs.columns), (F.col(f"`{number}`") + F.col(f"`{number} place`")).alias(number))
+    return staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
+def unused(name: str, docs: DataFrame) -> str:
+    """``name``, or a longer one, that is no column of ``docs``."""
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], max_chars: int = 4_000_000) -> Iterator[tuple[pa.Array, list[str]]]:
     """Ids and texts, in runs of at most about ``max_chars`` characters, so that memory does not follow the batch size.
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docbatch.llm.common import join_counted, slices, staged
+from docbatch.llm.common import identified, join_counted, slices, staged, unused
 from docbatch.plans.staging import scratch, staged_with
 
 #: Fingerprints that a block holds on average.
@@ -45,8 +45,8 @@ def normalised(text: str) -> bytes:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """row, id, n_chars, fingerprint (64 bits), sha256 and the normalised text of every row."""
-    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_chars", pa.int64()), ("fingerprint", pa.int64()), ("sha", pa.binary()), ("plain", pa.binary())])
+    """row, id, n_chars, fingerprint (64 bits) and sha256 of the normalised text of every row."""
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_chars", pa.int64()), ("fingerprint", pa.int64()), ("sha", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, values in slices(batches):
@@ -58,16 +58,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     pa.array(list(map(len, values)), pa.int64()),
                     pa.array(np.array([xxhash.xxh3_64_intdigest(p) for p in plain], dtype=np.uint64).view(np.int64)),
                     pa.array([hashlib.sha256(p).digest() for p in plain], pa.binary()),
-                    pa.array(plain, pa.binary()),
                 ],
                 schema=schema,
             )
 
     return docs.select(F.struct("row", F.col("id").cast("long").alias("id")).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
-        run, "row long, id long, n_chars long, fingerprint long, sha binary, plain binary"
+        run, "row long, id long, n_chars long, fingerprint long, sha binary"
     )
 
 
+def whole_texts(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """The normalised texts of the ``n`` rows of ``docs`` that ``rows`` (row) names, read again."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, values in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(normalised, values)), pa.binary())], names=["plain"])
+
+    named = docs.join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, "row", "left_semi")
+    return named.select("row", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "plain binary")
+
+
 def partition_filters(prints: DataFrame, bits: int) -> DataFrame:
     """One counting quotient filter per partition, cut into its blocks: (block, remainders, counts), remainders sorted."""
 
@@ -107,59 +117,48 @@ def merged_filter(filters: DataFrame, bits: int, least: int = 2) -> DataFrame:
 
 
 def byte_classes(whole: DataFrame) -> DataFrame:
-    """(sha, group_size) of the distinct texts of rows (fingerprint, plain).
+    """(sha, group_size, texts): classes of the normalised texts ``plain``, and how many texts have the digest.
 
     Rows meet by all their bytes. Copies are counted where they lie before they are shuffled, so of each text
     and partition one goes on.
     """
-    texts = whole.groupBy("fingerprint", "plain").agg(F.count(F.lit(1)).alias("group_size"))
-    named, seen = staged_with(texts.select(F.unhex(F.sha2("plain", 256)).alias("sha"), "group_size"), "byte-classes")
-    if named.select("sha").distinct().count() != seen["n"]:
-        raise RuntimeError("two texts have one SHA-256 digest, so it can't name their classes")
-    return named
+    each = whole.groupBy("plain").agg(F.count(F.lit(1)).alias("group_size"))
+    named = each.select(F.unhex(F.sha2("plain", 256)).alias("sha"), "group_size")
+    return named.groupBy("sha").agg(F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """(row, id, keep_id, group_size, kept, sha) for docs of (row, id, text)."""
+    """(row, id, keep_id, group_size, kept, sha) for docs of (row, id, text), which is read again for rows of repeated fingerprints."""
     rows, seen = staged_with(fingerprints(docs), "fingerprints")
     bits = max(0, (seen["n"] // BLOCK_ROWS).bit_length())
-    often, repeats = staged_with(merged_filter(partition_filters(rows, bits), bits), "repeats")
-    small = rows.select("row", "id", "n_chars", "fingerprint", "sha")
-    marked = join_counted(small, often, "fingerprint", "n", seen["n"], "left")
+    often = staged(merged_filter(partition_filters(rows, bits), bits), "repeats")
+    marked = join_counted(rows, often, "fingerprint", "n", seen["n"], "left")
     single = marked.filter("n is null").select(F.col("row"), F.col("id"), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    several = marked.filter("n is not null")
-    whole = rows.select("fingerprint", "plain")
-    if repeats["n"] <= BROADCAST_ROWS:
-        whole = whole.join(F.broadcast(often), "fingerprint", "left_semi")
-    else:
-        whole = join_counted(whole, often, "fingerprint", "n", seen["n"])
-    named = byte_classes(whole)
+    several, repeated = staged_with(marked.filter("n is not null").select("row", "id", "n_chars", "sha"), "repeated-rows")
+    named = byte_classes(whole_texts(docs, several.select("row"), repeated["n"]))
     # of equal texts the longest original stays, then the smallest id, then the first row; ~x reverses the order of x
     best = several.groupBy("sha").agg(F.max(F.struct("n_chars", F.bitwise_not("id").alias("id"), F.bitwise_not("row").alias("row"))).alias("best"))
     best = best.select("sha", F.bitwise_not("best.id").alias("keep_id"), F.bitwise_not("best.row").alias("keep_row"))
-    classes = staged(named.join(best, "sha"), "classes")
+    classes, met = staged_with(named.join(best, "sha"), "classes", texts=F.max("texts"))
+    if (met["texts"] or 1) > 1:
+        raise RuntimeError("two texts have one SHA-256 digest, so it can't name their classes")
     found = join_counted(several.select("row", "id", "sha"), classes, "sha", "group_size", seen["n"])
     return single.unionByName(found.select("row", "id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "sha"))
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, the id of the row that stays, the size of its class, whether it stays, and the digest."""
-    found = _classes(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    number = unused("_row", docs)
+    found = _classes(identified(docs, number).select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that do not stay.
-
-    Rows are told apart by numbers that are written once with all columns: numbers given in two scans could
-    differ, since how files are split depends on the cores at hand.
-    """
-    number = "_row"
-    while number in map(str.lower, docs.columns):
-        number += "_"
-    numbered = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    """``docs`` without the rows that do not stay. Rows are told apart as ``identified`` does."""
+    number = unused("_row", docs)
+    numbered = identified(docs, number)
     with scratch(docs.sparkSession) as keep:
         found = _classes(numbered.select(F.col(number).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-        dropped = keep(staged(found.filter("not kept").select(F.col("row").alias(number)), "copies"))
-        n = dropped.count()
-    return numbered.join(F.broadcast(dropped) if n <= BROADCAST_ROWS else dropped, number, "left_anti").drop(number)
+        dropped, seen = staged_with(found.filter("not kept").select(F.col("row").alias(number)), "copies")
+        dropped = keep(dropped)
+    return numbered.join(F.broadcast(dropped) if seen["n"] <= BROADCAST_ROWS else dropped, number, "left_anti").drop(number)

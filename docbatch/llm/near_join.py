@@ -39,11 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docbatch.llm.common import join_counted, slices, staged, texts
+from docbatch.llm.common import identified, join_counted, slices, staged, texts, unused
 from docbatch.llm.pieces import mixed
 from docbatch.llm.shingles import shingle_sets
 from docbatch.operators.components import connected_components
-from docbatch.plans.staging import released, scratch, staged_with
+from docbatch.plans.staging import scratch, staged_with
 
 COUNTERS = 1 << 20
 SLICES = 64
@@ -115,8 +115,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("id", "key").alias("at"), "text").mapInArrow(run, "id long, key long, set long, check long, n long, bits binary, slice int, counts binary")
 
 
-def counter_ranks(rows: DataFrame) -> bytes:
-    """A 16-bit number per counter: its place among all counters by what it counted. Its size is fixed."""
+def counter_ranks(rows: DataFrame) -> tuple[bytes, int]:
+    """A 16-bit number per counter, its place among all counters by what it counted, and the largest count. Its size is fixed."""
 
     def total(table: pa.Table) -> pa.Table:
         sums = sum((np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in table.column("counts").to_pylist()), np.zeros(COUNTERS // SLICES, np.uint64))
@@ -124,13 +124,17 @@ def counter_ranks(rows: DataFrame) -> bytes:
 
     parts = rows.filter("counts is not null").select("slice", "counts").groupBy("slice").applyInArrow(total, "slice int, sums binary").collect()
     if not parts:
-        return bytes(2 * COUNTERS)
+        return bytes(2 * COUNTERS), 0
     sums = np.concatenate([np.frombuffer(p.sums, np.uint64) for p in sorted(parts, key=lambda p: p.slice)])
-    return (np.searchsorted(np.sort(sums), sums) * 65536 // COUNTERS).astype(np.uint16).tobytes()
+    return (np.searchsorted(np.sort(sums), sums) * 65536 // COUNTERS).astype(np.uint16).tobytes(), int(sums.max())
 
 
 def postings(docs: DataFrame, ranks: bytes, bits: int, clashing: frozenset[int] = frozenset()) -> DataFrame:
-    """(range, shingles, sets): the posted shingles of a run of documents in one hash range, as parallel arrays."""
+    """(range, shingles, sets): the posted shingles of a run of documents in one hash range, as parallel arrays.
+
+    Of a shingle's hash the range has ``bits`` bits and ``shingles`` the 32 after them. Two shingles that share these
+    meet in one group, which costs a comparison and changes nothing, since links are verified on whole sets.
+    """
     schema = pa.schema([("range", pa.int64()), ("shingles", pa.binary()), ("sets", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +147,7 @@ def postings(docs: DataFrame, ranks: bytes, bits: int, clashing: frozenset[int]
             at = mixed(h)  # posted shingles lie unevenly, so ranges are cut on another hash
             block = (at >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
             order = np.argsort(block, kind="stable")
-            h, s, block = h[order], s[order], block[order]
+            h, s, block = ((at << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)[order], s[order], block[order]
             cuts = np.r_[0, np.flatnonzero(np.diff(block)) + 1, len(block)] if len(block) else np.array([0])
             ends = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             held.clear()
@@ -165,12 +169,16 @@ def postings(docs: DataFrame, ranks: bytes, bits: int, clashing: frozenset[int]
     return docs.select("id", "text").mapInArrow(run, "range long, shingles binary, sets binary")
 
 
-def shared_groups(posted: DataFrame) -> DataFrame:
-    """(grp, set): sets that posted one shingle, for shingles that several sets posted; equal groups once."""
+def shared_groups(posted: DataFrame, most: int) -> DataFrame:
+    """(grp, set): sets that posted one shingle, for shingles that several sets posted; equal groups once.
+
+    ``most`` is a bound of the sets that hold one shingle. Only where it is large are the ranges' sizes counted, for
+    which the postings are made once more; they are shuffled once, and never written elsewhere.
+    """
     schema = pa.schema([("shingle", pa.int64()), ("set", pa.int64())])
 
     def meet(table: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()])
+        h = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("shingles").to_pylist()])
         s = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("sets").to_pylist()])
         order = np.lexsort((s, h))
         h, s = h[order], s[order]
@@ -189,16 +197,19 @@ def shared_groups(posted: DataFrame) -> DataFrame:
 
     def flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, s in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h.as_py(), np.int64)), pa.array(np.frombuffer(s.as_py(), np.int64))], schema=schema)
+            for r, h, s in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                shingle = np.frombuffer(h.as_py(), np.uint32).astype(np.int64) | r.as_py() << 32
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(np.frombuffer(s.as_py(), np.int64))], schema=schema)
 
-    loads = posted.groupBy("range").agg((F.sum(F.octet_length("shingles")) / 8).alias("n"))
+    if most <= HOT_RANGE * RANGE_POSTINGS:
+        return posted.groupBy("range").applyInArrow(meet, "grp long, set long").distinct()
+    loads = posted.groupBy("range").agg((F.sum(F.octet_length("shingles")) / 4).alias("n"))
     hot, seen = staged_with(loads.filter(F.col("n") > HOT_RANGE * RANGE_POSTINGS).select("range"), "hot-ranges")
     if not seen["n"]:
         return posted.groupBy("range").applyInArrow(meet, "grp long, set long").distinct()
-    usual = posted.join(hot, "range", "left_anti").groupBy("range").applyInArrow(meet, "grp long, set long")
+    usual = posted.join(F.broadcast(hot), "range", "left_anti").groupBy("range").applyInArrow(meet, "grp long, set long")
     # what one task should not hold meets row by row, and a shingle is its group's name
-    rows, seen = staged_with(posted.join(hot, "range").select("shingles", "sets").mapInArrow(flat, "shingle long, set long").distinct(), "hot-postings")
+    rows, seen = staged_with(posted.join(F.broadcast(hot), "range").select("range", "shingles", "sets").mapInArrow(flat, "shingle long, set long").distinct(), "hot-postings")
     often = staged(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "hot-shingles")
     return usual.unionByName(join_counted(rows, often, "shingle", "m", seen["n"]).select(F.col("shingle").alias("grp"), "set")).distinct()
 
@@ -395,8 +406,8 @@ def tree_join(rows: DataFrame, sets: DataFrame, parts: int, label: str) -> DataF
 def delivered(asked: DataFrame, docs: DataFrame, ids: DataFrame, clashing: frozenset[int]) -> DataFrame:
     """The rows of ``asked`` (set, and columns of UNIT, block, component) with the whole sets (n, shingles), made again from a text of each."""
     to = F.struct(*(c for c in asked.columns if c != "set"))
-    wanted, seen = staged_with(asked.groupBy("set").agg(F.collect_list(to).alias("to")).join(ids, "set"), "wanted")
-    if seen["n"] <= BROADCAST_IDS:
+    wanted, seen = staged_with(asked.groupBy("set").agg(F.collect_list(to).alias("to")).join(ids, "set"), "wanted", places=F.sum(F.size("to")))
+    if seen["n"] + (seen["places"] or 0) <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     inner = wanted.schema["to"].dataType.simpleString()
 
@@ -515,11 +526,10 @@ def exact_join(families: DataFrame, total: int, component: DataFrame, docs: Data
     return rows.groupBy("unit").applyInArrow(join, "a long, b long").distinct()
 
 
-def set_components(docs: DataFrame, sets: DataFrame, posted: DataFrame, clashing: frozenset[int] = frozenset()) -> DataFrame | None:
-    """(set, component) of all sets that link with another one; None where no sets meet. ``sets`` has (set, id, key, n, bits). The table of postings is deleted when the groups are written."""
+def set_components(docs: DataFrame, sets: DataFrame, groups: DataFrame, clashing: frozenset[int] = frozenset()) -> DataFrame | None:
+    """(set, component) of all sets that link with another one; None where no sets meet. ``sets`` has (set, id, key, n, bits)."""
     spark = docs.sparkSession
-    groups, seen = staged_with(shared_groups(posted), "groups")
-    released(posted)
+    groups, seen = staged_with(groups, "groups")
     if not seen["n"]:
         return None
     total, ids, shape = seen["n"], sets.select("set", "id", "key"), sets.select("set", "n", "bits")
@@ -561,7 +571,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_shingles, component_id) of every row."""
     docs = texts(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col).withColumn("key", F.xxhash64("text"))
     rows = staged(sketches(docs), "sketches")
-    ranks = counter_ranks(rows)
+    ranks, most = counter_ranks(rows)
     sized = rows.filter("n is not null")
     total = sized.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.8) + 1).alias("posted"), F.count(F.lit(1)).alias("n")).first()
     sets = sized.filter("n > 0").groupBy("set", "check").agg(
@@ -575,8 +585,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         name = F.when(F.col("set").isin(list(clashing)), F.col("check")).otherwise(F.col("set"))
         sized, sets = sized.withColumn("set", name), sets.withColumn("set", name)
     with scratch(docs.sparkSession) as keep:
-        posted = staged(postings(docs, ranks, int((total["posted"] or 0) // RANGE_POSTINGS).bit_length(), clashing), "postings")
-        component = set_components(docs, sets, posted, clashing)
+        posted = postings(docs, ranks, int((total["posted"] or 0) // RANGE_POSTINGS).bit_length(), clashing)
+        component = set_components(docs, sets, shared_groups(posted, most), clashing)
         own = sets.select("set", "id", "copies")
         if component is None:
             named = own.withColumnRenamed("id", "component_id")
@@ -593,15 +603,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of linked documents: the one with the smallest id, then the first in the written table.
 
-    Rows are told apart by numbers that are written once with all columns, so that repeated and null ids do no harm.
+    Rows are told apart as ``identified`` does, so that repeated and null ids do no harm.
     """
-    number = "_row"
-    while number in map(str.lower, docs.columns):
-        number += "_"
-    numbered, seen = staged_with(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    number = unused("_row", docs)
+    numbered = identified(docs, number)
     with scratch(docs.sparkSession) as keep:
         keyed = numbered.select(F.col(number).alias("row"), F.col(text_col).alias("text"))
-        found = staged(near_classes(keyed, "row", "text").filter("n_shingles > 0").select("row", F.col("component_id").alias("component")), "near-rows")
+        found, seen = staged_with(near_classes(keyed, "row", "text").filter("n_shingles > 0").select("row", F.col("component_id").alias("component")), "near-rows")
         sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
         members = join_counted(found, staged(sizes, "near-groups"), "component", "m", seen["n"])
         members = staged(members.join(numbered.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("id")), "row"), "near-members")

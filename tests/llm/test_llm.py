@@ -173,13 +173,13 @@ def test_copies_go_when_files_are_split_otherwise(spark, monkeypatch, tmp_path):
         for n in names:
             spark.conf.set(n, most)
 
-    def staged(df, label, real=exact_dedup.staged):
-        out = real(df, label)
+    def staged_with(df, label, real=exact_dedup.staged_with, **measures):
+        out = real(df, label, **measures)
         if label == "copies":  # as if cores were lost here
             split("100000000")
         return out
 
-    monkeypatch.setattr(exact_dedup, "staged", staged)
+    monkeypatch.setattr(exact_dedup, "staged_with", staged_with)
     try:
         split("1000")
         kept = [r.doc_id for r in exact_dedup.drop_copies(spark.read.parquet(f"{tmp_path}/docs")).collect()]
@@ -357,6 +357,61 @@ def test_secrets_in_many_orders_and_compressions():
     assert kinds("words%20before," + s.replace("=", "%3D") + ",after") == {(15, 15 + len(s) + 2)}
 
 
+def test_secrets_in_base64_at_any_alignment():
+    s = "password=ghijkl0123456789xy"
+    bare = zlib.compressobj(wbits=-15)
+    bare = bare.compress(s.encode() * 3) + bare.flush()
+    rng = random.Random(2)
+    for head in ("https://h.io/a/", "data-", "k_", "x+", "key=", "id:", "a", "ab", "abc", "abcd/e-", "long-path_of+words/" * 9):
+        lead = len(head) - len(secrets._BASE64.search(head + "A" * 16)[0]) + 16
+        for data in (s.encode(), b"xx, " + s.encode(), gzip.compress(s.encode()), zlib.compress(bytes(rng.randbytes(50)) + b"," + s.encode()), *([bare] if head[-1] in "/-_+" else [])):
+            for code in (base64.b64encode, base64.urlsafe_b64encode):
+                t = code(data).decode()
+                if code is base64.b64encode or "=" not in t:
+                    _, spans = secrets.findings(f"see {head}{t} ok")
+                    assert (4 + lead, 4 + len(head) + len(t), "assign") in spans, (head, t)
+
+
+def test_secrets_in_time():
+    """Escapes of any depth, and a megabyte of what could cost more than its length."""
+    import time
+
+    s = "password=ghijkl0123456789xy"
+    begin = time.time()
+    for deep in ("%" + "25" * 100_000 + "3D", "&#" + "38;#" * 100_000 + "61;", "&#37;3D", "%2&#53;3D"):
+        text = "a, " + s.replace("=", deep) + ", b"
+        assert (3, 3 + len(s) - 1 + len(deep), "assign") in secrets.findings(text)[1]
+    mixed = "%3D"
+    for _ in range(400):
+        mixed = mixed.replace("%", "&#37;", 1) if mixed[0] == "%" else mixed.replace("&", "%26", 1)
+    assert (0, len(s) - 1 + len(mixed), "assign") in secrets.findings(s.replace("=", mixed))[1]
+    for t in ("a%2525253D%26amp b\\u0041 " * 9_000, "%" * 1_000_000 + ". a", "a/b-c_d" * 40_000, "token" + " " * 1_000_000, "='" * 200_000, "\n".join(["A" * 64] * 15_000)):
+        secrets.findings(t)
+    assert time.time() - begin < 60
+
+
+def test_escapes_step_by_step():
+    """The fixpoint of one escape after another, in any order, for escapes that do not touch each other's digits."""
+    rng = random.Random(6)
+    for _ in range(300):
+        plain = "".join(rng.choice("ghxyz=: é漢") for _ in range(rng.randrange(1, 12)))
+        text, places = "", []
+        for c in plain:
+            code = c
+            for _ in range(rng.randrange(4)):
+                first = code[0]
+                code = rng.choice(["".join(f"%{b:02x}" for b in first.encode()), f"\\u{ord(first):04X}", f"&#{ord(first)};", f"&#x{ord(first):x};"]) + code[1:]
+            places.append((len(text), len(text) + len(code)))
+            text += code
+        out, starts, ends = secrets.unescaped(text, True, True)
+        assert out == plain and list(zip(starts, ends, strict=True)) == places
+
+
+def _within(spans, kind, start, end, inner, wrapped):
+    """A secret in quotes ends before what encodes its last quote."""
+    return inner[-1] == '"' and any(k == kind and a == start and end - 7 * len(wrapped) // len(inner) - 9 <= b <= end for a, b, k in spans)
+
+
 def test_secrets_against_a_plain_decoder():
     """Random nestings: every span of a plain recursive search, which only asks whether a secret shows up, covers the wrapped secret."""
     rng = random.Random(11)
@@ -378,8 +433,8 @@ def test_secrets_against_a_plain_decoder():
         head, tail = rng.choice([("see ", " ok"), ("", ""), ("a, ", ", b"), ("ünï ", "\n")])
         base, every = secrets.findings(head + t + tail)
         assert set(base) <= set(every)
-        covered = {i for a, b, _ in every for i in range(a, b)}
-        assert covered & set(range(len(head), len(head) + len(t))), (inner, t)
+        kind = "access" if inner.startswith("AKIA") else "assign"
+        assert (len(head) + (t == inner and 0), len(head) + len(t) - (inner[-1] == '"' and t[-1] == '"'), kind) in every or _within(every, kind, len(head), len(head) + len(t), inner, t), (inner, t)
         redacted = secrets.masked(head + t + tail, every, "[S]")
         assert redacted.startswith(head) and redacted.endswith(tail)
     plain = "x " * 50 + "nothing to see %41 \\u0041 &#65; " + base64.b64encode(b"plain words only here").decode()
