@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docbatch.operators.components import connected_components
-from docbatch.plans.staging import staged
+from docbatch.operators.components import connected_components, least_labels
+from docbatch.operators.sweep import union_area
+from docbatch.plans.staging import staged, staged_with
 
 FAMILY = ["page_no", "color", "width"]
+#: Cells of the gap limit along the side of a block of marks that one task connects, and marks that a block may hold.
+BLOCK_CELLS, BLOCK_MARKS = 16, 20_000
+#: Pairs of marks that are compared at once.
+PAIRS_AT_ONCE = 1_000_000
+#: Boxes that one sweep covers; a larger family is cut into strips.
+STRIP_BOXES = 20_000
+#: Rows that a task takes at once, about.
+TASK_ROWS = 100_000
 
 
 def area(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1") -> Column:
@@ -48,9 +60,89 @@ def gap_pairs(strokes: DataFrame, keys: list[str], limit: float | Column) -> Dat
 
 
 def components(strokes: DataFrame, keys: list[str], limit: float | Column) -> DataFrame:
-    """(*keys, stroke, component): marks connected by gaps up to the limit; ids of marks are unique over all families."""
-    label = connected_components(gap_pairs(strokes, keys, limit), "a", "b")
-    return strokes.select(*keys, "stroke").join(label.withColumnRenamed("node", "stroke"), "stroke", "left").withColumn("component", F.coalesce("component", "stroke"))
+    """(*keys, stroke, component): marks connected by gaps up to the limit; ids of marks are unique over all families.
+
+    Marks join the blocks that their boxes, grown by half the limit, touch. A task connects the marks of whole
+    blocks by union-find and gives each its block's smallest connected mark. Only marks in several blocks, and their
+    blocks' smallest ones, take part in the rounds that connect blocks. Blocks with more than ``BLOCK_MARKS`` marks are
+    not gathered: their marks are connected by pairs, which are joined on a finer grid.
+    """
+    limit = F.lit(limit) if isinstance(limit, float) else limit
+    marks = strokes.select(*keys, "stroke", "x0", "y0", "x1", "y1", limit.alias("limit"))
+    side = F.col("limit") * BLOCK_CELLS
+    low = lambda c: F.floor((F.col(c) - F.col("limit") / 2) / side)
+    high = lambda c: F.floor((F.col(c) + F.col("limit") / 2) / side)
+    spread = marks.select("*", low("x0").alias("cx"), low("y0").alias("cy"), high("x1").alias("dx"), high("y1").alias("dy"))
+    spread = spread.withColumn("border", (F.col("cx") < F.col("dx")) | (F.col("cy") < F.col("dy")))
+    spread = spread.withColumn("bx", F.explode(F.sequence("cx", "dx"))).withColumn("by", F.explode(F.sequence("cy", "dy")))
+    place = [*keys, "bx", "by"]
+    spread = spread.withColumn("own", (F.col("bx") == F.col("cx")) & (F.col("by") == F.col("cy"))).drop("cx", "cy", "dx", "dy")
+    sizes, seen = staged_with(spread.groupBy(*place).agg(F.count(F.lit(1)).alias("m")), "block-sizes", rows=F.sum("m"), most=F.max("m"))
+    linked = None
+    if (seen["most"] or 0) > BLOCK_MARKS:
+        full = F.broadcast(sizes.filter(F.col("m") > BLOCK_MARKS).drop("m"))  # a block for each so many rows at most
+        crowded = spread.join(full, place, "left_semi")
+        linked = gap_pairs(crowded.select(*keys, "stroke", "x0", "y0", "x1", "y1", "limit").distinct(), keys, F.col("limit"))
+        alone = crowded.select("stroke", F.col("stroke").alias("root"), "border", "own", *keys)
+        spread = spread.join(full, place, "left_anti")
+    parts = max(int(strokes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(seen["rows"] or 0) // TASK_ROWS)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spread.select("stroke", F.col("stroke").alias("root"), "border", "own", *keys).schema)
+
+    def connect(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in (*place, "x0")])
+        columns = {c: table.column(c).to_numpy() for c in ("stroke", "x0", "y0", "x1", "y1", "limit")}
+        label = np.arange(table.num_rows)
+        for a, b in _key_runs(table, place):
+            label[a:b] = a + least_labels(b - a, *_gap_pairs({c: v[a:b] for c, v in columns.items()}))
+        # the smallest mark of each connected part
+        order = np.lexsort((columns["stroke"], label))
+        first = order[np.r_[True, label[order][1:] != label[order][:-1]]] if len(order) else order
+        root = np.zeros(table.num_rows, np.int64)
+        root[label[first]] = columns["stroke"][first]
+        return pa.table({"stroke": table.column("stroke"), "root": pa.array(root[label]), **{c: table.column(c) for c in ("border", "own", *keys)}})
+
+    dealt = spread.withColumn("unit", F.pmod(F.xxhash64(*place), F.lit(parts)))
+    local = dealt.groupBy("unit").applyInArrow(connect, shape)
+    if linked is not None:
+        local = local.unionByName(alone)
+    local = staged(local, "block-parts")
+    edges = local.filter("border and stroke <> root").select(F.col("root").alias("a"), F.col("stroke").alias("b"))
+    if linked is not None:
+        edges = edges.unionByName(linked.select("a", "b"))
+    met = connected_components(edges, "a", "b").withColumnRenamed("node", "root")
+    return local.filter("own").join(met, "root", "left").select(*keys, "stroke", F.coalesce("component", "root").alias("component"))
+
+
+def _key_runs(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
+    """Where the rows of each key start and end, in a table sorted by its keys."""
+    if not table.num_rows:
+        return
+    change = np.zeros(table.num_rows - 1, dtype=bool)
+    for k in keys:
+        codes = table.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        change |= codes[1:] != codes[:-1]
+    cuts = np.r_[0, np.flatnonzero(change) + 1, table.num_rows].tolist()
+    yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def _gap_pairs(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of marks, sorted by x0, that are at most the limit apart."""
+    n = len(c["x0"])
+    ends = np.maximum(np.searchsorted(c["x0"], c["x1"] + c["limit"], side="right"), np.arange(1, n + 1))
+    counts = ends - np.arange(1, n + 1)
+    found = []
+    if not counts.sum():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    cuts = np.searchsorted(np.cumsum(counts), np.arange(PAIRS_AT_ONCE, counts.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE)) + 1
+    for a, b in zip(np.r_[0, cuts[:-1]].tolist(), cuts.tolist(), strict=True):
+        some = counts[a:b]
+        i = np.repeat(np.arange(a, a + len(some)), some)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some) + i + 1
+        dx = np.maximum(np.maximum(c["x0"][i] - c["x1"][j], c["x0"][j] - c["x1"][i]), 0.0)
+        dy = np.maximum(np.maximum(c["y0"][i] - c["y1"][j], c["y0"][j] - c["y1"][i]), 0.0)
+        near = dx * dx + dy * dy <= c["limit"][i] * c["limit"][i]
+        found.append((i[near], j[near]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def component_boxes(strokes: DataFrame, keys: list[str], limit: float | Column) -> DataFrame:
@@ -201,12 +293,37 @@ def interval_union(rows: DataFrame, keys: list[str], lo: str, hi: str) -> DataFr
 
 
 def rect_union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Area covered by the boxes of each key: slabs between neighbouring x values, and in each the union of y spans."""
-    xs = boxes.select(*keys, F.explode(F.array("x0", "x1")).alias("x")).distinct()
-    slabs = xs.withColumn("next", F.lead("x").over(Window.partitionBy(*keys).orderBy("x"))).filter("next is not null")
-    inside = slabs.join(boxes, keys).filter("x0 <= x and x1 >= next")
-    spans = interval_union(inside, [*keys, "x", "next"], "y0", "y1")
-    return spans.groupBy(*keys).agg(F.sum(F.col("covered") * (F.col("next") - F.col("x"))).alias("area"))
+    """(*keys, area): the area covered by the boxes of each key, by a sweep along x over a tree of covered y spans.
+
+    A key of more than ``STRIP_BOXES`` boxes is cut at quantiles of x into strips, whose areas add up. A box goes to the
+    strips that it touches, cut to each of them.
+    """
+    rows = boxes.select(*keys, "x0", "y0", "x1", "y1").filter("x1 > x0 and y1 > y0")
+    sizes, seen = staged_with(boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")), "family-sizes", rows=F.sum("m"), most=F.max("m"))
+    rows = rows.withColumn("strip", F.lit(0))
+    if (seen["most"] or 0) > STRIP_BOXES:
+        large = F.broadcast(sizes.filter(F.col("m") > STRIP_BOXES).select(*keys))  # a key for each so many rows at most
+        n = -(-seen["most"] // STRIP_BOXES)
+        cuts = rows.join(large, keys).groupBy(*keys).agg(F.array_distinct(F.percentile_approx("x0", [k / n for k in range(1, n)], 10_000)).alias("cuts"))
+        several = rows.join(F.broadcast(staged(cuts, "strips")), keys)
+        past = lambda test: F.size(F.filter("cuts", test))
+        several = several.withColumn("strip", F.explode(F.sequence(past(lambda c: c <= F.col("x0")), past(lambda c: c < F.col("x1")))))
+        left, right = F.get("cuts", F.col("strip") - 1), F.get("cuts", F.col("strip"))
+        several = several.select(*keys, F.greatest("x0", F.coalesce(left, "x0")).alias("x0"), "y0", F.least("x1", F.coalesce(right, "x1")).alias("x1"), "y1", "strip")
+        rows = rows.join(large, keys, "left_anti").unionByName(several)
+    place = [*keys, "strip"]
+    parts = max(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(seen["rows"] or 0) // TASK_ROWS)
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def sweep(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in place])
+        box = [table.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")]
+        ends = list(_key_runs(table, place))
+        at = pa.array([a for a, _ in ends], pa.int64())
+        return pa.table({k: table.column(k).take(at) for k in keys} | {"area": pa.array([union_area(*(v[a:b] for v in box)) for a, b in ends], pa.float64())})
+
+    swept = rows.withColumn("unit", F.pmod(F.xxhash64(*place), F.lit(parts))).groupBy("unit").applyInArrow(sweep, f"{shape}, area double")
+    return sizes.select(*keys).join(swept.groupBy(*keys).agg(F.sum("area").alias("area")), keys, "left").select(*keys, F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
 def endpoint_pairs(paths: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -326,14 +443,22 @@ def dilate(cells: DataFrame, keys: list[str], width: int, height: int) -> DataFr
     return out.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).distinct()
 
 
-def grid_components(cells: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """(*keys, x, y, component): 4-connected cells. A cell's id is its place in the grid, offset by its key."""
-    own = cells.select(*keys, "x", "y", (F.col("y") * width + F.col("x") + F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) * (1 << 30)).alias("id"))
-    right = own.select(*keys, (F.col("x") - 1).alias("x"), "y", F.col("id").alias("other"))
-    below = own.select(*keys, "x", (F.col("y") - 1).alias("y"), F.col("id").alias("other"))
-    pairs = own.join(right.unionByName(below), [*keys, "x", "y"]).select("id", "other")
-    label = connected_components(pairs, "id", "other").withColumnRenamed("node", "id")
-    return own.join(label, "id", "left").select(*keys, "x", "y", F.coalesce("component", "id").alias("component"))
+def grid_components(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, x, y, component): 4-connected cells, by the runs that their rows fall into.
+
+    The nodes are runs, numbered when they are written, and two runs of neighbouring rows are joined where the later
+    of them starts. So there are two edges for a run at most, whatever its length.
+    """
+    order = Window.partitionBy(*keys, "y").orderBy("x")
+    marked = cells.select(*keys, "x", "y").distinct().withColumn("_i", F.col("x") - F.row_number().over(order))
+    numbered = staged(marked.groupBy(*keys, "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).withColumn("run", F.monotonically_increasing_id()), "runs")
+    # every cell with its run
+    own = numbered.select(*keys, "y", "run", F.explode(F.sequence("x0", "x1")).alias("x"))
+    start = numbered.select(*keys, F.col("x0").alias("x"), "y", F.col("run").alias("other"))
+    near = start.withColumn("y", F.col("y") - 1).unionByName(start.withColumn("y", F.col("y") + 1))
+    pairs = own.join(near, [*keys, "x", "y"]).select("run", "other")
+    label = connected_components(pairs, "run", "other").withColumnRenamed("node", "run")
+    return own.join(label, "run", "left").select(*keys, "x", "y", F.coalesce("component", "run").alias("component"))
 
 
 def runs(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -364,7 +489,7 @@ class GridLimits:
 
 def grid_parts(cells: DataFrame, keys: list[str], width: int) -> DataFrame:
     """(*keys, component, first, area, w, h, roughness) of the 4-connected components; ``first`` is the place of their first cell."""
-    own = grid_components(cells, keys, width)
+    own = grid_components(cells, keys)
     rough = roughness(own, [*keys, "component"]).select(*keys, "component", "roughness")
     size = lambda v: (F.max(v) - F.min(v) + 1).cast("long")
     parts = own.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("area"), size("x").alias("w"), size("y").alias("h"), F.min(F.col("y") * width + F.col("x")).cast("long").alias("first"))

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
-from docbatch.functions.rows import joined_list
+
+#: Needles that are looked for one by one, each by an expression; longer lists are compiled to an automaton.
+FEW = 24
+#: Needles of one automaton. A longer list makes several, and the rows are read once for each.
+MOST_COMPILED = 100_000
 
 
 def distinct_rules(rules: DataFrame) -> DataFrame:
@@ -21,21 +31,102 @@ def active_rules(rules: DataFrame) -> DataFrame:
     return rules.filter((T.norm(F.col("find")) != "") & (F.coalesce(F.col("replace"), F.lit("")) != ""))
 
 
-def line_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, rule_id, page_no, n): exact hits of every rule by page; a line is one unit of search.
-
-    The rules go to every executor, a long list in parts, and no line is shuffled before its hits are counted.
+class NeedleCounter:
+    """Counts the non-overlapping occurrences of many needles in one pass over a text, by an Aho-Corasick automaton."""
+
+    def __init__(self, needles: Iterable[tuple[int, str]]):
+        names: dict[str, list[int]] = {}
+        for rule, needle in needles:
+            if needle:
+                names.setdefault(needle, []).append(rule)
+        self.automaton = ahocorasick.Automaton()
+        for place, (needle, rules) in enumerate(names.items()):
+            self.automaton.add_word(needle, (place, len(needle), rules))
+        self.automaton.make_automaton() if names else None
+
+    def counts(self, text: str) -> Iterator[tuple[int, int]]:
+        """(rule, occurrences). Of occurrences of one needle that overlap the first counts, as a search from left to right finds them."""
+        if not len(self.automaton):
+            return
+        found: dict[int, list] = {}
+        for last, (place, size, rules) in self.automaton.iter(text):
+            seen = found.get(place)
+            if seen is None:
+                found[place] = [last, 1, rules]
+            elif last - size >= seen[0]:
+                seen[0] = last
+                seen[1] += 1
+        for _, n, rules in found.values():
+            for rule in rules:
+                yield rule, n
+
+
+@lru_cache(maxsize=1)
+def _compiled(name: str, sent) -> NeedleCounter:
+    """The automaton of one list, built once in each worker."""
+    return NeedleCounter(sent.value)
+
+
+def needle_counts(rows: DataFrame, keys: list[str], text: str, needles: DataFrame) -> DataFrame:
+    """(*keys, rule_id, n): how often each needle of (rule_id, needle) occurs in the texts of each key; needles that do not are left out.
+
+    A list of ``FEW`` needles at most becomes expressions. A longer one is sent to the executors and compiled there, and
+    each text is read once, whatever the number of needles; beyond ``MOST_COMPILED`` it is once for each part of the
+    list. What a batch finds is added up before it is shuffled.
     """
+    some = needles.limit(FEW + 1).collect()
+    if len(some) <= FEW:
+        counts = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.when(F.contains(F.col(text), F.lit(r.needle)), T.count_of(F.col(text), F.lit(r.needle))).otherwise(0).alias("n")) for r in some))
+        found = rows.select(*keys, F.explode(F.filter(counts, lambda c: c["n"] > 0) if some else F.expr("cast(array() as array<struct<rule_id: int, n: bigint>>)")).alias("c")).select(*keys, "c.*")
+    else:
+        parts = -(-needles.count() // MOST_COMPILED)
+        part = F.pmod(F.xxhash64("rule_id", "needle"), F.lit(parts))
+        found = reduce(DataFrame.unionByName, (_counted(rows, keys, text, needles.filter(part == i) if parts > 1 else needles) for i in range(parts)))
+    return found.groupBy(*keys, "rule_id").agg(F.sum("n").alias("n"))
+
+
+def _counted(rows: DataFrame, keys: list[str], text: str, needles: DataFrame) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast([(r.rule_id, r.needle) for r in needles.select("rule_id", "needle").collect()])
+    name, kind = uuid.uuid4().hex, needles.schema["rule_id"].dataType.simpleString()
+    given = rows.select(*keys).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _compiled(name, sent)
+        for batch in batches:
+            own = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True))
+            total: dict[tuple, list[int]] = {}
+            for i, value in enumerate(batch.column(len(keys))):
+                for rule, n in counter.counts(value.as_py() or ""):
+                    held = total.setdefault((own[i], rule), [i, 0])
+                    held[1] += n
+            at = pa.array([i for i, _ in total.values()], pa.int64())
+            columns = [batch.column(k).take(at) for k in range(len(keys))]
+            rules = pa.array([rule for _, rule in total], pa.int64()).cast(pa.int32() if kind == "int" else pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, rules, pa.array([n for _, n in total.values()], pa.int64())], names=[*keys, "rule_id", "n"])
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given)
+    return rows.select(*keys, text).mapInArrow(run, f"{shape}, rule_id {kind}, n long")
+
+
+def line_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, page_no, n): exact hits of every rule by page; a line is one unit of search."""
     needles = distinct_rules(rules).select("rule_id", T.norm(F.col("find")).alias("needle"))
-    hits = joined_list(lines.withColumn("s", T.norm(F.col("line"))), needles, F.contains("s", "needle"))
-    return hits.groupBy("doc_id", "rule_id", "page_no").agg(F.sum(T.count_of(F.col("s"), F.col("needle"))).alias("n"))
+    return needle_counts(lines.withColumn("s", T.norm(F.col("line"))), ["doc_id", "page_no"], "s", needles).select("doc_id", "rule_id", "page_no", "n")
 
 
 def page_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, rule_id, page_no, n): flexible hits, in which separators do not count and lines do not end a match."""
     needles = distinct_rules(rules).select("rule_id", T.flexible_key(F.col("find")).alias("needle")).filter("needle <> ''")
-    hits = joined_list(pages.withColumn("s", T.flexible_key(F.col("text"))), needles, F.contains("s", "needle"))
-    return hits.groupBy("doc_id", "rule_id", "page_no").agg(F.sum(T.count_of(F.col("s"), F.col("needle"))).alias("n"))
+    return needle_counts(pages.withColumn("s", T.flexible_key(F.col("text"))), ["doc_id", "page_no"], "s", needles).select("doc_id", "rule_id", "page_no", "n")
+
+
+def frequent_openings(lines: DataFrame, words: int, most: int) -> DataFrame:
+    """(rule_id, find, replace): the ``most`` most frequent first words of lines, numbered by their rank, to be replaced by nothing."""
+    s = T.norm(F.col("line"))
+    found = lines.select(F.substring_index(s, " ", words).alias("find"), s.alias("s")).filter(F.size(F.split("s", " ")) >= words)
+    top = found.groupBy("find").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "find").limit(most)
+    ranked = top.withColumn("rule_id", F.row_number().over(Window.orderBy(F.desc("n"), "find")))  # ``most`` rows
+    return ranked.select("rule_id", "find", F.lit("").alias("replace"))
 
 
 def by_document(hits: DataFrame) -> DataFrame:

@@ -19,7 +19,22 @@ def limit() -> Column:
 
 
 DX, DY = ("greatest(a.{0}0 - b.{0}1, b.{0}0 - a.{0}1, 0)".format(c) for c in "xy")
-PAIRS_SQL = f"pairs AS (SELECT a.page_no, a.color, a.width, a.stroke AS a, b.stroke AS b FROM strokes a JOIN strokes b ON a.page_no = b.page_no AND a.color = b.color AND a.width = b.width AND a.stroke < b.stroke AND {DX} * {DX} + {DY} * {DY} <= pow(greatest(8, least(22, a.line_width * 30 + 8)), 2))"
+LIMIT_SQL = "greatest(8, least(22, a.line_width * 30 + 8))"
+
+
+def pairs_sql(limit: str = LIMIT_SQL) -> str:
+    return f"pairs AS (SELECT a.page_no, a.color, a.width, a.stroke AS a, b.stroke AS b FROM strokes a JOIN strokes b ON a.page_no = b.page_no AND a.color = b.color AND a.width = b.width AND a.stroke < b.stroke AND {DX} * {DX} + {DY} * {DY} <= pow({limit}, 2))"
+
+
+def parts_sql(limit: str = LIMIT_SQL) -> str:
+    """Pairs, the label of each stroke by rounds over the labels that changed, and the parts with their boxes."""
+    return f"""{pairs_sql(limit)}, edges AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+    labels(stroke, component) USING KEY (stroke) AS (SELECT stroke, stroke FROM strokes UNION SELECT e.b, min(w.component) FROM labels w JOIN edges e ON e.a = w.stroke JOIN recurring.labels r ON r.stroke = e.b WHERE w.component < r.component GROUP BY e.b),
+    marked AS (SELECT s.*, component FROM strokes s JOIN labels USING (stroke)),
+    parts AS (SELECT page_no, color, width, component, count(*) AS m, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM marked GROUP BY 1, 2, 3, 4)"""
+
+
+RST = f"WITH RECURSIVE {S.STROKES_SQL}"
 
 
 def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,23 +52,38 @@ def union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.union_boxes(strokes(spark, sf_dir), ["page_no"]).select("page_no", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")), "n")
 
 
-@query("gap_pairs", f"{ST}, {PAIRS_SQL} SELECT * FROM pairs")
+@query("gap_pairs", f"{ST}, {pairs_sql()} SELECT * FROM pairs")
 def gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gap_pairs(strokes(spark, sf_dir), G.FAMILY, limit())
 
 
-# SQL is too slow for the closure of whole families, so components and what builds on them are tested against a brute-force version
-@query("components")
+@query("components", f"{RST}, {parts_sql()} SELECT stroke, component FROM marked")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.components(strokes(spark, sf_dir), G.FAMILY, limit()).select("stroke", "component")
 
 
-@query("family_eval")
+@query(
+    "family_eval",
+    f"""{RST}, {parts_sql()}, ranked AS (SELECT *, sum(m) OVER f AS n, row_number() OVER (f ORDER BY m DESC, component) AS r FROM parts WINDOW f AS (PARTITION BY page_no, color, width)),
+    fam AS (SELECT page_no, color, width, component, n::BIGINT AS n, m AS main, x0, y0, x1, y1, greatest(x1 - x0, 1) AS w, greatest(y1 - y0, 1) AS h, (x1 - x0) * (y1 - y0) AS box FROM ranked WHERE r = 1),
+    early AS (SELECT *, CASE WHEN n < 20 THEN 'few' WHEN n > 1200 THEN 'many' WHEN main < 20 THEN 'main' WHEN main::DOUBLE / n < 0.90 THEN 'dispersed' WHEN w < 40 OR h < 40 THEN 'small' WHEN box / 600000 < 0.00015 THEN 'tiny' WHEN box / 600000 > 0.08 THEN 'huge' END AS reason FROM fam),
+    own AS (SELECT m.* FROM marked m JOIN early e USING (page_no, color, width, component) WHERE reason IS NULL), xs AS (SELECT DISTINCT page_no, color, width, unnest([x0, x1]) AS x FROM own),
+    slabs AS (SELECT *, lead(x) OVER (PARTITION BY page_no, color, width ORDER BY x) AS nx FROM xs),
+    inside AS (SELECT s.*, y0, y1, max(y1) OVER (PARTITION BY s.page_no, s.color, s.width, s.x ORDER BY y0, y1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM slabs s JOIN own t ON s.page_no = t.page_no AND s.color = t.color AND s.width = t.width AND t.x0 <= s.x AND t.x1 >= s.nx),
+    inked AS (SELECT page_no, color, width, sum(greatest(y1 - greatest(y0, coalesce(reached, y0)), 0) * (nx - x)) AS ink FROM inside GROUP BY 1, 2, 3)
+    SELECT page_no, color, width, n, main, coalesce(reason, CASE WHEN ink / greatest(box, 1) > 0.25 THEN 'dense' WHEN least(w, h) / greatest(w, h) < 0.10 THEN 'aspect' WHEN n - main > greatest(2, floor(n * 0.05)) THEN 'outside' ELSE 'accepted' END) AS reason
+    FROM early LEFT JOIN inked USING (page_no, color, width)""",
+)
 def family_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.evaluate_families(strokes(spark, sf_dir), G.FAMILY, *PAGE)
 
 
-@query("pending_eval")
+@query(
+    "pending_eval",
+    f"""{RST}, {parts_sql("18.5")} SELECT page_no, color, width, count(*) AS parts, sum(m)::BIGINT AS members,
+        sum(m) BETWEEN 40 AND 400 AND count(*) BETWEEN 2 AND 8 AND bool_and(m >= 20 AND x1 - x0 >= 30 AND y1 - y0 >= 30 AND least(x1 - x0, y1 - y0) / greatest(x1 - x0, y1 - y0) >= 0.10) AND sum((x1 - x0) * (y1 - y0)) / 600000 <= 0.015 AS pending
+    FROM parts GROUP BY 1, 2, 3""",
+)
 def pending_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.evaluate_pending(strokes(spark, sf_dir), G.FAMILY, PAGE[0] * PAGE[1])
 
@@ -66,7 +96,14 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVIDENCE_SQL = "evidence AS (SELECT page_no, min(x0) AS ex0, min(y0) AS ey0, max(x1) AS ex1, max(y1) AS ey1 FROM strokes WHERE y1 - y0 <= 1.5 GROUP BY 1)"
 
 
-@query("multi_refine")
+@query(
+    "multi_refine",
+    f"""{RST}, {parts_sql()}, {EVIDENCE_SQL}, big AS (SELECT page_no, color, width, ex0, ey0, ex1, ey1, count_if(m >= 20) AS parts, sum(m) AS n, sum(m) FILTER (m >= 20) AS held, bool_and(m < 20 OR (x0 <= ex1 AND x1 >= ex0 AND y0 <= ey1 AND y1 >= ey0)) AS near,
+        min(x0) FILTER (m >= 20) AS x0, min(y0) FILTER (m >= 20) AS y0, max(x1) FILTER (m >= 20) AS x1, max(y1) FILTER (m >= 20) AS y1, any_value(greatest(ex1 - ex0, ey1 - ey0) * 0.12 + 8) AS pad
+        FROM parts JOIN evidence USING (page_no) GROUP BY 1, 2, 3, 4, 5, 6, 7),
+    ok AS (SELECT *, coalesce(held, 0)::DOUBLE / n AS covered, n BETWEEN 40 AND 5000 AND parts BETWEEN 2 AND 12 AND coalesce(held, 0)::DOUBLE / n >= 0.95 AND near AND coalesce((x0 >= ex0 - pad AND y0 >= ey0 - pad AND x1 <= ex1 + pad AND y1 <= ey1 + pad) OR (ex0 >= x0 - pad AND ey0 >= y0 - pad AND ex1 <= x1 + pad AND ey1 <= y1 + pad), FALSE) AS accepted FROM big)
+    SELECT page_no, color, width, parts, round(covered, 6) AS covered, accepted, accepted AND count_if(accepted) OVER (PARTITION BY page_no) = 1 AS only FROM ok""",
+)
 def multi_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several parts accepted together, where the page's evidence supports all of them."""
     return G.refine_parts(strokes(spark, sf_dir), "page_no", G.FAMILY, evidence(spark, sf_dir)).withColumn("covered", F.round("covered", 6))

@@ -47,6 +47,22 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact(spark, sf_dir)
 
 
+#: Openings of lines that make a long list of rules, and their words.
+OPENINGS, OPENING_WORDS = 20_000, 3
+MANY_SQL = HITS_SQL.replace(
+    S.RULES_SQL,
+    f"""openings AS (SELECT array_to_string(string_split(s, ' ')[1:{OPENING_WORDS}], ' ') AS find, count(*) AS n FROM (SELECT {T.norm_sql("line")} AS s FROM lines) WHERE len(string_split(s, ' ')) >= {OPENING_WORDS} GROUP BY 1),
+    rules AS (SELECT row_number() OVER (ORDER BY n DESC, find)::INTEGER AS rule_id, find, '' AS replace FROM openings ORDER BY rule_id LIMIT {OPENINGS})""",
+)
+
+
+@query("rule_hits_many", f"WITH {MANY_SQL} SELECT * FROM exact_hits")
+def rule_hits_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of rules taken from the documents, in one pass over them."""
+    lines = S.lines(S.table(spark, sf_dir, "documents"))
+    return R.by_document(R.line_hits(lines, R.frequent_openings(lines, OPENING_WORDS, OPENINGS)))
+
+
 @query("rule_hits_flex", f"WITH {FLEX_SQL} SELECT * FROM flex_hits")
 def rule_hits_flex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.by_document(R.page_hits(conversation_pages(spark, sf_dir), S.rules(spark)))
