@@ -8,10 +8,13 @@ The tokenizer file (lower-casing BPE with word ends) is compiled into two determ
   parallel prefix scan, and a second lock-step pass from the now known entry states writes the borders.
 * The *counter* reads the bytes of a piece (its last byte as a symbol of its own, the word end) and
   annotates each transition with the change in the number of BPE tokens. A state is what the future
-  depends on: the longest suffix that may still grow into a token, and for each possible start of such
-  a token the last token before it and the count relative to now. This is exact because a token
-  sequence is the BPE result just when each neighbouring pair is the BPE result of its own text. States
-  and transitions are found when first met and kept in a hash map; distinct pieces run in lock-step.
+  depends on: for each suffix that may still grow into a token, the last token before it and the count relative to
+  now. This is exact because a token sequence is the BPE result just when each neighbouring pair is the BPE
+  result of its own text. States and transitions are found when first met and kept in a hash map, which is
+  emptied, also within a piece, when it holds more than ``STATES``; distinct pieces run in lock-step. A piece of
+  more than two ``PART`` bytes is cut into parts that run beside each other: each part's map from entry state to exit
+  state and count is first taken for the state that the bytes before it lead to, then for the exits of
+  the part before it, until the maps compose from the first part to the last.
 
 Defined results: null and empty text count 0; special strings count one token each, as the library does
 by default; texts of any length are counted whole; rows are independent, so ties and repeated rows need
@@ -36,8 +39,10 @@ from docbatch.llm.pieces import distinct
 from docbatch.llm.u64map import U64Map
 
 CHUNK = 64
-#: States that a worker remembers between runs.
-STATES = 200_000
+#: States, and pairs of tokens, that a worker remembers.
+STATES, PAIRS = 200_000, 1_000_000
+#: Bytes of the parts of a long piece, and bytes before a part that guess its entry state.
+PART, LEAD = 1024, 64
 
 # Fixed values of the file format: the byte-level alphabet's printable ranges, and Unicode's white space.
 PRINTABLE = ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF))
@@ -149,6 +154,10 @@ def piece_starts(kinds: np.ndarray) -> np.ndarray:
     return starts
 
 
+#: Nothing read: only the empty suffix, no token before it.
+START_STATE = ((0, -1, 0),)
+
+
 class CountTransducer:
     """The counter of one tokenizer file, compiled as far as the pieces seen so far need it."""
 
@@ -164,18 +173,34 @@ class CountTransducer:
         alphabet = {c: chr(c) for c in shown} | {c: chr(256 + i) for i, c in enumerate(x for x in range(256) if x not in shown)}
         self.symbol = [alphabet[c] for c in range(256)]
         tokens = {t for pair in merges for t in ("".join(pair), *pair)} | set(self.symbol) | {s + self.end for s in self.symbol}
-        self.tokens = {t for t in tokens if len(self._bpe(t)) == 1}
-        self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t.removesuffix(self.end)) + (t.endswith(self.end)))}
-        self.fits: dict[tuple[str, str], bool] = {}
+        octet = {c: i for i, c in enumerate(self.symbol)}
+        self.token: list[str] = []
+        self.child: dict[int, int] = {}
+        self.names, self.grows = [-1], [False]  # of each node of the trie, its token, and whether it has children
+        for t in sorted(tokens):
+            if len(self._bpe(t)) == 1:
+                body = t.removesuffix(self.end)
+                self._named([octet[c] for c in body[:-1]] + [octet[body[-1]] + (256 if body != t else 0)], t)
+        self.fits: dict[int, bool] = {}
         self.reset()
 
+    def _named(self, symbols: list[int], token: str) -> None:
+        node = 0
+        for symbol in symbols:
+            key, self.grows[node] = node << 9 | symbol, True
+            if key not in self.child:
+                self.child[key] = len(self.names)
+                self.names.append(-1), self.grows.append(False)
+            node = self.child[key]
+        self.names[node] = len(self.token)
+        self.token.append(token)
+
     def reset(self) -> None:
         """Forgets states; used when there are more than ``STATES``, so that memory stays bounded."""
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.moves = U64Map(missing=-(1 << 40))
-        self.initial = self._state((("", None, 0),))
-        self.fits.clear()
+        self._state(START_STATE)
 
     def _state(self, key: tuple) -> int:
         found = self.states.get(key)
@@ -196,44 +221,55 @@ class CountTransducer:
             parts[best : best + 2] = ["".join(parts[best : best + 2])]
         return parts
 
-    def _fit(self, a: str | None, b: str) -> bool:
-        """Whether token b may follow token a (None: the start of the piece)."""
-        if a is None:
+    def _fit(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a (-1: the start of the piece)."""
+        if a < 0:
             return True
-        found = self.fits.get((a, b))
+        key = a << 32 | b
+        found = self.fits.get(key)
         if found is None:
-            found = self.fits[a, b] = self._bpe(a + b) == [a, b]
+            if len(self.fits) > PAIRS:
+                self.fits.clear()
+            left, right = self.token[a], self.token[b]
+            found = self.fits[key] = self._bpe(left + right) == [left, right]
         return found
 
     def move(self, state: int, symbol: int) -> int:
         """Compiles one transition: next state << 8 | (change in count + 128). Symbols from 256 are last bytes."""
-        c = self.symbol[symbol & 255]
-        last = symbol >= 256
-        grown = [(text + c, before, count) for text, before, count in self.keys[state]]
-        for text, before, count in grown:
-            token = text + self.end if last else text
-            if token in self.tokens and self._fit(before, token):
-                change = count + 1
-                break
-        else:
+        grown, change, token = [], None, -1
+        for node, before, count in self.keys[state]:  # the longest suffix first
+            node = self.child.get(node << 9 | symbol, -1)
+            if node < 0:
+                continue
+            if change is None and self.names[node] >= 0 and self._fit(before, self.names[node]):
+                token, change = self.names[node], count + 1
+            if self.grows[node]:
+                grown.append((node, before, count))
+        if change is None:
             raise ValueError("the vocabulary lacks a byte")
-        if last:
+        if symbol >= 256:
             return change + 128
-        kept = [(text, before, count - change) for text, before, count in grown if text in self.prefixes]
-        return self._state((*kept, ("", token, 0))) << 8 | (change + 128)
+        return self._state((*((node, before, count - change) for node, before, count in grown), (0, token, 0))) << 8 | (change + 128)
 
-    def count(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The number of tokens of each piece (a range of bytes, not empty), in lock-step."""
+    def run(self, raw: np.ndarray, at: np.ndarray, length: np.ndarray, final: np.ndarray, entry: list[tuple] | None = None) -> tuple[np.ndarray, list[tuple | None]]:
+        """The change in count over each range of bytes from its entry state (none: the start of a piece), and its exit state, in lock-step.
+
+        The last byte of a ``final`` range ends a piece; such a range has no exit state.
+        """
         if len(self.keys) > STATES:
             self.reset()
-        order = np.argsort(-lengths, kind="stable")
-        at, length = starts[order], lengths[order]
-        state = np.full(len(order), self.initial, dtype=np.int64)
-        total = np.zeros(len(order), dtype=np.int64)
+        order = np.argsort(-length, kind="stable")
+        at, length, final = at[order], length[order], final[order]
+        state = np.array([self._state(entry[k]) for k in order.tolist()], dtype=np.int64) if entry else np.zeros(len(order), dtype=np.int64)
+        total, exits = np.zeros(len(order), dtype=np.int64), [None] * len(order)
         alive = len(order)
         for i in range(int(length[0]) if alive else 0):
             alive = int(np.searchsorted(-length[:alive], -i, side="left"))  # longer than i
-            keys = (state[:alive] << 9) + raw[at[:alive] + i] + np.where(length[:alive] == i + 1, 256, 0)
+            if len(self.keys) > 2 * STATES:
+                held = [self.keys[k] for k in state[:alive].tolist()]
+                self.reset()
+                state[:alive] = [self._state(k) for k in held]
+            keys = (state[:alive] << 9) + raw[at[:alive] + i] + np.where(final[:alive] & (length[:alive] == i + 1), 256, 0)
             found = self.moves.get(keys.astype(np.uint64))
             lacking = np.flatnonzero(found == self.moves.missing)
             if lacking.size:
@@ -242,10 +278,53 @@ class CountTransducer:
                 found[lacking] = self.moves.get(keys[lacking].astype(np.uint64))
             total[:alive] += (found & 255) - 128
             state[:alive] = found >> 8
+            for k in np.flatnonzero((length[:alive] == i + 1) & ~final[:alive]).tolist():
+                exits[order[k]] = self.keys[int(state[k])]
         out = np.empty(len(order), dtype=np.int64)
         out[order] = total
+        return out, exits
+
+    def count(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The number of tokens of each piece (a range of bytes, not empty)."""
+        out = np.zeros(len(starts), dtype=np.int64)
+        short = np.flatnonzero(lengths <= 2 * PART)
+        out[short] = self.run(raw, starts[short], lengths[short], np.ones(len(short), dtype=bool))[0]
+        long = np.flatnonzero(lengths > 2 * PART)
+        if len(long):
+            out[long] = self._long(raw, starts[long].tolist(), lengths[long].tolist())
         return out
 
+    def _long(self, raw: np.ndarray, starts: list[int], lengths: list[int]) -> list[int]:
+        """The tokens of long pieces, by composing the maps of their parts."""
+        parts = [[(a, min(PART, start + n - a)) for a in range(start, start + n, PART)] for start, n in zip(starts, lengths, strict=True)]
+        maps: list[list[dict[tuple, tuple[tuple | None, int]]]] = [[{} for _ in p] for p in parts]
+        inner = [(i, j) for i, p in enumerate(parts) for j in range(1, len(p))]
+        lead = np.array([parts[i][j][0] - LEAD for i, j in inner])
+        _, guessed = self.run(raw, lead, np.full(len(lead), LEAD), np.zeros(len(lead), dtype=bool))
+        asked = {(i, 0, START_STATE) for i in range(len(parts))} | {(i, j, g) for (i, j), g in zip(inner, guessed, strict=True)}
+        while True:
+            todo = sorted(asked)
+            places = [parts[i][j] for i, j, _ in todo]
+            final = np.array([j == len(parts[i]) - 1 for i, j, _ in todo])
+            counts, exits = self.run(raw, np.array([a for a, _ in places]), np.array([n for _, n in places]), final, [e for *_, e in todo])
+            for (i, j, e), n, after in zip(todo, counts.tolist(), exits, strict=True):
+                maps[i][j][e] = (after, n)
+            totals = [self._composed(m) for m in maps]
+            if all(t is not None for t in totals):
+                return totals
+            asked = {(i, j + 1, after) for i, m in enumerate(maps) if totals[i] is None for j, known in enumerate(m[:-1]) for after, _ in known.values() if after not in m[j + 1]}
+
+    @staticmethod
+    def _composed(maps: list[dict[tuple, tuple[tuple | None, int]]]) -> int | None:
+        """The count of a piece from its parts' maps, applied one after the other; None if a map lacks an entry."""
+        state, total = START_STATE, 0
+        for known in maps:
+            if state not in known:
+                return None
+            state, n = known[state]
+            total += n
+        return total
+
 
 class Counter:
     """Counts tokens of runs of texts."""
