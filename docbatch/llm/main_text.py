@@ -10,6 +10,11 @@ evidence of a few pages weighs little and grows with their number. A branch is n
 importance of its content is below ``THRESHOLD`` and so is that of its node, or half of the pages that have
 the node show that content. So a page's own text stays where other pages repeat something.
 
+Menus, adverts and footers may have other words on every page, but they keep their shape. So a node also has shapes:
+the magnitude of its text, and the share of it in links. Beside the branch that holds most of a page, a box outside articles
+and main parts is noise if, over the pages, it holds little of their text and most of that is links, or its shapes have an
+entropy below ``SHAPE_BITS``. A host with few pages leans on what all hosts' pages show at the same node.
+
 Nodes whose name alone says what they are need no statistics: menus, headers, footers, side bars, forms,
 scripts, styles, adverts, notices and reader comments have importance 0, an article or main part has
 importance 1 and is kept whole but for branches of the first kind inside it. Where a page has such a
@@ -19,12 +24,15 @@ them goes. A name is a whole token of
 class or id ("sidebar", "site-header", not "with-sidebar" or "post-header"), and it yields to what the branch
 holds: see ``settle``.
 
-Counts are aggregated by (host, node, value) before they meet, so a host that holds a third of all pages is
+Pages are read in one pass from left to right, in time that follows their length however broken they are. Counts are
+aggregated by (host, node, value) before they meet, so a host that holds a third of all pages is
 spread like any other, and no page is gathered with others. The list of noise nodes goes to all
-executors while it is below ``BROADCAST_NODES`` rows, beyond that pages join it by host.
+executors while it is below ``BROADCAST_NODES`` rows; beyond that pages join it by host, and those of hosts with
+many pages get their host's list where they are.
 
 Defined results: null and empty html give an empty text; unclosed and stray tags are taken as browsers
-do for paragraphs and lists; pages of any length are read whole; repeated pages each give their text; a null
+do for paragraphs and lists; a comment without an end goes to the next ">", a tag without an end is text; pages of any length
+are read whole; repeated pages each give their text; a null
 url makes a host of its own; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -33,14 +41,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docbatch.llm.common import staged
+from docbatch.llm.common import join_counted, staged
+from docbatch.plans.staging import staged_with
 
 THRESHOLD = 0.3
 #: Pages with other contents that every node is taken to have besides those seen.
@@ -48,11 +57,20 @@ UNSEEN = 3
 #: Weight of a node's presentation beside its content.
 PRESENTATION = 0.3
 BROADCAST_NODES = 200_000
+#: Entropy of shapes below which a box is noise, the share of the text that it holds at most, and the share in links that needs no entropy.
+SHAPE_BITS, SHAPE_SHARE, LINK_SHARE = 2.0, 0.3, 0.5
+#: Pages of all hosts that count beside a host's own, at most, and pages that make evidence.
+PRIOR_PAGES, LEAST_PAGES = 5, 5
 
 # Fixed values of HTML: what ends a block, what has no content, and what never shows as text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title iframe object svg math canvas audio video select textarea button datalist".split())
+#: Elements whose content is no markup up to their end tag; in the second kind character references count.
+RAW = frozenset("script style xmp iframe noembed noframes".split())
+RAW_TEXT = frozenset("textarea title".split())
+#: Tags and roles that name the main part of a page, the second kind may occur more than once.
+MAIN = {"main": 2, "article": 1}
 #: Tags, roles and words of class or id that name a part of a page by its purpose.
 NOISE_TAGS = frozenset("nav header footer aside form menu dialog search".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog".split())
@@ -75,11 +93,12 @@ SEPARATOR = "\n\n"
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "children", "noise", "main")
+    __slots__ = ("tag", "name", "parent", "children", "noise", "main", "inside")
 
     #: ``noise`` is empty, "hidden", "reader" (comments of readers) or "named"; ``main`` is 2 for a main part, 1 for an article.
     def __init__(self, tag: str, name: str, parent: Node | None, noise: str, main: int):
         self.tag, self.name, self.parent, self.noise, self.main = tag, name, parent, noise, main
+        self.inside = parent is not None and bool(parent.main or parent.inside)  # within a main part or article
         self.children: list[Node | str] = []
 
 
@@ -94,23 +113,103 @@ def noise_words(names: str) -> set[str]:
     return found
 
 
-class TreeBuilder(HTMLParser):
+_TAG = re.compile(r"/?[A-Za-z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_STOP = re.compile(r"""[>"']""")
+
+
+class Scanner:
+    """Places of strings in a page, going forward; what is found, or not, is not looked for again."""
+
+    def __init__(self, html: str):
+        self.html, self.low, self.seen = html, None, {}
+
+    def find(self, what: str, start: int, fold: bool = False) -> int:
+        """The first place of ``what`` from ``start`` on, -1 if there is none; with ``fold`` in any case (of ASCII letters)."""
+        at = self.seen.get(what)
+        if at is None or 0 <= at < start:
+            if fold and self.low is None:
+                self.low = "".join(c.lower() if c.isascii() else c for c in self.html) if not self.html.isascii() else self.html.lower()
+            at = self.seen[what] = (self.low if fold else self.html).find(what, start)
+        return at
+
+    def tag_end(self, start: int) -> int:
+        """Where the tag ends that ``start`` is in: at the first ">" outside quotes, or at any if a quote does not end; -1 if there is none."""
+        if self.find(">", start) < 0:
+            return -1
+        at, equals = start, self.html
+        while m := _STOP.search(self.html, at):
+            if m[0] == ">":
+                return m.start()
+            # a quote begins a value only after an equals sign
+            if equals[start : m.start()].rstrip()[-1:] != "=" if m.start() - start < 200 else equals[m.start() - 200 : m.start()].rstrip()[-1:] != "=":
+                at = m.end()
+                continue
+            close = self.find(m[0], m.end())
+            if close < 0:
+                return self.find(">", m.end())
+            at = close + 1
+        return -1
+
+
+class TreeBuilder:
     """A page as a tree of nodes and strings."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.root = self.now = Node("", "", None, "", 0)
         self.open: Counter[str] = Counter()  # open elements by tag, so that nothing is looked for in vain
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def feed(self, html: str) -> None:
+        scan, at, n = Scanner(html), 0, len(html)
+        while at < n:
+            lt = scan.find("<", at)
+            if lt < 0:
+                lt = n
+            if lt > at:
+                self.handle_data(unescape(html[at:lt]))
+            if lt == n:
+                return
+            if html.startswith("<!--", lt):
+                end = scan.find("-->", lt + 2)
+                end, step = (end, 3) if end >= 0 else (scan.find(">", lt), 1)
+                at = end + step if end >= 0 else n
+            elif html.startswith(("<!", "<?"), lt):
+                end = scan.find(">", lt)
+                at = end + 1 if end >= 0 else n
+            elif (m := _TAG.match(html, lt + 1)) and (end := scan.tag_end(m.end())) >= 0:
+                at = end + 1
+                if m[0][0] == "/":
+                    self.handle_endtag(m[0][1:].lower())
+                else:
+                    at = self._started(m[0].lower(), html[m.end() : end], at, scan)
+            else:
+                self.handle_data("<")
+                at = lt + 1
+
+    def _started(self, tag: str, body: str, at: int, scan: Scanner) -> int:
+        """Takes a start tag, and the content of an element without markup; gives the place after it."""
+        values: dict[str, str | None] = {}
+        for name, double, single, bare in _ATTRIBUTE.findall(body):
+            values.setdefault(name.lower(), unescape(double or single or bare))
+        self.handle_starttag(tag, values)
+        if body.rstrip().endswith("/") and tag not in VOID and tag not in RAW and tag not in RAW_TEXT:
+            self.handle_endtag(tag)
+        elif tag in RAW or tag in RAW_TEXT:
+            end = scan.find(f"</{tag}", at, fold=True)
+            end = len(scan.html) if end < 0 else end
+            if end > at:
+                self.handle_data(unescape(scan.html[at:end]) if tag in RAW_TEXT else scan.html[at:end])
+            return end
+        return at
+
+    def handle_starttag(self, tag: str, values: dict[str, str | None]) -> None:
         if tag in CLOSE_PARAGRAPH:
             self._close({"p"}, {"td", "th", "table", "button", "caption", "object"})
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES[tag])
-        values = dict(attrs)
         words = f"{values.get('class') or ''} {values.get('id') or ''}".strip()
         role = (values.get("role") or "").lower()
-        main = 2 if "main" in (tag, role) else int("article" in (tag, role))
+        main = max(MAIN.get(tag, 0), MAIN.get(role, 0))
         node = Node(tag, f"{tag}.{words}" if words else tag, self.now, self._noise(tag, role, words, values, main), main)
         self.now.children.append(node)
         if tag not in VOID:
@@ -125,7 +224,7 @@ class TreeBuilder(HTMLParser):
         if not (top or named or tag in NOISE_TAGS or role in NOISE_ROLES):
             return ""
         # an article's own header and headings hold its titles; all other such parts are noise there too
-        inside = self._inside_main()
+        inside = bool(self.now.main or self.now.inside)
         if tag in HEADINGS:
             named = set() if inside else named - TOP_WORDS
         elif inside and (top or named & {"header", "masthead"}):
@@ -135,14 +234,6 @@ class TreeBuilder(HTMLParser):
             return "reader"
         return "named" if top or named or tag in NOISE_TAGS or role in NOISE_ROLES else ""
 
-    def _inside_main(self) -> bool:
-        node = self.now
-        while node is not None:
-            if node.main:
-                return True
-            node = node.parent
-        return False
-
     def _close(self, tags: set[str], stop: set[str]) -> None:
         """Closes the innermost open element with one of the tags, if no element with a tag of ``stop`` is between."""
         if not any(self.open[t] for t in tags):
@@ -161,7 +252,7 @@ class TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "p" and not self.open["p"]:  # the end of no paragraph is an empty one
-            self.handle_starttag("p", [])
+            self.handle_starttag("p", {})
         node = self.now
         while self.open[tag] and node.parent is not None:
             if node.tag == tag:
@@ -176,7 +267,6 @@ class TreeBuilder(HTMLParser):
 def parsed(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
-    builder.close()
     settle(builder.root)
     return builder.root
 
@@ -208,7 +298,7 @@ def settle(root: Node) -> None:
     parts = main_parts(root)
     if holds[root] == 2 or (holds[root] and not parts):
         for node in order:
-            if node.noise in ("named", "reader") and (holds[node] == 2 or (holds[node] and not parts)) and not _within_main(node):
+            if node.noise in ("named", "reader") and (holds[node] == 2 or (holds[node] and not parts)) and not node.inside:
                 node.noise = ""
         parts = main_parts(root)
     for scope in parts or [root]:
@@ -224,13 +314,6 @@ def settle(root: Node) -> None:
                 work.extend(c for c in node.children if isinstance(c, Node))
 
 
-def _within_main(node: Node) -> bool:
-    above = node.parent
-    while above is not None and not above.main:
-        above = above.parent
-    return above is not None
-
-
 def blocks(node: Node) -> list[str]:
     """The text of a branch, block by block, without its noise; white space inside a block is one space."""
     out: list[str] = []
@@ -313,6 +396,43 @@ def noise_key(path: int, kind: int, content: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{path} {kind} {content}") >> 1
 
 
+#: Kind of a node that is noise by its shapes.
+SHAPE = 4
+
+
+def shapes(root: Node) -> Iterator[tuple[Node, int, int, int, int]]:
+    """(node, path, magnitude, tenths in links, tenths of the page) of boxes outside main parts, beside the branch that holds most of the page.
+
+    Beside paragraphs, headings or bare text a box is part of what they say.
+    """
+    order, work = [], [root]
+    while work:
+        node = work.pop()
+        order.append(node)
+        work.extend(c for c in node.children if isinstance(c, Node) and node.noise != "hidden")
+    chars: dict[Node, int] = {}
+    links: dict[Node, int] = {}
+    for node in reversed(order):
+        below = [c for c in node.children if isinstance(c, Node)]
+        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) if node.noise != "hidden" else 0
+        chars[node] = own + sum(chars.get(c, 0) for c in below)
+        links[node] = chars[node] if node.tag == "a" else sum(links.get(c, 0) for c in below)
+    whole = chars[root]
+    at, path = root, 0
+    while whole and not at.main and not any(c.tag == "p" or c.tag in HEADINGS if isinstance(c, Node) else not c.isspace() for c in at.children):
+        most = None
+        for c in at.children:
+            if isinstance(c, Node):
+                own_path = xxhash.xxh3_64_intdigest(c.name, seed=path)
+                if 2 * chars.get(c, 0) > chars[at]:
+                    most = c, own_path
+                elif chars.get(c, 0) and c.tag in BLOCKS and c.tag not in ENTRIES and c.tag != "p" and not c.main:
+                    yield c, own_path, chars[c].bit_length(), 10 * links[c] // chars[c], 10 * chars[c] // whole
+        if most is None:
+            return
+        at, path = most
+
+
 def main_text(html: str, noise: frozenset[int] | set[int] = frozenset()) -> str:
     """The page's main text; ``noise`` are the keys of the branches that the host's tree found to be noise."""
     if not html:
@@ -323,6 +443,7 @@ def main_text(html: str, noise: frozenset[int] | set[int] = frozenset()) -> str:
     if noise:
         content = contents(root)
         marked = [node for node, path, kind in tree_nodes(root, content) if noise_key(path >> 1, kind, content[node]) in noise]
+        marked += [node for node, path, *_ in shapes(root) if not node.noise and noise_key(path >> 1, SHAPE, 0) in noise]
     for node in marked:
         node.noise = "tree"
     left = [b for part in parts for b in blocks(part)]
@@ -333,8 +454,8 @@ def main_text(html: str, noise: frozenset[int] | set[int] = frozenset()) -> str:
     return SEPARATOR.join(left)
 
 
-def style_nodes(html: str) -> tuple[int, set[tuple[int, int, int]]]:
-    """The hash of the page's text, and (path, kind, value): presentations (0) and contents (1, 2) of its nodes, and the nodes (3)."""
+def style_nodes(html: str) -> tuple[int, set[tuple[int, int, int]], set[tuple[int, int]]]:
+    """The hash of the page's text; (path, kind, value): presentations (0) and contents (1, 2) of its nodes, and the nodes (3); and (path, shape)."""
     root = parsed(html)
     content = contents(root)
     page = xxhash.xxh3_64_intdigest(" ".join(str(content.get(part, "")) for part in main_parts(root) or [root])) >> 1
@@ -342,13 +463,33 @@ def style_nodes(html: str) -> tuple[int, set[tuple[int, int, int]]]:
     for node, path, kind in tree_nodes(root, content):
         look = xxhash.xxh3_64_intdigest(" ".join(c.name for c in node.children if isinstance(c, Node))) >> 1
         rows |= {(path >> 1, 0, look), (path >> 1, kind, content[node]), (path >> 1, 3, 0)}
-    return page, rows
+    return page, rows, {(path >> 1, (size << 8) | (linked << 4) | share) for _, path, size, linked, share in shapes(root)}
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def _shape_noise(shaped: DataFrame) -> DataFrame:
+    """(host, path, kind, value, importance) of nodes that are noise by their shapes, from (host, path, value, k): how many pages have a shape.
+
+    All hosts' pages count beside a host's own, with a weight of ``PRIOR_PAGES`` at most.
+    """
+    own = shaped.groupBy("host", "path", "value").agg(F.sum("k").cast("double").alias("k"))
+    every = own.groupBy("path", "value").agg(F.sum("k").alias("k"))
+    totals = every.groupBy("path").agg(F.sum("k").alias("n"))
+    prior = every.join(totals, "path").select("path", "value", (F.col("k") * F.least(F.lit(1.0), PRIOR_PAGES / F.col("n"))).alias("k"))
+    both = own.unionByName(own.select("host", "path").distinct().join(prior, "path").select("host", "path", "value", "k"))
+    parts = both.groupBy("host", "path", F.shiftright("value", 8).alias("size")).agg(
+        F.sum("k").alias("k"), F.sum(F.col("k") * F.shiftright("value", 4).bitwiseAND(15) / 10).alias("linked"), F.sum(F.col("k") * F.col("value").bitwiseAND(15) / 10).alias("share")
+    )
+    k = F.sum("k")
+    bits = (F.log2(k) - F.sum(F.col("k") * F.log2("k")) / k).alias("bits")
+    nodes = parts.groupBy("host", "path").agg(k.alias("k"), bits, (F.sum("linked") / k).alias("linked"), (F.sum("share") / k).alias("share"))
+    noisy = nodes.filter((F.col("k") >= LEAST_PAGES) & (F.col("share") <= SHAPE_SHARE) & ((F.col("linked") >= LINK_SHARE) | (F.col("bits") < SHAPE_BITS)))
+    return noisy.select("host", "path", F.lit(SHAPE).alias("kind"), F.lit(0).cast("long").alias("value"), F.col("share").alias("importance"))
+
+
 def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", unseen: int = UNSEEN, threshold: float = THRESHOLD) -> DataFrame:
     """(host, key, importance): branches of each host's tree that are noise."""
     schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int32()), ("value", pa.int64()), ("page", pa.int64())])
@@ -357,10 +498,13 @@ def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html",
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = []
+                rows, shaped = [], Counter()
                 for host, html in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    page, seen = style_nodes(html.as_py())
+                    page, seen, shape = style_nodes(html.as_py())
                     rows += [(host, *s, page) for s in seen]
+                    shaped.update((host, *s) for s in shape)
+                # of shapes only sums go on: their number stands in the place of the page
+                rows += [(host, path, SHAPE, value, k) for (host, path, value), k in shaped.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -370,8 +514,14 @@ def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html",
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(named, pa.int64()), b.column(4)], names=["host", "key", "importance"])
 
     read = pages.filter(F.length(html_col) > 0).select(host_of(F.col(url_col)).alias("host"), html_col)
-    seen = read.mapInArrow(run, "host string, path long, kind int, value long, page long").distinct()
-    counts = staged(seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k")), "style-tree")
+    seen = read.mapInArrow(run, "host string, path long, kind int, value long, page long")
+    # of contents a page counts once, however often its text is there; of shapes the numbers are added up
+    apart = F.when(F.col("kind") == SHAPE, F.lit(0)).otherwise(F.col("page"))
+    once = seen.groupBy("host", "path", "kind", "value", apart.alias("apart")).agg(F.sum(F.when(F.col("kind") == SHAPE, F.col("page"))).alias("sum"))
+    k = F.sum(F.when(F.col("kind") == SHAPE, F.col("sum")).otherwise(F.lit(1)))
+    counts = staged(once.groupBy("host", "path", "kind", "value").agg(k.alias("k")), "style-tree")
+    shaped = counts.filter(F.col("kind") == SHAPE).select("host", "path", "value", "k")
+    counts = counts.filter(F.col("kind") != SHAPE)
     # entropy of a node's presentations, or contents, in units of its greatest value; both from sums over counts
     k_log_k = F.col("k") * F.log(F.col("k").cast("double"))
 
@@ -389,18 +539,22 @@ def noise_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     often = (kind == 2) & (2 * F.col("k") >= F.col("pages"))
     judged = counts.filter(kind.isin(1, 2) & (F.col("k") > 1)).join(nodes, ["host", "path"])
     judged = judged.withColumn("importance", own).filter((F.col("importance") < threshold) & (often | (importance(F.col("content")) < threshold)))
-    return judged.select("host", "path", "kind", "value", "importance").mapInArrow(keys, "host string, key long, importance double")
+    judged = judged.select("host", "path", "kind", "value", "importance").unionByName(_shape_noise(shaped))
+    return judged.mapInArrow(keys, "host string, key long, importance double")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every page."""
-    noise = staged(noise_nodes(pages, url_col, html_col), "noise-nodes")
+    noise, seen = staged_with(noise_nodes(pages, url_col, html_col), "noise-nodes")
     read = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"), host_of(F.col(url_col)).alias("host"))
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     by_host = noise.groupBy("host").agg(F.collect_list("key").alias("keys"))  # branches of one host's templates
-    if noise.count() <= BROADCAST_NODES:
-        by_host = F.broadcast(by_host)
-    joined = read.join(by_host, "host", "left").select("id", "url", "html", "keys")
+    if seen["n"] <= BROADCAST_NODES:
+        joined = read.join(F.broadcast(by_host), "host", "left")
+    else:
+        sizes, total = staged_with(read.groupBy("host").agg(F.count(F.lit(1)).alias("m")), "hosts", rows=F.sum("m"))
+        joined = join_counted(read, sizes.join(by_host, "host", "left"), "host", "m", total["rows"], "left")
+    joined = joined.select("id", "url", "html", "keys")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -87,6 +87,25 @@ def test_long_pieces_merge_like_the_library():
         assert bpe.bpe_table(path).encode_pieces([piece]) == [lib._core_bpe.encode_single_piece(piece)]
 
 
+def test_token_counts_of_long_pieces(monkeypatch):
+    """Pieces of tens of thousands of bytes, of which parts are counted beside each other; states forgotten within a piece."""
+    import time
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    random_letters = "".join(rng.choice(letters) for _ in range(30_000))
+    texts = [random_letters, "é" * 15_001, "aé" * 9_999, "a" * 70_001, "theandofinto" * 4_000, "漢字" * 6_000, "!?" * 9_000 + "#" * 3_001, random_letters[:2048], random_letters[:2049], "ab " + random_letters[:5000] + " x"]
+    want = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    begin = time.time()
+    assert token_counts.counter(path).count(texts).tolist() == want
+    assert time.time() - begin < 60
+    for name, value in (("STATES", 500), ("PAIRS", 300), ("PART", 64), ("LEAD", 3)):
+        monkeypatch.setattr(token_counts, name, value)
+    assert token_counts.counter(path).count([t[:1500] for t in texts]).tolist() == [len(lib.encode(t[:1500], add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts_of_every_character():
     path = public_tokenizers.path("word_bpe_49k.json")
     values = [f"ab{c}d {c}{c}1" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
@@ -506,9 +525,72 @@ def test_main_text_importance_by_brute_force(spark):
                 own = look + 0.7 * (1 - math.log(k) / math.log(len(seen[path]) + main_text.UNSEEN))
                 if k > 1 and own < 0.3 and ((kind == 2 and 2 * k >= len(seen[path])) or look + 0.7 * entropy(values) < 0.3):
                     want[host, main_text.noise_key(path, kind, value)] = own
+    got = {k: v for k, v in got.items() if k[1] not in {main_text.noise_key(p, main_text.SHAPE, 0) for h in html for p, _ in main_text.style_nodes(h)[2]}}
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_main_text_by_the_tree_alone(spark, monkeypatch):
+    """The given pages, in which menus, adverts and footers say something else on each page, without any names of parts."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r.page_id, r.html) for r in pages.select("page_id", "html").collect()]
+    want = {i: main_text.main_text(h) for i, h in rows}
+    for name in ("NOISE_TAGS", "NOISE_ROLES", "NOISE_WORDS", "PLAIN_WORDS"):
+        monkeypatch.setattr(main_text, name, frozenset())
+    monkeypatch.setattr(main_text, "NOISE_STEMS", ())
+    monkeypatch.setattr(main_text, "MAIN", {})
+    noise: dict[str, set[int]] = {}
+
+    def plain_hosts():
+        """What ``noise_nodes`` finds, with the emptied names in this process."""
+        import math
+        from collections import Counter
+
+        seen = Counter()
+        for _, h in rows:
+            seen.update((p, v) for p, v in main_text.style_nodes(h)[2])
+        for path in {p for p, _ in seen}:
+            shapes = [(v, k) for (p, v), k in seen.items() if p == path]
+            n = sum(k for _, k in shapes)
+            sizes = Counter()
+            for v, k in shapes:
+                sizes[v >> 8] += k
+            bits = -sum(k / n * math.log2(k / n) for k in sizes.values())
+            linked, share = (sum((v >> s & 15) / 10 * k for v, k in shapes) / n for s in (4, 0))
+            if n >= main_text.LEAST_PAGES and share <= main_text.SHAPE_SHARE and (linked >= main_text.LINK_SHARE or bits < main_text.SHAPE_BITS):
+                yield main_text.noise_key(path, main_text.SHAPE, 0)
+
+    keys = set(plain_hosts())
+    bare = {i: main_text.main_text(h) for i, h in rows}
+    found = {i: main_text.main_text(h, keys) for i, h in rows}
+    assert sum(bare[i] == want[i] for i in want) == 0 and sum(found[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
+def test_main_text_shapes_of_a_host(spark):
+    """Menus and notes of unlisted names whose words differ on every page, found by the host's pages; a few pages of another host lean on them."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+
+    def page(i):
+        links = "".join(f"<li><a href='/{i}'>{word()}</a></li>" for _ in range(6))
+        prose = "".join(f"<p>{' '.join(word() for _ in range(rng.choice([3, 12, 60, 250])))}</p>" for _ in range(rng.randrange(2, 7)))
+        return f"<body><div class=x1><ul>{links}</ul></div><div class=x2>{word()} {word()}</div><div class=x3><h1>{word()}</h1>{prose}</div><div class=x4>{word()} {word()} {word()}</div></body>", prose
+
+    made = [page(i) for i in range(43)]
+    rows = [(i, f"http://{'few' if i >= 40 else 'many'}.example/{i}", h) for i, (h, _) in enumerate(made)]
+    got = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (_, prose) in enumerate(made):
+        assert got[i].split("\n\n")[1:] == [p for p in prose.replace("<p>", "").split("</p>") if p] and len(got[i].split("\n\n")[0]) == 6
+
+
+def test_main_text_of_many_hosts(spark, monkeypatch):
+    """Beyond the list that is sent, one host holds most pages."""
+    site = [f"<body><div>Site menu all pages share</div><div><p>own text number {i} here</p></div></body>" for i in range(60)]
+    rows = [(i, f"http://{'hot' if i < 50 else 'cold'}.example/{i}", h) for i, h in enumerate(site)] + [(90, "http://none.example/", "<p>alone</p>"), (91, None, None)]
+    monkeypatch.setattr(main_text, "BROADCAST_NODES", 0)
+    got = {r.page_id: r.text for r in main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own text number {i} here" for i in range(60)} | {90: "alone", 91: ""}
+
+
 def test_main_text_of_deep_and_broken_pages():
     import time
 
@@ -517,6 +599,11 @@ def test_main_text_of_deep_and_broken_pages():
     assert main_text.main_text("<p>" * 20_000 + "a<li>b<td>c</table></p>d" + "<b>" * 20_000) == "a\n\nb\n\nc\n\nd"
     assert main_text.main_text("<p>" + "long words " * 300_000) == ("long words " * 300_000).strip()
     assert time.time() - begin < 20
+    for broken in ("<a " * 100_000, "<!--" * 100_000, "<nav>" * 60_000, "<a href=\"y " * 60_000, "<a b='x>y\"" * 60_000, "<script>" * 60_000, "<p><b>" * 60_000, "<ul><li>" * 60_000):
+        main_text.style_nodes(broken)
+        main_text.main_text(broken)
+    assert time.time() - begin < 60
+    assert main_text.main_text("<p>a<!-- b > c<p>d") == "a c\n\nd" and main_text.main_text("<p>a <b") == "a <b" and main_text.main_text("<p x='>'>a<br/>b<textarea>no</textarea><SCRIPT>no</p></Script>") == "a b"
     assert main_text.main_text("<") == "<" and main_text.main_text("&lt;&#65;&bogus; <!-- x -->") == "<A&bogus;"
 
 
