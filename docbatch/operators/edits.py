@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +71,30 @@ def cascade(rows: DataFrame, find: str, replace: str, text_col: str = "text") ->
     return rows.select("*", expected.alias("expected"), direct.alias("direct"), by_fallback.alias("by_fallback"), done.alias("done"))
 
 
+def spliced(text: Column, edits: Column) -> Column:
+    """A text in which the pieces from ``a`` to ``b`` (code points) are ``s``, for an array of (a, b, s) in order of place that do not overlap.
+
+    One pass joins the gaps and the replacements, so the work follows the length of the text and not its product
+    with the number of edits. Texts without edits, an empty array or null, stay where they are.
+    """
+
+    @F.pandas_udf("string")
+    def joined(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+        def one(text: str | None, own) -> str | None:
+            if text is None or own is None:
+                return None
+            out, at = [], 0
+            for e in own:
+                out += (text[at : e["a"]], e["s"])
+                at = e["b"]
+            return "".join((*out, text[at:]))
+
+        return pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)])
+
+    some = F.size(edits) > 0
+    return F.coalesce(joined(F.when(some, text), F.when(some, edits)), text)
+
+
 def apply_selected(rows: DataFrame, found: DataFrame, selected: DataFrame, replace: str, key: str = "doc_id") -> DataFrame:
     """(key, found, selected, applied, missing, reason, text): each text with just the chosen occurrences replaced.
 
@@ -85,9 +110,8 @@ def apply_selected(rows: DataFrame, found: DataFrame, selected: DataFrame, repla
     out = rows.join(cuts, key, "left").join(asked, key, "left").join(missing, key, "left").na.fill(0, ["selected", "missing"])
     took = F.coalesce(F.filter("cuts", lambda c: c["chosen"]), F.array().cast(out.schema["cuts"].dataType))
     applied = F.size(took).cast("long")
-    # from the end, so that earlier places stay valid
-    splice = lambda t, c: F.concat(F.substring(t, F.lit(1), c["start"]), F.lit(replace), F.substring(t, c["end"] + 1, F.length(t)))
-    done = F.aggregate(F.reverse(took), F.col("text"), splice)
+    pieces = F.transform(took, lambda c: F.struct(c["start"].cast("int").alias("a"), c["end"].cast("int").alias("b"), F.lit(replace).alias("s")))
+    done = spliced(F.col("text"), pieces)
     reason = F.when(F.col("missing") > 0, "missing ids").when(applied != F.col("selected"), "not all applied").when(F.col("selected") == 0, "nothing selected")
     return out.select(key, F.greatest(F.size("cuts"), F.lit(0)).cast("long").alias("found"), "selected", applied.alias("applied"), "missing", reason.alias("reason"), F.when(reason.isNull(), done).otherwise(F.col("text")).alias("text"))
 
@@ -128,8 +152,7 @@ def segment_replace_pattern(segments: DataFrame, pattern: str, replace: str) ->
 
     A match is found in the concatenated text of its document. A segment that holds the part
     [a, b) of a match of length n gets the replacement's characters from round(a/n * r) to round(b/n * r),
-    rounding halves up, so the shares add up to the replacement. Edits of a segment are applied from its
-    end, so earlier positions stay valid.
+    rounding halves up, so the shares add up to the replacement.
     """
     based = segment_bases(segments)
     whole = based.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "text"))), lambda s: s["text"]), "").alias("text"))
@@ -145,10 +168,9 @@ def segment_replace_pattern(segments: DataFrame, pattern: str, replace: str) ->
     n = F.col("m1") - F.col("m0")
     cut = lambda x: F.floor((x - F.col("m0")) * len(replace) / n + 0.5).cast("int")
     share = F.substring(F.lit(replace), cut(a) + 1, cut(b) - cut(a))
-    edits = touched.groupBy("doc_id", "seg_no").agg(F.sort_array(F.collect_list(F.struct((a - F.col("base")).cast("int").alias("a"), (b - F.col("base")).cast("int").alias("b"), share.alias("s"))), asc=False).alias("edits"))
-    splice = lambda t, e: F.concat(F.substring(t, F.lit(1), e["a"]), e["s"], F.substring(t, e["b"] + 1, F.length(t)))
+    edits = touched.groupBy("doc_id", "seg_no").agg(F.sort_array(F.collect_list(F.struct((a - F.col("base")).cast("int").alias("a"), (b - F.col("base")).cast("int").alias("b"), share.alias("s")))).alias("edits"))
     out = segments.join(edits, ["doc_id", "seg_no"], "left")
-    return out.select("doc_id", "seg_no", F.when(F.col("edits").isNull(), F.col("text")).otherwise(F.aggregate("edits", F.col("text"), splice)).alias("text"))
+    return out.select("doc_id", "seg_no", spliced(F.col("text"), F.col("edits")).alias("text"))
 
 
 def reconciled(baseline: DataFrame, current: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
 from docbatch.functions.rows import held
+from docbatch.operators.parts import Found, PartIndex, indexed, near_keys
 
 
 @dataclass(frozen=True)
@@ -52,8 +54,8 @@ ANCHORS, ANCHOR_LETTERS, ANCHOR_ACCEPT = 4, 3, 0.84
 
 
 def keyed_targets(targets: DataFrame, p: FuzzyParams) -> DataFrame:
-    """(target, t_key); a list of targets is short, so it is broadcast."""
-    return F.broadcast(targets.select("target", T.confusable_key(F.col("target"), p.fold).alias("t_key")).filter("t_key <> ''"))
+    """(target, t_key) of the targets that have a key."""
+    return targets.select("target", T.confusable_key(F.col("target"), p.fold).alias("t_key")).filter("t_key <> ''")
 
 
 def accepted(near: DataFrame, p: FuzzyParams) -> DataFrame:
@@ -84,7 +86,7 @@ def match_lines(lines: DataFrame, targets: DataFrame, p: FuzzyParams = LINES, tw
     else:
         rows = rows.withColumn("lines", F.lit(1))
     ratio = max(p.accept, p.ratio)
-    near = rows.filter("key <> ''").join(keyed_targets(targets, p), T.length_ratio(F.col("key"), F.col("t_key")) >= ratio)
+    near = near_keys(rows.filter("key <> ''"), keyed_targets(targets, p), p.accept).filter(T.length_ratio(F.col("key"), F.col("t_key")) >= ratio)
     found = accepted(near, p).select("doc_id", "line_no", "lines", "target", "similarity")
     if two:
         found = found.groupBy("doc_id", "line_no", "target").agg(F.min(F.struct("lines", "similarity")).alias("m")).select("doc_id", "line_no", "m.lines", "target", "m.similarity")
@@ -146,25 +148,67 @@ def word_windows(lines: DataFrame, size: int, lengths: tuple[int, int] | None =
 
 
 def match_windows(lines: DataFrame, targets: DataFrame, p: FuzzyParams = WORDS) -> DataFrame:
-    """The shortest accepted window of each start: similar key, kept abbreviation, and confidence of its weakest word."""
-    wanted = keyed_targets(targets, p)
+    """The shortest accepted window of each start: similar key, kept abbreviation, and confidence of its weakest word.
+
+    Only windows around a part of a target that stands in the line unchanged are made, so neither lines nor windows
+    meet all targets.
+    """
     ratio = max(p.accept, p.ratio)
-    least, most = F.ceil(F.length("t_key") * ratio - 1e-9), F.least(F.floor(F.length("t_key") / ratio + 1e-9), F.length("t_key") + p.slack)
-    if p.within:
-        most = F.length("t_key") + p.slack
-    span = wanted.agg(F.min(least).alias("least"), F.max(most).alias("most")).first()
-    if span["least"] is None:
-        span = {"least": 0, "most": -1}
-    # a line without a part of any target that its edits must leave alone holds no match
-    keyed = held(lines, "k", T.confusable_keys(F.col("w.word"), p.fold))
-    edits = F.floor((1 - p.accept) * F.floor(F.length("t_key") / p.accept) + 1e-9).cast("int")
-    keyed = keyed.join(wanted, may_hold(F.array_join("k", ""), F.col("t_key"), edits), "left_semi")
-    windows = word_windows(keyed, p.window, (int(span["least"]), int(span["most"])), p.fold).filter(F.col("conf") >= p.least_conf)
-    near = windows.join(wanted, F.length("key").between(least, most))
+    keyed = held(lines, "k", T.confusable_keys(F.col("w.word"), p.fold)).select("doc_id", "line_no", "w", "k")
+    kinds = keyed.schema
+
+    def find(index: PartIndex, batch: pa.RecordBatch) -> Found:
+        line, first, size, weakest, texts, keys, places = [], [], [], [], [], [], []
+        w, k = batch.column(2), batch.column(3)
+        offsets = k.offsets.to_pylist()
+        word, conf, all_keys = w.flatten().field("word").to_pylist(), w.flatten().field("conf").to_pylist(), k.flatten().to_pylist()
+        for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            own, ends = all_keys[a:b], [0]
+            for key in own:
+                ends.append(ends[-1] + len(key))
+            text = "".join(own)
+            for j, n, t in sorted(_windows_of(index, text, ends, conf[a:b], p, ratio)):
+                line.append(i), first.append(a + j), size.append(n), places.append(t)
+                weakest.append(min(conf[a + j : a + j + n]))
+                texts.append(" ".join(word[a + j : a + j + n]))
+                keys.append(text[ends[j] : ends[j + n]])
+        start, last = pa.array(first, pa.int64()), pa.array([f + n - 1 for f, n in zip(first, size, strict=True)], pa.int64())
+        at, flat = pa.array(line, pa.int64()), w.flatten()
+        columns = [batch.column(0).take(at), batch.column(1).take(at), flat.field("word_no").take(start), pa.array(size, pa.int32()), pa.array(texts, pa.string()), pa.array(keys, pa.string()), flat.field("x0").take(start), flat.field("x1").take(last), pa.array(weakest, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "word_no", "n", "words", "key", "x0", "x1", "conf"]), places
+
+    shape = f"doc_id {kinds['doc_id'].dataType.simpleString()}, line_no {kinds['line_no'].dataType.simpleString()}, word_no int, n int, words string, key string, x0 double, x1 double, conf int"
+    near = indexed(keyed, keyed_targets(targets, p), p.accept, find, shape)
     hit = F.min(F.struct("n", "words", "key", "x0", "x1", "conf", "similarity")).alias("hit")
     return accepted(near, p).groupBy("doc_id", "line_no", "word_no", "target").agg(hit).select("doc_id", "line_no", "word_no", "target", "hit.*")
 
 
+def _windows_of(index: PartIndex, text: str, ends: list[int], conf: list[int], p: FuzzyParams, ratio: float) -> set[tuple[int, int, int]]:
+    """(first word, words, target): windows of a line that hold an unchanged part of a target about where it should be, and have a length and confidence that may be accepted."""
+    found: set[tuple[int, int, int]] = set()
+    words = len(ends) - 1
+    spans = [(t, start, end, at) for t, start, end, at in index.hits(text)] + [(t, None, None, 0) for t in index.always]
+    for t, start, end, at in spans:
+        size, edits = len(index.targets[t][1]), index.edits[t]
+        least = int(-(-(size * ratio - 1e-9) // 1))
+        most = size + p.slack if p.within else min(int(size / ratio + 1e-9), size + p.slack)
+        j = words - 1 if start is None else bisect_right(ends, start, 0, words) - 1
+        while j >= 0:
+            if start is not None and start - ends[j] > (most if p.within else at + edits):
+                break
+            if start is None or p.within or start - ends[j] >= at - edits:
+                weakest = conf[j]
+                for n in range(1, min(p.window, words - j) + 1):
+                    weakest = min(weakest, conf[j + n - 1])
+                    length = ends[j + n] - ends[j]
+                    if length > most or weakest < p.least_conf:
+                        break
+                    if length >= least and (end is None or ends[j + n] >= end):
+                        found.add((j, n, t))
+            j -= 1
+    return found
+
+
 def exact_codes(lines: DataFrame, targets: list[str], p: FuzzyParams = SAFE_CODE) -> DataFrame:
     """(doc_id, line_no, word_no, n, target, conf): the shortest window of words that holds a code exactly, between characters that continue no code.
 
@@ -189,9 +233,9 @@ def anchor_words(lines: DataFrame, targets: DataFrame, fold: str = "oil", anchor
     """(doc_id, target, anchor, line_no, word_no, similarity): for each of a target's longest words the most similar word of a document."""
     words = F.array_distinct(F.filter(F.transform(F.split("target", r"[\s_]+"), lambda w: T.confusable_key(w, fold)), lambda w: F.length(w) >= letters))
     longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, anchors)
-    wanted = F.broadcast(targets.select("target", F.explode(longest).alias("a")).select("target", F.col("a.w").alias("anchor")))
+    wanted = targets.select("target", F.explode(longest).alias("a")).select("target", F.col("a.w").alias("t_key"))
     keyed = lines.select("doc_id", "line_no", F.inline("w")).select("doc_id", "line_no", "word_no", T.confusable_key(F.col("word"), fold).alias("key"))
-    near = keyed.join(wanted, T.length_ratio(F.col("key"), F.col("anchor")) >= accept).withColumn("similarity", T.similarity(F.col("key"), F.col("anchor"), accept)).filter(F.col("similarity") >= accept)
+    near = near_keys(keyed, wanted, accept).withColumnRenamed("t_key", "anchor").filter(T.length_ratio(F.col("key"), F.col("anchor")) >= accept).withColumn("similarity", T.similarity(F.col("key"), F.col("anchor"), accept)).filter(F.col("similarity") >= accept)
     best = F.min(F.struct((-F.col("similarity")).alias("loss"), "line_no", "word_no")).alias("b")
     return near.groupBy("doc_id", "target", "anchor").agg(best).select("doc_id", "target", "anchor", "b.line_no", "b.word_no", (-F.col("b.loss")).alias("similarity"))
 

@@ -86,3 +86,10 @@ def timeouts(events: DataFrame, start: Column, end: Column, within: str) -> Data
     rows = events.withColumn("done_at", done_at).filter(start)
     state = F.when(F.col("done_at") <= F.col("ts") + F.expr(f"interval {within}"), "done").otherwise("timed out")
     return rows.withColumn("state", state)
+
+
+def report_line(number: Column, stage: Column, ms: Column, file: Column, slow: float = 100, digits: int = 5) -> Column:
+    """A line of a report: its number with leading zeros, never cut, what happened, whether it was slow, and the file."""
+    shown = number.cast("string")
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(digits - F.length(shown), F.lit(0))), shown)
+    return F.concat_ws(" | ", padded, stage, F.when(ms >= slow, "slow"), F.concat(F.lit("file="), file))

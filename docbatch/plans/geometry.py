@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docbatch.operators import geometry as G
+from docbatch.operators.numbering import exact_quantiles
 from docbatch.plans.catalog import query
 from docbatch.sources import tables as S
 
@@ -131,8 +132,16 @@ def rect_union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("quantiles", f"{ST} SELECT page_no, round(median(y0), 6) AS middle, round(quantile_cont(x1 - x0, 0.25), 6) AS q1, round(quantile_cont(x1 - x0, 0.9), 6) AS q9 FROM strokes GROUP BY 1")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact, interpolated quantiles."""
-    w = F.col("x1") - F.col("x0")
-    return strokes(spark, sf_dir).groupBy("page_no").agg(F.round(F.percentile("y0", F.lit(0.5)), 6).alias("middle"), F.round(F.percentile(w, F.lit(0.25)), 6).alias("q1"), F.round(F.percentile(w, F.lit(0.9)), 6).alias("q9"))
+    rows, w = strokes(spark, sf_dir), F.col("x1") - F.col("x0")
+    out = exact_quantiles(rows, ["page_no"], F.col("y0"), middle=0.5).join(exact_quantiles(rows, ["page_no"], w, q1=0.25, q9=0.9), "page_no")
+    return out.withColumns({c: F.round(c, 6) for c in ("middle", "q1", "q9")})
+
+
+@query("quantiles_of_all", f"{ST} SELECT round(quantile_cont(x1 - x0, 0.5), 6) AS middle, round(quantile_cont(x1 - x0, 0.05), 6) AS low, round(quantile_cont(x1 - x0, 0.99), 6) AS high FROM strokes")
+def quantiles_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all rows as one group, which no task holds."""
+    out = exact_quantiles(strokes(spark, sf_dir), [], F.col("x1") - F.col("x0"), middle=0.5, low=0.05, high=0.99)
+    return out.select(*(F.round(c, 6).alias(c) for c in ("middle", "low", "high")))
 
 
 @query("share_gate", f"{ST} SELECT page_no, round(avg((x1 - x0 <= 2)::INTEGER), 6) AS share, avg((x1 - x0 <= 2)::INTEGER) >= 0.6 AS accepted, max(y0) - min(y0) <= 1e-9 AS one_row, count(DISTINCT color) = 1 AS one_colour FROM strokes GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docbatch.operators import telemetry as R
+from docbatch.operators.numbering import asof, numbered
 from docbatch.plans.catalog import query
 from docbatch.sources import tables as S
 
@@ -166,12 +167,35 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "event_report",
-    f"""{EV} SELECT run_id, event_id, lpad((row_number() OVER ({RUN}))::VARCHAR, 5, '0') || ' | ' || stage || CASE WHEN ms >= 100 THEN ' | slow' ELSE '' END || ' | file=' || file AS line FROM run_events""",
+    f"""{EV} SELECT run_id, event_id, CASE WHEN row_number() OVER ({RUN}) > 99999 THEN (row_number() OVER ({RUN}))::VARCHAR ELSE lpad((row_number() OVER ({RUN}))::VARCHAR, 5, '0') END || ' | ' || stage || CASE WHEN ms >= 100 THEN ' | slow' ELSE '' END || ' | file=' || file AS line FROM run_events""",
 )
 def event_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.lpad(F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id")).cast("string"), 5, "0")
-    line = F.concat_ws(" | ", number, "stage", F.when(F.col("ms") >= 100, "slow"), F.concat(F.lit("file="), F.col("file")))
-    return events(spark, sf_dir).select("run_id", "event_id", line.alias("line"))
+    """Numbered lines of each run; five digits, more where there are more lines."""
+    rows = numbered(events(spark, sf_dir), ["run_id"], [F.col("ts"), F.col("event_id")])
+    return rows.select("run_id", "event_id", R.report_line(F.col("number"), F.col("stage"), F.col("ms"), F.col("file")).alias("line"))
+
+
+@query(
+    "word_numbers",
+    """WITH w AS (SELECT doc_id, i, row_number() OVER (ORDER BY doc_id, i) AS n FROM (SELECT doc_id, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents))
+    SELECT doc_id, min(n) AS first, max(n) AS last FROM w GROUP BY 1""",
+)
+def word_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents numbered in one run, and the first and last number of each document."""
+    words = S.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).drop("word")
+    return numbered(words, [], [F.col("doc_id"), F.col("i")]).groupBy("doc_id").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+
+
+@query(
+    "asof_event",
+    """WITH r AS (SELECT user_id, ts, max(event_id) AS click_id FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+    SELECT l.event_id, l.user_id, r.click_id FROM (SELECT * FROM events WHERE event_type <> 'click') l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""",
+)
+def asof_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every other event the user's latest click until then."""
+    rows = S.table(spark, sf_dir, "events")
+    clicks = rows.filter("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
+    return asof(rows.filter("event_type <> 'click'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", ["click_id"]).drop("ts")
 
 
 @query(

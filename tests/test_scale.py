@@ -8,8 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docbatch.operators import edits as E
+from docbatch.operators import fuzzy as Z
 from docbatch.operators import geometry as G
+from docbatch.operators import numbering, parts
 from docbatch.operators import rules as R
+from docbatch.operators import telemetry as T
 from docbatch.operators.components import least_labels
 from docbatch.operators.sweep import union_area
 
@@ -153,3 +157,120 @@ def test_grid_components_of_keys_that_hash_alike(spark):
         parts.setdefault(r.component, set()).add((r.k, r.x, r.y))
     assert sorted(map(len, parts.values())) == [1, 1, 1, 1, 2, 185]
     assert sum(map(len, parts.values())) == len(set(cells)) and all(len({k for k, _, _ in p}) == 1 for p in parts.values())
+
+
+def test_numbers_over_partitions(spark):
+    rng = random.Random(5)
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"k{i % 4}", rng.randrange(10**6), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "run_id string, ts long, event_id long").repartition(7)
+    want, seen = {}, Counter()
+    for k, t, e in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        seen[k] += 1
+        want[e] = seen[k]
+    got = numbering.numbered(df, ["run_id"], [F.col("ts"), F.col("event_id")], "n", "all").collect()
+    assert {r.event_id: r.n for r in got} == want and all(r["all"] == seen[r.run_id] for r in got)
+    every = numbering.numbered(df, [], [F.col("ts"), F.col("event_id")]).collect()
+    assert [r.event_id for r in sorted(every, key=lambda r: r.number)] == [e for _, _, e in sorted(rows, key=lambda r: r[1:])]
+    assert numbering.numbered(df.limit(0), ["run_id"], [F.col("ts")]).count() == 0
+
+
+def test_lines_of_a_long_run_keep_their_numbers(spark):
+    rows = spark.range(100_200).selectExpr("'r' AS run_id", "id AS ts", "id AS event_id")
+    out = numbering.numbered(rows, ["run_id"], [F.col("ts")])
+    lines = out.select("event_id", T.report_line(F.col("number"), F.lit("s"), F.lit(1.0), F.lit("f")).alias("line")).filter("event_id in (0, 99998, 99999, 100199)").collect()
+    assert {r.event_id: r.line.split(" ")[0] for r in lines} == {0: "00001", 99998: "99999", 99999: "100000", 100199: "100200"}
+
+
+def test_quantiles_of_large_groups(spark):
+    rng = np.random.default_rng(2)
+    values = {"a": rng.normal(size=2500), "b": rng.integers(0, 4, 900).astype(float), "c": np.array([7.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r.k: r for r in numbering.exact_quantiles(df, ["k"], F.col("v"), low=0.0, q1=0.25, middle=0.5, high=0.99, top=1.0).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        for name, q in (("low", 0), ("q1", 0.25), ("middle", 0.5), ("high", 0.99), ("top", 1)):
+            assert got[k][name] == pytest.approx(np.quantile(vs, q), abs=1e-12)
+
+
+def test_asof_over_partitions(spark):
+    """A hot key over many partitions, keys of one side only, null keys, ties in time."""
+    rng = random.Random(6)
+    left = [(("hot" if rng.random() < 0.7 else rng.choice(["a", "b", None])), rng.randrange(5000), i) for i in range(1500)]
+    right = [(("hot" if rng.random() < 0.7 else rng.choice(["a", "c", None])), rng.randrange(5000), i) for i in range(200)]
+    want = {}
+    for k, t, i in left:
+        before = [(u, v) for j, u, v in right if j == k and u <= t]
+        want[i] = max(before)[1] if before and k is not None else None
+    df = lambda rows, name: spark.createDataFrame(rows, f"k string, t long, {name} long").repartition(5)
+    got = numbering.asof(df(left, "i"), df(right, "v"), ["k"], "t", ["v"]).collect()
+    assert len(got) == len(left) and {r.i: r.v for r in got if r.k is not None} == {i: want[i] for k, _, i in left if k is not None}
+
+
+def test_many_edits_of_one_text(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdé漢 ") for _ in range(1_000_000))
+    edits = [(i * 50 + rng.randrange(20), i * 50 + 20 + rng.randrange(29), rng.choice(["", "x", "longer é"])) for i in range(20_000)]
+    want, at = [], 0
+    for a, b, s in edits:
+        want += [text[at:a], s]
+        at = b
+    df = spark.createDataFrame([(text, edits), ("kept", []), ("kept too", None), (None, [(0, 1, "y")])], "t string, e array<struct<a: int, b: int, s: string>>")
+    begin = time.time()
+    got = [r.x for r in df.select(E.spliced(F.col("t"), F.col("e")).alias("x")).collect()]
+    assert got == ["".join(want) + text[at:], "kept", "kept too", None] and time.time() - begin < 30
+
+
+def plain_similarity(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+    return 1 - d[-1] / max(len(a), len(b))
+
+
+@pytest.mark.parametrize("most", [100_000, 4_000])
+def test_ten_thousand_targets(spark, monkeypatch, most):
+    """Lines against all targets one by one, in one index and in three."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    targets = sorted({word(rng.randrange(1, 22)) for _ in range(10_050)})
+    assert len(targets) > 8_000
+    keys = []
+    for _ in range(25):
+        t = list(rng.choice(targets))
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = rng.choice(["", "x", "ab"])
+        keys.append("".join(t))
+    keys += ["", "a", "zzzzzz"]
+    lines = spark.createDataFrame([(i, 1, k) for i, k in enumerate(keys)], "doc_id long, line_no int, line string")
+    monkeypatch.setattr(parts, "MOST_INDEXED", most)
+    p = Z.FuzzyParams(accept=0.8, least_conf=0)
+    got = Z.match_lines(lines, spark.createDataFrame([(t,) for t in targets], "target string"), p).collect()
+    want = {(i, t) for i, k in enumerate(keys) if k for t in targets if min(len(t), len(k)) >= 0.8 * max(len(t), len(k)) and plain_similarity(k, t) >= 0.8}
+    assert len(got) == len(want) and {(r.doc_id, r.target) for r in got} == want
+
+
+@pytest.mark.parametrize("p", [Z.FuzzyParams(accept=0.75, window=4, least_conf=20, slack=6), Z.FuzzyParams(accept=0.75, window=5, least_conf=0, slack=9, within=True, length_gap=2)])
+def test_windows_of_many_targets(spark, p):
+    rng = random.Random(12)
+    words = ["ab", "cde", "fghij", "ka", "bcd", "efgh", "x"]
+    lines = [(d, [(w, rng.choice(words), float(w), float(w + 1), rng.randrange(100)) for w in range(9)]) for d in range(30)]
+    targets = sorted({"".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) + rng.choice(["", "z"]) for _ in range(60)})
+    df = spark.createDataFrame([(d, 1, w) for d, w in lines], "doc_id long, line_no int, w array<struct<word_no: int, word: string, x0: double, x1: double, conf: int>>")
+    got = {(r.doc_id, r.word_no, r.target, r.n) for r in Z.match_windows(df, spark.createDataFrame([(t,) for t in targets], "target string"), p).collect()}
+    want = set()
+    for d, w in lines:
+        for t in targets:
+            for j in range(9):
+                for n in range(1, min(p.window, 9 - j) + 1):
+                    key, conf = "".join(x[1] for x in w[j : j + n]), min(x[4] for x in w[j : j + n])
+                    most = len(t) + p.slack if p.within else min(int(len(t) / p.accept + 1e-9), len(t) + p.slack)
+                    if conf < p.least_conf or not len(t) * p.accept - 1e-9 <= len(key) <= most:
+                        continue
+                    near = plain_similarity(key, t) if p.length_gap is None or abs(len(key) - len(t)) <= p.length_gap else 0
+                    if near >= p.accept - 1e-12 or (p.within and t in key):
+                        want.add((d, j, t, n))
+                        break
+    assert got == want
