@@ -1,20 +1,24 @@
 """Structured Streaming forms of the telemetry operators.
 
-Event time is ``ts``; rows later than the watermark are dropped. Run with ``availableNow`` a stream ends with
-the rows of its batch form, but for windows that the watermark has not passed yet.
+Event time is ``ts``; rows later than the watermark are dropped. State is kept by key and ends by timers on event time: when the
+watermark passes the time after which nothing more can come of a key, what is still to be said of it is said, and its state
+goes. A stream that has no more files is closed by ``closing_events``, which bring the watermark past all timers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 WATERMARK = "1 day"
+DAY_US = 86_400_000_000
+#: What says that a stream has come to its end; no operator takes it for a stage.
+END = "end of stream"
 
 
 def read_events(spark: SparkSession, path: str, schema: StructType, watermark: str = WATERMARK, files_per_trigger: int = 1000) -> DataFrame:
@@ -22,6 +26,14 @@ def read_events(spark: SparkSession, path: str, schema: StructType, watermark: s
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
+def closing_events(events: DataFrame, after: str = "30 days") -> DataFrame:
+    """Two rows of the shape of ``events``, far behind all of them and in two partitions: the first moves the watermark, the second lets timers fire."""
+    last = events.agg(F.max("ts").alias("ts"))
+    row = {f.name: F.lit(None).cast(f.dataType) for f in events.schema} | {"event_id": F.lit(-1).cast(events.schema["event_id"].dataType), "user_id": F.lit(-1).cast(events.schema["user_id"].dataType), "event_type": F.lit(END)}
+    rows = last.select((F.coalesce("ts", F.lit("2000-01-01").cast(events.schema["ts"].dataType)) + F.expr(f"interval {after}")).alias("_ts"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_n"))
+    return rows.repartitionByRange(2, "_n").select(*((F.col("_ts") + F.make_interval(days=F.col("_n"))).alias("ts") if c == "ts" else row[c].alias(c) for c in events.columns))
+
+
 def quiet_sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     """Sessions of a key that end when nothing came for ``gap``, with the last event of each (what a debounced writer writes)."""
     last = F.max_by("event_id", F.struct("ts", "event_id"))
@@ -29,127 +41,197 @@ def quiet_sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("quiet_at"), "n", "event_id")
 
 
-def newest_cycles(events: DataFrame, keys: list[str], cycle: Column) -> DataFrame:
-    """(*keys, newest): the newest cycle of each key; rows of older ones are superseded."""
-    return events.groupBy(*keys).agg(F.max(cycle).alias("newest"))
+class Kept(StatefulProcessor):
+    """State of one key: one value, and one timer, at which ``due`` is asked what is to be said and what is left.
 
+    Subclasses say what new rows do (``take``) and what the time does (``due``); both give rows, the next value (None: nothing is
+    kept) and the time in microseconds at which to ask again.
+    """
 
-Step = Callable[[tuple, pd.DataFrame, tuple | None], tuple[list[tuple], tuple | None]]
+    #: The value's columns, the columns that are given besides the key's, and those that the rows need besides us and event_id.
+    value: str
+    out: str
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.value)
 
-def by_key(events: DataFrame, keys: list[str], step: Step, out: str, state: str) -> DataFrame:
-    """A stateful operator: ``step(key, rows, state)`` gets the new rows of a key in order of time, and gives rows and the next state."""
-    names = [f.split()[0] for f in out.split(",")]
+    def _now(self, found: tuple[list[tuple], tuple | None, int | None], key: tuple) -> pd.DataFrame:
+        rows, after, due = found
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if after is None:
+            self.held.clear()
+        else:
+            self.held.update(after)
+            self.handle.registerTimer(due // 1000 + 1)
+        return pd.DataFrame([(*key, *r) for r in rows], columns=self.names).astype(object if not rows else self.kinds)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # the whole batch of a key is ordered first: its parts may come in any order
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        found, after = step(key, rows, held.get if held.exists else None)
-        if after is not None:
-            held.update(after)
-        elif held.exists:
-            held.remove()
-        yield pd.DataFrame([(*key, *f) for f in found], columns=names)
-
+        data = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        data = data[data["stage"] != END]
+        if len(data):
+            yield self._now(self.take(data, tuple(self.held.get()) if self.held.exists() else None), key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+            yield self._now(self.due(tuple(self.held.get()), now * 1000), key)
+
+    def close(self) -> None:
+        pass
+
+    def take(self, rows: pd.DataFrame, held: tuple | None) -> tuple[list[tuple], tuple | None, int | None]:
+        raise NotImplementedError
+
+    def due(self, held: tuple, now_us: int) -> tuple[list[tuple], tuple | None, int | None]:
+        """Nothing is said at the end of a key's time, unless a subclass does."""
+        return [], None, None
+
+
+def by_key(events: DataFrame, keys: list[str], processor: Kept) -> DataFrame:
+    """``events`` (ts, event_id, stage and keys) through a keyed state; gives the keys and the processor's columns."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in events.select(*keys).schema]
+    shape = ", ".join([*kinds, processor.out])
+    processor.names = [c.split()[0] for c in shape.split(", ")]
+    numbers = {"long": "Int64", "bigint": "Int64", "int": "Int32", "boolean": "boolean"}
+    processor.kinds = {c.split()[0]: numbers.get(c.split()[1], object) for c in shape.split(", ")}
     rows = events.withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy(*keys).applyInPandasWithState(run, out, state, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=shape, outputMode="Append", timeMode="EventTime")
 
 
-def heartbeats(events: DataFrame, key: str, every_us: int) -> DataFrame:
-    """(key, us): events at least ``every_us`` after the last one that was emitted."""
+class Heartbeats(Kept):
+    """(us): events at least ``every_us`` after the last one that was emitted. A key is forgotten ``keep_us`` after its last event."""
 
-    def step(_: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
-        last, out = state[0] if state else None, []
+    value, out = "beat long, last long", "us long"
+
+    def __init__(self, every_us: int, keep_us: int = DAY_US):
+        self.every, self.keep = every_us, keep_us
+
+    def take(self, rows, held):
+        beat, out = held[0] if held else None, []
         for us in rows["us"].tolist():
-            if last is None or us - last >= every_us:
+            if beat is None or us - beat >= self.every:
                 out.append((us,))
-                last = us
-        return out, (last,)
+                beat = us
+        last = int(rows["us"].iloc[-1])
+        return out, (beat, last), last + self.keep
+
 
-    return by_key(events, [key], step, f"{key} string, us long", "last long")
+class ChangedTokens(Kept):
+    """(event_id): events whose change token is not that of the key's last event. A key is forgotten ``keep_us`` after its last event."""
 
+    value, out = "token string", "event_id long"
 
-def changed_tokens(events: DataFrame, keys: list[str], kinds: list[str], token: str) -> DataFrame:
-    """(*keys, event_id): events whose change token is not that of the key's last event."""
+    def __init__(self, token: str, keep_us: int = DAY_US):
+        self.token, self.keep = token, keep_us
 
-    def step(_: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
-        last, out = state[0] if state else None, []
-        for event, now in zip(rows["event_id"].tolist(), rows[token].tolist(), strict=True):
-            if now != last:
+    def take(self, rows, held):
+        token, out = held[0] if held else None, []
+        for event, now in zip(rows["event_id"].tolist(), rows[self.token].tolist(), strict=True):
+            if now != token:
                 out.append((event,))
-            last = now
-        return out, (last,)
+            token = now
+        return out, (token,), int(rows["us"].iloc[-1]) + self.keep
 
-    return by_key(events, keys, step, ", ".join(f"{k} {t}" for k, t in zip(keys, kinds, strict=True)) + ", event_id long", "last string")
 
+class Settled(Kept):
+    """(since_us): a row for each key that ends settled: since when it had no event that unsettles it, if that is ``least_us`` before its last event.
 
-def settled_since(events: DataFrame, key: str, stage: str, unsettled: str) -> DataFrame:
-    """(key, since_us, last_us): since when a key had no event that unsettles it, and its last event; a row for each batch, the last counts."""
+    A key ends when the watermark is ``keep_us`` past its last event; then the row is given and the state goes.
+    """
 
-    def step(_: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple]:
-        since, last = state or (None, None)
-        for us, now in zip(rows["us"].tolist(), rows[stage].tolist(), strict=True):
-            since = None if now == unsettled else us if since is None else since
+    value, out = "since long, last long", "since_us long"
+
+    def __init__(self, unsettled: str, least_us: int, keep_us: int = DAY_US):
+        self.unsettled, self.least, self.keep = unsettled, least_us, keep_us
+
+    def take(self, rows, held):
+        since, last = held or (None, None)
+        for us, now in zip(rows["us"].tolist(), rows["stage"].tolist(), strict=True):
+            since = None if now == self.unsettled else us if since is None else since
             last = us
-        return [(since, last)], (since, last)
-
-    return by_key(events, [key], step, f"{key} string, since_us long, last_us long", "since long, last long")
-
-
-def bounded_waits(events: DataFrame, keys: list[str], kinds: list[str], stage: str, start: str, end: str, most_us: int) -> DataFrame:
-    """(*keys, event_id, state): start marks that an end mark follows in time (done), or not (timed out); waiting ones are given again with the next batch, the last row counts."""
-
-    def step(_: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple | None]:
-        waiting, out = list(zip(*state, strict=True)) if state else [], []
-        for event, us, now in zip(rows["event_id"].tolist(), rows["us"].tolist(), rows[stage].tolist(), strict=True):
-            if now == end:
-                kept = []
-                for e, at in waiting:
-                    if us > at:
-                        out.append((e, "done" if us - at <= most_us else "timed out"))
-                    else:
-                        kept.append((e, at))
-                waiting = kept
-            elif now == start:
-                waiting.append((event, us))
-        out += [(e, "waiting") for e, _ in waiting]
-        return out, (([e for e, _ in waiting], [at for _, at in waiting]) if waiting else None)
+        return [], (since, last), last + self.keep
 
-    out = ", ".join(f"{k} {t}" for k, t in zip(keys, kinds, strict=True)) + ", event_id long, state string"
-    return by_key(events, keys, step, out, "events array<long>, at array<long>")
+    def due(self, held, now_us):
+        since, last = held
+        return ([(since,)] if since is not None and last - since >= self.least else []), None, None
 
 
-PAIR_SCHEMA = "key long, start_id long, end_id long, us long, forced boolean"
-_STATE = "start_id long, start_us long"
+class BoundedWaits(Kept):
+    """(event_id, state): each start mark once, as "done" when an end mark follows within ``most_us``, as "timed out" when the time has passed."""
 
+    value, out = "events array<long>, at array<long>", "event_id long, state string"
 
-def paired_marks(events: DataFrame, key: str, start: str, end: str, stage_col: str = "event_type") -> DataFrame:
-    """Start and end marks of a key as they come: the newest start wins; a start without an end closes when the watermark passes a day after it."""
+    def __init__(self, start: str, end: str, most_us: int):
+        self.start, self.end, self.most = start, end, most_us
 
-    def pair(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = []
-        if state.hasTimedOut:
-            start_id, start_us = state.get
-            rows.append((k[0], start_id, None, state.getCurrentWatermarkMs() * 1000 - start_us, True))
-            state.remove()
-        else:
-            open_ = state.get if state.exists else None
-            # the whole batch of a key is ordered first: its parts may come in any order
-            for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-                if r.stage == start:
-                    open_ = (int(r.event_id), int(r.ts.value // 1000))
-                elif r.stage == end and open_:
-                    rows.append((k[0], open_[0], int(r.event_id), int(r.ts.value // 1000) - open_[1], False))
-                    open_ = None
-            if open_:
-                state.update(open_)
-                state.setTimeoutTimestamp(max(open_[1] // 1000 + 86_400_000, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(rows, columns=["key", "start_id", "end_id", "us", "forced"]).astype({"end_id": "Int64"})
-
-    marks = events.filter(F.col(stage_col).isin(start, end)).select(F.col(key).cast("long").alias("key"), "event_id", "ts", F.col(stage_col).alias("stage"))
-    return marks.groupBy("key").applyInPandasWithState(pair, PAIR_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    def _kept(self, waiting):
+        return (([e for e, _ in waiting], [at for _, at in waiting]), min(at for _, at in waiting) + self.most) if waiting else (None, None)
+
+    def take(self, rows, held):
+        waiting, out = list(zip(*held, strict=True)) if held else [], []
+        for event, us, now in zip(rows["event_id"].tolist(), rows["us"].tolist(), rows["stage"].tolist(), strict=True):
+            if now == self.end:
+                out += [(e, "done" if us - at <= self.most else "timed out") for e, at in waiting if us > at]
+                waiting = [(e, at) for e, at in waiting if us <= at]
+            elif now == self.start:
+                waiting.append((event, us))
+        return out, *self._kept(waiting)
+
+    def due(self, held, now_us):
+        waiting = list(zip(*held, strict=True))
+        out = [(e, "timed out") for e, at in waiting if at + self.most < now_us]
+        return out, *self._kept([(e, at) for e, at in waiting if at + self.most >= now_us])
+
+
+class LatestCycle(Kept):
+    """(event_id, change): events of the newest cycle of a key (1), and again those of a cycle that a newer one supersedes (-1)."""
+
+    value, out = "cycle long, events array<long>", "event_id long, change int"
+
+    def __init__(self, cycle: str, keep_us: int = DAY_US):
+        self.cycle, self.keep = cycle, keep_us
+
+    def take(self, rows, held):
+        newest, given = (held[0], list(held[1])) if held else (None, [])
+        out = []
+        for event, cycle in zip(rows["event_id"].tolist(), rows[self.cycle].tolist(), strict=True):
+            if newest is None or cycle > newest:
+                out += [(e, -1) for e in given]
+                newest, given = cycle, []
+            if cycle == newest:
+                out.append((event, 1))
+                given.append(event)
+        return out, (newest, given), int(rows["us"].iloc[-1]) + self.keep
+
+
+class PairedMarks(Kept):
+    """(start_id, end_id, us, forced): start and end marks of a key. A newer start within ``most_us`` replaces an open one, an end closes it; else it is forced to close after that time."""
+
+    value, out = "start_id long, start_us long", "start_id long, end_id long, us long, forced boolean"
+
+    def __init__(self, start: str, end: str, most_us: int = DAY_US):
+        self.start, self.end, self.most = start, end, most_us
+
+    def take(self, rows, held):
+        out = []
+        for event, us, now in zip(rows["event_id"].tolist(), rows["us"].tolist(), rows["stage"].tolist(), strict=True):
+            if held and us - held[1] > self.most:
+                out.append((held[0], None, self.most, True))
+                held = None
+            if now == self.start:
+                held = event, us
+            elif now == self.end and held:
+                out.append((held[0], event, us - held[1], False))
+                held = None
+        return out, held, held[1] + self.most if held else None
+
+    def due(self, held, now_us):
+        return [(held[0], None, self.most, True)], None, None
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
