@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
+from docbatch.functions.rows import joined_list
 
 CONTEXT = 18
 #: Characters of the stretches in which matches and segments meet.
@@ -179,3 +180,103 @@ def reconciled(baseline: DataFrame, current: DataFrame, keys: list[str], fields:
     c = current.select(*keys, F.struct(*fields).alias("c"))
     what = F.when(F.col("b").isNull(), "added").when(F.col("c").isNull(), "missing").otherwise("changed")
     return b.join(c, keys, "full").filter(~F.col("b").eqNullSafe(F.col("c"))).select(*keys, what.alias("problem"))
+
+
+# --- proofs, retries and totals ------------------------------------------------------------------
+
+
+def proved_edits(before: Column, after: Column, find: Column, replace: Column) -> Column:
+    """Edits that a recount proves: old text gone and new text come, whichever is fewer."""
+    gone = T.count_of(before, find) - T.count_of(after, find)
+    come = T.count_of(after, replace) - T.count_of(before, replace)
+    return F.least(F.greatest(gone, F.lit(0)), F.greatest(come, F.lit(0)))
+
+
+def better_retry(first: Column, second: Column, heavy: Column) -> Column:
+    """(kept, edits): the second strategy is kept only if it is strictly better, and never for heavy documents."""
+    better = ~heavy & (second > first)
+    return F.struct(F.when(better, "retry").otherwise("first").alias("kept"), F.when(better, second).otherwise(first).alias("edits"))
+
+
+def first_strategy(expected: Column, *tried: tuple[str, Column]) -> Column:
+    """The name of the first strategy whose count is the expected one, or "unsupported"."""
+    return F.coalesce(*(F.when(count == expected, name) for name, count in tried), F.lit("unsupported"))
+
+
+def loops(rule_find: Column, rule_replace: Column) -> Column:
+    """Whether a replacement holds what it replaces, so that the absence of the old text proves nothing."""
+    return F.contains(T.rule_key(rule_replace), T.rule_key(rule_find))
+
+
+def post_verified(docs: DataFrame, rules: DataFrame, text_col: str = "text") -> DataFrame:
+    """(rule_id, docs, proved, unresolved) for rules of (rule_id, find, replace): an edit counts as done only if its rule cannot bring the old text back and a recount finds none of it.
+
+    Documents meet only the rules whose text they hold.
+    """
+    listed = rules.select("rule_id", "find", "replace", loops(F.col("find"), F.col("replace")).alias("loops"))
+    had = joined_list(docs.select(F.col(text_col).alias("_text")), listed, F.contains("_text", "find"))
+    bad = F.col("loops") | F.contains(F.replace("_text", F.col("find"), F.col("replace")), F.col("find"))
+    done = had.groupBy("rule_id").agg(F.count(F.lit(1)).alias("docs"), F.count_if(~bad).alias("proved"), F.count_if(bad).alias("unresolved"))
+    return rules.select("rule_id").join(done, "rule_id", "left").na.fill(0, ["docs", "proved", "unresolved"])
+
+
+def failsafe(original: Column, edited: Column, failed: Column) -> Column:
+    """(failed, text): the original where an edit cannot be proved. A null verdict is a failure."""
+    bad = F.coalesce(failed, F.lit(True))
+    return F.struct(bad.alias("failed"), F.when(bad, original).otherwise(edited).alias("text"))
+
+
+def all_or_nothing(original: Column, edited: Column, proved: Column, raw: Column) -> Column:
+    """(reason, text): the edited text only if every raw hit is a proved one."""
+    reason = F.when(raw == 0, "no hit").when(proved != raw, "not all proved")
+    return F.struct(reason.alias("reason"), F.when(proved == raw, edited).otherwise(original).alias("text"))
+
+
+def whole_job(applied: DataFrame, keys: list[str]) -> DataFrame:
+    """``applied`` with ``job``: "done", or "failed" for all rows of a job if one that asked for edits was refused. A failed job changes no text.
+
+    ``applied`` has the job's keys, original, text, selected and reason, as ``apply_selected`` gives them.
+    """
+    refused = applied.filter("selected > 0 and reason is not null").select(*keys).distinct().withColumn("_refused", F.lit(True))
+    failed = F.col("_refused").isNotNull()
+    return applied.join(refused, keys, "left").withColumns({"job": F.when(failed, "failed").otherwise("done"), "text": F.when(failed, F.col("original")).otherwise(F.col("text"))}).drop("_refused")
+
+
+def skip_reasons(docs: DataFrame, rules: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, rule_id, reason): a row for every rule that a document refuses: blank, nothing to put, not verifiable, or no hit."""
+    why = F.when(T.norm(F.col("find")) == "", "blank").when(F.col("replace") == "", "nothing to put").when(loops(F.col("find"), F.col("replace")), "not verifiable")
+    listed = rules.select("rule_id", "find", why.alias("why"))
+    own = docs.select("doc_id", F.col(text_col).alias("_text"))
+    met = joined_list(own, listed, F.col("why").isNotNull() | ~F.contains("_text", "find"))
+    return met.select("doc_id", "rule_id", F.coalesce("why", F.lit("no hit")).alias("reason"))
+
+
+def kept_invariants(before: Column, after: Column, find: Column, replace: Column) -> Column:
+    """(old_gone, new_present, rest_unchanged): old text gone, new text present where the old was, all else unchanged."""
+    return F.struct(
+        (~F.contains(after, find)).alias("old_gone"),
+        (F.contains(before, find) == F.contains(after, replace)).alias("new_present"),
+        (F.md5(F.replace(after, replace, find)) == F.md5(before)).alias("rest_unchanged"),
+    )
+
+
+def apply_totals(applied: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, outputs, failures, edits, unresolved, bytes_before, bytes_after) of (before, after, expected, edits, failed).
+
+    A failed document gives no edits and its original; an unresolved one has edits left to do.
+    """
+    ok = ~F.col("failed")
+    return applied.groupBy(*keys).agg(
+        F.count_if(ok).alias("outputs"),
+        F.count_if("failed").alias("failures"),
+        F.sum(F.when(ok, F.col("edits")).otherwise(0)).alias("edits"),
+        F.count_if(ok & (F.col("expected") > F.col("edits"))).alias("unresolved"),
+        F.sum(F.octet_length("before")).alias("bytes_before"),
+        F.sum(F.when(ok, F.octet_length("after")).otherwise(F.octet_length("before"))).alias("bytes_after"),
+    )
+
+
+def unresolved(applied: DataFrame, names: list[str]) -> DataFrame:
+    """(*names, state, open): documents that failed or have edits left to do, each by its name."""
+    state = F.when(F.col("failed"), "failed").when(F.col("expected") > F.col("edits"), "unresolved")
+    return applied.select(*names, state.alias("state"), F.when(~F.col("failed"), F.col("expected") - F.col("edits")).otherwise(F.col("expected")).alias("open")).filter("state is not null")

@@ -91,10 +91,8 @@ def cascade_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def verified_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits that a recount proves: old text gone and new text come, whichever is fewer."""
-    rows = docs(spark, sf_dir).withColumn("new", F.replace(F.col("text"), F.lit(FIND), F.lit(REPLACE)))
-    n = lambda c, s: T.count_of(F.col(c), F.lit(s))
-    gone, come = n("text", FIND) - n("new", FIND), n("new", REPLACE) - n("text", REPLACE)
-    return rows.select("doc_id", F.least(F.greatest(gone, F.lit(0)), F.greatest(come, F.lit(0))).alias("verified"))
+    new = F.replace(F.col("text"), F.lit(FIND), F.lit(REPLACE))
+    return docs(spark, sf_dir).select("doc_id", E.proved_edits(F.col("text"), new, F.lit(FIND), F.lit(REPLACE)).alias("verified"))
 
 
 @query(
@@ -106,8 +104,7 @@ def retry_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second strategy is kept only if it is strictly better, and never for heavy documents."""
     heavy = F.col("n_chars") >= 16384
     first, retry = T.count_of(F.col("text"), F.lit(FIND)), F.regexp_count("text", F.lit(T.flexible_pattern(FIND))).cast("long")
-    better = ~heavy & (retry > first)
-    return docs(spark, sf_dir).select("doc_id", heavy.alias("heavy"), F.when(better, "retry").otherwise("first").alias("kept"), F.when(better, retry).otherwise(first).alias("edits"))
+    return docs(spark, sf_dir).select("doc_id", heavy.alias("heavy"), E.better_retry(first, retry, heavy).alias("r")).select("doc_id", "heavy", "r.*")
 
 
 @query(
@@ -120,10 +117,7 @@ def post_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edit counts as done only if its rule cannot bring the old text back and a recount finds none of it."""
     from docbatch.operators.rules import active_rules
 
-    rules = F.broadcast(active_rules(S.rules(spark)).withColumn("loops", F.contains(T.rule_key(F.col("replace")), T.rule_key(F.col("find")))))
-    rows = docs(spark, sf_dir).select("doc_id", "text").join(rules).withColumn("had", F.contains("text", "find"))
-    rows = rows.withColumn("bad", F.col("loops") | F.contains(F.replace("text", F.col("find"), F.col("replace")), F.col("find")))
-    return rows.groupBy("rule_id").agg(F.count_if("had").alias("docs"), F.count_if(F.col("had") & ~F.col("bad")).alias("proved"), F.count_if(F.col("had") & F.col("bad")).alias("unresolved"))
+    return E.post_verified(docs(spark, sf_dir), active_rules(S.rules(spark)))
 
 
 @query(
@@ -134,20 +128,36 @@ def post_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failsafe_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document whose edit cannot be proved keeps its original; documents without analysis give no output."""
     new = F.replace(F.col("text"), F.lit("que"), F.lit("que-que"))
-    failed = F.contains(new, F.lit("que"))
-    return docs(spark, sf_dir).filter("lang <> 'de'").select("doc_id", failed.alias("failed"), F.md5(F.when(failed, F.col("text")).otherwise(new)).alias("digest"))
+    rows = docs(spark, sf_dir).filter("lang <> 'de'").select("doc_id", E.failsafe(F.col("text"), new, F.contains(new, F.lit("que"))).alias("o"))
+    return rows.select("doc_id", "o.failed", F.md5("o.text").alias("digest"))
+
+
+_APPLIED_SQL = f"""e AS (SELECT lang, doc_id, text AS before, replace(text, '{FIND}', '{REPLACE}') AS after, len(regexp_extract_all(text, '{PATTERN_SQL}'))::BIGINT AS expected, {T.count_of_sql("text", f"'{FIND}'")}::BIGINT AS edits, contains(text, '{REPLACE}') OR n_chars > 15000 AS failed FROM documents)"""
+
+
+def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact replacement of every document; it fails where the new text is there before, and for very long ones."""
+    text = F.col("text")
+    return docs(spark, sf_dir).select(
+        "lang", "doc_id", text.alias("before"), F.replace(text, F.lit(FIND), F.lit(REPLACE)).alias("after"),
+        F.regexp_count(text, F.lit(T.flexible_pattern(FIND))).cast("long").alias("expected"), T.count_of(text, F.lit(FIND)).alias("edits"), (F.contains(text, F.lit(REPLACE)) | (F.col("n_chars") > 15000)).alias("failed"),
+    )
 
 
 @query(
     "apply_totals",
-    f"""WITH e AS (SELECT lang, doc_id, {T.count_of_sql("text", f"'{FIND}'")} AS edits, len(regexp_extract_all(text, '{PATTERN_SQL}')) - {T.count_of_sql("text", f"'{FIND}'")} AS open, length(text) AS old_chars, length(replace(text, '{FIND}', '{REPLACE}')) AS new_chars FROM documents)
-    SELECT lang, count(*) AS outputs, sum(edits)::BIGINT AS edits, count_if(open > 0) AS unresolved, sum(old_chars)::BIGINT AS chars_before, sum(new_chars)::BIGINT AS chars_after FROM e GROUP BY 1""",
+    f"""WITH {_APPLIED_SQL} SELECT lang, count_if(NOT failed) AS outputs, count_if(failed) AS failures, sum(CASE WHEN failed THEN 0 ELSE edits END)::BIGINT AS edits, count_if(NOT failed AND expected > edits) AS unresolved,
+        sum(strlen(before))::BIGINT AS bytes_before, sum(CASE WHEN failed THEN strlen(before) ELSE strlen(after) END)::BIGINT AS bytes_after FROM e GROUP BY 1""",
 )
 def apply_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits = T.count_of(F.col("text"), F.lit(FIND))
-    open_ = F.regexp_count("text", F.lit(T.flexible_pattern(FIND))) - edits
-    after = F.length(F.replace(F.col("text"), F.lit(FIND), F.lit(REPLACE)))
-    return docs(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("outputs"), F.sum(edits).alias("edits"), F.count_if(open_ > 0).alias("unresolved"), F.sum(F.length("text")).alias("chars_before"), F.sum(after).alias("chars_after"))
+    """Outputs, failures, edits, unresolved documents and bytes before and after, for each language."""
+    return E.apply_totals(applied(spark, sf_dir), ["lang"])
+
+
+@query("unresolved_docs", f"WITH {_APPLIED_SQL} SELECT lang, doc_id, CASE WHEN failed THEN 'failed' ELSE 'unresolved' END AS state, CASE WHEN failed THEN expected ELSE expected - edits END AS open FROM e WHERE failed OR expected > edits")
+def unresolved_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of the documents that failed or have edits left."""
+    return E.unresolved(applied(spark, sf_dir), ["lang", "doc_id"])
 
 
 @query(
@@ -168,6 +178,22 @@ def selected_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "found", "selected", "applied", "missing", "reason", F.md5("text").alias("digest"))
 
 
+@query(
+    "whole_job",
+    f"""WITH {OCC_SQL}, s AS (SELECT doc_id, count(*) FILTER (ordinal % 2 = 1) AS chosen FROM occ GROUP BY 1),
+    j AS (SELECT lang, doc_id, coalesce(chosen, 0) + (doc_id % 10 = 0 AND lang = 'de')::INTEGER AS selected, doc_id % 10 = 0 AND lang = 'de' AS gone FROM documents LEFT JOIN s USING (doc_id))
+    SELECT lang, count(*) AS docs, sum(selected)::BIGINT AS selected, CASE WHEN bool_or(gone) THEN 'failed' ELSE 'done' END AS job FROM j GROUP BY 1""",
+)
+def whole_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for each language: it fails as a whole where what was applied is not what was selected, here in one language that asks for occurrences that are not there."""
+    rows, found = docs(spark, sf_dir).select("doc_id", "lang", "text"), occ(spark, sf_dir)
+    gone = rows.filter("doc_id % 10 = 0 and lang = 'de'").select("doc_id", F.lit("gone").alias("occurrence_id"))
+    selected = found.filter("ordinal % 2 = 1").select("doc_id", "occurrence_id").unionByName(gone)
+    out = E.apply_selected(rows.select("doc_id", "text"), found.drop("text"), selected, REPLACE).withColumnRenamed("text", "done").join(rows, "doc_id")
+    jobs = E.whole_job(out.select("lang", "doc_id", "selected", "reason", F.col("text").alias("original"), F.col("done").alias("text")), ["lang"])
+    return jobs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("selected").alias("selected"), F.max("job").alias("job"))
+
+
 @query(
     "capped_edit",
     f"""WITH {OCC_SQL} SELECT doc_id, ordinal, start FROM (SELECT o.*, {T.count_of_sql("o.text", "'of'")} AS remaining FROM occ o) WHERE ordinal <= remaining // 4""",
@@ -206,7 +232,7 @@ def strategy_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact, spaced = T.count_of(F.col("text"), F.lit(FIND)), F.regexp_count("text", F.lit("of {1,4}the"))
     flexible = F.regexp_count("text", F.lit(T.flexible_pattern(FIND)))
     rows = docs(spark, sf_dir).select("doc_id", exact.alias("exact"), spaced.alias("spaced"), flexible.alias("flexible")).filter("flexible > 0")
-    return rows.select("doc_id", F.when(F.col("exact") == F.col("flexible"), "exact").when(F.col("spaced") == F.col("flexible"), "spaced").otherwise("unsupported").alias("strategy"))
+    return rows.select("doc_id", E.first_strategy(F.col("flexible"), ("exact", F.col("exact")), ("spaced", F.col("spaced"))).alias("strategy"))
 
 
 @query(
@@ -216,9 +242,8 @@ def strategy_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     proved, raw = T.count_of(F.col("text"), F.lit(FIND)), F.regexp_count("text", F.lit(T.flexible_pattern(FIND)))
-    reason = F.when(raw == 0, "no hit").when(proved != raw, "not all proved")
-    done = F.when(proved == raw, F.replace(F.col("text"), F.lit(FIND), F.lit(REPLACE))).otherwise(F.col("text"))
-    return docs(spark, sf_dir).select("doc_id", reason.alias("reason"), F.md5(done).alias("digest"))
+    edited = F.replace(F.col("text"), F.lit(FIND), F.lit(REPLACE))
+    return docs(spark, sf_dir).select("doc_id", E.all_or_nothing(F.col("text"), edited, proved, raw).alias("o")).select("doc_id", "o.reason", F.md5("o.text").alias("digest"))
 
 
 @query(
@@ -228,10 +253,7 @@ def all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def skip_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every refusal leaves a row with its reason."""
-    blank, loops = T.norm(F.col("find")) == "", F.contains(T.rule_key(F.col("replace")), T.rule_key(F.col("find")))
-    rows = docs(spark, sf_dir).select("doc_id", "text").join(F.broadcast(S.rules(spark)))
-    reason = F.when(blank, "blank").when(F.col("replace") == "", "nothing to put").when(loops, "not verifiable").when(~F.contains("text", "find"), "no hit")
-    return rows.select("doc_id", "rule_id", reason.alias("reason")).filter("reason IS NOT NULL")
+    return E.skip_reasons(docs(spark, sf_dir), S.rules(spark))
 
 
 SEGMENTS_SQL = "segments AS (SELECT conv_id AS doc_id, turn::INTEGER AS seg_no, text FROM conversations)"
@@ -274,10 +296,5 @@ def segment_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Before and after an edit: old text gone, new text present where the old was, all else unchanged."""
-    text, new = F.col("text"), F.replace(F.col("text"), F.lit(FIND), F.lit(REPLACE))
-    return docs(spark, sf_dir).select(
-        "doc_id",
-        (~F.contains(new, F.lit(FIND))).alias("old_gone"),
-        (F.contains(text, F.lit(FIND)) == F.contains(new, F.lit(REPLACE))).alias("new_present"),
-        (F.md5(F.replace(new, F.lit(REPLACE), F.lit(FIND))) == F.md5(text)).alias("rest_unchanged"),
-    )
+    new = F.replace(F.col("text"), F.lit(FIND), F.lit(REPLACE))
+    return docs(spark, sf_dir).select("doc_id", E.kept_invariants(F.col("text"), new, F.lit(FIND), F.lit(REPLACE)).alias("i")).select("doc_id", "i.*")
