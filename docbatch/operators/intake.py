@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,3 +187,24 @@ def matched_boxes(expected: DataFrame, candidates: DataFrame, keys: list[str], t
     close = (F.abs(F.col("x0") - F.col("cx0")) <= tolerance) & (F.abs(F.col("y0") - F.col("cy0")) <= tolerance) & (F.abs(F.col("x1") - F.col("cx1")) <= tolerance) & (F.abs(F.col("y1") - F.col("cy1")) <= tolerance)
     hits = probe.join(c, [*keys, "paths", "_x", "_y"], "left").groupBy(*keys, "box_id").agg(F.count_if(F.coalesce(close, F.lit(False))).alias("found"))
     return hits.withColumn("accepted", F.col("found") == 1)
+
+
+def united_routes(rows: DataFrame, routes: list[tuple[str, Column, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """Rows dealt to the first route whose condition they meet, each route's operator applied to its own rows, and all united with ``route``.
+
+    Operators give the same columns. Routes are disjoint, since a later one takes only what no earlier one took; rows that meet
+    no condition, or an unknown one, go nowhere.
+    """
+    taken, out = F.lit(False), None
+    for name, condition, operator in routes:
+        met = F.coalesce(condition, F.lit(False))
+        part = operator(rows.filter(met & ~taken)).withColumn("route", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+        taken = taken | met
+    return out
+
+
+def united_detections(found: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Detections of several sources in one, each with its ``source``; the same mark of two sources stays two."""
+    parts = [rows.withColumn("source", F.lit(name)) for name, rows in found]
+    return reduce(DataFrame.unionByName, parts)

@@ -139,3 +139,33 @@ def reinforced(exact: DataFrame, flexible: DataFrame) -> DataFrame:
     both = exact.withColumnsRenamed({"hits": "exact_hits", "pages": "exact_pages"}).join(flexible.withColumnsRenamed({"hits": "flex_hits", "pages": "flex_pages"}), ["doc_id", "rule_id"], "full")
     e, f = F.coalesce("exact_hits", F.lit(0)), F.coalesce("flex_hits", F.lit(0))
     return both.select("doc_id", "rule_id", F.greatest(e, f).alias("hits"), F.when(f > e, F.col("flex_pages")).otherwise(F.col("exact_pages")).alias("pages"), F.greatest(f - e, F.lit(0)).alias("added"))
+
+
+def first_pages(docs: DataFrame, *hits: DataFrame) -> DataFrame:
+    """(doc_id, page_no): the page to show first: of the first rule with hits, the first page of the first kind of hits that it has; 1 without hits.
+
+    Each of ``hits`` has (doc_id, rule_id, page_no), in order of kind: text, annotations, recognised text.
+    """
+    every = reduce(DataFrame.unionByName, (h.select("doc_id", F.struct("rule_id", F.lit(kind).alias("kind"), "page_no").alias("at")) for kind, h in enumerate(hits)))
+    first = every.groupBy("doc_id").agg(F.min("at").alias("at"))
+    return docs.select("doc_id").join(first, "doc_id", "left").select("doc_id", F.coalesce("at.page_no", F.lit(1)).alias("page_no"))
+
+
+def reasons(hits: DataFrame, *named: tuple[str, F.Column]) -> DataFrame:
+    """(doc_id, reasons): for each document the names of the first condition that each of its rows meets, once and in order, or "none"."""
+    reason = F.coalesce(*(F.when(condition, name) for name, condition in named))
+    found = F.array_join(F.sort_array(F.collect_set(reason)), ", ")
+    return hits.groupBy("doc_id").agg(F.coalesce(F.nullif(found, F.lit("")), F.lit("none")).alias("reasons"))
+
+
+def ambiguous_patterns(patterns: DataFrame, letters: int = 16) -> DataFrame:
+    """(prefix, n, finds, replaces, ambiguous) of search texts of (find, replace) that share their first letters: one text with several replacements is refused."""
+    rows = patterns.filter(F.length("find") >= letters).withColumn("prefix", F.substring("find", 1, letters))
+    out = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("find").alias("finds"), F.countDistinct("replace").alias("replaces"))
+    return out.filter("n > 1").withColumn("ambiguous", F.col("replaces") > 1)
+
+
+def spaced_counts(text: F.Column, find: str, most: int = 4) -> F.Column:
+    """(n, exact): hits of a text in which a space stands for one to ``most`` spaces, and of the text as it is."""
+    pattern = T.quoted(find).replace(" ", f" {{1,{most}}}")
+    return F.struct(F.regexp_count(text, F.lit(pattern)).cast("long").alias("n"), T.count_of(text, F.lit(find)).alias("exact"))

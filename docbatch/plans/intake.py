@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docbatch.functions import text as T
 from docbatch.operators import intake as I
 from docbatch.plans.catalog import query
 from docbatch.sources import tables as S
 from docbatch.plans.staging import shared_dir
-from docbatch.sources.files import promote, sanitised_name, write_bundle, write_verified
+from docbatch.sources.files import promote, read_committed, sanitised_name, write_bundle, write_committed, write_verified
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,21 +213,22 @@ def edge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def union_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = S.table(spark, sf_dir, "lineitem")
-    found = [l.filter(c).select(F.col("l_suppkey").alias("page_no"), F.lit(n).alias("source")) for n, c in (("tax", "l_tax > 0.07"), ("discount", "l_discount > 0.09"))]
-    return found[0].unionByName(found[1]).groupBy("page_no", "source").agg(F.count(F.lit(1)).alias("n"))
+    found = [(n, l.filter(c).select(F.col("l_suppkey").alias("page_no"))) for n, c in (("tax", "l_tax > 0.07"), ("discount", "l_discount > 0.09"))]
+    return I.united_detections(found).groupBy("page_no", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "routed_union",
-    f"""WITH {WORDS_SQL}, r AS (SELECT word, CASE WHEN length(word) > 60 THEN 'long' WHEN length(word) > 20 THEN 'middle' ELSE 'short' END AS route FROM w)
-    SELECT route, count(*) AS n, sum(CASE route WHEN 'long' THEN length(word) WHEN 'middle' THEN len(string_split(word, '_')) ELSE 1 END)::BIGINT AS work FROM r GROUP BY 1""",
+    f"""WITH {WORDS_SQL}, c AS (SELECT word, contains(word, '_') AND length(regexp_replace(word, '[^A-Za-z0-9]', '', 'g')) BETWEEN 20 AND 90 AND len({_PARTS}) >= 5 AND len(list_filter({_PARTS}, lambda x: NOT regexp_full_match(x, '[A-Za-z0-9.-]+'))) = 0 AS long_code,
+        contains(word, '_') AND len({_PARTS}) >= 2 AND length(word) BETWEEN 6 AND 22 AS short_code FROM w)
+    SELECT md5(word) AS code, CASE WHEN long_code THEN 'long' WHEN short_code THEN 'short' ELSE 'other' END AS route,
+        CASE WHEN long_code THEN {T.confusable_key_sql("word", "oi")} WHEN short_code THEN {T.code_key_sql("word")} ELSE {T.folded_sql("word")} END AS key FROM c""",
 )
 def routed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Disjoint routes, each with its own operator, united again."""
-    w, n = codes(spark, sf_dir), F.length("word")
-    routes = [("long", n > 60, n), ("middle", (n > 20) & (n <= 60), F.size(F.split("word", "_"))), ("short", n <= 20, F.lit(1))]
-    parts = [w.filter(c).select(F.lit(r).alias("route"), x.cast("long").alias("work")) for r, c, x in routes]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("work").alias("work"))
+    """Long codes, short codes and other targets, by their classes, each with its own key, united again."""
+    keyed = lambda key: lambda rows: rows.select(F.md5("word").alias("code"), key(F.col("word")).alias("key"))
+    routes = [("long", F.col("long_code"), keyed(lambda w: T.confusable_key(w, "oi"))), ("short", F.col("short_code"), keyed(T.code_key)), ("other", F.lit(True), keyed(T.folded))]
+    return I.united_routes(I.classified_codes(codes(spark, sf_dir)), routes)
 
 
 @query(
@@ -318,3 +320,13 @@ def tolerance_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = item_boxes(S.table(spark, sf_dir, "lineitem")).withColumns({"box_id": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "paths": F.col("l_linenumber") % 3})
     columns = ["page_no", "box_id", "paths", "x0", "y0", "x1", "y1"]
     return I.matched_boxes(l.filter("l_linestatus = 'O'").select(*columns), l.filter("l_linestatus = 'F'").select(*columns), ["page_no"])
+
+
+@query("committed_write", "SELECT doc_id, md5(text) AS digest FROM documents")
+def committed_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, read again, proved, and put in place by one rename; a second run replaces the first."""
+    path = f"{shared_dir(spark)}/docbatch-committed-{uuid.uuid4().hex}"
+    rows = docs(spark, sf_dir).select("doc_id", "text")
+    write_committed(rows.limit(10), ["doc_id"], "text", path)
+    write_committed(rows, ["doc_id"], "text", path)
+    return read_committed(spark, path).select("doc_id", F.md5("text").alias("digest"))

@@ -158,13 +158,19 @@ def coalesced_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "first_hit_page",
-    f"""WITH {HITS_SQL} SELECT d.doc_id, coalesce(arg_min(p.page_no, p.rule_id * 100000 + p.page_no), 1)::INTEGER AS page_no
-    FROM documents d LEFT JOIN line_hits p ON p.doc_id = d.doc_id GROUP BY 1""",
+    f"""WITH {S.ANNOTS_SQL}, {HITS_SQL}, {S.PAGES_SQL}, every AS (
+        SELECT doc_id, rule_id, 0 AS kind, page_no FROM line_hits
+        UNION ALL SELECT doc_id, rule_id, 1, 1 + (ann_no - 1) // 5 FROM annots JOIN kept_rules ON subtype = 'FreeText' AND contains({T.norm_sql("contents")}, {T.norm_sql("find")})
+        UNION ALL SELECT doc_id, rule_id, 2, page_no + 1 FROM (SELECT *, {T.flexible_key_sql("text")} AS s FROM doc_pages) JOIN (SELECT rule_id, {T.flexible_key_sql("find")} AS needle FROM kept_rules) ON needle <> '' AND contains(s, needle))
+    SELECT d.doc_id, coalesce(arg_min(p.page_no, p.rule_id * 1000000 + p.kind * 100000 + p.page_no), 1)::INTEGER AS page_no
+    FROM documents d LEFT JOIN every p ON p.doc_id = d.doc_id GROUP BY 1""",
 )
 def first_hit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = S.table(spark, sf_dir, "documents")
-    hits = R.line_hits(S.lines(docs), S.rules(spark)).groupBy("doc_id").agg(F.min_by("page_no", F.struct("rule_id", "page_no")).alias("page_no"))
-    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("page_no", F.lit(1)).alias("page_no"))
+    """Of the first rule with hits its first page with text, else with an annotation, else with recognised text (here the turns of a conversation)."""
+    docs, rules = S.table(spark, sf_dir, "documents"), S.rules(spark)
+    notes = S.annotations(S.table(spark, sf_dir, "pages")).filter("subtype = 'FreeText'").select("doc_id", F.expr("cast(1 + (ann_no - 1) div 5 as int)").alias("page_no"), F.col("contents").alias("line"))
+    seen = R.page_hits(conversation_pages(spark, sf_dir), rules).withColumn("page_no", F.col("page_no") + 1)
+    return R.first_pages(docs, R.line_hits(S.lines(docs), rules), R.line_hits(notes, rules), seen)
 
 
 @query(
@@ -173,9 +179,7 @@ def first_hit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, coalesce(nullif(coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), ', '), ''), ''), 'none') AS reasons FROM reasons GROUP BY 1""",
 )
 def reason_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.when(F.col("hits") >= 100, "many").when(F.col("hits") >= 10, "some")
-    found = F.array_join(F.sort_array(F.collect_set(reason)), ", ")
-    return exact(spark, sf_dir).groupBy("doc_id").agg(F.coalesce(F.nullif(found, F.lit("")), F.lit("none")).alias("reasons"))
+    return R.reasons(exact(spark, sf_dir), ("many", F.col("hits") >= 100), ("some", F.col("hits") >= 10))
 
 
 @query(
@@ -187,10 +191,8 @@ def reason_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pattern_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search texts that share a prefix meet in one bucket; one text with several replacements is refused."""
     docs = S.table(spark, sf_dir, "documents")
-    find = T.norm(F.col("line"))
-    rows = S.lines(docs).join(docs.select("doc_id", "lang"), "doc_id").select(find.alias("find"), F.substring(find, 1, 16).alias("prefix"), "lang").filter(F.length("find") >= 16)
-    out = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("find").alias("finds"), F.countDistinct("lang").alias("replaces"))
-    return out.filter("n > 1").withColumn("ambiguous", F.col("replaces") > 1)
+    rows = S.lines(docs).join(docs.select("doc_id", "lang"), "doc_id").select(T.norm(F.col("line")).alias("find"), F.col("lang").alias("replace"))
+    return R.ambiguous_patterns(rows)
 
 
 @query(
@@ -199,9 +201,8 @@ def pattern_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def space_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A space of the search text stands for one to four spaces."""
-    pattern = F.lit(T.quoted("of the").replace(" ", " {1,4}"))
-    rows = S.table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", pattern).cast("long").alias("n"), T.count_of(F.col("text"), F.lit("of the")).alias("exact"))
-    return rows.filter("n > 0")
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", R.spaced_counts(F.col("text"), "of the").alias("c"))
+    return rows.select("doc_id", "c.*").filter("n > 0")
 
 
 @query(

@@ -16,6 +16,7 @@ from docbatch.operators import rules as R
 from docbatch.operators import telemetry as T
 from docbatch.operators.components import least_labels
 from docbatch.operators.sweep import union_area
+from docbatch.sources import files
 
 
 def plain_count(text, needle):
@@ -274,3 +275,38 @@ def test_windows_of_many_targets(spark, p):
                         want.add((d, j, t, n))
                         break
     assert got == want
+
+
+def test_committed_writes(spark, tmp_path, monkeypatch):
+    """A run that breaks before its rename changes nothing; the next one replaces it and removes what it left."""
+    path = f"{tmp_path}/table"
+    rows = lambda n: spark.createDataFrame([(i, f"text {n}") for i in range(n)], "doc_id long, text string")
+    assert files.write_committed(rows(3), ["doc_id"], "text", path) == 3
+    with monkeypatch.context() as m:
+        m.setattr(files, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            files.write_committed(rows(5), ["doc_id"], "text", path)
+    assert files.read_committed(spark, path).count() == 3
+    assert len(list((tmp_path / "table").glob("data-*"))) == 2
+    with pytest.raises(ValueError):
+        files.write_committed(rows(2).union(rows(2)), ["doc_id"], "text", path)
+    assert files.write_committed(rows(7), ["doc_id"], "text", path) == 7
+    assert {r.text for r in files.read_committed(spark, path).collect()} == {"text 7"}
+    assert len(list((tmp_path / "table").glob("data-*"))) == 1
+
+
+def test_whole_jobs_fail_together(spark):
+    rows = spark.createDataFrame([("a", 1, 2, None, "old", "new"), ("a", 2, 0, "nothing selected", "old", "old"), ("b", 3, 1, None, "old", "new"), ("b", 4, 1, "missing ids", "old", "old"), (None, 5, 1, None, "old", "new")], "job_id string, doc_id int, selected long, reason string, original string, text string")
+    got = {r.doc_id: (r.job, r.text) for r in E.whole_job(rows, ["job_id"]).collect()}
+    assert got == {1: ("done", "new"), 2: ("done", "old"), 3: ("failed", "old"), 4: ("failed", "old"), 5: ("done", "new")}
+
+
+def test_proofs_as_columns(spark):
+    df = spark.createDataFrame([("a b a", "x b a"), ("a", "a"), ("a", None)], "b string, a string")
+    lit = F.lit
+    assert [r.x for r in df.select(E.proved_edits(F.col("b"), F.col("a"), lit("a"), lit("x")).alias("x")).collect()] == [1, 0, 0]
+    assert [(r.x.failed, r.x.text) for r in df.select(E.failsafe(F.col("b"), F.col("a"), F.col("a") == "a").alias("x")).collect()] == [(False, "x b a"), (True, "a"), (True, "a")]
+    assert df.select(E.first_strategy(lit(2), ("one", lit(1)), ("two", lit(2)), ("also", lit(2))).alias("x")).first().x == "two"
+    hits = [spark.createDataFrame(r, "doc_id long, rule_id int, page_no int") for r in ([(1, 2, 5), (1, 2, 4), (2, 7, 9)], [(1, 1, 8), (2, 7, 1)], [(3, 1, 6)])]
+    docs = spark.range(1, 5).withColumnRenamed("id", "doc_id")
+    assert {r.doc_id: r.page_no for r in R.first_pages(docs, *hits).collect()} == {1: 8, 2: 9, 3: 6, 4: 1}
