@@ -87,6 +87,7 @@ ENTRIES = frozenset("li dt dd tr td th thead tbody tfoot caption figcaption lege
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+PARAGRAPH, AROUND_PARAGRAPHS = frozenset(("p",)), frozenset(("td", "th", "table", "button", "caption", "object"))
 CLOSE_PARAGRAPH = BLOCKS - {"html", "body", "head", "title", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "optgroup", "option", "legend"}
 
 SEPARATOR = "\n\n"
@@ -116,27 +117,35 @@ def noise_words(names: str) -> set[str]:
 _TAG = re.compile(r"/?[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _STOP = re.compile(r"""[>"']""")
+_END_TAGS = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in RAW | RAW_TEXT}
 
 
 class Scanner:
     """Places of strings in a page, going forward; what is found, or not, is not looked for again."""
 
     def __init__(self, html: str):
-        self.html, self.low, self.seen = html, None, {}
+        self.html, self.seen = html, {}
 
-    def find(self, what: str, start: int, fold: bool = False) -> int:
-        """The first place of ``what`` from ``start`` on, -1 if there is none; with ``fold`` in any case (of ASCII letters)."""
+    def find(self, what: str, start: int) -> int:
+        """The first place of ``what`` from ``start`` on, -1 if there is none."""
         at = self.seen.get(what)
         if at is None or 0 <= at < start:
-            if fold and self.low is None:
-                self.low = "".join(c.lower() if c.isascii() else c for c in self.html) if not self.html.isascii() else self.html.lower()
-            at = self.seen[what] = (self.low if fold else self.html).find(what, start)
+            at = self.seen[what] = self.html.find(what, start)
+        return at
+
+    def end_of(self, tag: str, start: int) -> int:
+        """The first end tag, in any case of letters."""
+        at = self.seen.get(tag)
+        if at is None or 0 <= at < start:
+            found = _END_TAGS[tag].search(self.html, start)
+            at = self.seen[tag] = found.start() if found else -1
         return at
 
     def tag_end(self, start: int) -> int:
         """Where the tag ends that ``start`` is in: at the first ">" outside quotes, or at any if a quote does not end; -1 if there is none."""
-        if self.find(">", start) < 0:
-            return -1
+        end = self.find(">", start)
+        if end < 0 or ('"' not in (inside := self.html[start:end]) and "'" not in inside):
+            return end
         at, equals = start, self.html
         while m := _STOP.search(self.html, at):
             if m[0] == ">":
@@ -188,29 +197,35 @@ class TreeBuilder:
 
     def _started(self, tag: str, body: str, at: int, scan: Scanner) -> int:
         """Takes a start tag, and the content of an element without markup; gives the place after it."""
-        values: dict[str, str | None] = {}
-        for name, double, single, bare in _ATTRIBUTE.findall(body):
-            values.setdefault(name.lower(), unescape(double or single or bare))
+        values: dict[str, str] = {}
+        if body:
+            for name, double, single, bare in _ATTRIBUTE.findall(body):
+                values.setdefault(name.lower(), unescape(double or single or bare))
         self.handle_starttag(tag, values)
-        if body.rstrip().endswith("/") and tag not in VOID and tag not in RAW and tag not in RAW_TEXT:
+        if body and body.rstrip().endswith("/") and tag not in VOID and tag not in RAW and tag not in RAW_TEXT:
             self.handle_endtag(tag)
         elif tag in RAW or tag in RAW_TEXT:
-            end = scan.find(f"</{tag}", at, fold=True)
+            end = scan.end_of(tag, at)
             end = len(scan.html) if end < 0 else end
             if end > at:
                 self.handle_data(unescape(scan.html[at:end]) if tag in RAW_TEXT else scan.html[at:end])
             return end
         return at
 
-    def handle_starttag(self, tag: str, values: dict[str, str | None]) -> None:
-        if tag in CLOSE_PARAGRAPH:
-            self._close({"p"}, {"td", "th", "table", "button", "caption", "object"})
+    def handle_starttag(self, tag: str, values: dict[str, str]) -> None:
+        if tag in CLOSE_PARAGRAPH and self.open["p"]:
+            self._close(PARAGRAPH, AROUND_PARAGRAPHS)
         if tag in CLOSES:
             self._close(CLOSES[tag], SCOPES[tag])
-        words = f"{values.get('class') or ''} {values.get('id') or ''}".strip()
-        role = (values.get("role") or "").lower()
-        main = max(MAIN.get(tag, 0), MAIN.get(role, 0))
-        node = Node(tag, f"{tag}.{words}" if words else tag, self.now, self._noise(tag, role, words, values, main), main)
+        if values:
+            words = f"{values.get('class') or ''} {values.get('id') or ''}".strip()
+            role = (values.get("role") or "").lower()
+            main = max(MAIN.get(tag, 0), MAIN.get(role, 0))
+            noise = self._noise(tag, role, words, values, main)
+        else:
+            words, main = "", MAIN.get(tag, 0)
+            noise = self._noise(tag, "", "", values, main) if tag in HIDDEN or tag in NOISE_TAGS or tag == "header" else ""
+        node = Node(tag, f"{tag}.{words}" if words else tag, self.now, noise, main)
         self.now.children.append(node)
         if tag not in VOID:
             self.now = node
@@ -393,7 +408,8 @@ def tree_nodes(root: Node, content: dict[Node, int]) -> Iterator[tuple[Node, int
 
 
 def noise_key(path: int, kind: int, content: int) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path} {kind} {content}") >> 1
+    """A key of a branch; odd for one that is noise by its shapes."""
+    return xxhash.xxh3_64_intdigest(f"{path} {kind} {content}") >> 1 & ~1 | (kind == SHAPE)
 
 
 #: Kind of a node that is noise by its shapes.
@@ -438,12 +454,14 @@ def main_text(html: str, noise: frozenset[int] | set[int] = frozenset()) -> str:
     if not html:
         return ""
     root = parsed(html)
-    parts = main_parts(root) or [root]
+    parts = main_parts(root)
     marked = []
-    if noise:
+    if any(not k & 1 for k in noise):
         content = contents(root)
         marked = [node for node, path, kind in tree_nodes(root, content) if noise_key(path >> 1, kind, content[node]) in noise]
+    if noise and not parts:  # shapes say nothing of what a main part holds
         marked += [node for node, path, *_ in shapes(root) if not node.noise and noise_key(path >> 1, SHAPE, 0) in noise]
+    parts = parts or [root]
     for node in marked:
         node.noise = "tree"
     left = [b for part in parts for b in blocks(part)]
