@@ -125,7 +125,7 @@ TOKENS_SQL = (
 def strokes(lineitem: DataFrame) -> DataFrame:
     """(page_no, color, width, line_width, stroke, x0, y0, x1, y1): line items as strokes; a supplier is a page.
 
-    Several items may share the number of an order's line, so a stroke's id holds the part and the supplier as well.
+    Several items may share the number of an order's line, so a stroke's id holds its day and part as well.
     """
     days = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
     return lineitem.select(
@@ -133,7 +133,7 @@ def strokes(lineitem: DataFrame) -> DataFrame:
         F.col("l_returnflag").alias("color"),
         F.col("l_linestatus").alias("width"),
         F.when(F.col("l_linestatus") == "F", 0.1).otherwise(0.0).alias("line_width"),
-        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + F.col("l_partkey") % 4096) * 256 + F.col("l_suppkey") % 256).alias("stroke"),
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + days % 4096) * 256 + F.col("l_partkey") % 256).alias("stroke"),
         (days / F.lit(20.0)).alias("x0"),
         F.col("l_quantity").alias("y0"),
         (days / F.lit(20.0) + 1 + 20 * F.col("l_tax")).alias("x1"),
@@ -142,7 +142,7 @@ def strokes(lineitem: DataFrame) -> DataFrame:
 
 
 STROKES_SQL = """strokes AS (
-    SELECT l_suppkey AS page_no, l_returnflag AS color, l_linestatus AS width, CASE WHEN l_linestatus = 'F' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS line_width, ((l_orderkey * 8 + l_linenumber) * 4096 + l_partkey % 4096) * 256 + l_suppkey % 256 AS stroke,
+    SELECT l_suppkey AS page_no, l_returnflag AS color, l_linestatus AS width, CASE WHEN l_linestatus = 'F' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END AS line_width, ((l_orderkey * 8 + l_linenumber) * 4096 + date_diff('day', DATE '1992-01-01', l_shipdate::DATE) % 4096) * 256 + l_partkey % 256 AS stroke,
            date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 20.0::DOUBLE AS x0, l_quantity AS y0,
            date_diff('day', DATE '1992-01-01', l_shipdate::DATE) / 20.0::DOUBLE + 1 + 20 * l_tax AS x1, l_quantity + 1 + 20 * l_discount AS y1
     FROM lineitem
