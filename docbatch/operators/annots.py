@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
+from docbatch.functions.rows import not_listed
 
 # The annotation subtypes that a clean-up removes.
 REMOVABLE = ["Text", "FreeText", "Line", "Square", "Circle", "Polygon", "PolyLine", "Highlight", "Underline", "Squiggly", "StrikeOut", "Stamp", "Caret", "Ink", "Popup"]
@@ -14,11 +15,11 @@ REMOVABLE = ["Text", "FreeText", "Line", "Square", "Circle", "Polygon", "PolyLin
 def removable(annots: DataFrame, keep: DataFrame) -> DataFrame:
     """Annotations to remove: removable subtypes, without free texts that hold a word of ``keep`` in any case.
 
-    ``keep`` is a short list of words and is sent along with the anti join.
+    ``keep`` is counted and sent along with the anti join, in parts if it is long.
     """
     found = annots.filter(F.col("subtype").isin(REMOVABLE))
-    words = F.broadcast(keep.select(F.lower(T.norm(F.col("word"))).alias("word")))
-    return found.join(words, (found["subtype"] == "FreeText") & F.contains(F.lower(T.norm(found["contents"])), words["word"]), "left_anti")
+    words = keep.select(F.lower(T.norm(F.col("word"))).alias("_word"))
+    return not_listed(found, words, (F.col("subtype") == "FreeText") & F.contains(F.lower(T.norm(F.col("contents"))), F.col("_word")))
 
 
 def edit_first(annots: DataFrame, find: str, replace: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
+from docbatch.functions.rows import in_parts
 
 #: Needles that are looked for one by one, each by an expression; longer lists are compiled to an automaton.
 FEW = 24
@@ -141,6 +142,22 @@ def reinforced(exact: DataFrame, flexible: DataFrame) -> DataFrame:
     return both.select("doc_id", "rule_id", F.greatest(e, f).alias("hits"), F.when(f > e, F.col("flex_pages")).otherwise(F.col("exact_pages")).alias("pages"), F.greatest(f - e, F.lit(0)).alias("added"))
 
 
+def without_hit(docs: DataFrame, rules: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, *columns of rules): for each document the rules of which ``hits`` (doc_id, rule_id) has none.
+
+    The rules that a document has come together at it and are taken from the list, which is counted and goes along in parts
+    if it is long; only rules without a hit become rows.
+    """
+    has = hits.groupBy("doc_id").agg(F.collect_set("rule_id").alias("_has"))
+    held = docs.select("doc_id").join(has, "doc_id", "left").withColumn("_has", F.coalesce("_has", F.array().cast(has.schema["_has"].dataType)))
+    out = []
+    for part in in_parts(rules):
+        listed = part.agg(F.sort_array(F.collect_list(F.struct(*rules.columns))).alias("_rules"))
+        open_ = F.filter("_rules", lambda r: ~F.array_contains("_has", r["rule_id"]))
+        out.append(held.join(F.broadcast(listed)).select("doc_id", F.explode(open_).alias("_rule")).select("doc_id", "_rule.*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def first_pages(docs: DataFrame, *hits: DataFrame) -> DataFrame:
     """(doc_id, page_no): the page to show first: of the first rule with hits, the first page of the first kind of hits that it has; 1 without hits.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
+from docbatch.functions.rows import joined_list
 from docbatch.operators import annots as A
 from docbatch.plans.catalog import query
 from docbatch.sources import tables as S
@@ -30,7 +31,7 @@ def words(spark: SparkSession) -> DataFrame:
 def annot_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An annotation counts once for a rule, however often its contents hold the text."""
     free = annots(spark, sf_dir).filter("subtype = 'FreeText'").withColumn("s", T.norm(F.col("contents")))
-    return free.join(F.broadcast(words(spark)), F.contains("s", T.norm(F.col("word")))).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("hits"))
+    return joined_list(free, words(spark), F.contains("s", T.norm(F.col("word")))).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query(

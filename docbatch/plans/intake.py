@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
 from docbatch.operators import intake as I
+from docbatch.operators import rules as R
 from docbatch.plans.catalog import query
 from docbatch.sources import tables as S
 from docbatch.plans.staging import shared_dir
@@ -143,15 +144,17 @@ def size_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, bool_and(error IS NULL AND a = 0 AND o = 0 AND (NOT hit OR enabled)) AS selective FROM r GROUP BY 1""",
 )
 def batch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of a source that only need selective work."""
-    rules = F.broadcast(S.rules(spark).filter("trim(find) <> ''"))
-    rows = docs(spark, sf_dir).join(rules).select(
+    """Batches of a source that only need selective work: a row for each document, and one for each rule that hits it."""
+    rules = S.rules(spark).filter("trim(find) <> ''").select("rule_id", F.col("find").alias("needle"))
+    hits = R.needle_counts(docs(spark, sf_dir), ["source", "doc_id", "lang", "n_chars"], "text", rules)
+    every = docs(spark, sf_dir).select("source", "doc_id", "lang", "n_chars", F.lit(None).cast(hits.schema["rule_id"].dataType).alias("rule_id"), F.lit(0).cast("long").alias("n"))
+    rows = every.unionByName(hits).select(
         "source",
         F.when(F.col("n_chars") == 0, "empty").alias("error"),
         F.when((F.col("lang") == "de") & (F.col("doc_id") % 40 == 0), 1).otherwise(0).alias("annotation_count"),
         F.when(F.col("doc_id") % 60 == 7, 1).otherwise(0).alias("ocr_count"),
-        F.contains("text", "find").cast("int").alias("count"),
-        ((F.col("rule_id") != 7) | (F.col("doc_id") % 4 > 0)).alias("enabled"),
+        F.col("n").alias("count"),
+        ((F.coalesce("rule_id", F.lit(0)) != 7) | (F.col("doc_id") % 4 > 0)).alias("enabled"),
     )
     return I.selective_batches(rows, ["source"])
 

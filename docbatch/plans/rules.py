@@ -107,10 +107,9 @@ def rule_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE NOT EXISTS (SELECT 1 FROM exact_hits e WHERE e.doc_id = d.doc_id AND e.rule_id = r.rule_id)""",
 )
 def pending_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules that the cheap stage left without a hit, per document; the rule list is short and goes along with each document."""
-    rules = R.distinct_rules(S.rules(spark)).agg(F.sort_array(F.collect_list("rule_id")).alias("ids"))
-    pairs = S.table(spark, sf_dir, "documents").select("doc_id").join(F.broadcast(rules)).select("doc_id", F.explode("ids").alias("rule_id"))
-    return pairs.join(exact(spark, sf_dir), ["doc_id", "rule_id"], "left_anti")
+    """Rules that the cheap stage left without a hit, per document."""
+    rules = R.distinct_rules(S.rules(spark)).select("rule_id")
+    return R.without_hit(S.table(spark, sf_dir, "documents").select("doc_id"), rules, exact(spark, sf_dir))
 
 
 @query(
@@ -122,9 +121,9 @@ def pending_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def missing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = conversation_pages(spark, sf_dir).withColumn("k", T.variant_key(F.col("text")))
-    rules = F.broadcast(R.distinct_rules(S.rules(spark)).select("rule_id", T.variant_key(F.col("find")).alias("variant_key")))
-    flags = pages.join(rules).groupBy("doc_id", "rule_id", "variant_key").agg(F.bool_or(F.contains("k", "variant_key")).alias("found"))
-    return flags.filter("not found").drop("found")
+    rules = R.distinct_rules(S.rules(spark)).select("rule_id", T.variant_key(F.col("find")).alias("variant_key")).filter("variant_key <> ''")
+    hits = R.needle_counts(pages, ["doc_id"], "k", rules.withColumnRenamed("variant_key", "needle"))
+    return R.without_hit(pages.select("doc_id").distinct(), rules, hits)
 
 
 @query(

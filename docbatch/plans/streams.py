@@ -57,42 +57,22 @@ def stream_mark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed(spark, sf_dir, lambda rows: E.by_key(rows, ["file"], E.PairedMarks("click", "purchase")))
 
 
-def results(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream of whole results has come to: its last batch."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/docbatch-stream-{uuid.uuid4().hex}"
-    E.run_to_batches(stream, f"{base}/out", f"{base}/state", mode)
-    rows = spark.read.schema(stream.schema.add("_batch", "long")).option("basePath", f"{base}/out").parquet(f"{base}/out/*")
-    return rows.join(F.broadcast(rows.agg(F.max("_batch").alias("_batch"))), "_batch", "left_semi").drop("_batch")
-
-
 def as_runs(rows: DataFrame) -> DataFrame:
     """Events as runs, a day each."""
     return rows.select(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), "event_id", "ts", F.col("user_id").alias("file"), F.col("event_type").alias("stage"), F.col("value").alias("ms"))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_runs(source(spark, sf_dir))
-
-
 @query("stream_quiet_sessions", SQL["quiet_sessions"])
 def stream_quiet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a file until two hours pass without an event, as a stream."""
-    out = results(E.quiet_sessions(runs(spark, sf_dir), "file", "2 hours"), "complete")
+    """Sessions of a file until two hours pass without an event, as a stream; each is given once, when the watermark has passed its end."""
+    out = closed(spark, sf_dir, lambda rows: E.quiet_sessions(rows, "file", "2 hours"))
     return out.select("file", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "quiet_at")), "n")
 
 
 @query("stream_debounce_last", SQL["debounce_last"])
 def stream_debounce_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes less than 150 s apart are one, as a stream; the last of them is written."""
-    return results(E.quiet_sessions(runs(spark, sf_dir), "run_id", "150 seconds"), "complete").select("run_id", "event_id", F.col("n").alias("merged"))
-
-
-@query("stream_latest_cycle", SQL["latest_cycle"])
-def stream_latest_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest cycle of a file; what it supersedes is taken back in the stream, so that what stands is what was given once more than taken."""
-    cycles = lambda rows: E.by_key(rows.withColumn("cycle", F.expr("event_id div 100")), ["run_id", "file"], E.LatestCycle("cycle"))
-    return closed(spark, sf_dir, cycles).groupBy("run_id", "file", "event_id").agg(F.sum("change").alias("n")).filter("n > 0").drop("n")
+    return closed(spark, sf_dir, lambda rows: E.quiet_sessions(rows, "run_id", "150 seconds")).select("run_id", "event_id", F.col("n").alias("merged"))
 
 
 BEAT_US = 600_000_000

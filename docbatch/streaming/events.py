@@ -35,7 +35,10 @@ def closing_events(events: DataFrame, after: str = "30 days") -> DataFrame:
 
 
 def quiet_sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Sessions of a key that end when nothing came for ``gap``, with the last event of each (what a debounced writer writes)."""
+    """Sessions of a key that end when nothing came for ``gap``, with the last event of each (what a debounced writer writes).
+
+    In append mode a session is given, and its state goes, when the watermark has passed its end.
+    """
     last = F.max_by("event_id", F.struct("ts", "event_id"))
     out = events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), last.alias("event_id"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("quiet_at"), "n", "event_id")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docbatch.functions import rows
 from docbatch.operators import edits as E
 from docbatch.operators import fuzzy as Z
 from docbatch.operators import geometry as G
@@ -310,3 +311,17 @@ def test_proofs_as_columns(spark):
     hits = [spark.createDataFrame(r, "doc_id long, rule_id int, page_no int") for r in ([(1, 2, 5), (1, 2, 4), (2, 7, 9)], [(1, 1, 8), (2, 7, 1)], [(3, 1, 6)])]
     docs = spark.range(1, 5).withColumnRenamed("id", "doc_id")
     assert {r.doc_id: r.page_no for r in R.first_pages(docs, *hits).collect()} == {1: 8, 2: 9, 3: 6, 4: 1}
+
+
+def test_lists_in_parts(spark, monkeypatch):
+    """A list beyond the bound is sent in parts and gives the same rows; a document without hits has every rule, a rule without hits every document."""
+    monkeypatch.setattr(rows, "MOST_SENT", 3)
+    docs = spark.range(20).select(F.col("id").alias("doc_id"))
+    rules = spark.range(11).select(F.col("id").cast("int").alias("rule_id"), F.concat(F.lit("k"), "id").alias("variant_key"))
+    hits = spark.createDataFrame([(d, r) for d in range(20) for r in range(11) if d != 4 and r != 9 and (d * r) % 3 == 0], "doc_id long, rule_id int")
+    got = [tuple(x) for x in R.without_hit(docs, rules, hits).collect()]
+    want = [(d, r, f"k{r}") for d in range(20) for r in range(11) if d == 4 or r == 9 or (d * r) % 3]
+    assert sorted(got) == want
+    words = spark.createDataFrame([(w,) for w in "abcdefghij"], "w string")
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["xyz", "xa", "j", "", None])], "i int, t string")
+    assert [x.i for x in rows.not_listed(texts, words, F.contains("t", "w"), 3).orderBy("i").collect()] == [0, 3, 4]

@@ -75,3 +75,15 @@ def test_pairs_over_batches(batches):
     parts = [[(1, at(0), 5, "click"), (2, at(1), 5, "click")], [(3, at(2), 5, "purchase"), (4, at(3), 5, "purchase"), (5, at(3.5), 5, "click")], [(6, at(60), 6, "view")], [(7, at(61), 5, "purchase")]]
     found, left = batches(parts, lambda s: E.by_key(s, ["file"], E.PairedMarks("click", "purchase")))
     assert [r for rows in found for r in rows] == [(5, 2, 3, 3_600_000_000, False), (5, 5, None, E.DAY_US, True)] and left == 0
+
+
+def test_sessions_are_given_when_the_watermark_has_passed_their_end(spark, tmp_path):
+    """In append mode: once each, joined over batches, and not before nothing more can come."""
+    parts = [[(1, at(0), 7), (2, at(1), 7)], [(3, at(2.5), 7), (4, at(30), 8)], [(5, at(60), 9)], [(6, at(61), 9)]]
+    said = []
+    for i, rows in enumerate(parts):
+        spark.createDataFrame([(e, t, u, "view", 1.0, None) for e, t, u in rows], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+        stream = E.read_events(spark, f"{tmp_path}/in{i}", spark.read.parquet(f"{tmp_path}/in{i}").schema, "1 hour", 1)
+        E.run_to_table(E.quiet_sessions(stream, "user_id", "2 hours"), f"{tmp_path}/out", f"{tmp_path}/state")
+        said.append(sorted((r.user_id, r.n, r.event_id) for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert said == [[], [(7, 3, 3)], [(7, 3, 3), (8, 1, 4)], [(7, 3, 3), (8, 1, 4)]]
