@@ -1,7 +1,7 @@
 """Operator 2: language identification by a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on windows of a bounded sample of the
-documents that may be learned from: about ``PER_LANGUAGE`` of each language, chosen by a hash of the id. Every text is cut into windows
+documents that may be learned from: about ``PER_LANGUAGE`` of each language, chosen and ordered by hashes of the id. Every text is cut into windows
 of ``WINDOW`` bytes that cover all of it. Windows of many documents run in lock-step, forwards and
 backwards; every byte position gets its own label probabilities, and a document's probabilities are
 their mean over its positions.
@@ -193,7 +193,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_EACH - 1)), lambda i: F.substring(text_col, (F.length(text_col) * i / WINDOWS_EACH).cast("int") + 1, F.lit(WINDOW)))
     rng = np.random.default_rng(1)
     windows, target = [], []
-    for row in chosen.select(F.col(lang_col).cast("string").alias("lang"), cut.alias("parts")).limit(limit).collect():
+    # in an order of the rows' own, so that the same documents give the same network however they lie in files
+    order_by = (F.xxhash64(F.col(id_col), F.lit(12)), F.col(id_col), F.col(lang_col).cast("string"), F.xxhash64(text_col))
+    for row in chosen.orderBy(*order_by).select(F.col(lang_col).cast("string").alias("lang"), cut.alias("parts")).limit(limit).collect():
         for part in row["parts"]:
             raw = part.encode()[:WINDOW]
             if any(map(str.isalpha, part)):

@@ -700,3 +700,112 @@ def test_packing_of_long_white_space():
     for w in run.values():
         for text in (f"a{w}b", f"{w}", f"{w}'s 1", f"x{w}<|endoftext|>{w}y", f"a{w}b{w}!") if len(w) < 1_000_000 else (f"a{w}b",):
             assert packing.token_ids(path, text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def _small_language_model(rng, hidden=4, labels=("de", "en", "fr")):
+    direction = lambda: language.Direction(rng.normal(0, 1, (256, 3 * hidden)), rng.normal(0, 1, (hidden, 3 * hidden)), rng.normal(0, 1, hidden))
+    return language.LanguageModel(list(labels), direction(), direction(), rng.normal(0, 1, (2 * hidden, len(labels))), rng.normal(0, 1, len(labels)))
+
+
+def _plain_states(direction, raw):
+    """The states after each byte of one window, a number at a time."""
+    n = len(direction.new_bias)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h, out = [0.0] * n, []
+    for byte in raw:
+        u = [sum(h[k] * direction.hidden[k, j] for k in range(n)) for j in range(3 * n)]
+        x = direction.bytes_in[byte]
+        z, r = ([sig(x[g * n + j] + u[g * n + j]) for j in range(n)] for g in range(2))
+        new = [np.tanh(x[2 * n + j] + r[j] * (u[2 * n + j] + direction.new_bias[j])) for j in range(n)]
+        h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(n)]
+        out.append(h)
+    return out
+
+
+def _plain_probabilities(model, raw):
+    f, b = _plain_states(model.forward, raw), _plain_states(model.backward, raw[::-1])[::-1]
+    e = [np.exp(np.array(x + y) @ model.out + model.bias) for x, y in zip(f, b, strict=True)]
+    return np.array([x / x.sum() for x in e])
+
+
+def test_language_network_against_a_plain_one():
+    """Every byte of texts of all lengths around the window counts once, in windows of 16 bytes; the last one reaches back to be as long as its class."""
+    rng = np.random.default_rng(5)
+    model = _small_language_model(rng)
+    window = 16
+    raw = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in [*range(1, 40), 64, 100]]
+    got = model.pooled(raw, window)
+    for text, p in zip(raw, got, strict=True):
+        whole = len(text) // window * window
+        parts = [_plain_probabilities(model, text[a : a + window]) for a in range(0, whole, window)]
+        rest = len(text) - whole
+        if rest:
+            width = -(-rest // 8) * 8
+            parts.append(_plain_probabilities(model, text[max(0, len(text) - width) :])[-rest:])
+        np.testing.assert_allclose(p, np.concatenate(parts).mean(axis=0), atol=1e-5)
+
+
+def test_language_gradients_against_differences():
+    """Backpropagation through time gives what small changes of each weight change."""
+    rng = np.random.default_rng(6)
+    one = _small_language_model(rng).forward
+    steps = rng.integers(0, 256, (7, 3))
+    weight = rng.normal(0, 1, (7, 3, 4))
+
+    def loss():
+        h, total = np.zeros((3, 4)), 0.0
+        for t, byte in enumerate(steps):
+            h = one.step(byte, h)[0]
+            total += float((h * weight[t]).sum())
+        return total
+
+    h, kept = np.zeros((3, 4)), []
+    for byte in steps:
+        new = one.step(byte, h)
+        kept.append((h, *new[1:]))
+        h = new[0]
+    found = language._backwards(one, steps, kept, weight)
+    for of, gradient in ((one.bytes_in, found.bytes_in), (one.hidden, found.hidden), (one.new_bias, found.new_bias)):
+        for at in [tuple(rng.integers(0, n) for n in of.shape) for _ in range(20)] + ([(int(steps[3, 1]), 2)] if of is one.bytes_in else []):
+            held = of[at]
+            of[at] = held + 1e-6
+            more = loss()
+            of[at] = held - 1e-6
+            less = loss()
+            of[at] = held
+            assert abs((more - less) / 2e-6 - gradient[at]) < 1e-4
+
+
+def test_fitted_language_model_on_all_kinds_of_rows(spark, docs):
+    """Nulls, letterless, very long and repeated rows; the model does not depend on how the rows lie in partitions."""
+    lang = F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de")
+    known = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("the and of "), "text")).otherwise(F.concat(F.lit("über für ß "), "text"))).withColumn("lang", lang)
+    some = known.unionByName(known.limit(5))
+    model, again = language.fit(some.repartition(7, "doc_id")), language.fit(some.repartition(3, "text").sortWithinPartitions(F.desc("doc_id")))
+    for a, b in ((model.out, again.out), (model.forward.bytes_in, again.forward.bytes_in), (model.backward.hidden, again.backward.hidden)):
+        assert (a == b).all()
+    rows = frame(spark, [None, "", "12 .. !", "the and of " * 100_000, "über für ß", "über für ß", "x"])
+    got = {r.doc_id: r for r in language.predict(rows, model).collect()}
+    assert [got[i].lang_pred for i in range(3)] == ["und"] * 3 and [got[i].score for i in range(3)] == [0.0] * 3
+    assert got[3].lang_pred == "en" and got[4].lang_pred == "de" and got[6].lang_pred in ("de", "en")
+    assert got[4].score == got[5].score and all(0 <= r.score <= 1 for r in got.values())
+    assert language.predict(rows.limit(0), model).count() == 0
+
+
+def test_quality_fit_against_plain_sums(spark, docs):
+    """Means, ridge weights and calibration from all rows at once, with the statistics and features of the operator; the isotonic steps by the least mean of all later intervals."""
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality"))
+    model = quality.fit(docs, labels)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(10)) < 7).alias("fit")).orderBy("doc_id").collect()
+    x, y, fit = quality.statistics([r.text for r in rows]), np.array([float(r.doc_id % 3 == 0) for r in rows]), np.array([r.fit for r in rows])
+    np.testing.assert_allclose(model.mean, x.mean(axis=0), atol=1e-9)
+    np.testing.assert_allclose(model.scale, x.std(axis=0) + 1e-6, atol=1e-5)
+    z = quality.fourier((x - model.mean) / model.scale)
+    w = np.linalg.solve(z[fit].T @ z[fit] + quality.RIDGE * len(rows) / 100 * np.eye(z.shape[1]), z[fit].T @ y[fit])
+    np.testing.assert_allclose(model.weights, w, atol=1e-6)
+    raw = np.round(model.raw(x[~fit]), 3)
+    order = np.unique(raw)
+    good, n = (np.array([v[raw == s].sum() for s in order]) for v in (y[~fit], np.ones((~fit).sum())))
+    k = len(order)
+    best = [max(min(good[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, k)) for a in range(i + 1)) for i in range(k)]
+    np.testing.assert_allclose(np.interp(order, model.steps, model.values), best, atol=1e-9)
