@@ -292,3 +292,33 @@ def test_long_lists_are_sent_in_parts(spark):
     listed = spark.createDataFrame([(str(k),) for k in range(25)], "needle string")
     whole, parts = (sorted(map(tuple, joined_list(rows, listed, F.contains("s", "needle"), most).collect())) for most in (100, 6))
     assert whole == parts and len(whole) > 40
+
+
+def test_marks_that_share_an_id_are_one_node(spark):
+    """A mark's id in two families connects the parts of both; its rows are counted once each."""
+    rows = [(1, "a", "w", 0.1, 5, 0.0, 0.0, 1.0, 1.0), (1, "a", "w", 0.1, 9, 2.0, 0.0, 3.0, 1.0), (2, "a", "w", 0.1, 9, 500.0, 0.0, 501.0, 1.0), (2, "a", "w", 0.1, 12, 503.0, 0.0, 504.0, 1.0), (2, "a", "w", 0.1, 7, 800.0, 0.0, 801.0, 1.0)]
+    df = spark.createDataFrame(rows, "page_no long, color string, width string, line_width double, stroke long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r.page_no, r.stroke, r.component) for r in G.components(df, G.FAMILY, 10.0).collect())
+    assert got == [(1, 5, 5), (1, 9, 5), (2, 7, 7), (2, 9, 5), (2, 12, 5)]
+    boxes = sorted((r.page_no, r.component, r.m) for r in G.component_boxes(df, G.FAMILY, 10.0).collect())
+    assert boxes == [(1, 5, 2), (2, 5, 2), (2, 7, 1)]
+    pending = sorted((r.page_no, r.parts, r.members) for r in G.evaluate_pending(df, G.FAMILY, 600_000.0, 10.0).collect())
+    assert pending == [(1, 1, 2), (2, 2, 3)]
+    assert sorted((r.page_no, r.n, r.main) for r in G.evaluate_families(df, G.FAMILY, 1000.0, 600.0, 10.0).collect()) == [(1, 2, 2), (2, 3, 2)]
+    evidence = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), (2, 500.0, 0.0, 501.0, 1.0)], "page_no long, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((r.page_no, r.parts) for r in G.refine_parts(df, "page_no", G.FAMILY, evidence).collect()) == [(1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("limit", [8.0, 11.0, 18.5])
+def test_gaps_of_just_the_limit(spark, limit):
+    """Whether two marks meet is what their boxes' difference says, not sums that round otherwise."""
+    rows, meet = [], {}
+    for k in range(3000):
+        a = k / 20.0 + 1 + 20 * 0.03
+        b = round((a + limit) * 20) / 20.0
+        rows += [(k, 2 * k, a - 1, 0.0, a, 1.0), (k, 2 * k + 1, b, 0.0, b + 1, 1.0)]
+        meet[k] = b - a <= limit
+    df = spark.createDataFrame(rows, "page_no long, stroke long, x0 double, y0 double, x1 double, y1 double")
+    want = {k for k in meet if meet[k]}
+    assert {r.page_no for r in G.gap_pairs(df, ["page_no"], limit).collect()} == want
+    assert {r.page_no for r in G.components(df, ["page_no"], limit).filter("stroke <> component").collect()} == want
