@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 WATERMARK = "1 day"
 DAY_US = 86_400_000_000
+#: Buckets of keys; each is one row of state.
+BUCKETS = 1024
 #: What says that a stream has come to its end; no operator takes it for a stage.
 END = "end of stream"
 
@@ -45,10 +47,12 @@ def quiet_sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
 
 
 class Kept(StatefulProcessor):
-    """State of one key: one value, and one timer, at which ``due`` is asked what is to be said and what is left.
+    """State of keys: one value for each, and a time at which ``due`` is asked what is to be said and what is left.
 
     Subclasses say what new rows do (``take``) and what the time does (``due``); both give rows, the next value (None: nothing is
-    kept) and the time in microseconds at which to ask again.
+    kept) and the time in microseconds at which to ask again. Keys are dealt into buckets by hash. A bucket's values are one row of
+    state with one timer, that of the key which is due first: reading, writing and timers cost a call for each bucket
+    and batch, not for each key.
     """
 
     #: The value's columns, the columns that are given besides the key's, and those that the rows need besides us and event_id.
@@ -57,35 +61,70 @@ class Kept(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", self.value)
+        self.held = handle.getValueState("held", self.state)
 
-    def _now(self, found: tuple[list[tuple], tuple | None, int | None], key: tuple) -> pd.DataFrame:
-        rows, after, due = found
+    def _read(self) -> dict[tuple, tuple[int, tuple]]:
+        """The time and value of each key of the bucket."""
+        if not self.held.exists():
+            return {}
+        n = len(self.keys)
+        return {row[:n]: (row[n], row[n + 1 :]) for row in zip(*self.held.get(), strict=True)}
+
+    def _write(self, kept: dict[tuple, tuple[int, tuple]]) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if after is None:
+        if kept:
+            self.held.update(tuple(map(list, zip(*((*key, due, *value) for key, (due, value) in kept.items()), strict=True))))
+            self.handle.registerTimer(min(due for due, _ in kept.values()) // 1000 + 1)
+        else:
             self.held.clear()
+
+    @staticmethod
+    def _keep(kept: dict[tuple, tuple[int, tuple]], key: tuple, after: tuple | None, due: int | None) -> None:
+        if after is None:
+            kept.pop(key, None)
         else:
-            self.held.update(after)
-            self.handle.registerTimer(due // 1000 + 1)
-        return pd.DataFrame([(*key, *r) for r in rows], columns=self.names).astype(object if not rows else self.kinds)
+            kept[key] = due, after
+
+    def _given(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.names).astype(object if not rows else self.kinds)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # the whole batch of a key is ordered first: its parts may come in any order
-        data = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        # the whole batch of a bucket is ordered first: its parts may come in any order
+        data = pd.concat(list(rows))
         data = data[data["stage"] != END]
         if len(data):
-            yield self._now(self.take(data, tuple(self.held.get()) if self.held.exists() else None), key)
+            nulls = int(key[0]) // self.buckets
+            present = [k for i, k in enumerate(self.keys) if not nulls >> i & 1]
+            data = data.sort_values([*present, "us", "event_id"])
+            columns = {c: data[c].tolist() for c in data.columns}
+            keys = list(zip(*(columns[k] if k in present else [None] * len(data) for k in self.keys), strict=True))
+            kept, out, first = self._read(), [], 0
+            for end in range(1, len(keys) + 1):
+                if end == len(keys) or keys[end] != keys[first]:
+                    own = keys[first]
+                    said, *left = self.take({c: v[first:end] for c, v in columns.items()}, kept[own][1] if own in kept else None)
+                    out += [(*own, *r) for r in said]
+                    self._keep(kept, own, *left)
+                    first = end
+            self._write(kept)
+            yield self._given(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.held.exists():
-            now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-            yield self._now(self.due(tuple(self.held.get()), now * 1000), key)
+        kept, out = self._read(), []
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        for own in [k for k, (due, _) in kept.items() if due // 1000 + 1 <= now]:
+            said, *left = self.due(kept[own][1], now * 1000)
+            out += [(*own, *r) for r in said]
+            self._keep(kept, own, *left)
+        self._write(kept)
+        yield self._given(out)
 
     def close(self) -> None:
         pass
 
-    def take(self, rows: pd.DataFrame, held: tuple | None) -> tuple[list[tuple], tuple | None, int | None]:
+    def take(self, rows: dict[str, list], held: tuple | None) -> tuple[list[tuple], tuple | None, int | None]:
+        """What the columns of a key's new rows, in order, say and leave."""
         raise NotImplementedError
 
     def due(self, held: tuple, now_us: int) -> tuple[list[tuple], tuple | None, int | None]:
@@ -99,11 +138,16 @@ def by_key(events: DataFrame, keys: list[str], processor: Kept) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in events.select(*keys).schema]
     shape = ", ".join([*kinds, processor.out])
+    processor.keys, processor.buckets = list(keys), BUCKETS
     processor.names = [c.split()[0] for c in shape.split(", ")]
     numbers = {"long": "Int64", "bigint": "Int64", "int": "Int32", "boolean": "boolean"}
     processor.kinds = {c.split()[0]: numbers.get(c.split()[1], object) for c in shape.split(", ")}
-    rows = events.withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=shape, outputMode="Append", timeMode="EventTime")
+    processor.state = ", ".join(f"{kind}_{name} array<{of}>" for kind, columns in (("key", kinds), ("at", ["due long"]), ("value", processor.value.split(", "))) for name, of in map(str.split, columns))
+    # keys with nulls have buckets of their own, and numbers stand for the nulls, so that pandas makes no floats of the others' numbers
+    nulls = sum((F.col(k).isNull().cast("int") * (1 << i) for i, k in enumerate(keys)), F.lit(0))
+    rows = events.withColumn("us", F.unix_micros("ts")).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) + nulls * BUCKETS)
+    rows = rows.withColumns({f.name: F.coalesce(f.name, F.lit(0).cast(f.dataType)) for f in events.select(*keys).schema if isinstance(f.dataType, NumericType)})
+    return rows.groupBy("_bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=shape, outputMode="Append", timeMode="EventTime")
 
 
 class Heartbeats(Kept):
@@ -116,11 +160,11 @@ class Heartbeats(Kept):
 
     def take(self, rows, held):
         beat, out = held[0] if held else None, []
-        for us in rows["us"].tolist():
+        for us in rows["us"]:
             if beat is None or us - beat >= self.every:
                 out.append((us,))
                 beat = us
-        last = int(rows["us"].iloc[-1])
+        last = rows["us"][-1]
         return out, (beat, last), last + self.keep
 
 
@@ -134,11 +178,11 @@ class ChangedTokens(Kept):
 
     def take(self, rows, held):
         token, out = held[0] if held else None, []
-        for event, now in zip(rows["event_id"].tolist(), rows[self.token].tolist(), strict=True):
+        for event, now in zip(rows["event_id"], rows[self.token], strict=True):
             if now != token:
                 out.append((event,))
             token = now
-        return out, (token,), int(rows["us"].iloc[-1]) + self.keep
+        return out, (token,), rows["us"][-1] + self.keep
 
 
 class Settled(Kept):
@@ -154,7 +198,7 @@ class Settled(Kept):
 
     def take(self, rows, held):
         since, last = held or (None, None)
-        for us, now in zip(rows["us"].tolist(), rows["stage"].tolist(), strict=True):
+        for us, now in zip(rows["us"], rows["stage"], strict=True):
             since = None if now == self.unsettled else us if since is None else since
             last = us
         return [], (since, last), last + self.keep
@@ -177,7 +221,7 @@ class BoundedWaits(Kept):
 
     def take(self, rows, held):
         waiting, out = list(zip(*held, strict=True)) if held else [], []
-        for event, us, now in zip(rows["event_id"].tolist(), rows["us"].tolist(), rows["stage"].tolist(), strict=True):
+        for event, us, now in zip(rows["event_id"], rows["us"], rows["stage"], strict=True):
             if now == self.end:
                 out += [(e, "done" if us - at <= self.most else "timed out") for e, at in waiting if us > at]
                 waiting = [(e, at) for e, at in waiting if us <= at]
@@ -202,14 +246,14 @@ class LatestCycle(Kept):
     def take(self, rows, held):
         newest, given = (held[0], list(held[1])) if held else (None, [])
         out = []
-        for event, cycle in zip(rows["event_id"].tolist(), rows[self.cycle].tolist(), strict=True):
+        for event, cycle in zip(rows["event_id"], rows[self.cycle], strict=True):
             if newest is None or cycle > newest:
                 out += [(e, -1) for e in given]
                 newest, given = cycle, []
             if cycle == newest:
                 out.append((event, 1))
                 given.append(event)
-        return out, (newest, given), int(rows["us"].iloc[-1]) + self.keep
+        return out, (newest, given), rows["us"][-1] + self.keep
 
 
 class PairedMarks(Kept):
@@ -222,7 +266,7 @@ class PairedMarks(Kept):
 
     def take(self, rows, held):
         out = []
-        for event, us, now in zip(rows["event_id"].tolist(), rows["us"].tolist(), rows["stage"].tolist(), strict=True):
+        for event, us, now in zip(rows["event_id"], rows["us"], rows["stage"], strict=True):
             if held and us - held[1] > self.most:
                 out.append((held[0], None, self.most, True))
                 held = None

@@ -87,3 +87,17 @@ def test_sessions_are_given_when_the_watermark_has_passed_their_end(spark, tmp_p
         E.run_to_table(E.quiet_sessions(stream, "user_id", "2 hours"), f"{tmp_path}/out", f"{tmp_path}/state")
         said.append(sorted((r.user_id, r.n, r.event_id) for r in spark.read.parquet(f"{tmp_path}/out").collect()))
     assert said == [[], [(7, 3, 3)], [(7, 3, 3), (8, 1, 4)], [(7, 3, 3), (8, 1, 4)]]
+
+
+def test_keys_share_rows_of_state(batches, monkeypatch):
+    """Many keys, among them one that is null and one beyond 2^53, in few rows of state: their values and times stay apart."""
+    monkeypatch.setattr(E, "BUCKETS", 4)
+    big = 2**53 + 1
+    files = [*range(500), big, None]
+    first = [(10 * i, at(i / 1000), f, "a") for i, f in enumerate(files)]
+    again = [(10 * i + 1, at(2 + i / 1000), f, "a" if i % 2 else "b") for i, f in enumerate(files)]
+    make = lambda s: E.by_key(s, ["file"], E.ChangedTokens("stage"))
+    found, left = batches([first, again], make)
+    assert found[0] == sorted(((f, 10 * i) for i, f in enumerate(files)), key=str)
+    assert found[1] == sorted(((f, 10 * i + 1) for i, f in enumerate(files) if i % 2 == 0), key=str)
+    assert 0 < left <= 8
