@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     Each round points nodes at the smallest node of their neighbourhood, in a number of rounds that
     follows the logarithm of the component's size. Neighbourhoods are never gathered: minima come from
-    aggregation and return by joins. Each round is one written table; a round that would change no edge, by
+    aggregation and return by joins of both sides' shuffles, as files of edges are far smaller than their rows. Each round is one written table; a round that would change no edge, by
     an exact count, ends the work, and the tables of earlier rounds are deleted. Raises if the rounds do not settle.
     """
     now, seen = staged_with(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "edges")
@@ -27,11 +27,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         moved = Observation()
         # edges to nodes that are no root of both their ends, that is, all that this round moves
-        near = both.join(least, "u").observe(moved, F.count_if(F.col("m") != F.least("u", "v")).alias("n"))
+        near = both.join(least.hint("merge"), "u").observe(moved, F.count_if(F.col("m") != F.least("u", "v")).alias("n"))
         large = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # large points every node only to smaller ones, so what remains is the small star
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = large.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         before, now = now, staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
         released(before)
         if not moved.get["n"]:

@@ -325,3 +325,12 @@ def test_lists_in_parts(spark, monkeypatch):
     words = spark.createDataFrame([(w,) for w in "abcdefghij"], "w string")
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(["xyz", "xa", "j", "", None])], "i int, t string")
     assert [x.i for x in rows.not_listed(texts, words, F.contains("t", "w"), 3).orderBy("i").collect()] == [0, 3, 4]
+
+
+def test_grid_parts_send_no_side_whole(spark):
+    """Files of runs and edges are small, their rows are not: no join of the grid operators sends a side to every executor."""
+    cells = spark.range(3000).selectExpr("id % 30 AS k", "cast(id * 7 % 60 as int) AS x", "cast(id div 60 as int) AS y")
+    parts = G.grid_parts(cells, ["k"], 60)
+    out = G.coarse_then_fine(parts.filter("k < 10").select("k", "first", "area"), parts.select("k", "first", "area"), ["k"])
+    out.collect()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
