@@ -334,3 +334,26 @@ def test_grid_parts_send_no_side_whole(spark):
     out = G.coarse_then_fine(parts.filter("k < 10").select("k", "first", "area"), parts.select("k", "first", "area"), ["k"])
     out.collect()
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [20_000, 6])
+def test_chains_within_tasks_and_by_pairs(spark, monkeypatch, most):
+    """Chains of small keys need one shuffle; keys with more paths than a task takes give the same components and degrees."""
+    monkeypatch.setattr(G, "BLOCK_MARKS", most)
+    rng, rows = random.Random(5), []
+    for ring in range(12):
+        for i in range(rng.randint(1, 14)):
+            rows.append((ring, 100 * ring + i, *(rng.randint(0, 12) / 2 for _ in range(4))))
+    df = spark.createDataFrame(rows, "ring long, path long, sx double, sy double, ex double, ey double")
+    touch = {r[1]: set() for r in rows}
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] != b[1] and any((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 1 for p in (a[2:4], a[4:6]) for q in (b[2:4], b[4:6])):
+                touch[a[1]].add(b[1])
+    label = {p: p for p in touch}
+    for _ in label:
+        label = {p: min([label[p], *(label[q] for q in touch[p])]) for p in label}
+    out = G.chains(df, ["ring"], 1.0)
+    assert {r.path: (r.component, r.degree) for r in out.collect()} == {p: (label[p], len(touch[p])) for p in touch}
+    if most > 14:
+        assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
