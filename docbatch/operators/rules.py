@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docbatch.functions import text as T
-from docbatch.functions.rows import in_parts
+from docbatch.functions.rows import held, in_parts
 
 #: Needles that are looked for one by one, each by an expression; longer lists are compiled to an automaton.
 FEW = 24
@@ -123,8 +123,9 @@ def page_hits(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 def frequent_openings(lines: DataFrame, words: int, most: int) -> DataFrame:
     """(rule_id, find, replace): the ``most`` most frequent first words of lines, numbered by their rank, to be replaced by nothing."""
-    s = T.norm(F.col("line"))
-    found = lines.select(F.substring_index(s, " ", words).alias("find"), s.alias("s")).filter(F.size(F.split("s", " ")) >= words)
+    # fewer words: what stands before the last space that is wanted is the whole line
+    rows = held(lines, "s", T.norm(F.col("line")))
+    found = (rows.filter(F.substring_index("s", " ", words - 1) != F.col("s")) if words > 1 else rows).select(F.substring_index("s", " ", words).alias("find"))
     top = found.groupBy("find").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "find").limit(most)
     ranked = top.withColumn("rule_id", F.row_number().over(Window.orderBy(F.desc("n"), "find")))  # ``most`` rows
     return ranked.select("rule_id", "find", F.lit("").alias("replace"))
