@@ -189,6 +189,18 @@ def matched_boxes(expected: DataFrame, candidates: DataFrame, keys: list[str], t
     return hits.withColumn("accepted", F.col("found") == 1)
 
 
+def routed_keys(rows: DataFrame, routes: list[tuple[str, Column, Column]]) -> DataFrame:
+    """Adds ``route`` and ``key``: the name and the key of the first of (name, condition, key) whose condition a row meets; rows that meet none are left out.
+
+    The rows are read once, and of the keys only that of a row's route is worked out.
+    """
+    (first, met, key), *others = routes
+    route, keyed = F.when(met, F.lit(first)), F.when(met, key)
+    for name, condition, key in others:
+        route, keyed = route.when(condition, F.lit(name)), keyed.when(condition, key)
+    return rows.withColumns({"route": route, "key": keyed}).filter("route is not null")
+
+
 def united_routes(rows: DataFrame, routes: list[tuple[str, Column, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """Rows dealt to the first route whose condition they meet, each route's operator applied to its own rows, and all united with ``route``.
 

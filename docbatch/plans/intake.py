@@ -229,9 +229,9 @@ def union_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def routed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long codes, short codes and other targets, by their classes, each with its own key, united again."""
-    keyed = lambda key: lambda rows: rows.select(F.md5("word").alias("code"), key(F.col("word")).alias("key"))
-    routes = [("long", F.col("long_code"), keyed(lambda w: T.confusable_key(w, "oi"))), ("short", F.col("short_code"), keyed(T.code_key)), ("other", F.lit(True), keyed(T.folded))]
-    return I.united_routes(I.classified_codes(codes(spark, sf_dir)), routes)
+    w = F.col("word")
+    routes = [("long", F.col("long_code"), T.confusable_key(w, "oi")), ("short", F.col("short_code"), T.code_key(w)), ("other", F.lit(True), T.folded(w))]
+    return I.routed_keys(I.classified_codes(codes(spark, sf_dir)), routes).select(F.md5("word").alias("code"), "route", "key")
 
 
 @query(
