@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docbatch.functions.rows import held
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key. Minima come first, so a frequent key is not gathered in one task."""
@@ -22,12 +26,33 @@ def last_wins(rows: DataFrame, keys: list[str], order: str, values: list[str]) -
 
 def parse_token_rows(text: DataFrame) -> DataFrame:
     """Lines of text from tab-separated token rows: level, page, block, paragraph, line, word, x, y, width, height, confidence, text."""
-    f = text.select(F.split("row", "\t").alias("f")).filter((F.size("f") >= 12) & (F.get("f", F.lit(0)) == "5"))
-    word = F.array_join(F.slice("f", 12, F.size("f")), "\t")
+    f = held(text.filter(F.startswith("row", F.lit("5\t"))), "f", F.split("row", "\t", 12)).select("f").filter(F.size("f") == 12)
+    word = F.get("f", F.lit(11))
     t = f.select(F.get("f", F.lit(1)).try_cast("long").alias("doc_id"), F.get("f", F.lit(4)).try_cast("int").alias("line_no"), F.get("f", F.lit(5)).try_cast("int").alias("word_no"), F.get("f", F.lit(6)).try_cast("double").alias("x0"), F.get("f", F.lit(8)).try_cast("double").alias("w"), F.get("f", F.lit(10)).try_cast("int").alias("conf"), word.alias("word"))
     t = t.filter(F.trim("word") != "")
-    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"]), " ")
-    return t.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("words"), line.alias("line_text"), F.min("x0").alias("x0"), F.max(F.col("x0") + F.col("w")).alias("x1"), F.min("conf").alias("conf"))
+    gathered = _gathered(t.withColumn("x1", F.col("x0") + F.col("w")))
+    line = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("some"))), lambda x: x["word"]), " ")
+    return gathered.groupBy("doc_id", "line_no").agg(F.sum("words").alias("words"), line.alias("line_text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("conf").alias("conf"))
+
+
+def _gathered(t: DataFrame) -> DataFrame:
+    """(doc_id, line_no, some, words, x0, x1, conf): the words of a line that follow one another in a batch as one row, so that hardly more rows than lines are shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, line = (batch.column(c).dictionary_encode("encode").indices.to_numpy() for c in ("doc_id", "line_no"))
+            cuts = np.r_[0, np.flatnonzero((doc[1:] != doc[:-1]) | (line[1:] != line[:-1])) + 1]
+            ends = np.r_[cuts, batch.num_rows]
+            of = pa.table({"i": pa.array(np.repeat(np.arange(len(cuts)), np.diff(ends))), **{c: batch.column(c) for c in ("x0", "x1", "conf")}})
+            box = of.group_by("i").aggregate([("x0", "min"), ("x1", "max"), ("conf", "min")]).sort_by("i").combine_chunks()
+            words = pa.StructArray.from_arrays([batch.column("word_no"), batch.column("word")], names=["word_no", "word"])
+            first = pa.array(cuts)
+            some = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(first), batch.column("line_no").take(first), some, pa.array(np.diff(ends), pa.int64()), *(box.column(c).combine_chunks() for c in ("x0_min", "x1_max", "conf_min"))], names=["doc_id", "line_no", "some", "words", "x0", "x1", "conf"])
+
+    return t.select("doc_id", "line_no", "word_no", "x0", "x1", "conf", "word").mapInArrow(run, "doc_id long, line_no int, some array<struct<word_no: int, word: string>>, words long, x0 double, x1 double, conf int")
 
 
 def kinds(pages: DataFrame) -> DataFrame:
