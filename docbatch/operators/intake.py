@@ -170,6 +170,23 @@ def edge_bands(boxes: DataFrame, pages: DataFrame, keys: list[str], share: float
     return boxes.join(pages, keys).withColumn("band", F.explode(bands)).drop("px0", "py0", "px1", "py1")
 
 
+def edge_band_counts(lines: DataFrame, pages: DataFrame, keys: list[str], share: float = 0.16) -> DataFrame:
+    """(*keys, band, n): how many boxes touch each edge band of their page, those that none touches left out.
+
+    ``lines`` has the boxes of a line as an array ``w``, which meets its page and is counted as one row.
+    """
+    w, h = F.col("px1") - F.col("px0"), F.col("py1") - F.col("py0")
+    tests = {
+        "top": ("y0", lambda v: v < F.col("py0") + h * share),
+        "bottom": ("y1", lambda v: v > F.col("py1") - h * share),
+        "left": ("x0", lambda v: v < F.col("px0") + w * share),
+        "right": ("x1", lambda v: v > F.col("px1") - w * share),
+    }
+    rows = lines.select(*keys, *(F.col(f"w.{c}").alias(c) for c, _ in tests.values())).join(pages, keys)
+    counts = rows.groupBy(*keys).agg(*(F.sum(F.size(F.filter(c, test))).alias(band) for band, (c, test) in tests.items()))
+    return counts.unpivot(keys, list(tests), "band", "n").filter("n > 0")
+
+
 def result_states(rows: DataFrame) -> DataFrame:
     """Adds ``state`` from applied, pending, preview_validated, validated, total and exact: the first that holds of applied, confirmed, discarded, confirmed, candidate."""
     state = (

@@ -206,8 +206,9 @@ def region_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def edge_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in the four edge bands of 16 % of their page."""
-    t = S.tokens(docs(spark, sf_dir))
-    return I.edge_bands(t, token_pages(t), ["doc_id"]).groupBy("doc_id", "band").agg(F.count(F.lit(1)).alias("n"))
+    lines = S.line_words(docs(spark, sf_dir))
+    boxes = lines.select("doc_id", F.array_min("w.y0").alias("y0"), F.array_max("w.x1").alias("x1"), F.array_max("w.y1").alias("y1"))
+    return I.edge_band_counts(lines, token_pages(boxes), ["doc_id"])
 
 
 @query(
